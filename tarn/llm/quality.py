@@ -52,9 +52,10 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
         *keep, "q_text", "q_words", lines.alias("q_lines"),
         F.when(n >= WINDOW, F.transform(F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))), window)).otherwise(F.array().cast("array<bigint>")).alias("q_windows"),
     )
+    # the generator keeps predicates on q from being pushed below it, where they would repeat its work
     return first.select(
         *keep,
-        F.struct(
+        F.explode(F.array(F.struct(
             n.cast("long").alias("n_words"),
             F.length(F.array_join("q_words", "")).cast("long").alias("word_chars"),
             _left(F.col("q_text"), "#*$%&|<>").alias("n_symbols"),
@@ -64,7 +65,7 @@ def statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
             F.size("q_lines").cast("long").alias("n_lines"),
             _left(F.col("q_text"), "A-Z").alias("n_upper"),
             _left(F.col("q_text"), "0-9").alias("n_digits"),
-        ).alias("q"),
+        ))).alias("q"),
     )
 
 
@@ -125,7 +126,7 @@ def fit(labelled: DataFrame, names: list[str], max_rules: int = 8, max_condition
     """Learns a list that finds rows with ``bad`` true, from ``labelled``: a double for each of ``names``, ``bad``, ``apart``.
 
     Rows with ``apart`` true prune; the others grow. A rule is taken when its rows, grown and kept apart together, are bad
-    in ``min_precision`` of all cases and number ``min_support``. No rows, or one class alone, gives an empty list. What
+    in ``min_precision`` of all cases and number ``min_support``; a feature whose rule isn't starts no other one. No rows, or one class alone, gives an empty list. What
     reaches the driver is a count for each feature and bin, however many rows there are.
     """
     cuts = labelled.agg(*[F.percentile(x, F.array(*map(F.lit, CUTS))).alias(x) for x in names]).first()
@@ -142,8 +143,8 @@ def fit(labelled: DataFrame, names: list[str], max_rules: int = 8, max_condition
         return out
 
     count = lambda on: F.coalesce(F.sum(F.when(on, F.col("n"))), F.lit(0)).cast("long")
-    found, left = [], rows
-    for _ in range(max_rules):
+    found, left, barred = [], rows, set()
+    while len(found) < max_rules and len(barred) < len(names):
         rule: list = []
         for _ in range(max_conditions):
             seen = left.where(~F.col("apart") & every(rule)).select("bad", "n", F.posexplode("codes").alias("at", "code"))
@@ -152,7 +153,7 @@ def fit(labelled: DataFrame, names: list[str], max_rules: int = 8, max_condition
             if not p0 or not n0:
                 break
             best = (0.0, None)
-            for x in names:
+            for x in names if rule else [x for x in names if x not in barred]:
                 for k in range(1, len(edges[x]) + 1):
                     p, n = (sum(b[i] for b in bins if b[0] == x and b[1] >= k) for i in (2, 3))
                     for at_least, pp, nn in ((True, p, n), (False, p0 - p, n0 - n)):
@@ -172,10 +173,12 @@ def fit(labelled: DataFrame, names: list[str], max_rules: int = 8, max_condition
             pp, pn = got[f"c{i}11"], got[f"c{i}01"]
             worth.append(((pp - pn) / (pp + pn) if pp + pn else -1.0, p >= min_support and p >= min_precision * (p + n), i))
         good = [w for w in worth if w[1]]
-        if not good:
-            break
+        if not good:  # no rule from this feature; another may still start one
+            barred.add(rule[0][0])
+            continue
         cut = max(good, key=lambda w: (w[0], -w[2]))[2]
         rule = rule[: cut + 1]
+        rule = [c for i, c in enumerate(rule) if not any(c[:2] == d[:2] and (d[2] > c[2]) == c[1] and d != c for d in rule[i + 1 :])]
         found.append([Condition(x, at_least, float(edges[x][k - 1])) for x, at_least, k in rule])
         left = left.where(~every(rule))
     return DecisionList(found)
@@ -185,12 +188,13 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A decision list from the rows of ``docs`` whose id has a label; bad is quality 0.
 
     Labels without id or quality are left out, an id with several labels counts with the lowest. At most about
-    ``max_labelled`` labels are used, picked by a hash of the id; that bound lets the join broadcast them.
+    ``max_labelled`` labels are used, picked by a hash of the id; that bound lets the join broadcast them. Texts that the
+    base fails teach nothing: no rule needs to find them.
     """
     known = labels.select(F.col("doc_id").alias("of"), "quality").dropna().groupBy("of").agg(F.min("quality").alias("quality"))
     sample = hash_sample(stored(known), "of", max_labelled)
     rows = docs.select(F.col(doc_id).alias("of"), F.col(text).alias("text")).join(F.broadcast(sample), "of")
-    stats = statistics(rows, "text", ("of", "quality"))
+    stats = statistics(rows, "text", ("of", "quality")).where(~base_failed(F.col("q")))
     values = features(F.col("q"))
     labelled = stats.select(*[v.alias(k) for k, v in values.items()], (F.col("quality") == 0).alias("bad"), (F.pmod(F.xxhash64("of", F.lit("apart")), F.lit(3)) == 0).alias("apart"))
     return fit(stored(labelled), list(values))
