@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, mixing, quality, url_filter
+from tarn.llm import decontaminate, mixing, quality, simhash, url_filter
 
 _MODULES = {
     "op2_mixing": mixing,
+    "op3_simhash": simhash,
     "op4_quality_rules": quality,
     "op6_decontaminate": decontaminate,
     "op7_url_filter": url_filter,
