@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, mixing, quality, simhash, url_filter
+from tarn.llm import decontaminate, mixing, quality, secrets, simhash, url_filter
 
 _MODULES = {
+    "op1_secrets": secrets,
     "op2_mixing": mixing,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
