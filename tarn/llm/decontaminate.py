@@ -27,9 +27,9 @@ def phrases(items: DataFrame, item_id: str = "item_id", text: str = "text", size
     n = F.size("w")
     cut = F.when(n >= size, F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.slice("w", i, size))).when(n > 0, F.array("w")).otherwise(F.array().cast("array<array<string>>"))
     each = w.select("item_id", F.explode(cut).alias("phrase")).withColumn("wid", F.md5(F.array_join("phrase", " ")))
-    owners = stored(each.select("wid", "item_id").distinct())
+    owners = stored(each.select("wid", "item_id").distinct(), 8)
     terms = each.groupBy("wid").agg(F.first("phrase").alias("phrase")).select("wid", F.size("phrase").alias("length"), F.posexplode("phrase").alias("at", "term"))
-    return stored(terms), owners
+    return stored(terms, 8), owners
 
 
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
@@ -41,16 +41,16 @@ def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
 def occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """``doc_id, h, wid, length, start``: every place where all terms of a phrase stand in a row, each once."""
     same = lambda a, b: a["doc_id"].eqNullSafe(b["of"]) & (a["h"] == b["of_h"])
-    vocabulary = stored(terms.select("term").distinct())
+    vocabulary = stored(terms.select("term").distinct(), 8)
     counts = docs.select(F.explode(words(ascii_lower(F.col("text")), NOT_ALNUM)).alias("term")).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
     # a term that the corpus lacks rules its phrases out; else the two rarest terms of each phrase
     ordered = (
-        terms.join(stored(counts), "term", "left").groupBy("wid")
+        terms.join(stored(counts, 8), "term", "left").groupBy("wid")
         .agg(F.min(F.coalesce("n", F.lit(0))).alias("least"), F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "term"))).alias("by_rarity"), F.max("length").alias("length"))
         .where("least > 0")
     )
-    pivots = stored(ordered.select("wid", "length", F.col("by_rarity")[0].alias("a"), F.get("by_rarity", F.lit(1)).alias("b")))
-    index = stored(postings(docs, stored(pivots.select(F.explode(F.array("a.term", "b.term")).alias("term")).where("term is not null").distinct())))
+    pivots = stored(ordered.select("wid", "length", F.col("by_rarity")[0].alias("a"), F.get("by_rarity", F.lit(1)).alias("b")), 8)
+    index = stored(postings(docs, stored(pivots.select(F.explode(F.array("a.term", "b.term")).alias("term")).where("term is not null").distinct(), 8)))
     first = index.join(pivots.select(F.col("a.term").alias("term"), F.col("a.at").alias("at"), "wid", "length", "b"), "term").select("doc_id", "h", "wid", "length", "b", (F.col("pos") - F.col("at")).alias("start")).where("start >= 0").distinct()
     second = index.select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), F.col("term").alias("of_term"), F.col("pos").alias("of_pos"))
     both = first.where("b is not null").join(second, same(first, second) & (F.col("b.term") == F.col("of_term")) & (F.col("start") + F.col("b.at") == F.col("of_pos")), "left_semi")

@@ -40,11 +40,15 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
+    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors.
+
+    ``files``: as many at most, for tables that don't grow with the documents. Zstandard writes without the direct buffers
+    that Snappy's writers leave to the next garbage collection.
+    """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/tarn-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
