@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, mixing, quality, secrets, simhash, url_filter
+from tarn.llm import decontaminate, licenses, mixing, quality, secrets, simhash, url_filter
 
 _MODULES = {
     "op1_secrets": secrets,
@@ -11,6 +11,7 @@ _MODULES = {
     "op4_quality_rules": quality,
     "op6_decontaminate": decontaminate,
     "op7_url_filter": url_filter,
+    "op9_licenses": licenses,
 }
 
 
