@@ -94,6 +94,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", tex
     )
 
 
+def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns, in whose text no window of the benchmark occurs."""
+    terms, _ = phrases(items)
+    found = stored(occurrences(keyed(docs, doc_id, text), terms).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h")).distinct())
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"))
+    return whole.join(found, F.col("id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left_anti").select("row.*")
+
+
 def proximity(docs: DataFrame, terms: DataFrame, within: int = 5) -> DataFrame:
     """``doc_id, wid, start``: places where a phrase's terms stand in their order, each next one ``within`` words at most after the last.
 

@@ -112,12 +112,12 @@ def cell_copies(cells: DataFrame, duals: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, size, source_size, source, target, copies, taken`` for every row of ``docs``.
+    """``doc_id, size, source_size, source, h, target, copies, taken`` for every row of ``docs``.
 
     Size is the number of words, 0 for a null or blank text; such a document is taken 0 words. Repeated rows count as
     often as they stand there, ties go by a hash of id and text, and rows equal in both may swap their copies without a
     change in the result. A null source is a source of its own. An empty table gives an empty result. Other columns are
-    ignored. The rows leave with their id, so that ``copies`` can be joined or exploded by the caller.
+    ignored. ``h`` is the hash of id and text.
     """
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(doc_id, text).alias("h")))
     cells = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
@@ -137,7 +137,24 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
     ranked = placed.withColumn("copies", F.coalesce(F.col("each") + (rank <= F.col("quota")).cast("long"), F.lit(0)))
     aim = aims.select(F.col("source").alias("of_source"), "source_size", "target")
-    return ranked.join(F.broadcast(aim) if aims.count() <= 100_000 else aim, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "source_size", "source", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return ranked.join(F.broadcast(aim) if aims.count() <= 100_000 else aim, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "source_size", "source", "h", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """The rows of ``docs``, all their columns, as often as the mix takes them, and ``copy`` from 1 up."""
+    taken = stored(mix(docs, doc_id, text, source).select("doc_id", "source", "h", "copies"))
+    key = taken.groupBy(F.col("source").alias("of"), F.col("h").alias("of_h"), F.col("doc_id").alias("of_id")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
+    key = stored(key)
+    names = docs.columns
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("h"))
+    met = whole.join(key, F.col("source").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of_id")))
+    copies = F.col("all")
+    if not key.where("rows > 1").isEmpty():  # equal rows share their copies, the first ones one more
+        nth = F.row_number().over(Window.partitionBy("of", "of_h", "of_id").orderBy(F.xxhash64("row")))
+        met = met.withColumn("nth", nth)
+        copies = F.expr("all div rows") + (F.col("nth") <= F.expr("all % rows")).cast("long")
+    met = met.withColumn("own", copies).where("own > 0")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("copy")).select("row.*", "copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

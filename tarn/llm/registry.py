@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import decontaminate, licenses, mixing, quality, secrets, simhash, url_filter
+from tarn.llm import ctw, decontaminate, licenses, mixing, quality, secrets, simhash, url_filter
 
 _MODULES = {
     "op1_secrets": secrets,
@@ -12,6 +12,7 @@ _MODULES = {
     "op6_decontaminate": decontaminate,
     "op7_url_filter": url_filter,
     "op9_licenses": licenses,
+    "op10_ctw": ctw,
 }
 
 
