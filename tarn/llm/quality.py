@@ -20,7 +20,7 @@ WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 #: Labelled rows that a fit uses at most, picked by a hash of their id.
 MAX_LABELLED = 20_000
 #: Shares of the labelled rows at which thresholds stand.
-CUTS = [0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.35, 0.5, 0.65, 0.8, 0.85, 0.88, 0.9, 0.92, 0.94, 0.95, 0.96, 0.97, 0.98, 0.99, 0.995]
+CUTS = [0.005, 0.01, 0.02, *(k / 40 for k in range(1, 40)), 0.98, 0.99, 0.995]
 
 _REPEATED = f"""
 CASE WHEN size(array_distinct(q_windows)) = size(q_windows) THEN 0L ELSE

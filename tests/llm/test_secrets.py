@@ -1,0 +1,50 @@
+import hashlib
+import random
+import re
+
+from conftest_llm import multiset
+from tarn.llm import secrets
+
+
+def brute(text):
+    t = text or ""
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(secrets.ASSIGN, t, re.A | re.I) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if len(m[0]) >= 24]
+    k = [x[1] for x in spans]
+    joined = ",".join(f"{secrets.KINDS[x[1]]}:{x[0]}:{x[2]}" for x in sorted(spans))
+    return k.count(0), k.count(1), k.count(2), hashlib.sha256(joined.encode()).hexdigest(), joined
+
+
+WORDS = ["word", "alpha", "straight", "connection", "management", "theory", "nothing", "underthing"]
+
+
+def test_base_equals_brute_force(docs, rows):
+    got = secrets.scan(docs, secrets.train(WORDS))
+    assert multiset(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(((r[0], *brute(r[1])[:4]) for r in rows), key=repr)
+    for r in got.collect():
+        assert r["spans"].count(",") + 1 >= r["n_assign"] + r["n_access"] + r["n_hex"]
+    assert any("random:4:28" in r["spans"] for r in got.collect())
+
+
+def test_models_tell_held_out_samples_apart():
+    models = secrets.train(WORDS)
+    rare = random.Random(77)
+    randoms = ["".join(rare.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=32)) for _ in range(400)]
+    ordinary = secrets.composed_identifiers(WORDS, 400, seed=99)
+    assert sum(models.score(x) > models.threshold for x in randoms) > 390
+    assert sum(models.score(x) > models.threshold for x in ordinary if len(x) >= secrets.SHORTEST) < 12
+
+
+def test_redact(docs, rows, spark):
+    models = secrets.train(WORDS)
+    out = secrets.redact(docs, models)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    clean = {r[1] for r in rows if not brute(r[1])[4] and not models.spans(r[1] or "", [])}
+    got = [r["text"] for r in out.collect()]
+    assert all(t in got for t in clean) and not any(brute(t)[4] for t in got)
+    assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] and "[SECRET]" in r["text"])
+
+
+def test_empty(no_docs):
+    assert secrets.scan(no_docs, secrets.learn(no_docs)).count() == 0
