@@ -67,8 +67,8 @@ def gram_pairs(df: DataFrame, ident: str, vector: str, scale: float = 1.0, block
     numbered = row_numbers(df.select(F.col(ident).alias("id")), ["id"])
     t = cut.join(numbered, "id").groupBy(F.floor(F.col("ord") / size).cast("long").alias("tile"), "block").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
     n = (t.agg(F.max("tile")).first()[0] or 0) + 1
-    left = t.select("block", F.col("rows").alias("x"), F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.lit(n - 1))).alias("j"))
-    right = t.select("block", F.col("rows").alias("y"), F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0), F.col("tile"))).cast("long").alias("i"))
+    left = t.select("block", F.col("rows").alias("x"), F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.lit(n - 1).cast("long"))).alias("j"))
+    right = t.select("block", F.col("rows").alias("y"), F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("i"))
     met = left.join(right, ["block", "i", "j"]).select("i", "j", "x", "y")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

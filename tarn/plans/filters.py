@@ -178,9 +178,9 @@ def _(t: Tables):
     return missing.crossJoin(a.agg(F.count("*").alias("n")))
 
 
-@query("S14_block_scan", "SELECT vec_id, list_transform(embedding[17:32], lambda x: round(x::DOUBLE, 6)) AS block FROM embeddings WHERE vec_id < 20")
+@query("S14_block_scan", "SELECT vec_id, list_transform(embedding[17:32], lambda x: round(x::DOUBLE, 6)) AS block FROM embeddings")
 def _(t: Tables):
-    return t.embeddings.where("vec_id < 20").select("vec_id", F.transform(F.slice("embedding", 17, 16), lambda x: F.round(x.cast("double"), 6)).alias("block"))
+    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 17, 16), lambda x: F.round(x.cast("double"), 6)).alias("block"))
 
 
 @query("S16_verified_files")
@@ -254,8 +254,40 @@ def _(t: Tables):
     return files.replace_partitions(old, t.spark.createDataFrame([("F", 7)], "o_orderstatus string, n long"), "o_orderstatus")
 
 
-@query("K04_pair_table", "SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE b.vec_id < 60")
+@query("K04_pair_table", "SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 6) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id")
 def _(t: Tables):
     from tarn.operators.distances import all_pairs
 
-    return all_pairs(t.embeddings.where("vec_id < 60"), "vec_id", "embedding").select("a", "b", F.round("d", 6).alias("d"))
+    return all_pairs(t.embeddings, "vec_id", "embedding").select("a", "b", F.round("d", 6).alias("d"))
+
+
+@query("S19_merged_config", "SELECT 5.0::DOUBLE AS min_umis, 0.15::DOUBLE AS most_q, true AS unknown_refused")
+def _(t: Tables):
+    from tarn import config
+
+    merged = config.merge(config.DEFAULTS, {"cells": {"min_umis": 5.0}})
+    try:
+        config.merge(config.DEFAULTS, {"cells": {"umis": 1}})
+        refused = False
+    except KeyError:
+        refused = True
+    return t.spark.createDataFrame([(merged["cells"]["min_umis"], merged["labels"]["most_q"], refused)], "min_umis double, most_q double, unknown_refused boolean")
+
+
+@query("K05_checks_sink", "SELECT 'a' AS check, true AS passed UNION ALL SELECT 'b', false")
+def _(t: Tables):
+    """The rows are on disk although closing raises."""
+    import uuid
+
+    from tarn.operators.checks import Checks, Unmet
+    from tarn.sources.storage import shared_folder
+
+    at = f"{shared_folder(t.spark)}/checks-{uuid.uuid4().hex}"
+    c = Checks(t.spark, "K05")
+    c.add("a", 1, True)
+    c.add("b", 2, False)
+    try:
+        c.close(at)
+    except Unmet:
+        pass
+    return t.spark.read.parquet(at).select("check", "passed")

@@ -47,10 +47,10 @@ def _(t: Tables):
     return op.reindex(ordered.row_numbers(t.documents.select("doc_id"), ["doc_id"]), t.labels.select("doc_id", "quality"), "doc_id")
 
 
-@query("J07_suffixed_self_join", "SELECT a.c_custkey, a.c_acctbal AS bal_a, b.o_totalprice AS bal_b FROM customer a JOIN orders b ON a.c_custkey = b.o_custkey AND b.o_orderkey % 50 = 0")
+@query("J07_suffixed_self_join", "SELECT a.c_custkey, a.c_acctbal AS bal_a, b.o_totalprice AS bal_b FROM customer a JOIN orders b ON a.c_custkey = b.o_custkey")
 def _(t: Tables):
     a = t.customer.select("c_custkey", F.col("c_acctbal").alias("bal_a"))
-    b = t.orders.where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("bal_b"))
+    b = t.orders.select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("bal_b"))
     return a.join(b, "c_custkey")
 
 
@@ -66,27 +66,27 @@ def _(t: Tables):
     return all_pairs(t.embeddings, "vec_id", "embedding").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"))
 
 
-@query("J10_best_match", """WITH p AS (SELECT a.s_suppkey, b.n_nationkey, i, substr(a.s_name, i, 1) = substr(b.n_name, i, 1) AS eq FROM supplier a, nation b, range(1, 6) r(i) WHERE a.s_nationkey % 5 = b.n_nationkey % 5 AND length(b.n_name) >= i),
+@query("J10_best_match", """WITH p AS (SELECT a.s_suppkey, b.n_nationkey, i, substr(a.s_name, i, 1) = substr(b.n_name, i, 1) AS eq FROM supplier a JOIN nation h ON a.s_nationkey = h.n_nationkey JOIN nation b ON h.n_regionkey = b.n_regionkey, range(1, 6) r(i) WHERE length(b.n_name) >= i),
 s AS (SELECT s_suppkey, n_nationkey, avg(eq::INT) AS identity, count(*) AS shared FROM p GROUP BY 1, 2 HAVING count(*) >= 4)
 SELECT s_suppkey, n_nationkey, round(identity, 6) AS identity, shared, identity >= 0.2 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY identity DESC, n_nationkey) AS k FROM s) WHERE k = 1""")
 def _(t: Tables):
-    a = t.supplier.select("s_suppkey", "s_name", (F.col("s_nationkey") % 5).alias("g"))
-    b = t.nation.select("n_nationkey", "n_name", (F.col("n_nationkey") % 5).alias("g"))
+    a = t.supplier.join(t.nation.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_regionkey").alias("g")), "s_nationkey").select("s_suppkey", "s_name", "g")
+    b = t.nation.select("n_nationkey", "n_name", F.col("n_regionkey").alias("g"))
     p = a.join(b, "g").select("s_suppkey", "n_nationkey", "s_name", "n_name", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("i")).where(F.length("n_name") >= F.col("i"))
     equal = F.expr("substr(s_name, i, 1) = substr(n_name, i, 1)")
     return op.best_match(p, "s_suppkey", "n_nationkey", equal, 4, 0.2).withColumn("identity", F.round("identity", 6))
 
 
-_POINTS = "SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
+_POINTS = "SELECT vec_id AS id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings"
 
 
 def _points(t: Tables):
     return t.embeddings.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate("xyz")], "label")
 
 
-@query("J11_nearest_pair", f"WITH p AS ({_POINTS}) SELECT DISTINCT ON (a.id) a.id AS a, b.id AS b FROM p a JOIN p b ON a.id % 10 = b.id % 10 AND a.id <> b.id ORDER BY a.id, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2), b.id")
+@query("J11_nearest_pair", f"WITH p AS ({_POINTS}) SELECT DISTINCT ON (a.id) a.id AS a, b.id AS b FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id ORDER BY a.id, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2), b.id")
 def _(t: Tables):
-    p = _points(t).withColumn("g", F.col("id") % 10)
+    p = _points(t).withColumnRenamed("label", "g")
     q = p.select("g", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
     d = F.sqrt(sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"))
     return op.nearest(p.join(q, "g").where("id != b").select(F.col("id").alias("a"), "b", d.alias("d")), "a", "d", "b").select("a", "b")
@@ -217,11 +217,11 @@ def _(t: Tables):
     return stratum_shuffle(t.customer, "c_custkey", ["c_nationkey"], "c_mktsegment", "7").select("c_custkey", "c_mktsegment")
 
 
-@query("W11_dense_relabel", "WITH s AS (SELECT p_size, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_partkey <= 120 GROUP BY 1), r AS (SELECT p_size, n, row_number() OVER (ORDER BY n DESC, first) - 1 AS k FROM s) SELECT p_size, CASE WHEN n = 1 THEN -1 ELSE k END AS cluster FROM r")
+@query("W11_dense_relabel", "WITH s AS (SELECT p_brand || p_size AS g, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1), r AS (SELECT g, n, row_number() OVER (ORDER BY n DESC, first) - 1 AS k FROM s) SELECT g, CASE WHEN n = 1 THEN -1 ELSE k END AS cluster FROM r")
 def _(t: Tables):
     from tarn.operators.clustering import relabel_by_size
 
-    return relabel_by_size(t.part.where("p_partkey <= 120"), "p_size", "p_partkey").select("p_size", "cluster")
+    return relabel_by_size(t.part.withColumn("g", F.concat("p_brand", "p_size")), "g", "p_partkey").select("g", "cluster")
 
 
 @query("W12_positional_ids", "SELECT 'clone' || lpad((row_number() OVER (ORDER BY p_name, p_partkey) - 1)::VARCHAR, 6, '0') AS clone_id, p_partkey FROM part")

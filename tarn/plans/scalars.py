@@ -59,8 +59,8 @@ def _(t: Tables):
 
 @query("X09_alignment_distance")
 def _(t: Tables):
-    s = t.benchmark.select("item_id", F.upper(F.substring(F.regexp_replace("text", "[^a-zA-Z]", ""), 1, 14)).alias("s")).where("item_id < 12")
-    pairs = s.select(F.col("item_id").alias("a"), F.col("s").alias("x")).join(s.select(F.col("item_id").alias("b"), F.col("s").alias("y")), F.col("a") < F.col("b"))
+    s = t.nation.select("n_nationkey", F.upper("n_name").alias("s"))
+    pairs = s.select(F.col("n_nationkey").alias("a"), F.col("s").alias("x")).join(s.select(F.col("n_nationkey").alias("b"), F.col("s").alias("y")), F.col("a") < F.col("b"))
     return pairs.select("a", "b", F.round(sequence.alignment_distance("x", "y"), 6).alias("d"))
 
 
