@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tarn.llm import ctw, decontaminate, licenses, mixing, quality, secrets, simhash, url_filter
+from tarn.llm import ctw, decontaminate, licenses, mixing, quality, secrets, simhash, substring_dedup, url_filter
 
 _MODULES = {
     "op1_secrets": secrets,
     "op2_mixing": mixing,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
+    "op5_substring_dedup": substring_dedup,
     "op6_decontaminate": decontaminate,
     "op7_url_filter": url_filter,
     "op9_licenses": licenses,
