@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import ctw, decontaminate, licenses, mixing, quality, secrets, simhash, substring_dedup, url_filter
+from tarn.llm import ctw, decontaminate, licenses, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
 
 _MODULES = {
     "op1_secrets": secrets,
@@ -12,6 +12,7 @@ _MODULES = {
     "op5_substring_dedup": substring_dedup,
     "op6_decontaminate": decontaminate,
     "op7_url_filter": url_filter,
+    "op8_pii": pii,
     "op9_licenses": licenses,
     "op10_ctw": ctw,
 }

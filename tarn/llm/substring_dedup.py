@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tarn.llm.shared import stored, table
 
 #: Words of a chunk at least, words on either side that a boundary's hash must undercut, and bytes of the rolling hash.
-LEAST, NEIGHBOURS, REACH = 24, 2, 16
+LEAST, NEIGHBOURS, REACH = 24, 2, 8
 #: The gear table: a number for each byte, from a hash, so that all machines agree.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=5) for b in range(256)], np.uint32)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,7 +39,8 @@ def boundaries(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The words joined by blanks, the offset of every word and of the end, and the numbers of the words that are boundaries.
 
     A boundary's hash is less than that of the NEIGHBOURS words before and at most that of as many after it; the hash of a
-    word covers the REACH bytes from its start. Text of equal words has none.
+    word covers the REACH bytes from its start. The first word is a boundary too, and LEAST words after a boundary there
+    is one in any case, as in runs of equal words, which have no other.
     """
     joined = b" ".join(words)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -49,7 +50,10 @@ def boundaries(words: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
     cut = np.ones(len(h), bool)
     for k in range(1, NEIGHBOURS + 1):
         cut &= (h < padded[NEIGHBOURS - k : len(padded) - NEIGHBOURS - k]) & (h <= padded[NEIGHBOURS + k : len(padded) - NEIGHBOURS + k])
-    return joined, at, np.nonzero(cut)[0]
+    cut = np.union1d([0], np.nonzero(cut)[0])
+    gaps = np.diff(np.append(cut, len(words)))
+    forced = [np.arange(a + LEAST, a + g, LEAST) for a, g in zip(cut[gaps > LEAST], gaps[gaps > LEAST], strict=True)]
+    return joined, at, np.union1d(cut, np.concatenate(forced)) if forced else cut
 
 
 def chunks(text: bytes | None) -> tuple[list[int], list[int], list[int], list[int]]:
