@@ -66,7 +66,9 @@ def chunks(text: bytes | None) -> tuple[list[int], list[int], list[int], list[in
     to = np.searchsorted(cut, cut + LEAST)
     from_ = np.nonzero(to < len(cut))[0]
     starts, ends = cut[from_], cut[to[from_]]
-    # the end of the text is a boundary only for a chunk that reaches from another one
+    # the end of the text ends one more chunk, that of the last boundary far enough before it
+    if len(words) not in ends:
+        starts, ends = np.append(starts, cut[cut <= len(words) - LEAST][-1]), np.append(ends, len(words))
     pieces = [joined[a:b] for a, b in zip(at[starts].tolist(), (at[ends] - 1).tolist(), strict=True)]
     digest, check = xxhash.xxh3_64_intdigest, xxhash.xxh32_intdigest
     return starts.tolist(), ends.tolist(), [digest(p) for p in pieces], [check(p) for p in pieces]
