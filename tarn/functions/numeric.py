@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -33,9 +33,10 @@ def quantised(v: Column, largest: Column) -> Column:
     return F.greatest(F.lit(1), F.least(F.lit(255), F.bround(255 * v / largest).cast("int")))
 
 
-def z_score(v: str, *strata: str) -> Column:
-    w = Window.partitionBy(*strata)
-    return (F.col(v) - F.avg(v).over(w)) / F.stddev_pop(v).over(w)
+def z_scored(df: DataFrame, v: str, strata: list[str], name: str) -> DataFrame:
+    """``name``: ``v`` less its stratum's mean, over the population deviation; the moments are aggregated and joined."""
+    moments = df.groupBy(*strata).agg(F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"))
+    return df.join(moments, strata).withColumn(name, (F.col(v) - F.col("_m")) / F.col("_s")).drop("_m", "_s")
 
 
 def centred_log_ratio(df: DataFrame, feature: str, value: str, name: str) -> DataFrame:

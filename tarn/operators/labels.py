@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.operators.ordered import benjamini_hochberg
+from tarn.operators.ordered import benjamini_hochberg, row_numbers
 
 
-def shuffle_keys(df: DataFrame, ident: str, strata: list, seed: Column | str) -> DataFrame:
-    """``_i``: the rank by id and ``_j``: the rank by md5 of id and seed, within strata."""
+def dealt_anew(df: DataFrame, ident: str, strata: list[str], label: str, seed: Column | str) -> DataFrame:
+    """``df`` with ``_dealt``: the label that the row gets when the labels of its stratum are dealt by md5 of id and seed.
+
+    Both orders, by stratum and id and by stratum and digest, number a stratum's rows with the same range, so one join on
+    the number deals all strata, and a stratum of any size is spread over many tasks.
+    """
     u = F.md5(F.concat(F.col(ident).cast("string"), F.lit("|"), seed if isinstance(seed, Column) else F.lit(seed)))
-    return df.withColumn("_i", F.row_number().over(Window.partitionBy(*strata).orderBy(ident))).withColumn("_j", F.row_number().over(Window.partitionBy(*strata).orderBy(u, ident)))
+    rows = row_numbers(df, [*strata, ident], "_at")
+    given = row_numbers(df.select(*strata, ident, u.alias("_u"), F.col(label).alias("_dealt")), [*strata, "_u", ident], "_at").select("_at", "_dealt")
+    return rows.join(given, "_at").drop("_at")
 
 
 def stratum_shuffle(df: DataFrame, ident: str, strata: list[str], label: str, seed: str) -> DataFrame:
     """``df`` with the labels dealt anew within each stratum."""
-    keyed = shuffle_keys(df, ident, strata, seed)
-    given = keyed.select(*[F.col(s).alias(f"_{k}") for k, s in enumerate(strata)], F.col("_j").alias("_to"), F.col(label).alias("_label"))
-    match = F.col("_i") == F.col("_to")
-    for k, s in enumerate(strata):
-        match = match & F.col(s).eqNullSafe(F.col(f"_{k}"))
-    return keyed.join(given, match).withColumn(label, F.col("_label")).drop("_i", "_j", "_to", "_label", *[f"_{k}" for k in range(len(strata))])
+    return dealt_anew(df, ident, strata, label, seed).withColumn(label, F.col("_dealt")).drop("_dealt")
 
 
 def purity(df: DataFrame, cluster: str, label: str, by: list[str] | None = None, least: int = 3) -> DataFrame:
@@ -36,18 +37,15 @@ def purity(df: DataFrame, cluster: str, label: str, by: list[str] | None = None,
 def null_ladder(df: DataFrame, ident: str, cluster: str, label: str, rungs: dict[str, list[str]], reps: int) -> DataFrame:
     """``rung, observed, mean, delta, z`` for each way to stratify, from ``reps`` permutations.
 
-    Every replicate is a copy of the labelled rows with its own seed, so replicates run side by side; what is grouped in
-    one task is a stratum of one replicate. z divides by the population deviation, 1e-9 at least.
+    Every replicate is a copy of the labelled rows with its own seed, so replicates run side by side. z divides by the population deviation, 1e-9 at least.
     """
     rows = df.where(F.col(label).isNotNull())
     observed = purity(rows, cluster, label)
     out = None
     for name, strata in rungs.items():
         many = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        keyed = shuffle_keys(many, ident, ["rep", *strata], F.concat(F.lit(f"{name}|"), F.col("rep").cast("string")))
-        given = keyed.select("rep", *strata, F.col("_j").alias("_i"), F.col(label).alias("_label"))
-        dealt = keyed.select("rep", *strata, "_i", cluster).join(given, ["rep", *strata, "_i"])
-        null = purity(dealt, cluster, "_label", ["rep"]).agg(F.avg("purity").alias("mean"), F.stddev_pop("purity").alias("sd"))
+        dealt = dealt_anew(many, ident, ["rep", *strata], label, F.concat(F.lit(f"{name}|"), F.col("rep").cast("string")))
+        null = purity(dealt, cluster, "_dealt", ["rep"]).agg(F.avg("purity").alias("mean"), F.stddev_pop("purity").alias("sd"))
         one = null.crossJoin(observed.withColumnRenamed("purity", "observed")).select(F.lit(name).alias("rung"), "observed", "mean", (F.col("observed") - F.col("mean")).alias("delta"), ((F.col("observed") - F.col("mean")) / F.greatest("sd", F.lit(1e-9))).alias("z"))
         out = one if out is None else out.unionByName(one)
     return out
@@ -124,8 +122,6 @@ def within_class_pairs(df: DataFrame, ident: str, label: str, draws: int) -> Dat
     k = df.groupBy(label).agg(F.count("*").alias("k"))
     ranges = running_sum(k, [label], "k", "hi").select(F.col(label).alias("_c"), "k", (F.col("hi") - F.col("k")).alias("lo"), "hi")
     # member numbers by class, from one range-sorted numbering
-    from tarn.operators.ordered import row_numbers
-
     numbered = row_numbers(df.select(F.col(label).alias("_c"), F.col(ident).alias("_id")), ["_c", "_id"], "_g").join(ranges.select("_c", "lo"), "_c").select((F.col("_g")).alias("_g"), "_id")
     n = df.count()
     d = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", _draw("c") % n)

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarn.operators.ordered import running_sum
+
 
 def draw(rep: str, slot: str, n: int, seed: str) -> Column:
     """A place 0 to n - 1 for each replicate and slot, from md5: the same on every engine."""
@@ -154,8 +156,9 @@ def rank_sum(df: DataFrame, group: str, feature: str, value: str) -> DataFrame:
     """``group, feature, z, p`` of a feature's values in a group against the rest: Wilcoxon by normal approximation, ties
     by mean ranks, without tie correction of the variance."""
     cells = df.groupBy(feature, value).agg(F.count("*").alias("_k"))
-    upto = F.sum("_k").over(Window.partitionBy(feature).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = cells.withColumn("_r", upto - (F.col("_k") - 1) / 2).drop("_k")
+    upto = running_sum(cells, [feature, value], "_k", "_upto")
+    start = upto.groupBy(feature).agg(F.min(F.col("_upto") - F.col("_k")).alias("_start"))
+    ranked = upto.join(start, feature).select(feature, value, (F.col("_upto") - F.col("_start") - (F.col("_k") - 1) / 2).alias("_r"))
     total = df.groupBy(feature).agg(F.count("*").alias("_n"))
     joined = df.join(ranked, [feature, value]).groupBy(group, feature).agg(F.sum("_r").alias("_w"), F.count("*").alias("_m")).join(total, feature)
     rest = F.col("_n") - F.col("_m")

@@ -112,7 +112,7 @@ def _(t: Tables):
 
 @query("X19_z_score", "SELECT c_custkey, round((c_acctbal - avg(c_acctbal) OVER (PARTITION BY c_nationkey)) / stddev_pop(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS z FROM customer")
 def _(t: Tables):
-    return t.customer.select("c_custkey", F.round(numeric.z_score("c_acctbal", "c_nationkey"), 6).alias("z"))
+    return numeric.z_scored(t.customer, "c_acctbal", ["c_nationkey"], "z").select("c_custkey", F.round("z", 6).alias("z"))
 
 
 @query("X20_rms_distance", "SELECT a.vec_id AS a, b.vec_id AS b, round(sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)) / 64), 6) AS d FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
