@@ -22,6 +22,8 @@ from tarn.llm.shared import stored, table
 
 #: Words of a chunk at least, words on either side that a boundary's hash must undercut, and bytes of the rolling hash.
 LEAST, NEIGHBOURS, REACH = 24, 2, 8
+#: Chunks that a task gathers before it passes them on.
+FLUSH = 50_000
 #: The gear table: a number for each byte, from a hash, so that all machines agree.
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), seed=5) for b in range(256)], np.uint32)
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -80,16 +82,29 @@ def chunk_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (np.int64, np.uint64, np.uint32, np.int64)
+        waiting: list[list[np.ndarray]] = [[], [], [], []]
+
+        def out() -> pa.RecordBatch:
+            ids, digests, checks_, places = (np.concatenate(x) for x in waiting)
+            for x in waiting:
+                x.clear()
+            return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(digests.view(np.int64)), pa.array(checks_.view(np.int32)), pa.array(places)], ["doc_id", "digest", "digest2", "place"])
+
+        rows = 0
         for b in batches:
-            ids, places, digests, checks_ = [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                start, end, digest, check = chunks(t.as_py())
-                ids.append(np.full(len(start), i, np.int64))
-                places.append(np.array(start, np.int64) << 24 | np.minimum(np.array(end, np.int64) - np.array(start, np.int64), (1 << 24) - 1))
-                digests.append(np.array(digest, np.uint64).view(np.int64))
-                checks_.append(np.array(check, np.uint32).view(np.int32))
-            cat = lambda x, kind: np.concatenate(x) if x else np.array([], kind)
-            yield pa.RecordBatch.from_arrays([pa.array(cat(ids, np.int64)), pa.array(cat(digests, np.int64)), pa.array(cat(checks_, np.int32)), pa.array(cat(places, np.int64))], ["doc_id", "digest", "digest2", "place"])
+            for i, t in zip(b.column(0), b.column(1), strict=True):
+                text = t.as_py()
+                start, end, digest, check = chunks(text.encode() if text else None)
+                place = [a << 24 | min(z - a, (1 << 24) - 1) for a, z in zip(start, end, strict=True)]
+                for x, v, kind in zip(waiting, ([i.as_py()] * len(start), digest, check, place), kinds, strict=True):
+                    x.append(np.array(v, kind))
+                rows += len(start)
+                if rows >= FLUSH:
+                    yield out()
+                    rows = 0
+        if rows:
+            yield out()
 
     return own.mapInArrow(run, "doc_id long, digest long, digest2 int, place long")
 
