@@ -46,9 +46,14 @@ def literal_map(d: dict) -> Column:
 
 def translate(nt: Column) -> Column:
     """Amino acids of a nucleotide text: gaps ``-`` and ``.`` go first, an unknown codon is X, a partial one is dropped."""
-    clean = F.upper(F.regexp_replace(nt, r"[.\-]", ""))
-    starts = F.when(F.length(clean) >= 3, F.sequence(F.lit(1), F.length(clean) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
-    return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(literal_map(CODE), F.substr(clean, i, F.lit(3))), F.lit("X"))), "")
+    table = literal_map(CODE)
+
+    def codons(s: Column) -> Column:
+        starts = F.when(F.length(s) >= 3, F.sequence(F.lit(1), F.length(s) - 2, F.lit(3))).otherwise(F.array().cast("array<int>"))
+        return F.array_join(F.transform(starts, lambda i: F.coalesce(F.try_element_at(table, F.substr(s, i, F.lit(3))), F.lit("X"))), "")
+
+    # the cleaned text is bound once, not computed anew for every codon
+    return F.transform(F.array(F.upper(F.regexp_replace(nt, r"[.\-]", ""))), codons)[0]
 
 
 def stem(gene: Column) -> Column:
