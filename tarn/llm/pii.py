@@ -119,15 +119,14 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda s, x: s + x)
 
 
-def surrogate(part: Column, norm: Column, attempt: Column, key: str) -> Column:
-    """The replacement of a part, from the keyed digest of part, norm and attempt.
+def surrogate(part: Column, norm: Column, attempt: Column, d: Column) -> Column:
+    """The replacement of a part, from ``d``, the keyed digest of part, norm and attempt: a column, since it is used often.
 
     A card keeps its first digit and, if it passes the Luhn test, passes it again; an address keeps four octets; an IBAN
     its country; a phone number its first digit; a domain its last label. A given name is of its gender's list for two
     attempts; later ones, and names of unknown gender, are letters with the gender's ending. Parts gain a character for
     every eight attempts, so no set of entities is too large to stay distinct.
     """
-    d = _digest(F.lit(key), part, norm, attempt.cast("string"))
     digits = lambda keep: _each(norm, lambda c, i: F.when((i >= keep) & c.rlike("[0-9]"), _number(d, i, 10).cast("string")).when((i >= keep) & c.rlike("[A-Z]"), F.char(_number(d, i, 26) + 65)).otherwise(c))
     body = F.substr(digits(1), F.lit(1), F.length(norm) - 1)
     check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
@@ -163,7 +162,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
     left, done, attempt = all_.withColumn("space", spaced(F.col("part"))), None, 0
     taken = left.select("space", F.when(F.col("part") == "local", F.substring_index("norm", "@", 1)).otherwise(F.col("norm")).alias("surrogate")).distinct()
     while True:
-        tried = stored(left.select("space", "part", "norm", surrogate(F.col("part"), F.col("norm"), F.lit(attempt), key).alias("surrogate")))
+        keyed = left.withColumn("d", _digest(F.lit(key), F.col("part"), F.col("norm"), F.lit(str(attempt))))
+        tried = stored(keyed.select("space", "part", "norm", surrogate(F.col("part"), F.col("norm"), F.lit(attempt), F.col("d")).alias("surrogate")))
         first = tried.groupBy("space", "surrogate").agg(F.min(F.struct("part", "norm")).alias("w")).select("space", "surrogate", F.col("w.part").alias("part"), F.col("w.norm").alias("norm"))
         good = first.join(taken, ["space", "surrogate"], "left_anti")
         if done is not None:
