@@ -19,18 +19,20 @@ LARGEST = 10_000
 def connected(edges: DataFrame) -> DataFrame:
     """``node, root`` over ``edges(a, b)``: neighbours merge by the round's hash order until no edge is left."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
-    left, roots, turn = materialize(both), None, 0
+    left, steps = materialize(both), []
     while not left.isEmpty():
+        turn = len(steps)
         key = lambda c, turn=turn: F.struct(F.xxhash64(c, F.lit(turn)).alias("o"), F.col(c).alias("id"))
         step = materialize(left.groupBy("a").agg(F.min(key("b")).alias("m")).select(F.col("a").alias("node"), F.least(key("a"), "m")["id"].alias("to")))
         a, b = (step.select(F.col("node").alias(c), F.col("to").alias(f"to_{c}")) for c in "ab")
         left = materialize(left.join(a, "a").join(b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a != b").distinct())
-        if roots is None:
-            roots = step.withColumnRenamed("to", "root")
-        else:
-            roots = materialize(roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")))
-        turn += 1
-    return roots if roots is not None else both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        steps.append(step)
+    if not steps:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = steps[0].withColumnRenamed("to", "root")
+    for step in steps[1:]:  # where a node's root went on in a later round
+        roots = roots.join(step.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(roots)
 
 
 def agglomerate(d: np.ndarray, cut: float) -> np.ndarray:
