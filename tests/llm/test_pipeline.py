@@ -34,3 +34,10 @@ def test_stages_against_brute_force(spark, sf):
             assert abs(sum(len(ws_words(r["text"])) for r in after) - words) < 0.05 * words
         else:
             assert docs.columns == columns and len(set(ids)) == len(ids)
+
+
+def test_stages_on_no_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, sf))
+        assert docs.count() == 0, name
