@@ -354,3 +354,13 @@ def _(t: Tables):
 def _(t: Tables):
     arm = lambda df, a, k, v: df.select(F.lit(a).alias("arm"), F.col(k).alias("k"), F.col(v).alias("v"))
     return arm(t.customer, "c", "c_nationkey", "c_acctbal").unionByName(arm(t.supplier, "s", "s_nationkey", "s_acctbal"))
+
+
+@query("N66_mutual_neighbour_groups")
+def _(t: Tables):
+    """Connected components of mutual nearest neighbours, in the place of community detection; it isn't the same partition."""
+    from tarn.operators.clustering import connected
+
+    near = _neighbours(t).select(F.col("vec_id").alias("a"), F.col("other").alias("b"))
+    mutual = near.join(near.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"]).where("a < b")
+    return connected(mutual).groupBy("root").agg(F.count("*").alias("members"))

@@ -166,3 +166,27 @@ def test_checks_stop_and_missing(spark):
 def test_modal_ties_and_nulls(spark):
     df = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (1, None), (2, None)], "k int, v string")
     assert [tuple(r) for r in aggregates.modal(df, ["k"], "v").collect()] == [(1, "a", 1)]
+
+
+def test_connected_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
+    roots = {r["node"]: r["root"] for r in clustering.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({roots[i] for i in range(61)}) == 1 and len({roots[i] for i in (100, 101, 102)}) == 1 and len(set(roots.values())) == 2
+    assert clustering.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_structure_text_round_trip(spark):
+    from tarn.sources import pdb
+
+    rows = [(1, "A", 105, "", "ALA", "CA", 1.25, -3.5, 100.125), (1, "B", 111, "A", "TRP", "CZ2", 0.0, 0.001, -0.001)]
+    atoms = spark.createDataFrame(rows, "structure long, chain string, resnum int, ins string, resname string, atom string, x double, y double, z double")
+    lines = pdb.atom_lines(atoms)
+    other = spark.createDataFrame([(1, r["line"][:16] + "B" + r["line"][17:]) for r in lines.collect()] + [(1, "HETATM"), (1, lines.first()["line"][:76] + " H")], "structure long, line string")
+    got = pdb.parse(lines.unionByName(other)).select("structure", "chain", "resnum", "ins", "resname", "atom", "x", "y", "z").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
+
+
+def test_binning_of_a_repeated_median(spark):
+    df = spark.createDataFrame([(i, float(i % 4)) for i in range(40)], "id long, v double")
+    got = {r["v"]: r["pct"] for r in ordered.percentile_in(df, spark.createDataFrame([(0.0,), (2.0,), (9.0,), (-1.0,)], "v double"), "v", "pct").collect()}
+    assert got == {0.0: 25.0, 2.0: 75.0, 9.0: 100.0, -1.0: 0.0}
