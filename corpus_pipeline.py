@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarn.llm import decontaminate, mixing, quality, secrets, simhash
+from tarn.llm import decontaminate, mixing, near_copies, quality, secrets
 from tarn.llm.shared import stored, table
 
 
@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of linked SimHash fingerprints."""
-    return simhash.keep_one(docs)
+    """Keeps one document of each group of texts linked by a five-word Jaccard similarity of 0.8 or more."""
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -177,9 +177,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows without an id come last; of rows equal in id and text one stays.
     """
     prints = stored(fingerprints(docs, doc_id, text))
+    return keep_first(docs, prints, stored(_roots(prints.select("fp").distinct())), doc_id, text)
+
+
+def keep_first(docs: DataFrame, prints: DataFrame, roots: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The first row of ``docs`` in each component: ``prints(doc_id, h, fp)`` of its rows, ``roots(node, root)`` of the linked ``fp``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
     by_fp = prints.groupBy("fp").agg(first)
-    groups = stored(by_fp.join(stored(_roots(by_fp)), F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*"))
+    groups = stored(by_fp.join(roots, F.col("fp") == F.col("node"), "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first")).select("first.*"))
     kept = groups.select(F.col("doc_id").alias("k_id"), F.col("h").alias("k_h"))
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(doc_id).alias("id"), F.xxhash64(text).alias("h"))
