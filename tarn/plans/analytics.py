@@ -107,7 +107,7 @@ def _(t: Tables):
 @query("N01_kabsch")
 def _(t: Tables):
     """Deviation of every structure from the medoid after fitting."""
-    _, ref = frames.medoid(_points(t), "vec_id", "points", 40)
+    _, ref = frames.medoid(_points(t), "vec_id", "points")
     return frames.fitted_deviation(_points(t), "vec_id", "points", ref).select("vec_id", F.round("value", 6).alias("rmsd"))
 
 
@@ -117,7 +117,7 @@ def _points(t: Tables):
 
 @query("N02_placement")
 def _(t: Tables):
-    _, ref = frames.medoid(_points(t), "vec_id", "points", 40)
+    _, ref = frames.medoid(_points(t), "vec_id", "points")
     return frames.placed(_points(t), "vec_id", "points", ref).select("vec_id", F.transform("value", lambda x: F.round(x, 5)).alias("placed"))
 
 
@@ -128,7 +128,7 @@ def _(t: Tables):
 
 @query("N04_reference_and_core")
 def _(t: Tables):
-    ident, ref = frames.medoid(_points(t), "vec_id", "points", 40)
+    ident, ref = frames.medoid(_points(t), "vec_id", "points")
     core = frames.rigid_core(_points(t), "vec_id", "points", ref)
     return t.spark.createDataFrame([(int(ident), core.tolist())], "medoid long, core array<int>")
 
@@ -198,7 +198,7 @@ def _(t: Tables):
 
 @query("N17_hinge")
 def _(t: Tables):
-    _, ref = frames.medoid(_points(t), "vec_id", "points", 40)
+    _, ref = frames.medoid(_points(t), "vec_id", "points")
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.hinge(p, ref)).select("vec_id", F.transform("value", lambda x: F.round(x, 6)).alias("pose"))
 
 
