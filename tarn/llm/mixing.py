@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarn.llm.shared import stored, table, words
+from tarn.llm.shared import free_name, stored, table, words
 
 #: No document is taken more often than this, and no target exceeds so many times its source's size.
 MOST = 3
@@ -141,7 +141,12 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
 
 
 def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of ``docs``, all their columns, as often as the mix takes them, and ``copy`` from 1 up."""
+    """The rows of ``docs``, all their columns, as often as the mix takes them, and ``copy`` from 1 up.
+
+    A table that has a column ``copy`` already keeps it, and the number is called ``copy_``. Null, repeated and empty input
+    counts as in ``mix``; rows equal in id, text and source share their copies, so repeated rows are taken alike.
+    """
+    number = free_name("copy", docs.columns)
     taken = stored(mix(docs, doc_id, text, source).select("doc_id", "source", "h", "copies"))
     key = taken.groupBy(F.col("source").alias("of"), F.col("h").alias("of_h"), F.col("doc_id").alias("of_id")).agg(F.sum("copies").alias("all"), F.count("*").alias("rows"))
     key = stored(key)
@@ -154,7 +159,7 @@ def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
         met = met.withColumn("nth", nth)
         copies = F.expr("all div rows") + (F.col("nth") <= F.expr("all % rows")).cast("long")
     met = met.withColumn("own", copies).where("own > 0")
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("copy")).select("row.*", "copy")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("copy")).select("row.*", F.col("copy").alias(number))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,16 +1,21 @@
-"""Near copies by Jaccard similarity, the pipeline's near-duplicate stage: sets of word shingles, minhash bands, exact checks.
-
-A text's set holds the hashes of its runs of SHINGLE words. Its minhashes go into BANDS bands of ROWS; sets that share a
-band's key are candidates. Two sets of similarity 0.8 miss each other in all bands with probability
-(1 - 0.8 ** 3) ** 20 = 6e-7, more similar ones less often; every candidate pair that decides is verified on the whole sets.
-
-Large groups don't make all their pairs: sets with too many shingles of their own go first, as no other set can be similar
-to them; each member is then compared with its key's pivot, and only members of different components are paired after that.
+"""Operator 3 by similarity, the pipeline's near-duplicate stage: Golay keys of long fingerprints, verified by Jaccard similarity.
+
+A text's set holds the hashes of its runs of SHINGLE words. Texts of similarity 0.8 differ in some 15 % of the bits of a
+SimHash, so the fingerprint here has TABLES segments of 23 bits: pigeonhole leaves some of them few errors. Two segments
+that differ in two bits at most always share a codeword of the Golay code within four bits of both; at 15 % of differing
+bits 61 % of them do. Each segment gives as many keys as it has near codewords, five on average, and a key also holds two
+minhashes of the set (both agree with probability 0.64), so that random texts don't meet. A pair of similarity 0.8 shares
+no key of any segment with probability (1 - 0.64 * 0.61) ** 16 = 4e-4, a more similar one less often.
+
+Sets that share a key and whose fingerprints differ in FAR bits at most are verified on the whole sets. Small groups
+are compared within; in larger ones every member is compared with the group's pivot first, and after that only members of
+different components are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,13 +24,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import stored
-from tarn.llm.simhash import _LOWER, SEED, components, keep_first
+from tarn.llm.simhash import _LOWER, _syndrome, SEED, components, keep_first, near_codewords
 
 #: Words of a shingle, and the similarity of linked texts as a fraction: 4 / 5.
 SHINGLE, SHARE, OF = 5, 4, 5
-BANDS, ROWS = 20, 3
-_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * ROWS), np.uint64)
+#: Segments of 23 bits, the 64-bit words that hold them, and the minhashes in a key.
+TABLES, WORDS, ANCHORS = 16, 6, 2
+#: Bits in which fingerprints of candidates differ at most. 0.8 makes 58 of 384 on average and 72 in texts of ten words,
+#: with a deviation of 7; unrelated texts differ in 192 with a deviation of 10.
+FAR = 112
+#: Members of a key's group that are compared pair by pair at once.
+PAIRED = 16
+_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS + TABLES * ANCHORS), np.uint64)
 _XOR, _TIMES = _DRAWS[0], _DRAWS[1] * np.uint64(2) + np.uint64(1)
+_PRINT = [f"p{k}" for k in range(WORDS)]
+_BLOCK = 4096
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -33,16 +46,56 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     words = (text or b"").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    runs = [b" ".join(words[k : k + shingle]) for k in range(max(1, len(words) - shingle + 1))]
-    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(r, SEED) for r in runs]), ">u8").astype(np.uint64))
+    joined, digest = b" ".join(words), xxhash.xxh64_digest
+    if len(words) <= shingle:
+        runs = digest(joined, SEED)
+    else:
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = np.concatenate([[0], ends[: len(words) - shingle] + 1]).tolist()
+        runs = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist(), strict=True)])
+    return np.unique(np.frombuffer(runs, ">u8").astype(np.uint64))
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of ``x``."""
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
 
-def band_keys(hashes: np.ndarray) -> np.ndarray:
-    """One key a band; none for an empty set."""
-    if not len(hashes):
-        return np.zeros(0, np.int64)
-    least = np.min([((hashes[i : i + 8192, None] ^ _XOR) * _TIMES).min(0) for i in range(0, len(hashes), 8192)], axis=0)
-    return np.array([xxhash.xxh64_intdigest(least[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64)
+
+def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The fingerprint as WORDS longs, and the minhashes, of a set that isn't empty.
+
+    A fingerprint's bit is 1 if it is set in over half of the set's hashes, each hashed anew for every 64 bits.
+    """
+    ones, least = np.zeros(WORDS * 64, np.int64), np.full(TABLES * ANCHORS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(hashes), _BLOCK):
+        h = (hashes[i : i + _BLOCK, None] ^ _XOR) * _TIMES
+        wide = _mixed(h[:, :WORDS])
+        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        least = np.minimum(least, h[:, WORDS:].min(0))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64), least
+
+
+def golay_keys(prints: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For fingerprints and minhashes of several sets, ``(place, key)``: the keys of the set at ``place``, in its order."""
+    errors, count = near_codewords()
+    bits = np.unpackbits(prints.view(np.uint8).reshape(len(prints), -1), axis=1, bitorder="little")[:, : TABLES * 23]
+    segments = bits.reshape(-1, TABLES, 23).astype(np.int64) @ (1 << np.arange(23, dtype=np.int64))
+    tables = anchors.reshape(-1, TABLES, ANCHORS)
+    where = np.arange(1, TABLES + 1, dtype=np.uint64)[None, :]
+    anchor = where
+    for k in range(ANCHORS):
+        anchor = _mixed(anchor * np.uint64(0x9E3779B97F4A7C15) ^ tables[:, :, k])
+    of = _syndrome(segments)
+    places, keys = [], []
+    for k in range(errors.shape[1]):
+        place, table = np.nonzero(count[of] > k)
+        index = (segments[place, table] ^ errors[of[place, table], k]) >> 11
+        places.append(place)
+        keys.append(_mixed(anchor[place, table] + index.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
+    place, key = np.concatenate(places), np.concatenate(keys)
+    order = np.argsort(place, kind="stable")
+    return place[order], key[order].view(np.int64)
 
 
 def _set_id(hashes: np.ndarray) -> int:
@@ -50,17 +103,40 @@ def _set_id(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, h, fp, keys`` of every row: a hash of the text, one of its set of shingles, and the bands' keys."""
+    """``doc_id, h, fp, n, p0, ..., anchors`` of every row: a hash of the text, one of its set of shingles, the set's size,
+    the words of its fingerprint and its minhashes; zeros and null without words."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     own = own.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t.as_py()) for t in b.column(2).cast(pa.binary())]
-            columns = [pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "h", "fp", "keys"])
+            ids, sizes, prints, anchors = [], [], np.zeros((b.num_rows, WORDS), np.uint64), []
+            for i, t in enumerate(b.column(2).cast(pa.binary())):
+                s = shingles(t.as_py())
+                ids.append(_set_id(s))
+                sizes.append(len(s))
+                least = None
+                if len(s):
+                    prints[i], least = sketch(s)
+                anchors.append(None if least is None else least.tobytes())
+            words = [pa.array(np.ascontiguousarray(p).view(np.int64)) for p in prints.T]
+            columns = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *words, pa.array(anchors, pa.binary())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "h", "fp", "n", *_PRINT, "anchors"])
+
+    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, h long, fp long, n long, {', '.join(f'{p} long' for p in _PRINT)}, anchors binary")
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """``key, node`` for ``nodes(node, p0, ..., anchors)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                prints = np.stack([b.column(k + 1).to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+                place, key = golay_keys(prints, np.frombuffer(b"".join(b.column(WORDS + 1).to_pylist()), np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(0).take(pa.array(place))], ["key", "node"])
 
-    return own.mapInArrow(run, f"doc_id {dict(own.dtypes)['doc_id']}, h long, fp long, keys array<long>")
+    return nodes.select("node", *_PRINT, "anchors").mapInArrow(run, "key long, node long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -72,56 +148,64 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
             sets = [shingles(t.as_py()) for t in b.column(0).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([_set_id(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "items"])
 
-    return own.dropDuplicates(["h"]).select("text").mapInArrow(run, "node long, items array<long>")
-
-
-def _similar(shared: Column, a: Column, b: Column) -> Column:
-    """Whether ``shared`` of ``a`` and ``b`` items make a Jaccard similarity of SHARE / OF or more, in whole numbers."""
-    return shared * (SHARE + OF) >= (a + b) * SHARE
+    return own.dropDuplicates(["h"]).select("text").mapInArrow(run, "node long, items array<long>").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``a, b`` of ``pairs`` whose sets are similar."""
+    """The ``a, b`` of ``pairs`` whose sets have a Jaccard similarity of SHARE / OF or more, in whole numbers."""
     left, right = sets.select(F.col("node").alias("na"), F.col("items").alias("ia")), sets.select(F.col("node").alias("nb"), F.col("items").alias("ib"))
     both = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb"))
-    return both.where(_similar(F.size(F.array_intersect("ia", "ib")), F.size("ia"), F.size("ib"))).select("a", "b")
+    shared = F.size(F.array_intersect("ia", "ib"))
+    return both.where(shared * (SHARE + OF) >= (F.size("ia") + F.size("ib")) * SHARE).select("a", "b")
+
+
+def _near(a: str, b: str) -> Column:
+    """Whether members with the prefixes ``a`` and ``b`` may be similar by their sizes and fingerprints."""
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(WORDS)])
+    return (F.least(f"{a}n", f"{b}n") * OF >= F.greatest(f"{a}n", f"{b}n") * SHARE) & (bits <= FAR)
+
+
+def _renamed(df: DataFrame, prefix: str) -> DataFrame:
+    return df.select(*[F.col(c).alias(prefix + c) for c in df.columns])
 
 
 def links(prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``a, b``: links that connect what similar sets of ``prints`` (``sketches`` of ``docs``, stored) connect."""
-    nodes = prints.groupBy("fp").agg(F.min("h").alias("h"), F.min("keys").alias("keys"))
-    keyed = stored(nodes.select("h", F.col("fp").alias("node"), F.explode("keys").alias("key")))
-    shared = lambda m: m.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("key").alias("of"))
-    members = stored(keyed.join(stored(shared(keyed)), F.col("key") == F.col("of")).select("key", "node", "h"))
-    sets = stored(_sets(docs, stored(members.select(F.col("h").alias("w")).distinct()), text))
-
-    # what a set shares with any candidate is at most its items that occur again among the candidates
-    alone = sets.select("node", F.explode("items").alias("item")).groupBy("item").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("own")).select(F.col("node").alias("an"), "own")
-    sizes = sets.select("node", F.size("items").alias("n")).join(alone, F.col("node") == F.col("an"), "left").select(F.col("node").alias("sn"), "n", F.coalesce("own", F.lit(0)).alias("own"))
-    sizes = stored(sizes.where((F.col("n") - F.col("own")) * OF >= F.col("n") * SHARE))
-    members = stored(members.join(sizes, F.col("node") == F.col("sn")).select("key", "node", "n", "own"))
-
-    pivots = stored(members.groupBy("key").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("part"), F.col("node"))).alias("p"), F.count("*").alias("m")).where("m > 1").select(F.col("key").alias("of"), F.col("p.node").alias("pivot")))
-    first = members.join(pivots, F.col("key") == F.col("of")).where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    found = stored(verified(stored(first.distinct()), sets))
-
-    roots = stored(components(found))
-    members = members.join(roots.select(F.col("node").alias("rn"), "root"), F.col("node") == F.col("rn"), "left").select("key", "node", "n", "own", F.coalesce("root", "node").alias("root"))
-    members = stored(members)
-    open_keys = stored(members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("of")))
-    members = stored(members.join(open_keys, F.col("key") == F.col("of")).select("key", "node", "n", "own", "root"))
-    other = members.select(*[F.col(c).alias(f"o_{c}") for c in members.columns])
-    most, rest = F.least(F.col("n") - F.col("own"), F.col("o_n") - F.col("o_own")), members.join(pivots, F.col("key") == F.col("of")).where("node != pivot").select(*members.columns)
-    rest_other = other.join(pivots, F.col("o_key") == F.col("of")).where("o_node != pivot").select(*other.columns)
-    pairs = stored(rest).join(stored(rest_other), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _similar(most, F.col("n"), F.col("o_n")))
-    return found.unionByName(verified(stored(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()), sets))
+    one = prints.where("n > 0").groupBy("fp").agg(F.min(F.struct("h", "n", *_PRINT, "anchors")).alias("x"))
+    nodes = stored(one.select(F.col("fp").alias("node"), "x.*"))
+    keyed = stored(_keyed(nodes))
+    shared = stored(keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("pivot")).where("m > 1").select(F.col("key").alias("of"), "m", "pivot"))
+    met = stored(keyed.join(shared, F.col("key") == F.col("of")).select("key", "node", "m", "pivot"))
+    sized = stored(nodes.join(met.select(F.col("node").alias("mn")).distinct(), F.col("node") == F.col("mn"), "left_semi").select(F.col("node").alias("id"), "h", "n", *_PRINT))
+    columns = ["key", "node", "n", *_PRINT]
+    members = stored(met.join(sized, F.col("node") == F.col("id")).select(*columns, "m", "pivot"))
+
+    few = members.where(F.col("m") <= PAIRED).select(*columns)
+    within = few.join(_renamed(few, "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & _near("", "o_")).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
+    many = members.where(F.col("m") > PAIRED)
+    star = many.where("node != pivot").join(_renamed(sized, "o_"), (F.col("pivot") == F.col("o_id")) & _near("", "o_")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    pairs = stored(within.unionByName(star).distinct())
+    hashed = lambda p: p.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(sized, F.col("x") == F.col("id")).select(F.col("h").alias("w"))
+    found = stored(verified(pairs, stored(_sets(docs, stored(hashed(pairs)), text))))
+    if many.isEmpty():
+        return found
+
+    roots = components(found).select(F.col("node").alias("rn"), "root")
+    rooted = stored(many.join(roots, F.col("node") == F.col("rn"), "left").select(*columns, F.coalesce("root", "node").alias("root")))
+    unsettled = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("of")))
+    left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi"))
+    apart = left.join(_renamed(stored(left), "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _near("", "o_"))
+    more = stored(apart.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    if more.isEmpty():
+        return found
+    return found.unionByName(verified(more, stored(_sets(docs, stored(hashed(more)), text))))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all their columns, of one document a component of similar texts: the least id, then text hash.
 
     Texts without words (null ones too) are copies of each other. Rows without an id come last; of rows equal in id and
-    text one stays.
+    text one stays. An empty table stays empty.
     """
     prints = stored(sketches(docs, doc_id, text))
     return keep_first(docs, prints, stored(components(stored(links(prints, docs, text)))), doc_id, text)

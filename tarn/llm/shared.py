@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.storage import discard, materialize
+
+__all__ = ["BLANKS", "NOT_ALNUM", "ascii_lower", "discard", "free_name", "hash_sample", "stored", "table", "words"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Word separators as Java character classes: ASCII blanks, and everything in ASCII but digits and small letters.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -30,29 +28,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where it is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at is None:
-        at = tempfile.mkdtemp(prefix="tarn-")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at
-
-
 def stored(df: DataFrame, files: int | None = None) -> DataFrame:
-    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors.
-
-    ``files``: as many at most, for tables that don't grow with the documents. Zstandard writes without the direct buffers
-    that Snappy's writers leave to the next garbage collection.
-    """
-    spark = df.sparkSession
-    at = f"{shared_dir(spark)}/tarn-{uuid.uuid4().hex}"
-    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    """``df`` written to the shared folder and read again: cuts the lineage and survives lost executors."""
+    return materialize(df, "tarn", files)
 
 
 def hash_sample(df: DataFrame, key: str, bound: int) -> DataFrame:
     """About ``bound`` rows at most, picked by a hash of ``key``: the same rows on every run and for every partitioning."""
     n = df.count()
     return df if n <= bound else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int((1 << 30) * bound / n))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores added until no column of ``taken`` has it; Spark's names don't differ by case alone."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name

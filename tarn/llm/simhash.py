@@ -10,6 +10,7 @@ them, 16 on average. Fingerprints that share a key are joined and verified, and
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -70,15 +71,16 @@ def _syndrome(v: np.ndarray) -> np.ndarray:
     return v
 
 
+@cache
 def near_codewords() -> tuple[np.ndarray, np.ndarray]:
-    """For each of the 2,048 syndromes the error patterns of weight 4 at most, padded to six, and their number: 1 or 6."""
+    """For each of the 2,048 syndromes the error patterns of weight 4 at most, padded to as many as any has, and their number."""
     patterns = np.array([sum(1 << b for b in bits) for k in range(5) for bits in combinations(range(23), k)], np.int64)
-    syndromes = _syndrome(patterns)
-    order = np.argsort(syndromes, kind="stable")
-    patterns, syndromes = patterns[order], syndromes[order]
-    first = np.searchsorted(syndromes, np.arange(2048))
-    count = np.diff(np.append(first, len(syndromes)))
-    return patterns[np.minimum(first[:, None] + np.arange(6), len(patterns) - 1)], count
+    of = _syndrome(patterns)
+    order = np.argsort(of, kind="stable")
+    patterns, of = patterns[order], of[order]
+    first = np.searchsorted(of, np.arange(2048))
+    count = np.diff(np.append(first, len(of)))
+    return patterns[np.minimum(first[:, None] + np.arange(count.max()), len(patterns) - 1)], count
 
 
 def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +92,7 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i, same in enumerate(parts):
         fuzzy = parts[(i + 1) % 3]
         syndrome = _syndrome(fuzzy)
-        for k in range(6):
+        for k in range(errors.shape[1]):
             has = np.nonzero(count[syndrome] > k)[0]
             index = (fuzzy[has] ^ errors[syndrome[has], k]) >> 11  # the code is systematic: its upper 12 bits number the codewords
             places.append(has)

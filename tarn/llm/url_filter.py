@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of a digest that the join runs on.
 PREFIX = 8
+#: Stands between host and path in what is digested, so that their border counts.
+GAP = "\0"
 #: The query's rules.
 RULES = [
     ("com", "/en/", "block"),
@@ -35,7 +37,8 @@ def path_of(url: Column) -> Column:
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, verdict string")
+    each = [F.struct(*[F.lit(v).cast("string").alias(n) for n, v in zip(("host", "path", "verdict"), r, strict=True)]) for r in rules]
+    return spark.range(1).select(F.inline(F.array(*each))) if rules else spark.range(0).select(*[F.lit(None).cast("string").alias(n) for n in ("host", "path", "verdict")])
 
 
 def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -44,14 +47,15 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     A rule fits its host and all subdomains when the path starts with the rule's path. The longest ``host || path``
     wins, then the longer host, then block over allow. Rules with a null part are left out; a rule may repeat. The
     shapes (labels of the host, characters of the path) are the rules' own, so a URL expands into as many expressions
-    as there are shapes at most, however long it is. The rules are joined, not collected; Spark broadcasts them only
+    as there are shapes at most, however long it is; shapes number labels times path lengths of the rules, not rules, and
+    only they reach the driver. The rules are joined, not collected; Spark broadcasts them only
     when their measured size is below its threshold.
     """
     rules = rules.select("host", "path", "verdict").dropna()
     labels_of = lambda host: F.split(host, r"\.")
     shapes = [(r.k, r.n) for r in rules.select(F.size(labels_of(F.col("host"))).alias("k"), F.length("path").alias("n")).distinct().collect()]
     kept = (
-        rules.withColumn("digest", F.sha2(F.concat("host", "path"), 256))
+        rules.withColumn("digest", F.sha2(F.concat("host", F.lit(GAP), "path"), 256))
         .groupBy("host", "path", "digest")
         .agg(F.max("verdict").alias("verdict"))
         .select(
@@ -68,7 +72,7 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, url: str = "url", default:
     )
     shape = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("n")) for k, n in sorted(shapes)]) if shapes else F.expr("cast(array() as array<struct<k:int,n:int>>)")
     fitting = F.filter(shape, lambda s: (s.k <= F.size("labels")) & (s.n <= F.length("path")))
-    expression = lambda s: F.concat(F.array_join(F.slice("labels", F.size("labels") - s.k + 1, s.k), "."), F.substring("path", 1, s.n))
+    expression = lambda s: F.concat(F.array_join(F.slice("labels", F.size("labels") - s.k + 1, s.k), "."), F.lit(GAP), F.substring("path", 1, s.n))
     asked = parts.select("url", F.explode(F.transform(fitting, expression)).alias("expression")).withColumn("digest", F.sha2("expression", 256))
     asked = asked.select("url", F.substring("digest", 1, PREFIX).alias("prefix"), F.expr(f"substring(digest, {PREFIX + 1})").alias("asked_rest"))
     found = asked.join(kept, "prefix").where(F.col("asked_rest") == F.col("rest"))
