@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.sources.storage import discard, materialize
+
 SCHEMA = "step string, check string, value string, criterion string, passed boolean"
 
 
@@ -80,15 +82,14 @@ def select_stages(stages: list[tuple[str, str]], only: list[str] | None = None,
 
 
 def run_stages(spark: SparkSession, stages: list[tuple[str, list[str], Callable[..., DataFrame]]]) -> dict[str, DataFrame]:
-    """Runs (name, inputs, function) stages over each other's results; a table is unpersisted after its last reader."""
+    """Runs (name, inputs, function) stages over each other's written results; a table is deleted after its last reader."""
     last = {x: i for i, (_, inputs, _) in enumerate(stages) for x in inputs}
     tables: dict[str, DataFrame] = {}
     for i, (name, inputs, f) in enumerate(stages):
-        tables[name] = f(*[tables[x] for x in inputs]).persist()
-        tables[name].count()
-        for x in inputs:
+        tables[name] = materialize(f(*[tables[x] for x in inputs]), name)
+        for x in set(inputs):
             if last[x] == i:
-                tables[x].unpersist()
+                discard(tables.pop(x))
     return tables
 
 
