@@ -38,7 +38,10 @@ PAIRED = 16
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS + TABLES * ANCHORS), np.uint64)
 _XOR, _TIMES = _DRAWS[0], _DRAWS[1] * np.uint64(2) + np.uint64(1)
 _PRINT = [f"p{k}" for k in range(WORDS)]
-_BLOCK = 4096
+#: Items that are hashed at once, and whose bits are counted in one byte each at once: below 256.
+_BLOCK, _BYTE = 4080, 255
+#: For each byte its eight bits as the bytes of a long.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -70,8 +73,9 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ones, least = np.zeros(WORDS * 64, np.int64), np.full(TABLES * ANCHORS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(hashes), _BLOCK):
         h = (hashes[i : i + _BLOCK, None] ^ _XOR) * _TIMES
-        wide = _mixed(h[:, :WORDS])
-        ones += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint16)
+        spread = _SPREAD[_mixed(h[:, :WORDS]).view(np.uint8)]
+        for k in range(0, len(spread), _BYTE):
+            ones += spread[k : k + _BYTE].sum(0).view(np.uint8)
         least = np.minimum(least, h[:, WORDS:].min(0))
     return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64), least
 
