@@ -1,13 +1,17 @@
 """Operator 10, LM scoring: context-tree weighting over bytes, beside an add-one unigram score.
 
-A byte is eight binary decisions, each with its own context tree over the preceding bytes. A node's estimate mixes its own
-Krichevsky-Trofimov estimate with its children's, half and half, so all depths from 0 to DEPTH take part. Training
-counts the byte trigrams of all training texts; at DEPTH 2 there are 256 ** 3 of them at most, which bounds what reaches
-the driver and what is broadcast, however large the corpus. The model is then a table of log probabilities by two
-context bytes and the next byte; a text's code length is a sum of look-ups.
-
-The unigram score needs each token's count. Tokens that make up 1 / HEAVY of all tokens or more, HEAVY at most, are
-broadcast; the others are looked up by a join, pre-aggregated in each document, so no token is hot there.
+A byte is eight binary decisions, each with its own context tree over the DEPTH bytes before it. A node's estimate mixes
+its own Krichevsky-Trofimov estimate with its children's, half and half, so all depths from 0 to DEPTH take part. What is
+gathered are the byte grams (context and next byte) and the tokens, so it grows with the corpus, and it stays distributed:
+
+1. Tasks cut their documents into chunks of CHUNK bytes and write them with the distinct grams and tokens of each.
+2. Counts are summed by gram. A node is a long (context bytes, place in the byte's decision tree); block probabilities go
+   up level by level as grouped sums over children, 256 at most, and predictions come down by joins with the parents.
+3. Each chunk's grams and tokens are joined with their probabilities and counts, and every chunk is scored with the answers
+   to its own grams, so a task holds one chunk and no more of the model than the chunk needs.
+
+Grams of held-out texts are in the tree with a count of zero. They change no estimate, and what isn't in the training
+texts needs no other path.
 """
 
 from __future__ import annotations
@@ -19,20 +23,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import stored, table
 
-#: Context bytes, the share that makes a token heavy (one in so many), and the fold that is held out.
-DEPTH, HEAVY, FOLDS, HELD_OUT = 2, 20_000, 7, 2
-#: Bytes and distinct tokens that a task gathers before it passes counts on.
-CHUNK, FLUSH = 8_000_000, 400_000
+#: Context bytes (6 at most, which with the next byte and a node fit a long), and the fold that is held out.
+DEPTH, FOLDS, HELD_OUT = 6, 7, 2
+#: Bytes of text in a chunk, but for a last text that is longer, and grams that are sorted at once.
+CHUNK, BLOCK = 16_000_000, 2_000_000
 #: The byte that ends a text, in training and in scoring; it also stands before its start.
 END = 0
 #: The token that ends a text. No word is empty.
 END_TOKEN = b""
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_DOC, _GRAM, _TOKEN = 0, 1, 2
+_HALF = math.log(0.5)
 
 
 def held_out(doc_id) -> bool:
@@ -40,179 +47,186 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def trigrams(text: bytes) -> np.ndarray:
-    """Numbers of the byte trigrams of a lower-cased text framed by two END bytes and one: two of context and the next byte."""
-    b = np.frombuffer(b"\0\0" + text + b"\0", np.uint8).astype(np.uint32)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
-
-
-def _counted(grams: list[np.ndarray], total: tuple | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct trigrams and their counts, merged with those so far."""
-    values, counts = np.unique(np.concatenate(grams), return_counts=True)
-    if total is None:
-        return values, counts
-    merged, place = np.unique(np.concatenate([total[0], values]), return_inverse=True)
-    return merged, np.bincount(place, np.concatenate([total[1], counts]), len(merged)).astype(np.int64)
-
-
-def gather(docs: DataFrame) -> DataFrame:
-    """``token, gram, n`` from ``docs(doc_id, text)``: counts of tokens (``gram`` null) and of trigrams (``token`` null) in
-    the training texts, pre-aggregated in each task."""
+def grams(text: bytes, depth: int = DEPTH) -> Iterator[np.ndarray]:
+    """Numbers of the byte grams of a lower-cased text framed by END bytes: ``depth`` of context above the next byte."""
+    framed = bytes([END]) * depth + text + bytes([END])
+    for at in range(0, len(text) + 1, BLOCK):
+        b = np.frombuffer(framed[at : at + BLOCK + depth], np.uint8).astype(np.int64)
+        n = len(b) - depth
+        out = b[:n].copy()
+        for k in range(1, depth + 1):
+            out <<= 8
+            out |= b[k : k + n]
+        yield out
+
+
+class Gathered:
+    """Distinct grams and tokens of a chunk with their counts in its training texts."""
+
+    def __init__(self, depth: int):
+        self.depth, self.size = depth, 0
+        self.tokens: Counter = Counter()
+        self.waiting: dict[bool, list[np.ndarray]] = {False: [], True: []}
+        self.n_waiting = 0
+        self.grams, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, low: bytes, apart: bool) -> None:
+        found = low.split()
+        if apart:
+            self.tokens.update(dict.fromkeys([*found, END_TOKEN], 0))
+        else:
+            self.tokens.update(found)
+            self.tokens[END_TOKEN] += 1
+        for g in grams(low, self.depth):
+            self.waiting[apart].append(g)
+            self.n_waiting += len(g)
+            if self.n_waiting >= BLOCK:
+                self.merge()
+        self.size += len(low) + 1
+
+    def merge(self) -> None:
+        for apart, arrays in self.waiting.items():
+            if arrays:
+                values, n = np.unique(np.concatenate(arrays), return_counts=True)
+                merged, place = np.unique(np.concatenate([self.grams, values]), return_inverse=True)
+                self.counts = np.bincount(place, np.concatenate([self.counts, n * (not apart)]), len(merged)).astype(np.int64)
+                self.grams = merged
+                arrays.clear()
+        self.n_waiting = 0
+
+
+def gather(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``chunk, kind, doc_id, text, gram, token, n`` from ``docs(doc_id, text)``: the documents in their chunks, and each
+    chunk's distinct grams and tokens with their counts."""
+    names = ["chunk", "kind", "doc_id", "text", "gram", "token", "n"]
+    id_type = dict(docs.dtypes)["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens: Counter = Counter()
-        grams, waiting, total = [], 0, None
+        chunk, got = TaskContext.get().partitionId() << 32, Gathered(depth)
 
-        def out(words: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(words), pa.binary()), pa.nulls(len(words), pa.int32()), pa.array(list(words.values()), pa.int64())], ["token", "gram", "n"])
+        def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
+            types = {"chunk": pa.int64(), "kind": pa.int8(), "doc_id": kinds[0], "text": kinds[1], "gram": pa.int64(), "token": pa.binary(), "n": pa.int64()}
+            columns |= {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int8))}
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, types[c]) for c in names], names)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            got.merge()
+            yield rows(_GRAM, len(got.grams), gram=pa.array(got.grams), n=pa.array(got.counts))
+            yield rows(_TOKEN, len(got.tokens), token=pa.array(list(got.tokens), pa.binary()), n=pa.array(list(got.tokens.values()), pa.int64()))
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                if held_out(i):
-                    continue
-                low = (t.as_py() or b"").translate(_LOWER)
-                tokens.update(low.split())
-                tokens[END_TOKEN] += 1
-                grams.append(trigrams(low))
-                waiting += len(low) + 1
-                if waiting > CHUNK:
-                    total, grams, waiting = _counted(grams, total), [], 0
-                if len(tokens) > FLUSH:
-                    yield out(tokens)
-                    tokens = Counter()
-        if tokens:
-            yield out(tokens)
-        if grams:
-            total = _counted(grams, total)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(total[0]), pa.binary()), pa.array(total[0].astype(np.int32)), pa.array(total[1], pa.int64())], ["token", "gram", "n"])
-
-    return docs.mapInArrow(run, "token binary, gram int, n long")
-
-
-def _log_kt(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
-    """Natural log of the Krichevsky-Trofimov block probability of so many zeros and ones."""
-    flat, place = np.unique(np.concatenate([zeros, ones, zeros + ones]).astype(np.int64), return_inverse=True)
-    half = np.array([math.lgamma(x + 0.5) for x in flat]) - math.lgamma(0.5)
-    whole = np.array([math.lgamma(x + 1.0) for x in flat])
-    a, b, c = np.split(place, 3)
-    return half[a.ravel()] + half[b.ravel()] - whole[c.ravel()]
-
-
-def _bit_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones at each of the 255 nodes of the byte's decision tree (node 1 first), from ``(contexts, 256)`` counts."""
-    zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
-    for bit in range(8):
-        halves = counts.reshape(len(counts), 1 << bit, 2, 128 >> bit).sum(3)
-        zeros[:, 1 << bit : 2 << bit], ones[:, 1 << bit : 2 << bit] = halves[:, :, 0], halves[:, :, 1]
-    return zeros, ones
-
-
-class Model:
-    """Log10 probabilities of the next byte: ``logs[rows[two context bytes]]``; unseen contexts share a row for each last byte."""
-
-    def __init__(self, grams: np.ndarray, n: np.ndarray):
-        contexts, place = np.unique(grams >> 8, return_inverse=True)
-        counts = np.zeros((len(contexts), 256))
-        np.add.at(counts, (place, grams & 255), n)
-        last, up = np.unique(contexts & 255, return_inverse=True)
-        by_last = np.zeros((len(last), 256))
-        np.add.at(by_last, up, counts)
-        # block probabilities of the subtrees from the leaves up, by node of the byte's tree
-        levels = [_bit_counts(counts), _bit_counts(by_last), _bit_counts(by_last.sum(0, keepdims=True))]
-        own = [_log_kt(z.ravel(), o.ravel()).reshape(z.shape) for z, o in levels]
-        half = math.log(0.5)
-        below = np.zeros_like(own[1])
-        np.add.at(below, up, own[0])
-        weighted1 = np.logaddexp(half + own[1], half + below)
-        weighted0 = np.logaddexp(half + own[0 + 2], half + weighted1.sum(0, keepdims=True))
-        w1, w0 = np.exp(half + own[1] - weighted1), np.exp(half + own[2] - weighted0)  # a node's weight of its own estimate
-        kt = [(o + 0.5) / (z + o + 1) for z, o in levels]  # probability of a one
-        one1 = lambda rows, leaf: w0 * kt[2] + (1 - w0) * (w1[rows] * kt[1][rows] + (1 - w1[rows]) * leaf)
-        seen = one1(up, kt[0])
-        unseen = one1(np.arange(len(last)), 0.5)
-        never = w0 * kt[2] + (1 - w0) * 0.5
-        p = np.concatenate([seen, unseen, never])
-        logs = np.zeros((len(p), 256))
-        for bit in range(8):
-            byte = np.arange(256)
-            node = (1 << bit) | (byte >> (8 - bit))
-            one = byte >> (7 - bit) & 1
-            logs += np.log10(np.where(one, p[:, node], 1 - p[:, node]))
-        self.logs = logs.astype(np.float32)
-        of_last = np.full(256, len(p) - 1, np.int32)
-        of_last[last] = len(contexts) + np.arange(len(last))
-        self.rows = of_last[np.arange(65536) & 255]
-        self.rows[contexts] = np.arange(len(contexts))
-
-    def score(self, text: bytes) -> float:
-        """Log10 probability of a lower-cased text and its end."""
-        g = trigrams(text)
-        return float(self.logs[self.rows[g >> 8], g & 255].sum(dtype=np.float64))
-
-
-def train(grams: DataFrame) -> Model:
-    """The model from ``grams(gram, n)``, one row a trigram: 256 ** 3 rows at most reach the driver."""
-    got = grams.toArrow()
-    return Model(got.column("gram").to_numpy().astype(np.int64), got.column("n").to_numpy())
-
-
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+            kinds, start = (b.column(0).type, b.column(1).type), 0
+            for r, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True)):
+                got.add((t.as_py() or b"").translate(_LOWER), held_out(i))
+                if got.size >= CHUNK:
+                    yield rows(_DOC, r + 1 - start, doc_id=b.column(0).slice(start, r + 1 - start), text=b.column(1).slice(start, r + 1 - start))
+                    yield from out()
+                    chunk, got, start = chunk + 1, Gathered(depth), r + 1
+            if start < b.num_rows:
+                yield rows(_DOC, b.num_rows - start, doc_id=b.column(0).slice(start), text=b.column(1).slice(start))
+        if got.size:
+            yield from out()
+
+    return docs.mapInArrow(run, f"chunk long, kind byte, doc_id {id_type}, text string, gram long, token binary, n long")
+
+
+def _log_gamma(x: Column) -> Column:
+    """Stirling's series at x + 8, less the product that leads there; x is positive."""
+    y = x + 8.0
+    steps = x
+    for k in range(1, 8):
+        steps = steps * (x + float(k))
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series - F.log(steps)
+
+
+def log_kt(zeros: Column, ones: Column) -> Column:
+    """Natural log of the Krichevsky-Trofimov block probability of so many zeros and ones; exactly 0 for none."""
+    z, o = zeros.cast("double"), ones.cast("double")
+    return F.when(zeros + ones == 0, 0.0).otherwise(_log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1.0) - math.log(math.pi))
+
+
+def _decisions(gram: Column) -> Column:
+    """``array<struct<key, one>>``: the eight nodes on a gram's way through the byte's decision tree, and whether it goes to one."""
+    byte = gram.bitwiseAND(F.lit(255))
+    node = lambda k: F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k))
+    return F.array(*[F.struct((gram - byte + node(k)).alias("key"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("one")) for k in range(8)])
+
+
+def _upper(key: Column, depth: int) -> Column:
+    """The node of the same decision after the last ``depth`` bytes alone."""
+    return key.bitwiseAND(F.lit((1 << (8 * depth + 8)) - 1))
+
+
+def predictions(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``gram, log10``: the weighted tree's log10 probability of a gram's last byte after its context, for ``counts(gram, n)``."""
+    way = counts.select("gram", "n", F.inline(_decisions(F.col("gram"))))
+    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
+    leaves = way.groupBy("key").agg(whole(F.when(F.col("one") == 0, F.col("n")))("z"), whole(F.when(F.col("one") == 1, F.col("n")))("o"))
+    estimate = ((F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1.0)).alias("kt")
+    levels = {depth: stored(leaves.select("key", "z", "o", estimate, F.lit(1.0).alias("w"), log_kt(F.col("z"), F.col("o")).alias("log")))}
+    for d in range(depth - 1, -1, -1):
+        up = levels[d + 1].groupBy(_upper(F.col("key"), d).alias("key")).agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("log").alias("below"))
+        own = up.select("key", "z", "o", estimate, "below", log_kt(F.col("z"), F.col("o")).alias("own"))
+        both = own.withColumn("log", _HALF + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))))
+        levels[d] = stored(both.select("key", "z", "o", "kt", F.exp(_HALF + F.col("own") - F.col("log")).alias("w"), "log"))
+    # a: what the nodes so far say, weighted; r: the weight that is left for those below
+    down = levels[0].select("key", (F.col("w") * F.col("kt")).alias("a"), (1 - F.col("w")).alias("r"))
+    for d in range(1, depth + 1):
+        above = down.select(F.col("key").alias("of"), F.col("a").alias("a0"), F.col("r").alias("r0"))
+        down = levels[d].join(above, _upper(F.col("key"), d - 1) == F.col("of")).select("key", (F.col("a0") + F.col("r0") * F.col("w") * F.col("kt")).alias("a"), (F.col("r0") * (1 - F.col("w"))).alias("r"))
+    one = stored(down.select(F.col("key").alias("of"), F.col("a").alias("p")))
+    bits = way.select("gram", "key", "one").join(one, F.col("key") == F.col("of")).select("gram", F.log10(F.when(F.col("one") == 1, F.col("p")).otherwise(1 - F.col("p"))).alias("l"))
+    return bits.groupBy("gram").agg(F.round(F.sum("l"), 9).alias("log10"))
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row of ``docs``.
 
     A null text counts as empty and still has its end. Repeated rows are repeated in training and result. Without a
-    training text all counts are 0 and every byte costs its eight bits. Other columns are ignored. Scores are log10.
+    training text all counts are 0 and every byte costs its eight bits. An empty table gives an empty result. Other
+    columns are ignored. Scores are log10. A text is held whole by one task, together with what its chunk needs.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    spark, kind = own.sparkSession, dict(own.dtypes)["doc_id"]
-    gathered = stored(gather(own).groupBy("token", "gram").agg(F.sum("n").alias("n")))
-    counts = gathered.where("token is not null").select("token", "n")
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    sure = {bytes(r["token"]): r["n"] for r in counts.where(F.col("n") * HEAVY >= total).collect()}
-    sent = spark.sparkContext.broadcast((train(gathered.where("gram is not null").select("gram", "n")), sure))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, heavy = sent.value
-        logs = {w: math.log10(n + 1) for w, n in heavy.items()}
-        for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                low = (t.as_py() or b"").translate(_LOWER)
-                c = Counter(low.split())
-                c[END_TOKEN] += 1
-                n = c.total()
-                known, log, light, times = 0, 0.0, [], []
-                for w, k in c.items():
-                    if w in logs:
-                        known += k
-                        log += k * logs[w]
-                    else:
-                        light.append(w)
-                        times.append(k)
-                s = model.score(low)
-                rows.append((held_out(i), n, known, log, s, -s / math.log10(2) / (len(low) + 1), light, times))
-            columns = list(zip(*rows, strict=True)) or [()] * 8
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "key", "held_out", "n", "known", "log", "score", "bpb", "light", "times"])
-
-    # a row's key: rows of one id and text have the same tokens, and their copies are counted apart
-    keyed = stored(own.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(run, f"doc_id {kind}, key long, held_out boolean, n long, known long, log double, score double, bpb double, light array<binary>, times array<int>"))
-    place = keyed.select(F.col("doc_id").alias("of"), F.col("key").alias("of_key"), F.explode(F.arrays_zip("light", "times")).alias("x")).select("of", "of_key", "x.light", "x.times")
-    looked = place.join(counts.select(F.col("token").alias("light"), F.col("n").alias("c")), "light")
-    # exact sums: billionths as decimals don't depend on the order of rows
-    sums = looked.groupBy("of", "of_key").agg(F.sum("times").alias("known_light"), F.sum(F.round(F.col("times") * F.log10(F.col("c") + 1) * 1e9).cast("decimal(28,0)")).alias("log_light"), F.count("*").alias("rows_light"))
-    copies = keyed.groupBy(F.col("doc_id").alias("c_id"), F.col("key").alias("c_key")).agg(F.count("*").alias("copies"))
-    return _put_together(keyed, sums, copies, total, distinct)
-
-
-def _put_together(keyed: DataFrame, sums: DataFrame, copies: DataFrame, total: int, distinct: int) -> DataFrame:
-    """Light tokens' sums, divided by the number of equal rows that gave them, added to each row's own."""
-    both = sums.join(copies, F.col("of").eqNullSafe(F.col("c_id")) & (F.col("of_key") == F.col("c_key"))).select("of", "of_key", (F.col("known_light") / F.col("copies")).cast("long").alias("known_light"), (F.col("log_light").cast("double") / F.col("copies") / 1e9).alias("log_light"))
-    rows = keyed.drop("light", "times").join(stored(both), F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("key") == F.col("of_key")), "left")
-    return rows.select(
-        "doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("known_light", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("log") + F.coalesce("log_light", F.lit(0.0)) - F.col("n") * math.log10(total + distinct + 1)).alias("base_score"), "score", F.col("bpb").alias("bits_per_byte"),
-    )
+    kind = dict(own.dtypes)["doc_id"]
+    gathered = stored(gather(own, depth))
+    counted = lambda of, c: gathered.where(F.col("kind") == of).groupBy(c).agg(F.sum("n").alias("n"))
+    learned = stored(predictions(stored(counted(_GRAM, "gram")), depth))
+    tokens = stored(counted(_TOKEN, "token"))
+    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    asked = lambda of, c: gathered.where(F.col("kind") == of).select("chunk", F.col(c).alias("asked"))
+    of_grams = asked(_GRAM, "gram").join(learned, F.col("asked") == F.col("gram")).select("chunk", "gram", F.lit(None).cast("binary").alias("token"), "log10")
+    of_tokens = asked(_TOKEN, "token").join(tokens, F.col("asked") == F.col("token")).where("n > 0").select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.log10(F.col("n") + 1).alias("log10"))
+    level = math.log10(total + distinct + 1)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
+
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        is_gram = answers.column("gram").is_valid()
+        known = answers.filter(is_gram)
+        names, logs = (known.column(c).to_numpy() for c in ("gram", "log10"))
+        order = np.argsort(names)
+        names, logs = names[order], logs[order]
+        rest = answers.filter(answers.column("token").is_valid())
+        of_token = dict(zip(rest.column("token").to_pylist(), rest.column("log10").to_pylist(), strict=True))
+        rows = []
+        for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.binary()), strict=True):
+            low = (t.as_py() or b"").translate(_LOWER)
+            c = Counter(low.split())
+            c[END_TOKEN] += 1
+            n, n_known, base = c.total(), 0, 0.0
+            for w, k in c.items():
+                if (x := of_token.get(w)) is not None:
+                    n_known += k
+                    base += k * x
+            s = sum(float(logs[np.searchsorted(names, g)].sum()) for g in grams(low, depth))
+            rows.append((held_out(i), n, n_known, total, base - n * level, s, -s / math.log10(2) / (len(low) + 1)))
+        columns = list(zip(*rows, strict=True)) or [()] * 7
+        kinds = [pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
+        out = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        return pa.Table.from_arrays([texts.column("doc_id"), *out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+
+    texts = gathered.where(F.col("kind") == _DOC).select(F.col("chunk").alias("own_chunk"), "doc_id", "text")
+    return texts.groupBy("own_chunk").cogroup(of_grams.unionByName(of_tokens).groupBy("chunk")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,62 +1,83 @@
 import math
+import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from conftest_llm import LOWER, ws_words
 from tarn.llm import ctw
 
 
-def slow_log10(train: list[bytes], text: bytes) -> float:
+def slow_log10(train: list[bytes], text: bytes, depth: int) -> float:
     """CTW over bytes by the definition: a node for every context and partial byte, block probabilities bottom up."""
-    counts = Counter()
+    counts, children = Counter(), defaultdict(set)
     for t in train:
-        b = b"\0\0" + t + b"\0"
-        for i in range(2, len(b)):
+        b = bytes(depth) + t + b"\0"
+        for i in range(depth, len(b)):
             for bit in range(8):
-                for d in range(3):
-                    counts[(b[i - d : i], (1 << bit) | b[i] >> (8 - bit) if bit else 1, b[i] >> (7 - bit) & 1)] += 1
+                node = (1 << bit) | b[i] >> (8 - bit) if bit else 1
+                for d in range(depth + 1):
+                    counts[(b[i - d : i], node, b[i] >> (7 - bit) & 1)] += 1
+                    if d:
+                        children[b[i - d + 1 : i], node].add(b[i - d : i])
 
     def kt(s, node):
         z, o = counts[(s, node, 0)], counts[(s, node, 1)]
         return math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(z + o + 1), (o + 0.5) / (z + o + 1)
 
-    def weighted(s, node):
-        own = kt(s, node)[0]
-        if len(s) == 2:
-            return own
-        below = sum(weighted(bytes([c]) + s, node) for c in range(256) if any((bytes([c]) + s, node, v) in counts for v in (0, 1)))
-        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + below)
+    known = {}
 
-    memo = {}
+    def weighted(s, node):
+        if (s, node) not in known:
+            own = kt(s, node)[0]
+            if len(s) < depth:
+                own = np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(weighted(c, node) for c in children[s, node]))
+            known[s, node] = own
+        return known[s, node]
 
     def one(context, node):
-        if (context, node) not in memo:
-            p = kt(context, node)[1]
-            for d in (1, 0):
-                s = context[2 - d :]
-                own, q = kt(s, node)
-                w = math.exp(math.log(0.5) + own - weighted(s, node))
-                p = w * q + (1 - w) * p
-            memo[context, node] = p
-        return memo[context, node]
-
-    total, b = 0.0, b"\0\0" + text + b"\0"
-    for i in range(2, len(b)):
+        p = kt(context, node)[1]
+        for d in range(depth - 1, -1, -1):
+            s = context[depth - d :]
+            own, q = kt(s, node)
+            w = math.exp(math.log(0.5) + own - weighted(s, node))
+            p = w * q + (1 - w) * p
+        return p
+
+    total, b = 0.0, bytes(depth) + text + b"\0"
+    for i in range(depth, len(b)):
         for bit in range(8):
-            p = one(b[i - 2 : i], (1 << bit) | b[i] >> (8 - bit) if bit else 1)
+            p = one(b[i - depth : i], (1 << bit) | b[i] >> (8 - bit) if bit else 1)
             total += math.log10(p if b[i] >> (7 - bit) & 1 else 1 - p)
     return total
 
 
-def test_model_equals_the_definition():
-    train = [b"abab abba", b"abab", b"", "é".encode()]
-    values, counts = ctw._counted([ctw.trigrams(t) for t in train], None)
-    model = ctw.Model(values.astype(np.int64), counts)
-    for text in (b"abab", b"", b"zq a", "éa".encode()):
-        assert abs(model.score(text) - slow_log10(train, text)) < 1e-4
-    assert np.allclose((10.0 ** model.logs.astype(float)).sum(1), 1, atol=1e-4)
+@pytest.mark.parametrize("depth", [1, 3, 5, 6])
+def test_scores_equal_the_definition(spark, depth):
+    rng = random.Random(4)
+    texts = ["abab abba", "abab", "", "é", None, "zq a", "éa", *(" ".join(rng.choices(["the", "then", "cat", "sat", "Über"], k=rng.randint(1, 30))) for _ in range(12))]
+    rows = list(enumerate(texts))
+    train = [(t or "").translate(LOWER).encode() for i, t in rows if not ctw.held_out(i)]
+    assert 0 < len(train) < len(rows)
+    for r in ctw.score(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect():
+        assert abs(r["score"] - slow_log10(train, (texts[r["doc_id"]] or "").translate(LOWER).encode(), depth)) < 1e-6, r
+
+
+def test_log_kt_over_all_sizes(spark):
+    pairs = [(0, 0), (0, 1), (1, 0), (3, 2), (0, 50), (17, 4000), (10**6, 3), (10**7, 10**7)]
+    got = spark.createDataFrame(pairs, "z long, o long").select("z", "o", ctw.log_kt(F.col("z"), F.col("o"))).collect()
+    for z, o, x in got:
+        assert abs(x - (math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.log(math.pi) - math.lgamma(z + o + 1))) < 1e-7
+
+
+def test_grams_in_blocks(monkeypatch):
+    text = "über straße 123".encode()
+    whole = np.concatenate(list(ctw.grams(text)))
+    monkeypatch.setattr(ctw, "BLOCK", 4)
+    assert np.array_equal(np.concatenate(list(ctw.grams(text))), whole) and len(whole) == len(text) + 1
 
 
 def test_scores_equal_brute_force(docs, rows):
@@ -70,17 +91,15 @@ def test_scores_equal_brute_force(docs, rows):
     assert all(abs(g[5] - w[5]) < 2e-6 * max(1, abs(w[5])) for g, w in zip(got, want, strict=True))
 
 
-def test_light_tokens_by_join(docs, monkeypatch):
-    found = lambda: sorted((str(r["doc_id"]), r["n_known"], r["base_score"]) for r in ctw.score(docs).collect())
+def test_chunks_of_any_size_give_the_same_scores(docs, monkeypatch):
+    found = lambda: sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in ctw.score(docs).collect())
     whole = found()
-    monkeypatch.setattr(ctw, "HEAVY", 20)
+    monkeypatch.setattr(ctw, "CHUNK", 500)
     for a, b in zip(found(), whole, strict=True):
-        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-5
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6 and abs(a[3] - b[3]) < 2e-6
 
 
 def test_held_out_texts_beat_shuffled_bytes(spark):
-    import random
-
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     scored = ctw.score(docs).where("held_out").agg({"bits_per_byte": "avg"}).first()[0]
     shuffled = docs.rdd.map(lambda r: (r["doc_id"], "".join(random.Random(1).sample(r["text"] or "", len(r["text"] or "")))) if ctw.held_out(r["doc_id"]) else (r["doc_id"], r["text"])).toDF("doc_id long, text string")
