@@ -1,13 +1,14 @@
 """Operator 8, PII: surrogate generation with keyed, type-consistent replacements.
 
-One pattern of alternatives finds the entities. Each distinct entity gets a surrogate from a keyed digest: digits for
-digits and letters for letters of the same script, names from lists of the same gender, formats as they were. Rounds of
-checks give a new attempt to surrogates that two entities share or that are entities themselves, so distinct entities stay
-distinct; equal ones, however written, stay equal across documents. DataFrame functions only.
+One pattern of alternatives finds the entities. Each distinct entity gets a surrogate by a keyed permutation of its format
+(a Feistel network over HMACs): digits for digits and letters for letters of the same script, names of the same gender,
+check digits that hold if they held. Distinct entities stay distinct, which a grouped check confirms; equal ones, however
+written, stay equal across documents and runs. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from tarn.llm.shared import stored, table
 
-#: The key of the digests; a caller sets its own secret.
-KEY = "tarn"
+#: The session's setting that holds the key of ``query``, and the key that it takes for the synthetic tables where none is set.
+SETTING, TEST_KEY = "spark.tarn.pii.key", "a key for synthetic tables"
+#: Rounds of the Feistel network.
+ROUNDS = 4
 #: What precedes a name, by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"), "": ("Dr", "Prof")}
 #: Given names by script and gender.
@@ -28,9 +31,16 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Πέτρος Ανδρέας".split(),
     ("greek", "f"): "Μαρία Ελένη Σοφία Άννα".split(),
 }
-#: Letters that stand in for letters, vowels for vowels, by script.
-LETTERS = {"latin": ("aeiou", "bcdfghklmnprstvwz"), "cyrillic": ("аеиоу", "бвгдзклмнпрст"), "greek": ("αεηιου", "βγδζκλμνπρστ")}
-_VOWELS = "aeiouyàáâãäåèéêëìíîïòóôõöùúûüаеёиоуыэюяαεηιουω"
+#: Endings of given names that aren't on the lists, by script and gender; no listed name has one.
+ENDINGS = {
+    ("latin", "m"): "iko", ("latin", "f"): "ika", ("latin", ""): "ani", ("cyrillic", "m"): "имир", ("cyrillic", "f"): "иана", ("cyrillic", ""): "ей",
+    ("greek", "m"): "άκης", ("greek", "f"): "ούλα", ("greek", ""): "ις",
+}
+#: Letters and digits that stand in for each other.
+ALPHABETS = [
+    "0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüýÿœ", "çñßšžćčđłńřśźďťňģķļș", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщьъ",
+    "αεηιουωάέήίόύώ", "βγδζθκλμνξπρσςτφχψ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+]
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
@@ -40,7 +50,7 @@ PATTERNS = {
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])(?! ?-?[0-9]{4})",
+    "phone": r"(?<![0-9A-Za-z])(?!(?:(?:19|20)[0-9]{2}[ .-]){2}(?:19|20)[0-9]{2}(?![0-9]))(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z])(?! ?-?[0-9]{4})",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])",
     "name": rf"\b(?:{_TITLE})\.?[ ]+{_NAME}(?:[ ]+{_NAME})?",
 }
@@ -68,7 +78,8 @@ def gender_of(raw: Column) -> Column:
 
 def parts_of(kind: Column, raw: Column) -> Column:
     """``array<struct<part, norm>>``: what an entity consists of. Emails are a local part and a domain, names a given and a
-    family name; the rest is one part, without its separators, so that other spellings of it are the same."""
+    family name; the rest is one part, without its separators, so that other spellings of it are the same. A phone number with
+    a country code is another one than without."""
     low = F.lower(raw)
     one = lambda part, norm: F.struct(part.alias("part"), norm.alias("norm"))
     local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
@@ -76,7 +87,9 @@ def parts_of(kind: Column, raw: Column) -> Column:
     script, gender = script_of(raw), gender_of(raw)
     family = one(F.concat(F.lit("family:"), script), F.lower(F.element_at(tokens, -1)))
     given = one(F.concat(F.lit("given:"), script, F.lit(":"), gender), F.lower(tokens[0]))
-    plain = one(kind, F.when(kind == "ip", raw).otherwise(F.regexp_replace(F.upper(raw), "[^A-Z0-9]", "")))
+    code, number = F.regexp_extract(raw, r"^\+([0-9]{1,3})", 1), F.regexp_replace(F.regexp_replace(raw, r"^\+[0-9]{1,3}", ""), "[^0-9]", "")
+    phone = F.when(code != "", F.concat(F.lit("+"), code, F.lit("|"), number)).otherwise(number)
+    plain = one(kind, F.when(kind == "ip", raw).when(kind == "phone", phone).otherwise(F.regexp_replace(F.upper(raw), "[^A-Z0-9]", "")))
     return (
         F.when(kind == "email", F.array(one(F.lit("local"), F.concat(local, F.lit("@"), domain)), one(F.lit("domain"), domain)))
         .when((kind == "name") & (F.size(tokens) > 1), F.array(given, family))
@@ -85,33 +98,47 @@ def parts_of(kind: Column, raw: Column) -> Column:
     )
 
 
-def _digest(*parts: Column) -> Column:
-    """128 keyed hexadecimal digits."""
-    return F.sha2(F.concat_ws("|", *parts), 512)
+def _hmac(key: str, message: Column) -> Column:
+    """HMAC-SHA-512 of a text as 128 hexadecimal digits."""
+    secret = key.encode()
+    secret = (hashlib.sha512(secret).digest() if len(secret) > 128 else secret).ljust(128, b"\0")
+    inner, outer = (F.lit(bytes(x ^ pad for x in secret)) for pad in (0x36, 0x5C))
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(message, "UTF-8")), 512))), 512)
 
 
-def _number(digest: Column, i: Column, most: Column | int) -> Column:
-    """A number below ``most`` from four hexadecimal digits of the digest, chosen by place."""
-    return F.conv(F.substr(digest, (i * 3) % 124 + 1, F.lit(4)), 16, 10).cast("int") % most
+def permuted(codes: Column, sizes: Column, tag: Column, key: str) -> Column:
+    """Another array of numbers below ``sizes`` for one of such: a keyed permutation of all of them, without fixed points.
 
-
-def _each(text: Column, f) -> Column:
-    """The characters of ``text``, each replaced by ``f(character, place)``, joined."""
-    return F.array_join(F.transform(F.split(text, ""), f), "")
-
-
-def _letters(norm: Column, digest: Column, script: Column) -> Column:
-    """Letters of the same script, vowels for vowels; digits for digits; everything else stays."""
-
-    def one(c: Column, i: Column) -> Column:
-        out = F.when(c.rlike("[0-9]"), _number(digest, i, 10).cast("string"))
-        vowel = F.lit(_VOWELS).contains(F.lower(c))
-        for name, (vowels, consonants) in LETTERS.items():
-            pick = lambda pool: F.substr(F.lit(pool), _number(digest, i, len(pool)) + 1, F.lit(1))
-            out = out.when(c.rlike(r"\p{L}") & (script == name), F.when(vowel, pick(vowels)).otherwise(pick(consonants)))
-        return out.otherwise(c)
-
-    return _each(norm, one)
+    Four rounds of a Feistel network add to the numbers in even places, then to those in odd ones, what the HMAC of the others says; then the
+    last number that can change goes up by one, and the rounds are undone. Each step is a bijection, so different arrays of
+    the same sizes stay different; that holds for a space of two values too. Numbers of size 0 stay.
+    """
+    last = F.array_max(F.transform(sizes, lambda n, i: F.when(n > 1, i)))
+
+    def step(state: Column, k: Column) -> Column:
+        turn, sign = F.when(k < ROUNDS, k).otherwise(2 * ROUNDS - k), F.when(k < ROUNDS, 1).otherwise(-1)
+        others = F.array_join(F.transform(state, lambda v, i: F.when(i % 2 == turn % 2, "_").otherwise(v.cast("string"))), " ")
+        said = _hmac(key, F.concat_ws("|", tag, turn.cast("string"), others))
+        number = lambda h, i: F.conv(F.substr(h, (i * 4) % 121 + 1, F.lit(7)), 16, 10).cast("long")
+        moved = lambda h: F.transform(state, lambda v, i: F.when((F.get(sizes, i) > 1) & (i % 2 == turn % 2), F.pmod(v + sign * number(h, i), F.get(sizes, i))).otherwise(v))
+        turned = F.get(F.transform(F.array(said), moved), F.lit(0))
+        return F.when(k == ROUNDS, F.transform(state, lambda v, i: F.when(i == last, (v + 1) % F.get(sizes, i)).otherwise(v))).otherwise(turned)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(2 * ROUNDS)), codes, step)
+
+
+def _spelled(norm: Column, tag: Column, key: str) -> Column:
+    """``norm`` with its letters and digits permuted, each within its own alphabet: its format stays, and texts of one format
+    stay different. Characters of no alphabet stay."""
+    alphabets = F.array(*map(F.lit, ALPHABETS))
+    own = lambda c: F.coalesce(F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0)), F.lit(""))
+    characters = F.split(norm, "")
+    of = F.transform(characters, own)
+    codes = F.transform(characters, lambda c, i: F.greatest(F.call_function("instr", F.get(of, i), c) - 1, F.lit(0)).cast("long"))
+    sizes = F.transform(of, lambda a: F.length(a).cast("long"))
+    out = permuted(codes, sizes, tag, key)
+    made = F.array_join(F.transform(out, lambda v, i: F.when(F.get(sizes, i) > 0, F.substr(F.get(of, i), (v + 1).cast("int"), F.lit(1))).otherwise(F.get(characters, i))), "")
+    return F.when(norm == "", "").otherwise(made)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -119,61 +146,82 @@ def _luhn_sum(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 1, F.when(c.cast("int") > 4, 2 * c.cast("int") - 9).otherwise(2 * c.cast("int"))).otherwise(c.cast("int"))), F.lit(0), lambda s, x: s + x)
 
 
-def surrogate(part: Column, norm: Column, attempt: Column, d: Column) -> Column:
-    """The replacement of a part, from ``d``, the keyed digest of part, norm and attempt: a column, since it is used often.
+def luhn_digit(body: Column) -> Column:
+    """The digit that makes ``body`` and it pass the Luhn test."""
+    return F.pmod(10 - _luhn_sum(F.concat(body, F.lit("0"))), F.lit(10))
 
-    A card keeps its first digit and, if it passes the Luhn test, passes it again; an address keeps four octets; an IBAN
-    its country; a phone number its first digit; a domain its last label. A given name is of its gender's list for two
-    attempts; later ones, and names of unknown gender, are letters with the gender's ending. Parts gain a character for
-    every eight attempts, so no set of entities is too large to stay distinct.
-    """
-    digits = lambda keep: _each(norm, lambda c, i: F.when((i >= keep) & c.rlike("[0-9]"), _number(d, i, 10).cast("string")).when((i >= keep) & c.rlike("[A-Z]"), F.char(_number(d, i, 26) + 65)).otherwise(c))
-    body = F.substr(digits(1), F.lit(1), F.length(norm) - 1)
-    check = (10 - _luhn_sum(F.concat(body, F.lit("0"))) % 10) % 10
-    card = F.when(_luhn_sum(F.when(norm.rlike("^[0-9]+$"), norm).otherwise("0")) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(digits(1))
-    ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_number(d, i, 254) + 1).cast("string")), ".")
-    script = F.when(part.contains("cyrillic"), "cyrillic").when(part.contains("greek"), "greek").otherwise("latin")
-    spelled = _letters(norm, d, script)
-    longer = F.when(attempt >= 8, F.substr(d, F.lit(1), (attempt / 8).cast("int"))).otherwise("")
-    last = F.substring_index(norm, ".", -1)
-    domain = F.concat(_letters(F.substr(norm, F.lit(1), F.length(norm) - F.length(last) - 1), d, F.lit("latin")), F.translate(longer, "0123456789", "ghijklmnop"), F.lit("."), last)
-    local = F.concat(_letters(F.substring_index(norm, "@", 1), d, F.lit("latin")), longer)
-    ending = {("latin", "m"): "o", ("latin", "f"): "a", ("cyrillic", "m"): "н", ("cyrillic", "f"): "а", ("greek", "m"): "ος", ("greek", "f"): "α"}
-    given = F.lit(None).cast("string")
-    for (s, g), names in GIVEN.items():
-        listed = F.lower(F.element_at(F.array(*map(F.lit, names)), _number(d, F.lit(0), len(names)) + 1))
-        given = F.when(part == f"given:{s}:{g}", F.when(attempt < 2, listed).otherwise(F.concat(spelled, F.lit(ending[s, g])))).otherwise(given)
-    more = F.translate(longer, "0123456789abcdef", "abefgiklmnoprstu")
-    return (
-        F.when(part == "card", card).when(part == "ip", ip).when(part == "iban", digits(2)).when(part == "phone", digits(1)).when(part == "ssn", digits(0))
-        .when(part == "domain", domain).when(part == "local", local)
-        .when(part.startswith("given:"), F.concat(F.coalesce(given, spelled), more)).otherwise(F.concat(spelled, more))
-    )
+
+def iban_check(country: Column, account: Column) -> Column:
+    """The two check digits, as a number from 2 to 98, of an account number in a country."""
+    value = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    rest = F.aggregate(F.split(F.concat(account, country, F.lit("00")), ""), F.lit(0), lambda s, c: (s * F.when(c.rlike("[0-9]"), 10).otherwise(100) + value(c)) % 97)
+    return 98 - rest
 
 
-def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
-    """``part, norm, surrogate`` for ``entities(part, norm)``: within a part no two are equal, none is an entity of it.
+def _following(names: list[str], key: str) -> dict[str, str]:
+    """Each name's successor on the list, in an order that the key decides."""
+    order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{n}".encode()).digest())
+    return {n.lower(): m.lower() for n, m in zip(order, order[1:] + order[:1], strict=True)}
 
-    A round drops from its candidates those that an entity or an accepted surrogate has already and, of equal ones, all but
-    that of the least entity; the rest try again. Every check is a join or a grouped minimum.
+
+def surrogate(part: Column, norm: Column, key: str) -> Column:
+    """The replacement of a part: keyed, of its type, and different for different parts.
+
+    Every kind is permuted within its format. A card keeps its first digit and its distance from the Luhn digit, so valid
+    ones stay valid; an IBAN keeps its country and its distance from the right check digits; a phone number keeps its
+    country code and the first digit after it; a domain keeps its last label; an address has four octets. A given name of the lists
+    becomes another one of its script and gender; other given names are permuted and get an ending of theirs, which no
+    listed name has.
+    """
+    size, at = F.length(norm), lambda a, n: F.substr(norm, a if isinstance(a, Column) else F.lit(a), n)
+    body = F.when(size > 2, at(2, size - 2)).otherwise("")
+    new_body = _spelled(body, F.concat(F.lit("card|"), at(1, F.lit(1))), key)
+    first = at(1, F.lit(1))
+    off = at(size, F.lit(1)).cast("int") - luhn_digit(F.concat(first, body))
+    card = F.concat(first, new_body, F.pmod(luhn_digit(F.concat(first, new_body)) + off, F.lit(10)).cast("string"))
+
+    country, check, account = at(1, F.lit(2)), at(3, F.lit(2)).cast("int"), at(5, size)
+    new_account = _spelled(account, F.concat(F.lit("iban|"), country), key)
+    iban = F.concat(country, F.lpad(F.pmod(iban_check(country, new_account) + check - iban_check(country, account), F.lit(100)).cast("string"), 2, "0"), new_account)
+
+    kept = F.regexp_extract(norm, r"^(?:\+[0-9]+\|)?[0-9]", 0)
+    phone = F.concat(kept, _spelled(F.substr(norm, F.length(kept) + 1, size), F.concat(F.lit("phone|"), kept), key))
+
+    octets = F.transform(F.split(norm, r"\."), lambda x: x.cast("long"))
+    ip = F.array_join(F.transform(permuted(octets, F.transform(octets, lambda _: F.lit(256).cast("long")), F.lit("ip"), key), lambda x: x.cast("string")), ".")
+
+    label = F.substring_index(norm, ".", -1)
+    domain = F.concat(_spelled(at(1, size - F.length(label) - 1), F.lit("domain"), key), F.lit("."), label)
+    local = _spelled(F.substring_index(norm, "@", 1), F.concat(F.lit("local|"), F.substring_index(norm, "@", -1)), key)
+
+    listed = F.lit(None).cast("string")
+    for (script, gender), names in GIVEN.items():
+        of = F.create_map(*[F.lit(x) for pair in _following(names, key).items() for x in pair])
+        listed = F.when(part == f"given:{script}:{gender}", F.get(F.array(F.try_element_at(of, norm)), F.lit(0))).otherwise(listed)
+    ending = F.create_map(*[F.lit(x) for (script, gender), e in ENDINGS.items() for x in (f"given:{script}:{gender}", e)])
+    spelled = _spelled(norm, part, key)
+    given = F.coalesce(listed, F.concat(spelled, F.element_at(ending, part)))
+    made = {"card": card, "ip": ip, "iban": iban, "phone": phone, "domain": domain, "local": local}
+    out = F.when(part.startswith("given:"), given).otherwise(spelled)
+    for kind, column in made.items():
+        out = F.when(part == kind, column).otherwise(out)
+    return out
+
+
+def surrogates(entities: DataFrame, key: str) -> DataFrame:
+    """``part, norm, surrogate`` for ``entities(part, norm)``: within a part no two are equal, and none is its own.
+
+    Each is a function of the key and the entity alone, so later texts of the same entity agree, and no number of entities
+    is too large. The check groups what was made; it raises if two entities share a surrogate. One that another entity
+    has in the corpus can occur: in a space that the entities fill there is no other.
     """
-    all_ = stored(entities.select("part", "norm").distinct())
-    spaced = lambda p: F.when(p.startswith("given:"), "given").when(p.startswith("family:"), "family").otherwise(p)
-    left, done, attempt = all_.withColumn("space", spaced(F.col("part"))), None, 0
-    taken = left.select("space", F.when(F.col("part") == "local", F.substring_index("norm", "@", 1)).otherwise(F.col("norm")).alias("surrogate")).distinct()
-    while True:
-        keyed = left.withColumn("d", _digest(F.lit(key), F.col("part"), F.col("norm"), F.lit(str(attempt))))
-        tried = stored(keyed.select("space", "part", "norm", surrogate(F.col("part"), F.col("norm"), F.lit(attempt), F.col("d")).alias("surrogate")))
-        first = tried.groupBy("space", "surrogate").agg(F.min(F.struct("part", "norm")).alias("w")).select("space", "surrogate", F.col("w.part").alias("part"), F.col("w.norm").alias("norm"))
-        good = first.join(taken, ["space", "surrogate"], "left_anti")
-        if done is not None:
-            good = good.join(done.select("space", "surrogate"), ["space", "surrogate"], "left_anti")
-        good = stored(good.select("space", "part", "norm", "surrogate"))
-        done = good if done is None else done.unionByName(good)
-        left = stored(tried.select("space", "part", "norm").join(good.select("part", "norm"), ["part", "norm"], "left_anti"))
-        attempt += 1
-        if left.isEmpty():
-            return stored(done.select("part", "norm", "surrogate"))
+    made = stored(entities.select("part", "norm").distinct().select("part", "norm", surrogate(F.col("part"), F.col("norm"), key).alias("surrogate")))
+    whole = F.when(F.col("part") == "local", F.concat("surrogate", F.lit("@"), F.substring_index("norm", "@", -1))).otherwise(F.col("surrogate"))
+    space = F.when(F.col("part").startswith("given:"), "given").otherwise(F.col("part"))
+    twice = made.groupBy(space.alias("space"), whole.alias("whole")).agg(F.count("*").alias("n")).where("n > 1")
+    if not twice.isEmpty():
+        raise RuntimeError(f"surrogates collide: {twice.first()}")
+    return made
 
 
 def _like(raw: Column, replaced: Column) -> Column:
@@ -198,10 +246,10 @@ def _written(kind: Column, raw: Column, got: Column) -> Column:
     title = F.regexp_extract(raw, rf"^((?:{_TITLE})\.?[ ]+)", 1)
     tokens = F.split(F.regexp_replace(raw, rf"^(?:{_TITLE})\.?[ ]+", ""), "[ ]+")
     name = F.concat(title, F.array_join(F.zip_with(tokens, got, _cased), " "))
-    return F.when(kind == "email", F.concat(got[0], F.lit("@"), F.get(got, F.lit(1)))).when(kind == "name", name).when(kind == "ip", got[0]).otherwise(_like(raw, got[0]))
+    return F.when(kind == "email", F.concat(got[0], F.lit("@"), F.get(got, F.lit(1)))).when(kind == "name", name).when(kind == "ip", got[0]).otherwise(_like(raw, F.regexp_replace(got[0], r"[+|]", "")))
 
 
-def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id, n_entities, spans, text`` for every row of ``docs``: the text with surrogates in the entities' places.
 
     ``spans`` lists kind:start:end of the entities in the text as it was, in code points, ends exclusive. A text without
@@ -226,13 +274,14 @@ def pseudonymize(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ke
         lambda a, z: F.struct(F.array_append(a.s, F.concat_ws(":", z.e.kind, (a.n + F.length(z.gap)).cast("string"), (a.n + F.length(z.gap) + F.length(z.e.raw)).cast("string"))).alias("s"), (a.n + F.length(z.gap) + F.length(z.e.raw)).alias("n")),
     )["s"]
     filled = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("x", i)["new"], F.lit("")))), "")
-    some = met.where("x is not null").select("doc_id", "text", "x", gaps.alias("gaps")).select("doc_id", F.size("x").cast("long").alias("n_entities"), F.array_join(spans, ",").alias("spans"), filled.alias("text"))
-    none = lambda df: df.select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("spans"), "text")
-    return some.unionByName(none(met.where("x is null"))).unionByName(none(own.where(~hinted)))
+    shaped = met.select("doc_id", "text", "x", F.when(F.col("x").isNotNull(), gaps).alias("gaps"))
+    some = F.col("x").isNotNull()
+    replaced = shaped.select("doc_id", F.when(some, F.size("x")).otherwise(0).cast("long").alias("n_entities"), F.when(some, F.array_join(spans, ",")).otherwise("").alias("spans"), F.when(some, filled).otherwise(F.col("text")).alias("text"))
+    return replaced.unionByName(own.where(~hinted).select("doc_id", F.lit(0).cast("long").alias("n_entities"), F.lit("").alias("spans"), "text"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymize(table(spark, sf_dir, "documents"))
+    return pseudonymize(table(spark, sf_dir, "documents"), spark.conf.get(SETTING, TEST_KEY))
 
 
 SQL = None
