@@ -1,4 +1,6 @@
 import hashlib
+import random
+from collections import Counter
 
 from conftest_llm import alnum_words, multiset
 from tarn.llm import decontaminate
@@ -9,11 +11,11 @@ def brute(text, items, size=10):
     hit, named = set(), set()
     for item, body in items:
         b = alnum_words(body)
-        for window in [b[k : k + size] for k in range(max(1, len(b) - size + 1))] if b and item is not None else []:
+        for window in [b[k : k + size] for k in range(max(1, len(b) - size + 1))] if b else []:
             for i in range(len(w) - len(window) + 1):
                 if w[i : i + len(window)] == window:
                     hit |= set(range(i, i + len(window)))
-                    named.add(str(item))
+                    named |= {str(item)} - {"None"}
     return len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)
 
 
@@ -49,8 +51,45 @@ def test_keep_clean(spark, docs, rows):
     assert multiset(kept, "doc_id") == sorted(((r[0],) for r in rows if not brute(r[1], items)[4]), key=repr)
 
 
-def test_proximity_finds_gapped_phrases(spark):
-    docs = spark.createDataFrame([(1, "red x green x x blue"), (2, "red x x x x x x green blue"), (3, "green red blue"), (4, "red green y green z z z blue")], "doc_id long, text string")
-    terms, _ = decontaminate.phrases(spark.createDataFrame([(1, "red green blue")], "item_id long, text string"))
-    found = decontaminate.proximity(decontaminate.keyed(docs), terms, within=4)
-    assert multiset(found, "doc_id", "start") == [(1, 0), (4, 0)]
+def test_items_without_id_contaminate(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    items = [(None, text)]
+    docs = spark.createDataFrame([(1, "so " + text), (2, "clean")], "doc_id long, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+    assert multiset(got, *COLUMNS) == sorted(((r["doc_id"], *brute(r["text"], items)) for r in docs.collect()), key=repr)
+    assert decontaminate.keep_clean(docs, spark.createDataFrame(items, "item_id long, text string")).collect()[0]["doc_id"] == 2
+
+
+def brute_near(texts, items, size=10, slack=decontaminate.SLACK):
+    """Windows whose terms all stand within ``slack`` of their places, the rarest term in its own."""
+    split = [alnum_words(t) for t in texts]
+    n = Counter(w for s in split for w in s)
+    windows = {tuple(b[k : k + size]) for b in map(alnum_words, items) for k in range(max(1, len(b) - size + 1)) if b}
+    out = []
+    for s in split:
+        near = 0
+        for w in windows:
+            at = min(range(len(w)), key=lambda k: (n[w[k]], k))
+            near += any(s[p] == w[at] and all(w[k] in s[max(0, p - at + k - slack) : max(0, p - at + k + slack + 1)] for k in range(len(w))) for p in range(len(s)))
+        out.append(near)
+    return out
+
+
+def test_near_matches_equal_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 25))) for _ in range(8)]
+    texts = ["", None, items[0]]
+    for _ in range(60):
+        w = rng.choice(items).split()
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choices(vocabulary, k=rng.randint(0, 1))
+            w = w or ["x"]
+        if rng.random() < 0.3 and len(w) > 2:
+            k = rng.randrange(len(w) - 1)
+            w[k], w[k + 1] = w[k + 1], w[k]
+        texts.append(" ".join(rng.choices(vocabulary, k=rng.randint(0, 40)) + w + rng.choices(vocabulary, k=rng.randint(0, 40))))
+    got = decontaminate.decontaminate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).orderBy("doc_id").collect()
+    want = brute_near(texts, items)
+    assert [r["n_near"] for r in got] == want and sum(want) > sum(r["n_hit"] > 0 for r in got) > 0
