@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,39 +11,31 @@ from tarn.sources.storage import materialize
 
 
 def _dealt(df: DataFrame, order: list) -> DataFrame:
-    """Range-partitioned by ``order`` and written, with the partition's number in ``_part``."""
-    return materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-
-
-def _before(dealt: DataFrame, value: Column, neutral, add) -> dict[int, object]:
-    """For each partition what ``add`` makes of all earlier ones: one row a partition reaches the driver."""
-    out, so_far = {}, neutral
-    for r in sorted(dealt.groupBy("_part").agg(value.alias("v")).collect(), key=lambda r: r["_part"]):
-        out[r["_part"]] = so_far
-        so_far = add(so_far, r["v"])
-    return out
+    """Range-partitioned and sorted by ``order`` and written, with the partition's number in ``_part`` and the place in it in ``_nth``."""
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"))
 
 
-def _looked_up(values: dict[int, object]) -> Column:
-    if not values:
-        return F.lit(0)
-    return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[F.col("_part")]
+def _with_before(dealt: DataFrame, value: Column, add: Callable[[str], Column], neutral: object) -> DataFrame:
+    """``dealt`` with ``_before``: what ``add`` makes of ``value`` in all earlier partitions. The table that is broadcast has
+    one row a partition, and so has the window over all of it."""
+    parts = dealt.groupBy("_part").agg(value.alias("_value"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = parts.select(F.col("_part").alias("_of"), F.coalesce(add("_value").over(earlier), F.lit(neutral)).alias("_before"))
+    return dealt.join(F.broadcast(before), F.col("_part") == F.col("_of")).drop("_of")
 
 
 def row_numbers(df: DataFrame, order: list, name: str = "ord") -> DataFrame:
     """``name``: 0, 1, ... in the total order ``order``."""
-    dealt = _dealt(df, order)
-    before = _before(dealt, F.count("*"), 0, lambda a, b: a + b)
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    return dealt.withColumn(name, (local + _looked_up(before)).cast("long")).drop("_part")
+    counted = _with_before(_dealt(df, order), F.count("*"), F.sum, 0)
+    return counted.withColumn(name, (F.col("_nth") + F.col("_before")).cast("long")).drop("_part", "_nth", "_before")
 
 
 def running_sum(df: DataFrame, order: list, value: str, name: str) -> DataFrame:
     """Sum of ``value`` up to and with the row, in the total order ``order``."""
-    dealt = _dealt(df, order)
-    before = _before(dealt, F.coalesce(F.sum(value), F.lit(0)), 0, lambda a, b: a + b)
-    local = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return dealt.withColumn(name, local + _looked_up(before)).drop("_part")
+    summed = _with_before(_dealt(df, order), F.coalesce(F.sum(value), F.lit(0)), F.sum, 0)
+    local = F.sum(value).over(Window.partitionBy("_part").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0))
+    return summed.withColumn(name, local + F.col("_before")).drop("_part", "_nth", "_before")
 
 
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -64,8 +58,7 @@ def benjamini_hochberg(df: DataFrame, p: str, name: str, tie: str) -> DataFrame:
     tested = row_numbers(df.where(F.col(p).isNotNull()), [p, tie], "_i")
     m = tested.count()
     raw = tested.withColumn("_raw", F.col(p) * m / (F.col("_i") + 1))
-    dealt = _dealt(raw, [F.col("_i").desc()])
-    before = _before(dealt, F.min("_raw"), float("inf"), min)
-    local = F.min("_raw").over(Window.partitionBy("_part").orderBy(F.col("_i").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    q = dealt.withColumn(name, F.least(local, _looked_up(before))).drop("_part", "_raw", "_i")
+    dealt = _with_before(_dealt(raw, [F.col("_i").desc()]), F.min("_raw"), F.min, float("inf"))
+    local = F.min("_raw").over(Window.partitionBy("_part").orderBy("_nth").rowsBetween(Window.unboundedPreceding, 0))
+    q = dealt.withColumn(name, F.least(local, F.col("_before"))).drop("_part", "_nth", "_before", "_raw", "_i")
     return q.unionByName(df.where(F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
