@@ -7,9 +7,9 @@ bits 61 % of them do. Each segment gives as many keys as it has near codewords,
 minhashes of the set (both agree with probability 0.64), so that random texts don't meet. A pair of similarity 0.8 shares
 no key of any segment with probability (1 - 0.64 * 0.61) ** 16 = 4e-4, a more similar one less often.
 
-Sets that share a key and whose fingerprints differ in FAR bits at most are verified on the whole sets. Small groups
-are compared within; in larger ones every member is compared with the group's pivot first, and after that only members of
-different components are.
+Sets that share a key and whose fingerprints differ in few enough bits (FAR) are verified on the whole sets. Small groups
+are compared within; in larger ones every member is compared with the group's pivot first. After that only members of
+different components are compared, and of those only the ones that have enough items in common with any other.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ SHINGLE, SHARE, OF = 5, 4, 5
 #: Segments of 23 bits, the 64-bit words that hold them, and the minhashes in a key.
 TABLES, WORDS, ANCHORS = 16, 6, 2
 #: Bits in which fingerprints of candidates differ at most. 0.8 makes 58 of 384 on average and 72 in texts of ten words,
-#: with a deviation of 7; unrelated texts differ in 192 with a deviation of 10.
-FAR = 112
+#: with a deviation of 7; unrelated texts differ in 192 with a deviation of 10. Sets of SMALL items or more have the lower bound.
+FAR, FARTHEST, SMALL = 95, 112, 40
 #: Members of a key's group that are compared pair by pair at once.
 PAIRED = 16
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS + TABLES * ANCHORS), np.uint64)
@@ -166,7 +166,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def _near(a: str, b: str) -> Column:
     """Whether members with the prefixes ``a`` and ``b`` may be similar by their sizes and fingerprints."""
     bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}p{k}").bitwiseXOR(F.col(f"{b}p{k}"))) for k in range(WORDS)])
-    return (F.least(f"{a}n", f"{b}n") * OF >= F.greatest(f"{a}n", f"{b}n") * SHARE) & (bits <= FAR)
+    return (F.least(f"{a}n", f"{b}n") * OF >= F.greatest(f"{a}n", f"{b}n") * SHARE) & (bits <= F.when(F.least(f"{a}n", f"{b}n") < SMALL, FARTHEST).otherwise(FAR))
 
 
 def _renamed(df: DataFrame, prefix: str) -> DataFrame:
@@ -198,11 +198,20 @@ def links(prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     rooted = stored(many.join(roots, F.col("node") == F.col("rn"), "left").select(*columns, F.coalesce("root", "node").alias("root")))
     unsettled = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("of")))
     left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi"))
-    apart = left.join(_renamed(stored(left), "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & _near("", "o_"))
-    more = stored(apart.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
-    if more.isEmpty():
-        return found
-    return found.unionByName(verified(more, stored(_sets(docs, stored(hashed(more)), text))))
+    sets = stored(_sets(docs, stored(hashed(left.select(F.col("node").alias("a"), F.col("node").alias("b")))), text))
+    left = stored(_bounded(left, sets))
+    most = F.least("common", "o_common") * (SHARE + OF) >= (F.col("n") + F.col("o_n")) * SHARE
+    apart = left.join(_renamed(stored(left), "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & most & _near("", "o_"))
+    return found.unionByName(verified(stored(apart.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()), sets))
+
+
+def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """``members`` with ``common``, the items of a member's set that another one's has too: it shares no more with any. Those
+    that miss the similarity with as many are left out."""
+    items = sets.select("node", F.explode("items").alias("item"))
+    alone = items.groupBy("item").agg(F.count("*").alias("times"), F.min("node").alias("an")).where("times = 1").groupBy("an").agg(F.count("*").alias("own"))
+    counted = members.join(stored(alone), F.col("node") == F.col("an"), "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    return counted.where(F.col("common") * OF >= F.col("n") * SHARE).drop("an", "own")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
