@@ -14,35 +14,36 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import free_name, stored, table, words
+from tarn.operators.ordered import row_numbers
 
 #: No document is taken more often than this, and no target exceeds so many times its source's size.
 MOST = 3
-#: Newton steps at most, and the relative error at which they end.
-STEPS, NEAR = 40, 1e-6
-#: Ranks within a cell are counted in so many parts, so that a cell of equal sizes is never one task's work.
-PARTS = 1024
+#: Steps after which a source that is not near its target is an error, and the share of it, or the words, that are near.
+STEPS, NEAR, WORDS = 200, 1e-6, 0.01
+#: Cells of a source, the smallest ones, that carry the rounding error from one to the next.
+CARRIED = 1_000
+#: Ranks within a cell are counted in parts: so many at least, and one for so many documents of the corpus.
+PARTS, PART_ROWS = 1024, 1_000_000
 
 
 def targets(sources: DataFrame) -> DataFrame:
     """``source, source_size, target`` from ``source, source_size``, one row a source.
 
     Weights 1, 2, 3, 1, ... go by code point of the source, null last; they share the sum of all sizes. A target stops at
-    MOST times its source's size and the excess is reshared by weight: with sources in the order of that ratio, the level
-    is the remaining total over the remaining weight at the first source that it doesn't fill.
+    MOST times its source's size and the excess is reshared by weight until none is above: each turn is one grouped pass
+    that brings two sums to the driver, and the level only rises.
     """
-    ordered = sources.withColumn("weight", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % 3 + 1)
-    by_ratio = Window.orderBy(F.col("most") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    level = (
-        ordered.withColumn("most", MOST * F.col("source_size"))
-        .withColumn("left", F.sum("source_size").over(Window.partitionBy()) - F.coalesce(F.sum("most").over(before), F.lit(0)))
-        .withColumn("level", F.col("left") / F.sum("weight").over(after))
-        .withColumn("free", F.when(F.col("level") * F.col("weight") <= F.col("most"), F.col("level")))
-        .withColumn("first", F.first("free", ignorenulls=True).over(by_ratio.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    )
-    target = F.coalesce(F.col("first") * F.col("weight"), F.col("most").cast("double"))
-    return level.select("source", "source_size", F.when(F.col("source_size") == 0, F.lit(0.0)).otherwise(F.least(target, F.col("most").cast("double"))).alias("target"))
+    ranked = row_numbers(sources, [F.col("source").asc_nulls_last()], "rank")
+    weighed = stored(ranked.select("source", "source_size", (F.col("rank") % 3 + 1).alias("weight"), (MOST * F.col("source_size")).alias("most")))
+    whole = weighed.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
+    level, above = 0.0, -1
+    while True:
+        over = F.col("most") < F.lit(level) * F.col("weight")
+        fixed, weight, now = weighed.agg(F.coalesce(F.sum(F.when(over, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0)), F.count_if(over)).first()
+        if now == above or not weight:
+            break
+        level, above = float(whole - fixed) / weight, now
+    return weighed.select("source", "source_size", F.least(F.lit(level) * F.col("weight"), F.col("most").cast("double")).alias("target"))
 
 
 def _rate(lam: Column, size: Column, mean: Column) -> Column:
@@ -71,7 +72,7 @@ def solve(cells: DataFrame, aims: DataFrame) -> DataFrame:
             F.when(F.col("target") >= MOST * F.col("total"), F.lit(full) * F.col("mean") / F.col("least")).otherwise(F.lit(0.0)).alias("lam"),
         )
     )
-    for _ in range(STEPS):
+    for turn in range(STEPS + 1):
         size, rate = F.col("size"), _rate(F.col("lam"), F.col("size"), F.col("mean"))
         sums = (
             cells.join(at.select(F.col("source").alias("of"), "lam", "mean"), F.col("source").eqNullSafe(F.col("of")))
@@ -83,31 +84,42 @@ def solve(cells: DataFrame, aims: DataFrame) -> DataFrame:
         stepped = at.join(sums, F.col("source").eqNullSafe(F.col("of"))).withColumn("off", F.abs(error) / F.greatest(F.col("target"), F.lit(1.0)))
         stepped = stepped.withColumn("low", F.when(error <= 0, F.greatest("low", "lam")).otherwise(F.col("low"))).withColumn("high", F.when(error >= 0, F.least("high", "lam")).otherwise(F.col("high")))
         inside = (step > F.col("low")) & (step < F.col("high"))
-        done = (F.col("off") <= NEAR) | (F.col("target") >= MOST * F.col("total"))
-        at = stored(stepped.select("source", "mean", "target", "total", "low", "high", F.when(done, F.col("lam")).when(F.coalesce(inside, F.lit(False)), step).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), done.alias("done")).coalesce(1))
-        if at.where(~F.col("done")).isEmpty():
+        done = (F.abs(error) <= F.greatest(NEAR * F.col("target"), F.lit(WORDS))) | (F.col("target") >= MOST * F.col("total"))
+        at = stored(stepped.select("source", "mean", "target", "total", "low", "high", F.when(done, F.col("lam")).when(F.coalesce(inside, F.lit(False)), step).otherwise((F.col("low") + F.col("high")) / 2).alias("lam"), done.alias("done"), "off"))
+        far = at.where(~F.col("done"))
+        if far.isEmpty():
             break
+        if turn == STEPS:
+            raise RuntimeError(f"no dual after {STEPS} steps: {far.first()}")
     return at.select("source", "mean", "lam")
 
 
 def cell_copies(cells: DataFrame, duals: DataFrame) -> DataFrame:
     """``source, size, each, extra``: every document of a cell is taken ``each`` times, and ``extra`` of them once more.
 
-    From the largest size down, a cell gets the whole number of copies that brings the source's words so far nearest to
-    the words that the rates ask for; what it misses goes to the next cell. A source's distinct sizes number at most the
-    square root of twice its words, so they fit one row.
+    The cells of large sizes are rounded by running sums: the copies so far are those that the rates ask for, rounded
+    down. What they miss in words goes to the source's CARRIED smallest cells. Those, from the largest size down, get the
+    whole number of copies that brings the source's words so far nearest to what was asked, and pass the rest on. A
+    source's cells are its distinct sizes, which number at most the square root of twice its words.
     """
     rated = cells.join(duals.select(F.col("source").alias("of"), "lam", "mean"), F.col("source").eqNullSafe(F.col("of"))).select("source", "size", "n", _rate(F.col("lam"), F.col("size"), F.col("mean")).alias("rate"))
-    lists = rated.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"))
-    rounded = lists.select(
+    down = Window.partitionBy("source").orderBy(F.col("size").desc())
+    upto = F.sum(F.col("n") * F.col("rate")).over(down.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = stored(rated.select("*", upto.alias("upto"), F.row_number().over(Window.partitionBy("source").orderBy("size")).alias("nth")))
+    so_far = F.floor("upto")
+    copies = so_far - F.coalesce(F.lag(so_far).over(down), F.lit(0))
+    large = numbered.select("*", F.least(F.greatest(copies, F.lit(0)), MOST * F.col("n")).alias("copies")).where(F.col("nth") > CARRIED)
+    owed = large.groupBy(F.col("source").alias("of")).agg(_exact_sum((F.col("n") * F.col("rate") - F.col("copies")) * F.col("size")).alias("owed"))
+    lists = numbered.where(F.col("nth") <= CARRIED).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cells"))
+    rounded = lists.join(owed, F.col("source").eqNullSafe(F.col("of")), "left").select(
         "source",
         F.expr(
-            f"""aggregate(cells, named_struct('owed', 0D, 'out', cast(array() as array<struct<size:bigint,n:bigint,copies:bigint>>)),
+            f"""aggregate(cells, named_struct('owed', coalesce(owed, 0D), 'out', cast(array() as array<struct<size:bigint,n:bigint,copies:bigint>>)),
             (s, c) -> transform(array(greatest(0L, least({MOST} * c.n, cast(round(c.n * c.rate + s.owed / c.size) as bigint)))),
               k -> named_struct('owed', s.owed + (c.n * c.rate - k) * c.size, 'out', array_append(s.out, named_struct('size', c.size, 'n', c.n, 'copies', k))))[0]).out"""
         ).alias("out"),
     )
-    each = rounded.select("source", F.explode("out").alias("c")).select("source", "c.size", "c.n", "c.copies")
+    each = rounded.select("source", F.explode("out").alias("c")).select("source", "c.size", "c.n", "c.copies").unionByName(large.select("source", "size", "n", F.col("copies").cast("long").alias("copies")))
     return each.select("source", "size", F.expr("copies div n").alias("each"), F.expr("copies % n").alias("extra"))
 
 
@@ -121,23 +133,23 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     """
     sized = stored(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), F.xxhash64(doc_id, text).alias("h")))
     cells = stored(sized.groupBy("source", "size").agg(F.count("*").alias("n")))
-    aims = stored(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))).coalesce(1))
+    aims = stored(targets(cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))))
     filled = cells.where("size > 0")
     copies = stored(cell_copies(filled, solve(filled, aims)))
-    part = F.pmod(F.shiftright("h", 40), F.lit(PARTS)).alias("part")
-    counted = sized.where("size > 0").groupBy("source", "size", part).agg(F.count("*").alias("rows"))
+    parts = max(PARTS, (cells.agg(F.sum("n")).first()[0] or 0) // PART_ROWS)
+    own = sized.select("doc_id", "source", "size", "h", F.pmod(F.shiftright("h", 20), F.lit(parts)).alias("part"))
+    counted = own.groupBy("source", "size", "part").agg(F.count("*").alias("rows"))
     in_cell = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     quota = (
         counted.withColumn("before", F.coalesce(F.sum("rows").over(in_cell), F.lit(0)))
-        .join(copies.select(F.col("source").alias("of"), F.col("size").alias("of_size"), "each", "extra"), F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")))
-        .select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("part").alias("of_part"), "each", (F.col("extra") - F.col("before")).alias("quota"))
+        .join(copies.select(F.col("source").alias("c_source"), F.col("size").alias("c_size"), "each", "extra"), F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")), "left")
+        .join(aims.select(F.col("source").alias("a_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("a_source")))
+        .select(F.col("source").alias("of"), F.col("size").alias("of_size"), F.col("part").alias("of_part"), "source_size", "target", F.coalesce("each", F.lit(0)).alias("each"), (F.coalesce("extra", F.lit(0)) - F.col("before")).alias("quota"))
     )
-    own = sized.select("doc_id", "source", "size", "h", part)
-    placed = own.join(stored(quota), F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("part") == F.col("of_part")), "left")
+    placed = own.join(stored(quota), F.col("source").eqNullSafe(F.col("of")) & (F.col("size") == F.col("of_size")) & (F.col("part") == F.col("of_part")))
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
-    ranked = placed.withColumn("copies", F.coalesce(F.col("each") + (rank <= F.col("quota")).cast("long"), F.lit(0)))
-    aim = aims.select(F.col("source").alias("of_source"), "source_size", "target")
-    return ranked.join(F.broadcast(aim) if aims.count() <= 100_000 else aim, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "source_size", "source", "h", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    ranked = placed.withColumn("copies", F.col("each") + (rank <= F.col("quota")).cast("long"))
+    return ranked.select("doc_id", "size", "source_size", "source", "h", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -153,13 +165,14 @@ def expand(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(source).alias("source"), F.col(doc_id).alias("id"), F.xxhash64(doc_id, text).alias("h"))
     met = whole.join(key, F.col("source").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")) & F.col("id").eqNullSafe(F.col("of_id")))
-    copies = F.col("all")
     if not key.where("rows > 1").isEmpty():  # equal rows share their copies, the first ones one more
-        nth = F.row_number().over(Window.partitionBy("of", "of_h", "of_id").orderBy(F.xxhash64("row")))
-        met = met.withColumn("nth", nth)
-        copies = F.expr("all div rows") + (F.col("nth") <= F.expr("all % rows")).cast("long")
-    met = met.withColumn("own", copies).where("own > 0")
-    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("own").cast("int"))).alias("copy")).select("row.*", F.col("copy").alias(number))
+        many = stored(met.where("rows > 1")).withColumn("tie", F.monotonically_increasing_id())
+        numbered = row_numbers(many, ["of_h", "of", "of_id", "tie"], "at")
+        first = numbered.groupBy(F.col("of").alias("f_of"), F.col("of_h").alias("f_h"), F.col("of_id").alias("f_id")).agg(F.min("at").alias("first"))
+        same = F.col("of").eqNullSafe(F.col("f_of")) & (F.col("of_h") == F.col("f_h")) & F.col("of_id").eqNullSafe(F.col("f_id"))
+        shared = F.expr("all div rows") + (F.col("at") - F.col("first") < F.expr("all % rows")).cast("long")
+        met = met.where("rows = 1").select("row", "all").unionByName(numbered.join(stored(first), same).select("row", shared.alias("all")))
+    return met.where("all > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("all").cast("int"))).alias("copy")).select("row.*", F.col("copy").alias(number))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,5 +62,24 @@ def test_expand_repeats_rows(docs):
     assert out.count() == mixing.mix(docs).agg({"copies": "sum"}).first()[0]
 
 
+def test_many_sizes_and_many_sources(spark):
+    """A source of 3,000 sizes, beyond those that carry the error, and 2,000 small sources."""
+    big = [(i, "a " * (i % 3_000 + 1), "en", "big", 0) for i in range(4_000)]
+    small = [(10_000 + i, "a " * (i % 40 + 1), "en", f"s{i % 2_000:04d}", 0) for i in range(12_000)]
+    df = spark.createDataFrame(big + small, "doc_id long, text string, lang string, source string, n_chars long")
+    want, taken = check(df, big + small)
+    assert abs(taken["big"] - want["big"]) <= 2
+    assert all(abs(taken[s] - want[s]) <= max(40, 0.03 * want[s]) for s in want)
+
+
+def test_rows_equal_in_everything_share_their_copies(spark):
+    rows = [(1, "a b c", "en", "s", 5)] * 40 + [(2, "a b c d", "en", "s", 7), (3, "x " * 30, "en", "t", 60), (3, "x " * 30, "de", "t", 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, copy long").repartition(4)
+    out = mixing.expand(df)
+    assert out.columns == [*df.columns, "copy_"]
+    assert out.count() == mixing.mix(df).agg({"copies": "sum"}).first()[0]
+    assert out.where("copy_ < 1 or copy_ > 3").count() == 0
+
+
 def test_empty(no_docs):
     assert mixing.mix(no_docs).count() == 0 and mixing.expand(no_docs).count() == 0
