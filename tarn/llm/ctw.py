@@ -4,11 +4,13 @@ A byte is eight binary decisions, each with its own context tree over the DEPTH
 its own Krichevsky-Trofimov estimate with its children's, half and half, so all depths from 0 to DEPTH take part. What is
 gathered are the byte grams (context and next byte) and the tokens, so it grows with the corpus, and it stays distributed:
 
-1. Tasks cut their documents into chunks of CHUNK bytes and write them with the distinct grams and tokens of each.
-2. Counts are summed by gram. A node is a long (context bytes, place in the byte's decision tree); block probabilities go
-   up level by level as grouped sums over children, 256 at most, and predictions come down by joins with the parents.
-3. Each chunk's grams and tokens are joined with their probabilities and counts, and every chunk is scored with the answers
-   to its own grams, so a task holds one chunk and no more of the model than the chunk needs.
+1. Tasks cut their documents into chunks of CHUNK bytes and write them, packed, with the distinct grams and tokens of each.
+2. Counts are summed by gram. A node is a long (context bytes, place in the byte's decision tree). Grams meet in buckets
+   by the last SPLIT bytes of context, which hold whole subtrees; block probabilities go up to depth SPLIT there, and
+   above it as grouped sums over children, 256 at most. Predictions come down the same way.
+3. Grams that are 1 / HEAVY of all or more are broadcast, HEAVY at most. Each chunk's other grams, and its tokens, are
+   joined with their probabilities and counts, and a chunk is scored with the answers to its own, so a task holds one
+   chunk and no more of the model than the chunk needs.
 
 Grams of held-out texts are in the tree with a count of zero. They change no estimate, and what isn't in the training
 texts needs no other path.
@@ -24,21 +26,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import stored, table
 
 #: Context bytes (6 at most, which with the next byte and a node fit a long), and the fold that is held out.
-DEPTH, FOLDS, HELD_OUT = 6, 7, 2
-#: Bytes of text in a chunk, but for a last text that is longer, and grams that are sorted at once.
-CHUNK, BLOCK = 16_000_000, 2_000_000
+DEPTH, FOLDS, HELD_OUT = 5, 7, 2
+#: Context bytes of a subtree that one task weighs, and grams of a bucket of such subtrees, about.
+SPLIT, BUCKET = 3, 150_000
+#: Bytes of text in a chunk, but for a last text that is longer; grams that are sorted at once; bytes of a pack of documents.
+CHUNK, BLOCK, PACK = 64_000_000, 2_000_000, 4_000_000
+#: A gram is broadcast if it is one in so many or more often.
+HEAVY = 1_000_000
 #: The byte that ends a text, in training and in scoring; it also stands before its start.
 END = 0
 #: The token that ends a text. No word is empty.
 END_TOKEN = b""
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_DOC, _GRAM, _TOKEN = 0, 1, 2
 _HALF = math.log(0.5)
 
 
@@ -95,39 +100,52 @@ class Gathered:
         self.n_waiting = 0
 
 
+def _packed(docs: pa.RecordBatch) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, docs.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_batch(docs)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packs: pa.ChunkedArray) -> Iterator[pa.RecordBatch]:
+    for p in packs:
+        yield from pa.ipc.open_stream(p.as_buffer())
+
+
 def gather(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``chunk, kind, doc_id, text, gram, token, n`` from ``docs(doc_id, text)``: the documents in their chunks, and each
-    chunk's distinct grams and tokens with their counts."""
-    names = ["chunk", "kind", "doc_id", "text", "gram", "token", "n"]
-    id_type = dict(docs.dtypes)["doc_id"]
+    """``chunk, pack, gram, token, n`` from ``docs(doc_id, text)``: the documents of each chunk in packs, and its distinct
+    grams and tokens with their counts. One of the three is set in a row."""
+    names, types = ["chunk", "pack", "gram", "token", "n"], [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, got = TaskContext.get().partitionId() << 32, Gathered(depth)
 
-        def rows(kind: int, size: int, **columns: pa.Array) -> pa.RecordBatch:
-            types = {"chunk": pa.int64(), "kind": pa.int8(), "doc_id": kinds[0], "text": kinds[1], "gram": pa.int64(), "token": pa.binary(), "n": pa.int64()}
-            columns |= {"chunk": pa.array(np.full(size, chunk)), "kind": pa.array(np.full(size, kind, np.int8))}
-            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, types[c]) for c in names], names)
+        def rows(size: int, **columns: pa.Array) -> pa.RecordBatch:
+            columns["chunk"] = pa.array(np.full(size, chunk))
+            return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(size, t) for c, t in zip(names, types, strict=True)], names)
 
         def out() -> Iterator[pa.RecordBatch]:
             got.merge()
-            yield rows(_GRAM, len(got.grams), gram=pa.array(got.grams), n=pa.array(got.counts))
-            yield rows(_TOKEN, len(got.tokens), token=pa.array(list(got.tokens), pa.binary()), n=pa.array(list(got.tokens.values()), pa.int64()))
+            yield rows(len(got.grams), gram=pa.array(got.grams), n=pa.array(got.counts))
+            yield rows(len(got.tokens), token=pa.array(list(got.tokens), pa.binary()), n=pa.array(list(got.tokens.values()), pa.int64()))
 
         for b in batches:
-            kinds, start = (b.column(0).type, b.column(1).type), 0
+            start = size = 0
             for r, (i, t) in enumerate(zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True)):
-                got.add((t.as_py() or b"").translate(_LOWER), held_out(i))
-                if got.size >= CHUNK:
-                    yield rows(_DOC, r + 1 - start, doc_id=b.column(0).slice(start, r + 1 - start), text=b.column(1).slice(start, r + 1 - start))
+                low = (t.as_py() or b"").translate(_LOWER)
+                got.add(low, held_out(i))
+                size += len(low)
+                full = got.size >= CHUNK
+                if full or size >= PACK or r + 1 == b.num_rows:
+                    yield rows(1, pack=pa.array([_packed(b.slice(start, r + 1 - start))], pa.binary()))
+                    start, size = r + 1, 0
+                if full:
                     yield from out()
-                    chunk, got, start = chunk + 1, Gathered(depth), r + 1
-            if start < b.num_rows:
-                yield rows(_DOC, b.num_rows - start, doc_id=b.column(0).slice(start), text=b.column(1).slice(start))
+                    chunk, got = chunk + 1, Gathered(depth)
         if got.size:
             yield from out()
 
-    return docs.mapInArrow(run, f"chunk long, kind byte, doc_id {id_type}, text string, gram long, token binary, n long")
+    return docs.mapInArrow(run, "chunk long, pack binary, gram long, token binary, n long")
 
 
 def _log_gamma(x: Column) -> Column:
@@ -146,38 +164,89 @@ def log_kt(zeros: Column, ones: Column) -> Column:
     return F.when(zeros + ones == 0, 0.0).otherwise(_log_gamma(z + 0.5) + _log_gamma(o + 0.5) - _log_gamma(z + o + 1.0) - math.log(math.pi))
 
 
-def _decisions(gram: Column) -> Column:
-    """``array<struct<key, one>>``: the eight nodes on a gram's way through the byte's decision tree, and whether it goes to one."""
-    byte = gram.bitwiseAND(F.lit(255))
-    node = lambda k: F.shiftright(byte, 8 - k).bitwiseOR(F.lit(1 << k))
-    return F.array(*[F.struct((gram - byte + node(k)).alias("key"), F.shiftright(byte, 7 - k).bitwiseAND(F.lit(1)).alias("one")) for k in range(8)])
+def _log_gammas(x: np.ndarray) -> np.ndarray:
+    y, steps = x + 8.0, x.copy()
+    for k in range(1, 8):
+        steps *= x + k
+    series = 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - 1 / (1680 * y**7)
+    return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + series - np.log(steps)
+
+
+def log_kts(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """As ``log_kt``, for arrays."""
+    own = _log_gammas(zeros + 0.5) + _log_gammas(ones + 0.5) - _log_gammas(zeros + ones + 1.0) - math.log(math.pi)
+    return np.where(zeros + ones == 0, 0.0, own)
+
 
+def _mask(depth: int) -> int:
+    """What is left of a node's number after the last ``depth`` bytes alone."""
+    return (1 << (8 * depth + 8)) - 1
 
-def _upper(key: Column, depth: int) -> Column:
-    """The node of the same decision after the last ``depth`` bytes alone."""
-    return key.bitwiseAND(F.lit((1 << (8 * depth + 8)) - 1))
+
+def subtrees(found: np.ndarray, n: np.ndarray, depth: int, split: int) -> tuple[list[dict[str, np.ndarray]], np.ndarray, np.ndarray]:
+    """The levels ``split`` to ``depth`` of the trees that whole subtrees' grams and counts make, and for every gram and
+    decision (by decision first) its node in the deepest level and whether it goes to one.
+
+    A level has sorted ``keys``, the estimates ``kt`` of a one, the weights ``w`` of the nodes' own estimates, the block
+    probabilities ``log``, the counts ``z`` and ``o``, and ``up``: the nodes' parents in the level above.
+    """
+    byte = found & 255
+    keys = np.concatenate([found - byte + (byte >> (8 - k) | 1 << k) for k in range(8)])
+    one = np.concatenate([byte >> (7 - k) & 1 for k in range(8)]).astype(bool)
+    names, at = np.unique(keys, return_inverse=True)
+    times = np.tile(n.astype(float), 8)
+    z, o = np.bincount(at, times * ~one, len(names)), np.bincount(at, times * one, len(names))
+    levels = [{"keys": names, "z": z, "o": o, "kt": (o + 0.5) / (z + o + 1), "w": np.ones(len(names)), "log": log_kts(z, o)}]
+    for d in range(depth - 1, split - 1, -1):
+        child = levels[0]
+        names, up = np.unique(child["keys"] & _mask(d), return_inverse=True)
+        child["up"] = up
+        z, o, below = (np.bincount(up, child[c], len(names)) for c in ("z", "o", "log"))
+        own = log_kts(z, o)
+        log = _HALF + np.logaddexp(own, below)
+        levels.insert(0, {"keys": names, "z": z, "o": o, "kt": (o + 0.5) / (z + o + 1), "w": np.exp(_HALF + own - log), "log": log})
+    return levels, at, one
 
 
 def predictions(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """``gram, log10``: the weighted tree's log10 probability of a gram's last byte after its context, for ``counts(gram, n)``."""
-    way = counts.select("gram", "n", F.inline(_decisions(F.col("gram"))))
-    whole = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias
-    leaves = way.groupBy("key").agg(whole(F.when(F.col("one") == 0, F.col("n")))("z"), whole(F.when(F.col("one") == 1, F.col("n")))("o"))
+    """``gram, n, log10``: the weighted tree's log10 probability of a gram's last byte after its context, for ``counts(gram, n)``."""
+    split = min(SPLIT, depth)
+    buckets = counts.count() // BUCKET + 1
+    context = lambda key: F.shiftright(key, 8).bitwiseAND(F.lit((1 << 8 * split) - 1))
+    in_bucket = lambda key: F.pmod(F.xxhash64(context(F.col(key))), F.lit(buckets)).alias("bucket")
+    dealt = counts.select(in_bucket("gram"), "gram", "n")
+
+    def rise(t: pa.Table) -> pa.Table:
+        top = subtrees(t.column("gram").to_numpy(), t.column("n").to_numpy(), depth, split)[0][0]
+        return pa.table({"key": top["keys"], "z": top["z"].astype(np.int64), "o": top["o"].astype(np.int64), "kt": top["kt"], "w": top["w"], "log": top["log"]})
+
+    levels = {split: stored(dealt.groupBy("bucket").applyInArrow(rise, "key long, z long, o long, kt double, w double, log double"))}
     estimate = ((F.col("o") + 0.5) / (F.col("z") + F.col("o") + 1.0)).alias("kt")
-    levels = {depth: stored(leaves.select("key", "z", "o", estimate, F.lit(1.0).alias("w"), log_kt(F.col("z"), F.col("o")).alias("log")))}
-    for d in range(depth - 1, -1, -1):
-        up = levels[d + 1].groupBy(_upper(F.col("key"), d).alias("key")).agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("log").alias("below"))
+    above = lambda d: F.col("key").bitwiseAND(F.lit(_mask(d)))
+    for d in range(split - 1, -1, -1):
+        up = levels[d + 1].groupBy(above(d).alias("key")).agg(F.sum("z").alias("z"), F.sum("o").alias("o"), F.sum("log").alias("below"))
         own = up.select("key", "z", "o", estimate, "below", log_kt(F.col("z"), F.col("o")).alias("own"))
         both = own.withColumn("log", _HALF + F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))))
         levels[d] = stored(both.select("key", "z", "o", "kt", F.exp(_HALF + F.col("own") - F.col("log")).alias("w"), "log"))
     # a: what the nodes so far say, weighted; r: the weight that is left for those below
     down = levels[0].select("key", (F.col("w") * F.col("kt")).alias("a"), (1 - F.col("w")).alias("r"))
-    for d in range(1, depth + 1):
-        above = down.select(F.col("key").alias("of"), F.col("a").alias("a0"), F.col("r").alias("r0"))
-        down = levels[d].join(above, _upper(F.col("key"), d - 1) == F.col("of")).select("key", (F.col("a0") + F.col("r0") * F.col("w") * F.col("kt")).alias("a"), (F.col("r0") * (1 - F.col("w"))).alias("r"))
-    one = stored(down.select(F.col("key").alias("of"), F.col("a").alias("p")))
-    bits = way.select("gram", "key", "one").join(one, F.col("key") == F.col("of")).select("gram", F.log10(F.when(F.col("one") == 1, F.col("p")).otherwise(1 - F.col("p"))).alias("l"))
-    return bits.groupBy("gram").agg(F.round(F.sum("l"), 9).alias("log10"))
+    for d in range(1, split + 1):
+        parents = down.select(F.col("key").alias("of"), F.col("a").alias("a0"), F.col("r").alias("r0"))
+        down = levels[d].join(parents, above(d - 1) == F.col("of")).select("key", (F.col("a0") + F.col("r0") * F.col("w") * F.col("kt")).alias("a"), (F.col("r0") * (1 - F.col("w"))).alias("r"))
+
+    def fall(t: pa.Table, tops: pa.Table) -> pa.Table:
+        found, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
+        levels, at, one = subtrees(found, n, depth, split)
+        order = np.argsort(tops.column("key").to_numpy())
+        a, r = (tops.column(c).to_numpy()[order] for c in ("a", "r"))
+        for level in levels[1:]:
+            a, r = a[level["up"]] + r[level["up"]] * level["w"] * level["kt"], r[level["up"]] * (1 - level["w"])
+        p = a[at]
+        logs = np.log10(np.where(one, p, 1 - p)).reshape(8, -1).sum(0)
+        return pa.table({"gram": found, "n": n, "log10": np.round(logs, 9)})
+
+    tops = down.select(in_bucket("key").alias("of_bucket"), "key", "a", "r")
+    return dealt.groupBy("bucket").cogroup(tops.groupBy("of_bucket")).applyInArrow(fall, "gram long, n long, log10 double")
 
 
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
@@ -188,45 +257,64 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
     columns are ignored. Scores are log10. A text is held whole by one task, together with what its chunk needs.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = dict(own.dtypes)["doc_id"]
+    spark, kind = own.sparkSession, dict(own.dtypes)["doc_id"]
     gathered = stored(gather(own, depth))
-    counted = lambda of, c: gathered.where(F.col("kind") == of).groupBy(c).agg(F.sum("n").alias("n"))
-    learned = stored(predictions(stored(counted(_GRAM, "gram")), depth))
-    tokens = stored(counted(_TOKEN, "token"))
-    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
-    asked = lambda of, c: gathered.where(F.col("kind") == of).select("chunk", F.col(c).alias("asked"))
-    of_grams = asked(_GRAM, "gram").join(learned, F.col("asked") == F.col("gram")).select("chunk", "gram", F.lit(None).cast("binary").alias("token"), "log10")
-    of_tokens = asked(_TOKEN, "token").join(tokens, F.col("asked") == F.col("token")).where("n > 0").select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.log10(F.col("n") + 1).alias("log10"))
+    asked = gathered.where(F.col("gram").isNotNull()).select("chunk", F.col("gram").alias("asked"), "n")
+    learned = stored(predictions(stored(asked.groupBy(F.col("asked").alias("gram")).agg(F.sum("n").alias("n"))), depth))
+    n_grams = learned.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") * HEAVY >= max(n_grams, 1)
+    heavy = learned.where(often).select("gram", "log10").orderBy("gram").toArrow()
+    sent = spark.sparkContext.broadcast(tuple(heavy.column(c).to_numpy() for c in ("gram", "log10")))
+    light = asked.join(F.broadcast(learned.where(often).select("gram")), F.col("asked") == F.col("gram"), "left_anti")
+    of_grams = light.select("chunk", "asked").join(learned.where(~often), F.col("asked") == F.col("gram")).select("chunk", "gram", F.lit(None).cast("binary").alias("token"), "log10")
+
+    # a token's row in each of its chunks learns the count in all of them, and one of the rows stands for the token
+    each = Window.partitionBy("token")
+    tokens = gathered.where(F.col("token").isNotNull()).select("chunk", "token", "n", F.sum("n").over(each).alias("c"), F.min("chunk").over(each).alias("first"))
+    tokens = stored(tokens)
+    total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if((F.col("c") > 0) & (F.col("chunk") == F.col("first")))).first()
+    of_tokens = tokens.where("c != n").select("chunk", F.lit(None).cast("long").alias("gram"), "token", F.log10(F.col("c") + 1).alias("log10"))
     level = math.log10(total + distinct + 1)
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
-    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        is_gram = answers.column("gram").is_valid()
-        known = answers.filter(is_gram)
-        names, logs = (known.column(c).to_numpy() for c in ("gram", "log10"))
+    def run(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        often_names, often_logs = sent.value
+        known = answers.filter(answers.column("gram").is_valid())
+        names = np.concatenate([often_names, known.column("gram").to_numpy()])
+        logs = np.concatenate([often_logs, known.column("log10").to_numpy()])
         order = np.argsort(names)
         names, logs = names[order], logs[order]
+        # a token without an answer is in no training text but those of this chunk
+        near: Counter = Counter()
+        for b in _unpacked(packs.column("pack")):
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                if not held_out(i):
+                    near.update((t.as_py() or b"").translate(_LOWER).split())
+                    near[END_TOKEN] += 1
+        of_token = {w: math.log10(c + 1) for w, c in near.items()}
         rest = answers.filter(answers.column("token").is_valid())
-        of_token = dict(zip(rest.column("token").to_pylist(), rest.column("log10").to_pylist(), strict=True))
-        rows = []
-        for i, t in zip(texts.column("doc_id").to_pylist(), texts.column("text").cast(pa.binary()), strict=True):
-            low = (t.as_py() or b"").translate(_LOWER)
-            c = Counter(low.split())
-            c[END_TOKEN] += 1
-            n, n_known, base = c.total(), 0, 0.0
-            for w, k in c.items():
-                if (x := of_token.get(w)) is not None:
-                    n_known += k
-                    base += k * x
-            s = sum(float(logs[np.searchsorted(names, g)].sum()) for g in grams(low, depth))
-            rows.append((held_out(i), n, n_known, total, base - n * level, s, -s / math.log10(2) / (len(low) + 1)))
+        of_token.update(zip(rest.column("token").to_pylist(), rest.column("log10").to_pylist(), strict=True))
+        rows, ids = [], []
+        for b in _unpacked(packs.column("pack")):
+            ids.append(b.column(0))
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
+                low = (t.as_py() or b"").translate(_LOWER)
+                c = Counter(low.split())
+                c[END_TOKEN] += 1
+                n, n_known, base = c.total(), 0, 0.0
+                for w, k in c.items():
+                    if (x := of_token.get(w)) is not None:
+                        n_known += k
+                        base += k * x
+                s = sum(float(logs[np.searchsorted(names, g)].sum()) for g in grams(low, depth))
+                rows.append((held_out(i), n, n_known, total, base - n * level, s, -s / math.log10(2) / (len(low) + 1)))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
         out = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        return pa.Table.from_arrays([texts.column("doc_id"), *out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
+        return pa.Table.from_arrays([pa.chunked_array(ids), *out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
-    texts = gathered.where(F.col("kind") == _DOC).select(F.col("chunk").alias("own_chunk"), "doc_id", "text")
-    return texts.groupBy("own_chunk").cogroup(of_grams.unionByName(of_tokens).groupBy("chunk")).applyInArrow(run, schema)
+    packs = gathered.where(F.col("pack").isNotNull()).select(F.col("chunk").alias("own_chunk"), "pack")
+    return packs.groupBy("own_chunk").cogroup(of_grams.unionByName(of_tokens).groupBy("chunk")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -95,6 +95,8 @@ def test_chunks_of_any_size_give_the_same_scores(docs, monkeypatch):
     found = lambda: sorted((str(r["doc_id"]), r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in ctw.score(docs).collect())
     whole = found()
     monkeypatch.setattr(ctw, "CHUNK", 500)
+    monkeypatch.setattr(ctw, "BUCKET", 300)
+    monkeypatch.setattr(ctw, "HEAVY", 100)
     for a, b in zip(found(), whole, strict=True):
         assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-6 and abs(a[3] - b[3]) < 2e-6
 
