@@ -35,6 +35,13 @@ def dispersion(df: DataFrame, feature: str, value: str) -> DataFrame:
     return df.groupBy(feature).agg((F.var_pop(value) / F.avg(value)).alias("dispersion"))
 
 
+def variable_places(df: DataFrame, vector: str, n: int) -> list[int]:
+    """The ``n`` places of an array column whose values vary most against their mean size; of equals the lower. One grouped
+    pass; what reaches the driver is a number a place."""
+    spread = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg((F.var_pop("x") / F.greatest(F.avg(F.abs("x")), F.lit(1e-12))).alias("s"))
+    return sorted(r["i"] for r in spread.orderBy(F.desc("s"), "i").limit(n).collect())
+
+
 def principal_components(df: DataFrame, ident: str, vector: str, k: int, clip: float = 10.0) -> DataFrame:
     """``<ident>, components``: scaled to unit deviation, clipped, and projected on the first ``k`` components."""
     width = df.select(F.max(F.size(vector))).first()[0]

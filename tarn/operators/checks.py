@@ -4,53 +4,39 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.sources.storage import discard, materialize
 
-SCHEMA = "step string, check string, value string, criterion string, passed boolean"
-
 
 class Unmet(RuntimeError):
     """A check failed."""
 
 
-class Missing:
-    """An expected value that isn't known: every comparison with it is false."""
-
-    def _false(self, other: object) -> bool:
-        return False
-
-    __eq__ = __ne__ = __lt__ = __le__ = __gt__ = __ge__ = _false
-    __hash__ = object.__hash__
-
-
-class Checks:
-    """Collects the checks of one step; ``close`` writes them all, then raises if one failed."""
+def known(condition: Column) -> Column:
+    """False where ``condition`` compares with a value that isn't known."""
+    return F.coalesce(condition, F.lit(False))
 
-    def __init__(self, spark: SparkSession, step: str, stop: bool = True):
-        self.spark, self.step, self.stop = spark, step, stop
-        self.rows: list[tuple] = []
 
-    def add(self, check: str, value: object, passed: bool | None, criterion: str = "") -> None:
-        """A null outcome counts as failed."""
-        self.rows.append((self.step, check, str(value), criterion, bool(passed)))
+def measured(df: DataFrame, step: str, wanted: dict[str, tuple[Column, Column, str]]) -> DataFrame:
+    """One row a check: ``step, check, value, criterion, passed``, in one pass over ``df``.
 
-    def info(self, check: str, value: object) -> None:
-        self.rows.append((self.step, check, str(value), "info", True))
+    ``wanted`` has an aggregate that is reported, an aggregated condition and what it asks for, by name. A condition on an
+    unknown value isn't met.
+    """
+    rows = [F.struct(F.lit(step).alias("step"), F.lit(name).alias("check"), value.cast("string").alias("value"), F.lit(said).alias("criterion"), known(met).alias("passed")) for name, (value, met, said) in wanted.items()]
+    return df.agg(F.array(*rows).alias("rows")).select(F.inline("rows"))
 
-    def table(self) -> DataFrame:
-        return self.spark.createDataFrame(self.rows, SCHEMA)
 
-    def close(self, path: str | None = None) -> DataFrame:
-        df = self.table()
-        if path:
-            df.write.mode("append").parquet(path)
-        failed = [r[1] for r in self.rows if not r[4]]
-        if failed and self.stop:
-            raise Unmet(f"{self.step}: {failed}")
-        return df
+def written_or_stopped(checks: DataFrame, path: str) -> DataFrame:
+    """``checks`` appended to the table at ``path``; after that, Unmet if one of them failed."""
+    checks = materialize(checks, "checks")
+    checks.write.mode("append").parquet(path)
+    failed = [r["check"] for r in checks.where("not passed").select("check").collect()]
+    if failed:
+        raise Unmet(f"failed: {failed}")
+    return checks
 
 
 def roll_up(checks: DataFrame, documented: dict[str, list[str]]) -> DataFrame:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tarn.operators.ordered import row_numbers
 from tarn.sources.storage import materialize
 
-#: Members of one connected component that are agglomerated at most: a dense matrix of so many is 0.8 GB.
-LARGEST = 10_000
+#: Members of a connected component that one task agglomerates in a dense matrix, 128 MB of them; larger ones are merged in rounds.
+LARGEST = 4_000
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -70,14 +70,15 @@ def complete_linkage(nodes: DataFrame, pairs: DataFrame, ident: str, cut: float)
     """``<ident>, cluster``: numbers from 0 by falling size, then least member; -1 for singletons.
 
     Pairs farther apart than the cut can't share a cluster, so the connected components of the nearer pairs are
-    clustered apart, each in one task. A component of more than LARGEST members raises: its matrix wouldn't fit.
+    clustered apart: those of LARGEST members at most in one task each, the others by ``merged_in_rounds``. Distances that
+    tie between three clusters or more may merge in another order there.
     """
     close = materialize(pairs.where(F.col("d") <= cut).select("a", "b", "d"))
     roots = connected(close)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("n"))
-    largest = sizes.agg(F.max("n")).first()[0] or 0
-    if largest > LARGEST:
-        raise ValueError(f"a component of {largest} members exceeds {LARGEST}; lower the cut")
+    marked = close.join(roots.select(F.col("node").alias("a"), "root"), "a")
+    sizes = materialize(roots.groupBy("root").agg(F.count("*").alias("members")))
+    few = marked.join(sizes.where(F.col("members") <= LARGEST), "root", "left_semi")
+    many = marked.join(sizes.where(F.col("members") > LARGEST), "root", "left_semi")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
@@ -87,13 +88,47 @@ def complete_linkage(nodes: DataFrame, pairs: DataFrame, ident: str, cut: float)
         return pd.DataFrame({"id": ids, "raw": ids[agglomerate(d, cut)]})
 
     kind = dict(nodes.dtypes)[ident]
-    marked = close.join(roots.select(F.col("node").alias("a"), "root"), "a")
-    raw = marked.groupBy("root").applyInPandas(run, f"id {kind}, raw {kind}")
+    raw = few.groupBy("root").applyInPandas(run, f"id {kind}, raw {kind}").unionByName(merged_in_rounds(many.select("a", "b", "d")))
     whole = nodes.select(F.col(ident).alias("id")).join(raw, "id", "left").select("id", F.coalesce("raw", "id").alias("raw"))
     numbers = relabel_by_size(whole, "raw", "id")
     return whole.join(numbers, "raw").select(F.col("id").alias(ident), "cluster")
 
 
+def merged_in_rounds(close: DataFrame) -> DataFrame:
+    """``id, raw``: complete linkage of the pairs ``a, b, d`` that are within the cut, in rounds over tables of edges.
+
+    Two clusters can merge if all their cross pairs are there; the largest is their linkage. Each round merges all pairs of
+    clusters that are each other's nearest: merging others never brings a cluster nearer, so the result is that of merging
+    the closest pair first. A round is a few grouped passes over the edges, and the closest pair of all merges in each.
+    """
+    edges = materialize(close.select(F.col("a").alias("x"), F.col("b").alias("y"), "d", F.lit(1).cast("long").alias("n")))
+    member = materialize(close.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("raw", F.col("id")))
+    while not edges.isEmpty():
+        size = member.groupBy("raw").agg(F.count("*").alias("k"))
+        whole = edges.join(size.select(F.col("raw").alias("x"), F.col("k").alias("kx")), "x").join(size.select(F.col("raw").alias("y"), F.col("k").alias("ky")), "y").where(F.col("n") == F.col("kx") * F.col("ky"))
+        whole = materialize(whole.select("x", "y", "d"))
+        both = whole.unionByName(whole.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+        lower, upper = F.least("x", "y"), F.greatest("x", "y")
+        near = both.groupBy("x").agg(F.min(F.struct("d", lower.alias("l"), upper.alias("u"), "y")).alias("m")).select(F.col("x").alias("c"), F.col("m.y").alias("to"))
+        near = materialize(near)
+        back = near.select(F.col("c").alias("to"), F.col("to").alias("c"))
+        moves = materialize(near.join(back, ["c", "to"]).where("to < c"))
+        if moves.isEmpty():
+            break
+        go = lambda c: F.coalesce(F.col(f"to_{c}"), F.col(c))
+        member = materialize(member.join(moves.select(F.col("c").alias("raw"), F.col("to").alias("to_raw")), "raw", "left").select("id", go("raw").alias("raw")))
+        edges = materialize(_cross(edges, moves))
+    return member
+
+
+def _cross(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """``x, y, d, n``: the edges between the clusters after ``moves``: the largest distance and the number of cross pairs."""
+    go = lambda c: F.coalesce(F.col(f"to_{c}"), F.col(c))
+    met = edges.join(moves.select(F.col("c").alias("x"), F.col("to").alias("to_x")), "x", "left").join(moves.select(F.col("c").alias("y"), F.col("to").alias("to_y")), "y", "left")
+    ends = met.select(go("x").alias("x"), go("y").alias("y"), "d", "n").where("x != y")
+    return ends.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("d").alias("d"), F.sum("n").alias("n"))
+
+
 def relabel_by_size(df: DataFrame, label: str, member: str) -> DataFrame:
     """``<label>, cluster``: 0 for the largest, ties by least member; -1 for labels of one member."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"), F.min(member).alias("_first"))
@@ -114,8 +149,8 @@ def adjusted_rand(df: DataFrame, one: str, other: str) -> DataFrame:
     return both.select(F.when(most == expected, F.lit(1.0)).otherwise((F.col("sc") - expected) / (most - expected)).alias("ari"))
 
 
-def widest_inside(pairs: DataFrame, labels: DataFrame, ident: str) -> DataFrame:
-    """``widest``: the largest distance within any cluster."""
+def inside(pairs: DataFrame, labels: DataFrame, ident: str) -> DataFrame:
+    """The pairs whose members share a cluster, with its number."""
     a = labels.where("cluster >= 0").select(F.col(ident).alias("a"), F.col("cluster").alias("ca"))
     b = labels.where("cluster >= 0").select(F.col(ident).alias("b"), F.col("cluster").alias("cb"))
-    return pairs.join(a, "a").join(b, "b").where("ca = cb").agg(F.max("d").alias("widest"))
+    return pairs.join(a, "a").join(b, "b").where("ca = cb").select("a", "b", "d", F.col("ca").alias("cluster"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -31,30 +31,85 @@ def tiles(df: DataFrame, ident: str, vector: str, size: int) -> DataFrame:
     return numbered.groupBy(F.floor(F.col("ord") / size).alias("tile")).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
 
 
-def all_pairs(df: DataFrame, ident: str, vector: str, size: int = 256) -> DataFrame:
-    """``a, b, d`` for a < b: Euclidean distances by the Gram identity, one task's work being a pair of tiles.
-
-    All pairs are the result here, so their number is the input's square; the tiles meet by an equi-join on a pair number
-    that each tile is given for its row and its column, and rows within a tile pair stay in numpy.
-    """
-    t = tiles(df, ident, vector, size)
+def _tile_pairs(t: DataFrame) -> DataFrame:
+    """``i, j, x, y``: every pair of tiles with i <= j once, by an equi-join on the pair that each tile is given for its row
+    and its column."""
     n = (t.agg(F.max("tile")).first()[0] or 0) + 1
     left = t.select(F.col("rows").alias("x"), F.explode(F.transform(F.sequence(F.col("tile"), F.lit(n - 1)), lambda j: F.struct(F.col("tile").alias("i"), j.alias("j")))).alias("pair"))
     right = t.select(F.col("rows").alias("y"), F.explode(F.transform(F.sequence(F.lit(0), F.col("tile")), lambda i: F.struct(i.cast("long").alias("i"), F.col("tile").cast("long").alias("j")))).alias("pair2"))
     left = left.select("x", F.col("pair.i").cast("long").alias("i"), F.col("pair.j").cast("long").alias("j"))
-    met = left.join(right.select("y", F.col("pair2.i").alias("i"), F.col("pair2.j").alias("j")), ["i", "j"])
+    return left.join(right.select("y", F.col("pair2.i").alias("i"), F.col("pair2.j").alias("j")), ["i", "j"])
+
+
+def _read(rows) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([r["id"] for r in rows]), np.array([r["v"] for r in rows], dtype=float)
+
+
+def _between(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.stack([((b - row) ** 2).sum(1) for row in a]))
+
+
+def all_pairs(df: DataFrame, ident: str, vector: str, size: int = 256, most: float | None = None) -> DataFrame:
+    """``a, b, d`` for a < b: Euclidean distances by differences, row by row, one task's work being a pair of tiles.
+
+    All pairs are looked at, so the work is the input's square; with ``most`` only pairs at most so far apart leave the
+    task, and what is shuffled after that is their number.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i, j, x, y in batch[["i", "j", "x", "y"]].itertuples(index=False):
+                (ia, a), (ib, b) = _read(x), _read(y)
+                d = _between(a, b)
+                keep = np.triu(np.ones(d.shape, bool), 1) if i == j else np.ones(d.shape, bool)
+                at = np.nonzero(keep if most is None else keep & (d <= most))
+                yield pd.DataFrame({"a": ia[at[0]], "b": ib[at[1]], "d": d[at]})
+
+    kind = dict(df.dtypes)[ident]
+    return _tile_pairs(tiles(df, ident, vector, size)).mapInPandas(run, f"a {kind}, b {kind}, d double")
+
+
+def nearest(df: DataFrame, ident: str, vector: str, k: int, group: str | None = None, size: int = 256, digits: int = 9) -> DataFrame:
+    """``a, b, d``: the ``k`` nearest others of every row, in its group if one is given; ties by ``b`` at ``digits`` digits.
+
+    Each pair of tiles keeps k candidates a row and direction, so n * k * tiles rows are shuffled and no pair table is made.
+    With groups, rows are tiled by group, and groups of one id meet only their own tiles.
+    """
+    from tarn.operators.ordered import row_numbers
+
+    own = F.lit(0) if group is None else F.col(group)
+    numbered = row_numbers(df.select(own.alias("g"), F.col(ident).alias("id"), F.col(vector).alias("v")), ["g", "id"], "ord")
+    first = numbered.groupBy("g").agg(F.min("ord").alias("first")).select(F.col("g").alias("of"), "first")
+    placed = numbered.join(first, F.col("g").eqNullSafe(F.col("of"))).withColumn("tile", F.floor((F.col("ord") - F.col("first")) / size))
+    t = placed.groupBy("g", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("rows"))
+    last = placed.groupBy(F.col("g").alias("of")).agg(F.max("tile").alias("last"))
+    sides = t.join(last, F.col("g").eqNullSafe(F.col("of")))
+    left = sides.select("g", F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.col("last"))).alias("j"), F.col("rows").alias("x"))
+    right = sides.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("i2"), F.col("tile").alias("j2"), F.col("rows").alias("y"))
+    met = left.join(right, F.col("g").eqNullSafe(F.col("h")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))).select("i", "j", "x", "y")
+
+    def best(ia: np.ndarray, ib: np.ndarray, d: np.ndarray) -> pd.DataFrame:
+        d = np.round(d, digits)
+        order = np.stack([np.lexsort((ib, row))[:k] for row in d])
+        at = np.repeat(np.arange(len(ia)), order.shape[1]), order.ravel()
+        found = pd.DataFrame({"a": ia[at[0]], "b": ib[at[1]], "d": d[at]})
+        return found[np.isfinite(found["d"])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for i, j, x, y in batch.itertuples(index=False):
-                ia, ib = (np.array([r["id"] for r in rows]) for rows in (x, y))
-                a, b = (np.array([r["v"] for r in rows], dtype=float) for rows in (x, y))
-                d = np.stack([((b - row) ** 2).sum(1) for row in a])
-                at = np.triu_indices(len(a), 1) if i == j else np.indices(d.shape).reshape(2, -1)
-                yield pd.DataFrame({"a": ia[at[0]], "b": ib[at[1]], "d": np.sqrt(d[at[0], at[1]])})
+                (ia, a), (ib, b) = _read(x), _read(y)
+                d = _between(a, b)
+                if i == j:
+                    np.fill_diagonal(d, np.inf)
+                yield best(ia, ib, d)
+                if i != j:
+                    yield best(ib, ia, d.T)
 
     kind = dict(df.dtypes)[ident]
-    return met.mapInPandas(run, f"a {kind}, b {kind}, d double")
+    found = met.mapInPandas(run, f"a {kind}, b {kind}, d double")
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    return found.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
 
 
 def gram_pairs(df: DataFrame, ident: str, vector: str, scale: float = 1.0, blocks: int = 4, size: int = 256) -> DataFrame:
@@ -69,20 +124,32 @@ def gram_pairs(df: DataFrame, ident: str, vector: str, scale: float = 1.0, block
     n = (t.agg(F.max("tile")).first()[0] or 0) + 1
     left = t.select("block", F.col("rows").alias("x"), F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.lit(n - 1).cast("long"))).alias("j"))
     right = t.select("block", F.col("rows").alias("y"), F.col("tile").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("i"))
-    met = left.join(right, ["block", "i", "j"]).select("i", "j", "x", "y")
+    met = left.join(right, ["block", "i", "j"]).select("i", "j", "block", "x", "y")
+    # a pair of tiles comes block after block, so a task holds one block of two tiles and their sums so far
+    dealt = met.repartition("i", "j").sortWithinPartitions("i", "j", "block")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, ids, total = None, None, None
+
+        def out() -> pd.DataFrame:
+            pick = np.triu_indices(len(ids[0]), 1) if at[0] == at[1] else np.indices(total.shape).reshape(2, -1)
+            return pd.DataFrame({"a": ids[0][pick[0]], "b": ids[1][pick[1]], "d": np.sqrt(np.maximum(total[pick[0], pick[1]], 0.0) / scale)})
+
         for batch in batches:
-            for i, j, x, y in batch.itertuples(index=False):
-                ia, ib = (np.array([r["id"] for r in rows]) for rows in (x, y))
-                a, b = (np.array([r["v"] for r in rows], dtype=float) for rows in (x, y))
-                d = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
-                at = np.triu_indices(len(a), 1) if i == j else np.indices(d.shape).reshape(2, -1)
-                yield pd.DataFrame({"a": ia[at[0]], "b": ib[at[1]], "d2": d[at[0], at[1]]})
+            for i, j, _, x, y in batch.itertuples(index=False):
+                (ia, a), (ib, b) = _read(x), _read(y)
+                part = (a**2).sum(1)[:, None] + (b**2).sum(1)[None] - 2 * a @ b.T
+                if at == (i, j):
+                    total += part
+                    continue
+                if at is not None:
+                    yield out()
+                at, ids, total = (i, j), (ia, ib), part
+        if at is not None:
+            yield out()
 
     kind = dict(df.dtypes)[ident]
-    parts = met.mapInPandas(run, f"a {kind}, b {kind}, d2 double")
-    return parts.groupBy("a", "b").agg(F.sqrt(F.greatest(F.sum("d2"), F.lit(0.0)) / scale).alias("d"))
+    return dealt.mapInPandas(run, f"a {kind}, b {kind}, d double")
 
 
 def sampled(pairs: DataFrame, df: DataFrame, ident: str, vector: str) -> DataFrame:
@@ -110,9 +177,12 @@ def cut_at(df: DataFrame, d: str, percent: float = 1.0) -> float:
     return round(df.agg(F.percentile(d, percent / 100)).first()[0], 4)
 
 
-def laws(pairs: DataFrame) -> DataFrame:
-    """``negative``, and ``triangle``: the largest excess of a side over the other two, over all triples that share pairs a < b < c."""
-    ab, bc, ac = (pairs.select(F.col("a").alias(x), F.col("b").alias(y), F.col("d").alias(x + y)) for x, y in ("ab", "bc", "ac"))
-    sides = ab.join(bc, "b").join(ac, ["a", "c"])
-    excess = F.greatest(F.col("ac") - F.col("ab") - F.col("bc"), F.col("ab") - F.col("ac") - F.col("bc"), F.col("bc") - F.col("ab") - F.col("ac"))
-    return sides.agg(F.max(excess).alias("triangle")).crossJoin(pairs.agg(F.count_if(F.col("d") < 0).alias("negative")))
+def laws(triples: DataFrame, df: DataFrame, ident: str, vector: str) -> DataFrame:
+    """``triples, excess, asymmetric, not_zero, negative`` over drawn ``a, b, c``: the largest excess of a side over the other
+    two, and how many distances break symmetry, the zero of equal items, and sign."""
+    met = triples
+    for name in "abc":
+        met = met.join(df.select(F.col(ident).alias(name), F.col(vector).alias(f"v{name}")), name)
+    d = lambda x, y: euclidean(f"v{x}", f"v{y}")
+    sides = met.select(*[d(x, y).alias(x + y) for x, y in ("ab", "bc", "ac", "ba", "aa")])
+    return sides.agg(F.count("*").alias("triples"), F.max(F.col("ac") - F.col("ab") - F.col("bc")).alias("excess"), F.count_if(F.col("ab") != F.col("ba")).alias("asymmetric"), F.count_if(F.col("aa") != 0).alias("not_zero"), F.count_if(F.col("ab") < 0).alias("negative"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.operators.ordered import benjamini_hochberg, row_numbers
+from tarn.sources.storage import materialize
 
 
 def dealt_anew(df: DataFrame, ident: str, strata: list[str], label: str, seed: Column | str) -> DataFrame:
@@ -112,20 +113,26 @@ def random_pairs(spark: SparkSession, n: int, draws: int) -> DataFrame:
     return d.select("draw", (_draw("a") % n).alias("a"), (_draw("b") % n).alias("b")).where("a != b")
 
 
+def random_triples(spark: SparkSession, n: int, draws: int) -> DataFrame:
+    """``draw, a, b, c``: places 0 to n - 1 with replacement; repeated places stay."""
+    return spark.range(draws).withColumnRenamed("id", "draw").select("draw", *[(_draw(x) % n).alias(x) for x in "abc"])
+
+
 def within_class_pairs(df: DataFrame, ident: str, label: str, draws: int) -> DataFrame:
     """``draw, a, b``: the class by its size, both members uniform in it; pairs of one member dropped.
 
-    Classes are few and their ranges are disjoint, so a draw meets its class by the range that holds it.
+    Rows are numbered by class, so a drawn number is a row, whose class it is: equi-joins alone, however many classes.
     """
     from tarn.operators.ordered import running_sum
 
     k = df.groupBy(label).agg(F.count("*").alias("k"))
-    ranges = running_sum(k, [label], "k", "hi").select(F.col(label).alias("_c"), "k", (F.col("hi") - F.col("k")).alias("lo"), "hi")
+    ranges = running_sum(k, [label], "k", "hi").select(F.col(label).alias("_of"), "k", (F.col("hi") - F.col("k")).alias("lo"))
     # member numbers by class, from one range-sorted numbering
-    numbered = row_numbers(df.select(F.col(label).alias("_c"), F.col(ident).alias("_id")), ["_c", "_id"], "_g").join(ranges.select("_c", "lo"), "_c").select((F.col("_g")).alias("_g"), "_id")
+    numbered = row_numbers(df.select(F.col(label).alias("_c"), F.col(ident).alias("_id")), ["_c", "_id"], "_g")
+    numbered = materialize(numbered, "numbered")
     n = df.count()
     d = df.sparkSession.range(draws).withColumnRenamed("id", "draw").withColumn("u", _draw("c") % n)
-    placed = d.join(F.broadcast(ranges) if ranges.count() <= 10_000 else ranges, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi")))
+    placed = d.join(numbered.select(F.col("_g").alias("u"), "_c"), "u").join(ranges, F.col("_c").eqNullSafe(F.col("_of")))
     ends = placed.select("draw", (F.col("lo") + _draw("a") % F.col("k")).alias("ga"), (F.col("lo") + _draw("b") % F.col("k")).alias("gb"))
     a = numbered.select(F.col("_g").alias("ga"), F.col("_id").alias("a"))
     b = numbered.select(F.col("_g").alias("gb"), F.col("_id").alias("b"))

@@ -12,8 +12,8 @@ from tarn.sources.storage import materialize
 
 def _dealt(df: DataFrame, order: list) -> DataFrame:
     """Range-partitioned and sorted by ``order`` and written, with the partition's number in ``_part`` and the place in it in ``_nth``."""
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    return materialize(placed.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"))
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_row_id", F.monotonically_increasing_id())
+    return materialize(placed.withColumn("_part", F.shiftright("_row_id", 33).cast("int")).withColumn("_nth", F.col("_row_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_row_id"))
 
 
 def _with_before(dealt: DataFrame, value: Column, add: Callable[[str], Column], neutral: object) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tarn.operators.ordered import running_sum
+from tarn.operators.ordered import benjamini_hochberg, running_sum
+from tarn.sources.storage import materialize
 
 
 def draw(rep: str, slot: str, n: int, seed: str) -> Column:
@@ -35,19 +38,18 @@ def reliability(own: Column, background: Column) -> Column:
     return 1 - 2 * own / background
 
 
-def paired_bootstrap(values: np.ndarray, reps: int, spark) -> DataFrame:
-    """``rep, e_<k>``: mean of each descriptor's values over one resampling of items that all descriptors share."""
-    n, m = values.shape
+def pair_bootstrap(pairs: DataFrame, n: int, d: str, reps: int, seed: str = "b") -> DataFrame:
+    """``rep, mean`` of ``d`` over the pairs of each draw of ``n`` places 0 to n - 1 with replacement.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for rep in b["id"]:
-                rows = np.random.default_rng([0, rep]).integers(0, n, n)
-                out.append([rep, *values[rows].mean(0)])
-            yield pd.DataFrame(out, columns=["rep", *[f"e_{k}" for k in range(m)]])
-
-    return spark.range(reps).mapInPandas(run, "rep long, " + ", ".join(f"e_{k} double" for k in range(m)))
+    ``pairs`` has places a < b. A draw's pairs are those of its draws, so a pair counts as often as both places were drawn,
+    and a place drawn twice makes no pair with itself. Every column of distances in ``pairs`` can share the draws.
+    """
+    slots = pairs.sparkSession.range(reps * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("slot"))
+    drawn = materialize(slots.select("rep", draw("rep", "slot", n, seed).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("k")), "drawn")
+    one = drawn.select("rep", F.col("at").alias("a"), F.col("k").alias("ka"))
+    other = drawn.select(F.col("rep").alias("r"), F.col("at").alias("o"), F.col("k").alias("kb"))
+    both = one.join(pairs, "a").join(other, (F.col("rep") == F.col("r")) & (F.col("b") == F.col("o")))
+    return both.groupBy("rep").agg((F.sum(F.col("ka") * F.col("kb") * F.col(d)) / F.sum(F.col("ka") * F.col("kb"))).alias("mean"))
 
 
 def ranks(x: np.ndarray) -> np.ndarray:
@@ -122,6 +124,10 @@ def random_groups(df: DataFrame, ident: str, sizes: list[int], draws: int) -> Da
     top-k of its own order gives."""
     cases = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.explode(F.array(*[F.lit(s) for s in sizes])).alias("size"))
     keyed = df.select(ident).crossJoin(F.broadcast(cases)).withColumn("u", F.md5(F.concat_ws("|", F.col(ident).cast("string"), "draw", "size")))
+    # each partition keeps its first rows of a draw before the draws meet
+    near = keyed.withColumn("part", F.spark_partition_id())
+    own = F.row_number().over(Window.partitionBy("draw", "size", "part").orderBy("u", ident))
+    keyed = near.withColumn("k", own).where(F.col("k") <= F.col("size")).drop("k", "part")
     rank = F.row_number().over(Window.partitionBy("draw", "size").orderBy("u", ident))
     return keyed.withColumn("k", rank).where(F.col("k") <= F.col("size")).select("draw", "size", ident)
 
@@ -153,7 +159,7 @@ def error_threshold(df: DataFrame, value: str, floor: float = 0.75, step: int =
 
 
 def rank_sum(df: DataFrame, group: str, feature: str, value: str) -> DataFrame:
-    """``group, feature, z, p`` of a feature's values in a group against the rest: Wilcoxon by normal approximation, ties
+    """``group, feature, z`` of a feature's values in a group against the rest: Wilcoxon by normal approximation, ties
     by mean ranks, without tie correction of the variance."""
     cells = df.groupBy(feature, value).agg(F.count("*").alias("_k"))
     upto = running_sum(cells, [feature, value], "_k", "_upto")
@@ -164,3 +170,17 @@ def rank_sum(df: DataFrame, group: str, feature: str, value: str) -> DataFrame:
     rest = F.col("_n") - F.col("_m")
     z = (F.col("_w") - F.col("_m") * (F.col("_n") + 1) / 2) / F.sqrt(F.col("_m") * rest * (F.col("_n") + 1) / 12.0)
     return joined.where(rest > 0).select(group, feature, z.alias("z"))
+
+
+@F.pandas_udf(T.DoubleType())
+def two_sided(z: pd.Series) -> pd.Series:
+    """The probability of a normal value at least as far from 0."""
+    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2)))
+
+
+def markers(df: DataFrame, group: str, feature: str, value: str, most: float = 0.05) -> DataFrame:
+    """``group, feature, z, p, q, marker`` of every feature in every group: two-sided p, Benjamini-Hochberg q over all of
+    them, and whether the group has more of the feature at a q below ``most``."""
+    tested = rank_sum(df, group, feature, value).withColumn("p", two_sided("z")).withColumn("tie", F.concat_ws("|", F.col(group).cast("string"), F.col(feature).cast("string")))
+    q = benjamini_hochberg(tested, "p", "q", "tie").drop("tie")
+    return q.withColumn("marker", (F.col("q") < most) & (F.col("z") > 0))

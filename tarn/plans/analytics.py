@@ -18,10 +18,16 @@ def pairs_of(t: Tables):
     return distances.all_pairs(t.embeddings, "vec_id", "embedding")
 
 
+#: Draws of the background whose 1st percentile is the cut.
+BACKGROUND = 200_000
+
+
 def clusters_of(t: Tables):
-    """Complete-linkage clusters of the embeddings at the 1 % cut of all pairs, and the pairs."""
-    pairs = materialize(pairs_of(t), "pairs")
-    cut = distances.cut_at(pairs, "d")
+    """Complete-linkage clusters of the embeddings at the 1 % cut of sampled pairs, the pairs within the cut, and the cut."""
+    draws = labels.random_pairs(t.spark, t.embeddings.count(), BACKGROUND)
+    placed = ordered.row_numbers(t.embeddings.select("vec_id", "embedding"), ["vec_id"])
+    cut = distances.cut_at(distances.sampled(draws, materialize(placed, "placed"), "ord", "embedding"), "d")
+    pairs = materialize(distances.all_pairs(t.embeddings, "vec_id", "embedding", most=cut), "pairs")
     return clustering.complete_linkage(t.embeddings, pairs, "vec_id", cut), pairs, cut
 
 
@@ -72,11 +78,16 @@ _CELLS = "s AS (SELECT a, b, channel, ix, iy, iz, sum(m) AS m FROM (SELECT p.*,
 
 @query("S08_structure_scan", f"WITH a AS ({_ATOM_SQL}) SELECT structure, count(*) AS atoms, count(DISTINCT resname) AS residues, true AS exact FROM a GROUP BY 1")
 def _(t: Tables):
-    """Atoms written as fixed-width text and read again agree to the text's three decimals."""
+    """Atoms written as fixed-width text files, a folder a structure, and read again agree to the text's three decimals."""
+    import uuid
+
     from tarn.sources import pdb
+    from tarn.sources.storage import shared_folder
 
     a = atoms_of(t)
-    read = pdb.parse(pdb.atom_lines(a)).select("structure", "resnum", "resname", *[F.col(c).alias(f"{c}2") for c in "xyz"])
+    at = f"{shared_folder(t.spark)}/structures-{uuid.uuid4().hex}"
+    pdb.atom_lines(a).repartition("structure").write.partitionBy("structure").text(at)
+    read = pdb.read_atoms(t.spark, at).withColumn("structure", F.regexp_extract("file", "structure=([0-9]+)/", 1).cast("long")).select("structure", "resnum", "resname", *[F.col(c).alias(f"{c}2") for c in "xyz"])
     off = F.greatest(*[F.abs(F.col(c) - F.col(f"{c}2")) for c in "xyz"])
     return a.drop("resname").join(read, ["structure", "resnum"]).groupBy("structure").agg(F.count("*").alias("atoms"), F.count_distinct("resname").alias("residues"), (F.max(off) < 0.00051).alias("exact"))
 
@@ -324,10 +335,12 @@ def _(t: Tables):
     return clusters_of(t)[0]
 
 
-@query("N37_cluster_invariant", "SELECT true AS holds")
+@query("N37_cluster_invariant")
 def _(t: Tables):
+    """Pairs within clusters, how many of them are within the cut, and the widest."""
     found, pairs, cut = clusters_of(t)
-    return clustering.widest_inside(pairs, found, "vec_id").select((F.col("widest") <= cut).alias("holds"))
+    inside = found.where("cluster >= 0").groupBy("cluster").agg(F.count("*").alias("k")).agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).cast("long").alias("inside"))
+    return clustering.inside(pairs, found, "vec_id").agg(F.count_if(F.col("d") <= cut).alias("within_cut"), F.max("d").alias("widest")).crossJoin(F.broadcast(inside)).withColumn("cut", F.lit(cut))
 
 
 _ARI = """WITH c AS (SELECT {x} AS x, {y} AS y, count(*) AS n FROM {t} GROUP BY 1, 2), a AS (SELECT sum(n) AS n FROM c GROUP BY x), b AS (SELECT sum(n) AS n FROM c GROUP BY y),
@@ -458,10 +471,17 @@ def _(t: Tables):
     return own_of(t).crossJoin(F.broadcast(b)).agg(F.round(panel.reliability(F.avg(F.col("own") * F.col("own")), F.max("bg")), 8).alias("e4"), F.round(F.percentile("own", 0.5) / F.max("cut"), 8).alias("error_over_cut"), F.round(F.avg((F.col("own") <= F.col("cut")).cast("int")), 8).alias("within"))
 
 
-@query("N51_bootstrap", "WITH e AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS ord, s_acctbal AS v, count(*) OVER () AS n FROM supplier), d AS (SELECT rep, ('0x' || substr(md5(rep || '|' || slot || '|b'), 1, 8))::BIGINT % (SELECT count(*) FROM supplier) AS ord FROM range(0, 50) r(rep), range(0, 100000) s(slot) WHERE slot < (SELECT count(*) FROM supplier)), m AS (SELECT rep, avg(v) AS mean FROM d JOIN e USING (ord) GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM m")
+_PANEL = "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, count(*) OVER () AS n, avg(c_acctbal) AS v FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"
+
+
+@query("N51_bootstrap", f"WITH e AS ({_PANEL}), d AS (SELECT rep, ('0x' || substr(md5(rep || '|' || slot || '|b'), 1, 8))::BIGINT % n AS ord, count(*) AS k FROM range(0, 2000) r(rep), (SELECT ord AS slot, n FROM e) GROUP BY 1, 2), m AS (SELECT x.rep, sum(x.k * y.k * abs(a.v - b.v)) / sum(x.k * y.k) AS mean FROM d x JOIN d y ON x.rep = y.rep AND x.ord < y.ord JOIN e a ON a.ord = x.ord JOIN e b ON b.ord = y.ord GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM m")
 def _(t: Tables):
-    e = ordered.row_numbers(t.supplier.select("s_suppkey", F.col("s_acctbal").alias("v")), ["s_suppkey"])
-    return panel.interval(panel.bootstrap(e, "ord", "v", 50), "mean").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+    """2,000 draws of the panel of nations; the pairs are made anew from each draw, and an item drawn twice isn't paired with itself."""
+    per = t.nation.join(t.customer, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey").agg(F.avg("c_acctbal").alias("v"))
+    e = materialize(ordered.row_numbers(per, ["n_nationkey"]), "panel")
+    a, b = (e.select(F.col("ord").alias(x), F.col("v").alias(f"v{x}")) for x in "ab")
+    pairs = a.join(b, F.col("a") < F.col("b")).select("a", "b", F.abs(F.col("va") - F.col("vb")).alias("d"))
+    return panel.interval(panel.pair_bootstrap(pairs, e.count(), "d", 2000), "mean").select(F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
 def _matrix(t: Tables, f) -> np.ndarray:
@@ -483,11 +503,8 @@ def _(t: Tables):
 
 @query("N54_decision_rules", "SELECT 'V1' AS check, avg(l_discount) >= 0.04 AS passed FROM lineitem UNION ALL SELECT 'V2', max(l_quantity) <= 10 FROM lineitem")
 def _(t: Tables):
-    c = checks.Checks(t.spark, "V", stop=False)
-    r = t.lineitem.agg(F.avg("l_discount").alias("d"), F.max("l_quantity").alias("q")).first()
-    c.add("V1", r["d"], r["d"] >= 0.04)
-    c.add("V2", r["q"], r["q"] <= 10)
-    return c.table().select("check", "passed")
+    d, q = F.avg("l_discount"), F.max("l_quantity")
+    return checks.measured(t.lineitem, "V", {"V1": (d, d >= 0.04, "0.04 or more"), "V2": (q, q <= 10, "10 at most")}).select("check", "passed")
 
 
 @query("N55_reliability", f"WITH o AS (SELECT label, own FROM (SELECT vec_id, label, sqrt(list_sum(list_transform(list_zip(embedding, {_MODEL}), lambda z: (z[1]::DOUBLE - z[2]) ** 2))) AS own FROM embeddings)), b AS (SELECT avg(d * d) AS bg FROM ({_PAIRS})) SELECT label, round(1 - 2 * avg(own * own) / any_value(bg), 8) AS rel FROM o, b GROUP BY 1")
@@ -556,9 +573,12 @@ def _(t: Tables):
 
 @query("N65_variable_features")
 def _(t: Tables):
-    from tarn.operators.cells import principal_components
+    """The 32 places of most dispersed values, scaled and projected: each row's components, without their free signs."""
+    from tarn.operators.cells import principal_components, variable_places
 
-    return principal_components(t.embeddings, "vec_id", "embedding", 4).agg(F.count("*").alias("n"))
+    chosen = variable_places(t.embeddings, "embedding", 32)
+    few = t.embeddings.select("vec_id", F.array(*[F.col("embedding")[i] for i in chosen]).alias("v"))
+    return principal_components(few, "vec_id", "v", 4).select("vec_id", F.transform("components", lambda x: F.round(F.abs(x), 6)).alias("components"))
 
 
 _DISPERSION = "SELECT event_type, round(var_pop(value) / avg(value), 6) AS dispersion FROM events GROUP BY 1"
@@ -578,6 +598,13 @@ def _(t: Tables):
     return program_score(t.events, "user_id", "event_type", "value", ["click", "view"]).select("user_id", F.round("score", 6).alias("score"))
 
 
+@query("N70_markers")
+def _(t: Tables):
+    """Features that a group has more or less of, with the two-sided p and its adjusted value over all tests."""
+    e = t.events.select((F.col("user_id") % 2).alias("grp"), "event_type", "value")
+    return panel.markers(e, "grp", "event_type", "value")
+
+
 @query("N70_rank_sum", "WITH r AS (SELECT event_type, user_id % 2 AS g, rank() OVER (PARTITION BY event_type ORDER BY value) + (count(*) OVER (PARTITION BY event_type, value) - 1) / 2.0::DOUBLE AS k FROM events), s AS (SELECT event_type, g, sum(k) AS w, count(*) AS m FROM r GROUP BY 1, 2), n AS (SELECT event_type, count(*) AS n FROM events GROUP BY 1) SELECT g AS grp, event_type, round((w - m * (n + 1) / 2.0::DOUBLE) / sqrt(m * (n - m) * (n + 1) / 12.0::DOUBLE), 6) AS z FROM s JOIN n USING (event_type) WHERE n > m")
 def _(t: Tables):
     e = t.events.select((F.col("user_id") % 2).alias("grp"), "event_type", "value")
@@ -589,18 +616,18 @@ def _(t: Tables):
     return t.part.agg(F.round(100.0 * F.avg((F.col("p_size") % 5 == F.col("p_partkey") % 5).cast("int")), 6).alias("identical"))
 
 
-@query("N76_checks", "SELECT 'rows' AS check, true AS passed UNION ALL SELECT 'unknown', false")
+@query("N76_checks", "SELECT 'VX' AS step, c AS check, v AS value, ok AS passed FROM (SELECT unnest(['sizes', 'dearest', 'unknown']) AS c, unnest([min(p_size)::VARCHAR, count(*) FILTER (p_retailprice > 2000)::VARCHAR, NULL]) AS v, unnest([min(p_size) >= 1, count(*) FILTER (p_retailprice > 2000) = 0, false]) AS ok FROM part)")
 def _(t: Tables):
-    c = checks.Checks(t.spark, "VX", stop=False)
-    c.add("rows", n := t.region.count(), n == 5)
-    c.add("unknown", None, None)
-    return c.close().select("check", "passed")
+    dear = F.count_if(F.col("p_retailprice") > 2000)
+    wanted = {"sizes": (F.min("p_size"), F.min("p_size") >= 1, "1 or more"), "dearest": (dear, dear == 0, "none over 2,000"), "unknown": (F.lit(None), F.max("p_size") == F.lit(None).cast("int"), "unset")}
+    return checks.measured(t.part, "VX", wanted).select("step", "check", "value", "passed")
 
 
-@query("N77_missing_expected", "SELECT false AS equal, false AS less, false AS unequal")
+@query("N77_missing_expected", "SELECT n_nationkey, coalesce(n_nationkey = e, false) AS equal, coalesce(n_nationkey < e, false) AS less, coalesce(n_nationkey <> e, false) AS unequal FROM (SELECT n_nationkey, CASE WHEN n_regionkey > 1 THEN n_regionkey * 4 END AS e FROM nation)")
 def _(t: Tables):
-    m, n = checks.Missing(), t.region.count()
-    return t.spark.createDataFrame([(n == m, n < m, n != m)], "equal boolean, less boolean, unequal boolean")
+    expected = F.when(F.col("n_regionkey") > 1, F.col("n_regionkey") * 4)
+    n = F.col("n_nationkey")
+    return t.nation.select("n_nationkey", checks.known(n == expected).alias("equal"), checks.known(n < expected).alias("less"), checks.known(n != expected).alias("unequal"))
 
 
 def _check_rows(t: Tables):
@@ -618,9 +645,11 @@ def _(t: Tables):
     return checks.roll_up(_check_rows(t), documented).select("step", "failed", "unexpected")
 
 
-@query("N80_stage_selection", "SELECT * FROM (VALUES ('b'), ('c')) v(stage)")
+@query("N80_stage_selection", "WITH s AS (SELECT n_name, n_regionkey, row_number() OVER (ORDER BY n_nationkey) AS i, count(*) OVER () AS n FROM nation) SELECT n_name AS stage FROM s WHERE i > 3 AND i < n - 2 AND n_regionkey = 1")
 def _(t: Tables):
-    picked = checks.select_stages([("a", "x"), ("b", "x"), ("c", "y"), ("d", "y")], start="b", stop="c")
+    """From the fourth nation to the fourth before the end, of region 1's group."""
+    stages = [(r["n_name"], r["n_regionkey"]) for r in t.nation.orderBy("n_nationkey").collect()]
+    picked = checks.select_stages(stages, start=stages[3][0], stop=stages[-4][0], group=1)
     return t.spark.createDataFrame([(s,) for s in picked], "stage string")
 
 
@@ -630,10 +659,18 @@ def _(t: Tables):
     return done["n"]
 
 
-@query("N82_metric_laws", "SELECT true AS triangle_holds, 0::BIGINT AS negative")
+_TRIPLES = "w AS (SELECT i AS draw, ('0x' || substr(md5(i || '|a'), 1, 8))::BIGINT % n AS a, ('0x' || substr(md5(i || '|b'), 1, 8))::BIGINT % n AS b, ('0x' || substr(md5(i || '|c'), 1, 8))::BIGINT % n AS c FROM range(20000) r(i), (SELECT count(*) AS n FROM embeddings))"
+
+
+@query(
+    "N82_metric_laws",
+    f"""WITH {_TRIPLES}, d AS (SELECT sqrt({_D2.format(a='x', b='y')}) AS ab, sqrt({_D2.format(a='y', b='z')}) AS bc, sqrt({_D2.format(a='x', b='z')}) AS ac, sqrt({_D2.format(a='y', b='x')}) AS ba, sqrt({_D2.format(a='x', b='x')}) AS aa
+    FROM w JOIN embeddings x ON x.vec_id = w.a JOIN embeddings y ON y.vec_id = w.b JOIN embeddings z ON z.vec_id = w.c)
+    SELECT count(*) AS triples, round(max(ac - ab - bc), 6) AS excess, count(*) FILTER (ab <> ba) AS asymmetric, count(*) FILTER (aa <> 0) AS not_zero, count(*) FILTER (ab < 0) AS negative FROM d""",
+)
 def _(t: Tables):
-    n = t.nation.select("n_nationkey", F.array(F.col("n_regionkey").cast("float"), F.col("n_nationkey").cast("float")).alias("v"))
-    return distances.laws(materialize(distances.all_pairs(n, "n_nationkey", "v"), "laws")).select((F.col("triangle") <= 1e-9).alias("triangle_holds"), "negative")
+    """20,000 drawn triples of all vectors."""
+    return distances.laws(labels.random_triples(t.spark, t.embeddings.count(), 20_000), t.embeddings, "vec_id", "embedding").withColumn("excess", F.round("excess", 6))
 
 
 @query("N83_read_back_gate", "SELECT 0::BIGINT AS only_one, 0::BIGINT AS only_other")
@@ -641,11 +678,14 @@ def _(t: Tables):
     return checks.equal_tables(t.supplier, materialize(t.supplier))
 
 
-@query("N84_independent_route", f"SELECT count(*) FILTER (abs(round(d, 6) - round(d, 6)) > 0) AS differing FROM ({_PAIRS})")
+_GRAM = "sqrt(greatest(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE ** 2)) + list_sum(list_transform(b.embedding, lambda x: x::DOUBLE ** 2)) - 2 * list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE)), 0))"
+
+
+@query("N84_independent_route", f"SELECT count(*) AS n, count(*) FILTER (abs(d - g) > 1e-6) AS differing, round(sum(g), 4) AS total FROM (SELECT sqrt({_D2.format(a='a', b='b')}) AS d, {_GRAM} AS g FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)")
 def _(t: Tables):
     a = pairs_of(t).withColumnRenamed("d", "d1")
     b = distances.gram_pairs(t.embeddings, "vec_id", "embedding")
-    return a.join(b, ["a", "b"]).agg(F.count_if(F.abs(F.col("d") - F.col("d1")) > 1e-6).alias("differing"))
+    return a.join(b, ["a", "b"]).agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("d") - F.col("d1")) > 1e-6).alias("differing"), F.round(F.sum("d"), 4).alias("total"))
 
 
 @query("R01_resumable", "SELECT count(*) AS n FROM events")

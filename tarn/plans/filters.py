@@ -138,9 +138,14 @@ def _(t: Tables):
     return t.lineitem.agg(F.bool_and(F.col("l_returnflag").isin("A", "N", "R")).alias("chains_ok"), F.bool_and(F.col("l_quantity") > 0).alias("flags_ok"), F.count("*").alias("n"))
 
 
-@query("S03_coo_matrix", "SELECT user_id AS cell, event_type AS feature, count(*) AS n FROM events GROUP BY 1, 2")
+@query("S03_coo_matrix", "SELECT user_id AS cell, event_type AS feature, CASE WHEN event_type < 'm' THEN 'Antibody Capture' ELSE 'Gene Expression' END AS feature_type, count(*) AS n FROM events GROUP BY 1, 2")
 def _(t: Tables):
-    return t.events.groupBy(F.col("user_id").alias("cell"), F.col("event_type").alias("feature")).agg(F.count("*").alias("n"))
+    """Counts written as a Matrix Market folder (matrix, features, barcodes) and read from it."""
+    from tarn.sources import matrix
+
+    kind = F.when(F.col("event_type") < "m", "Antibody Capture").otherwise("Gene Expression")
+    coo = t.events.groupBy(F.col("user_id").cast("string").alias("cell"), F.col("event_type").alias("feature"), kind.alias("feature_type")).agg(F.count("*").alias("n"))
+    return matrix.read(t.spark, matrix.write(coo)).select(F.col("cell").cast("long").alias("cell"), "feature", "feature_type", "n")
 
 
 @query("S04_multi_source_load", "SELECT 'gex|' || c_custkey AS cell, 'c' AS lib, c_acctbal AS x, NULL::VARCHAR AS y FROM customer UNION ALL SELECT 'sup|' || s_suppkey, 's', NULL, s_name FROM supplier")
@@ -153,11 +158,15 @@ def _(t: Tables):
     return files.walk(t.spark, t.folder, "*.parquet").select("kind", F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name")).distinct()
 
 
-@query("S06_header_sniff", "SELECT ',' AS separator, 3 AS n_columns, true AS has_region")
+_SNIFFED = "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS line, length(line) - length(replace(line, ',', '')) AS c, length(line) - length(replace(line, chr(9), '')) AS t, length(line) - length(replace(line, ';', '')) AS s FROM documents"
+
+
+@query("S06_header_sniff", f"SELECT doc_id, CASE WHEN c >= t AND c >= s THEN ',' WHEN t >= s THEN chr(9) ELSE ';' END AS separator, greatest(c, t, s) + 1 AS n_columns FROM ({_SNIFFED})")
 def _(t: Tables):
-    lines = t.region.limit(1).select(F.lit("r_regionkey,region_name,x;y").alias("line"))
-    s = files.separator(F.col("line"))
-    return lines.select(s.alias("separator"), F.size(F.split("line", s)).alias("n_columns"), F.exists(F.split("line", s), lambda c: c.rlike("^region")).alias("has_region"))
+    """The separator of every text's first line, and the columns that it makes."""
+    line = F.split_part(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(1))
+    lines = t.documents.select("doc_id", line.alias("line")).withColumn("separator", files.separator(F.col("line")))
+    return lines.select("doc_id", "separator", (F.length("line") - F.length(F.replace("line", "separator")) + 1).cast("long").alias("n_columns"))
 
 
 @query("S07_best_source", "SELECT p_brand, arg_max(p_partkey, 4 * (p_size > 25)::INT + 2 * ends_with(p_type, 'STEEL')::INT + p_size / 100.0 - p_partkey * 1e-9) AS source FROM part GROUP BY 1")
@@ -166,16 +175,24 @@ def _(t: Tables):
     return files.best_source(t.part, "p_brand", "p_partkey", score)
 
 
-@query("S12_chunked_scan", "SELECT o_orderkey % 8 AS chunk, count(*) AS n FROM orders GROUP BY 1")
+@query("S12_chunked_scan", "SELECT (i // 200)::BIGINT AS chunk, count(*) AS n, min(o_orderkey) AS low, max(o_orderkey) AS high, round(sum(o_totalprice), 2) AS total FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders) GROUP BY 1")
 def _(t: Tables):
-    return t.orders.groupBy((F.col("o_orderkey") % 8).alias("chunk")).agg(F.count("*").alias("n"))
+    """200 items a chunk in the order of their keys."""
+    from tarn.operators.ordered import row_numbers
 
+    numbered = row_numbers(t.orders.select("o_orderkey", "o_totalprice"), ["o_orderkey"], "i")
+    return numbered.groupBy(F.floor(F.col("i") / 200).alias("chunk")).agg(F.count("*").alias("n"), F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
-@query("S13_bundle_order_check", "SELECT 0::BIGINT AS out_of_order, count(*) AS n FROM embeddings")
+
+@query("S13_bundle_order_check", "SELECT count(*) AS n, count(*) FILTER (label <> i % 10) AS out_of_order FROM (SELECT label, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings)")
 def _(t: Tables):
-    a = t.embeddings.select("vec_id", F.size("embedding").alias("k"))
-    missing = a.join(t.embeddings.select("vec_id"), "vec_id", "left_anti").agg(F.count("*").alias("out_of_order"))
-    return missing.crossJoin(a.agg(F.count("*").alias("n")))
+    """A bundle's label array, by place, against what the canonical order asks for at that place."""
+    from tarn.operators.ordered import row_numbers
+    from tarn.sources.storage import materialize
+
+    order = row_numbers(t.embeddings.select("vec_id"), ["vec_id"], "i")
+    bundle = materialize(t.embeddings.select(F.col("vec_id").alias("of"), "label"), "bundle")
+    return order.join(bundle, F.col("vec_id") == F.col("of"), "left").agg(F.count("*").alias("n"), F.count_if(F.col("label") != F.col("i") % 10).alias("out_of_order"))
 
 
 @query("S14_block_scan", "SELECT vec_id, list_transform(embedding[17:32], lambda x: round(x::DOUBLE, 6)) AS block FROM embeddings")
@@ -183,9 +200,14 @@ def _(t: Tables):
     return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 17, 16), lambda x: F.round(x.cast("double"), 6)).alias("block"))
 
 
-@query("S16_verified_files")
+@query("S16_verified_files", "SELECT * FROM (VALUES ('nation', 'kept'), ('region', 'kept'), ('absent', 'missing'), ('supplier', 'other digest')) v(name, state)")
 def _(t: Tables):
-    return files.digests(t.spark, t.folder, "region.parquet").select("length", F.length("sha256").alias("digits"))
+    """Every named file against the digest that is expected of it."""
+    import hashlib
+    from pathlib import Path
+
+    expected = {n: hashlib.sha256(Path(f"{t.folder}/{n}.parquet").read_bytes()).hexdigest() for n in ("nation", "region")} | {"absent": "0" * 64, "supplier": "0" * 64}
+    return files.verified(t.spark, t.folder, {f"{n}.parquet": d for n, d in expected.items()}).select(F.regexp_extract("name", "^(.*)[.]parquet$", 1).alias("name"), "state")
 
 
 @query("S18_reference_pick", "SELECT DISTINCT ON (p_brand) p_brand, p_name AS allele FROM part ORDER BY p_brand, (p_size = 1) DESC, p_name")
@@ -193,10 +215,13 @@ def _(t: Tables):
     return files.pick(t.part, "p_brand", F.col("p_size") == 1, "p_name").withColumnRenamed("picked", "allele")
 
 
-@query("S20_path_resolution", "SELECT 'a/b/c/x.csv' AS logical, '/deep/c/x.csv' AS physical UNION ALL SELECT 'a/y.csv', '/top/y.csv' UNION ALL SELECT 'z/y.csv', 'z/y.csv'")
+_LOGICAL = "SELECT page_id, regexp_extract(coalesce(url, ''), '://[^/]*/([^?#]*)', 1) AS logical FROM pages"
+
+
+@query("S20_path_resolution", f"SELECT page_id, logical, CASE WHEN logical = 'en/7' OR starts_with(logical, 'en/7/') THEN '/deep' || substr(logical, 5) WHEN logical = 'en' OR starts_with(logical, 'en/') THEN '/top' || substr(logical, 3) WHEN logical = 'de' OR starts_with(logical, 'de/') THEN '/de2' || substr(logical, 3) ELSE logical END AS physical FROM ({_LOGICAL})")
 def _(t: Tables):
-    places = {"a": "/top", "a/b": "/deep"}
-    return t.spark.createDataFrame([(x, files.resolve_path(x, places)) for x in ("a/b/c/x.csv", "a/y.csv", "z/y.csv")], "logical string, physical string")
+    logical = F.regexp_extract(F.coalesce("url", F.lit("")), "://[^/]*/([^?#]*)", 1)
+    return t.pages.select("page_id", logical.alias("logical")).select("page_id", "logical", files.resolved(F.col("logical"), {"en": "/top", "en/7": "/deep", "de": "/de2"}).alias("physical"))
 
 
 @query("S21_error_rows", "SELECT p_partkey, CASE WHEN p_size % 10 = 0 THEN NULL ELSE 100.0 / (p_size % 10) END AS value, p_size % 10 = 0 AS failed FROM part")
@@ -214,28 +239,33 @@ def _(t: Tables):
     return files.round_trip_json(t.orders.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")), "n long, total double")
 
 
-@query("K03_array_bundle", "SELECT vec_id, len(embedding) AS k FROM embeddings")
+@query("K03_array_bundle", "SELECT vec_id, label, list_transform(embedding, lambda x: round(x::DOUBLE, 6)) AS embedding FROM embeddings")
 def _(t: Tables):
     from tarn.sources.storage import materialize
 
-    return materialize(t.embeddings).select("vec_id", F.size("embedding").cast("long").alias("k"))
+    return materialize(t.embeddings, "bundle").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
 
 
-@query("K06_chunks", """WITH c AS (SELECT conv_id, turn, length(text) AS len FROM conversations), s AS (SELECT conv_id, sum(len) AS len FROM c GROUP BY 1), r AS (SELECT conv_id, len, sum(len) OVER (ORDER BY conv_id) - len AS before FROM s)
-SELECT (before // 4000)::BIGINT AS chunk, count(*) AS items, sum(len)::BIGINT AS chars FROM r GROUP BY 1""")
+@query(
+    "K06_chunks",
+    """WITH RECURSIVE s AS (SELECT conv_id, sum(length(text)) AS len, row_number() OVER (ORDER BY conv_id) AS i FROM conversations GROUP BY 1),
+    w AS (SELECT i, conv_id, len, len AS sofar, 0 AS chunk FROM s WHERE i = 1 UNION ALL SELECT s.i, s.conv_id, s.len, CASE WHEN w.sofar > 4000 THEN s.len ELSE w.sofar + s.len END, CASE WHEN w.sofar > 4000 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN s ON s.i = w.i + 1)
+    SELECT chunk::BIGINT AS chunk, count(*) AS items, sum(len)::BIGINT AS chars FROM w GROUP BY 1""",
+)
 def _(t: Tables):
-    sizes = t.conversations.groupBy("conv_id").agg(F.sum(F.length("text")).alias("len"))
+    """A new chunk begins after the one that exceeds 4,000 characters."""
+    sizes = t.conversations.groupBy("conv_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("len"))
     return files.chunks(sizes, "conv_id", "len", 4000).groupBy("chunk").agg(F.count("*").alias("items"), F.sum("len").alias("chars"))
 
 
 @query("K07_quantised_features", """WITH e AS (SELECT event_type, user_id, max(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT event_type, max(v) AS vmax FROM e GROUP BY 1)
-SELECT event_type AS feature, string_agg(greatest(1, least(255, round_even(255 * v / vmax, 0)))::INT::VARCHAR, ',' ORDER BY user_id) AS codes FROM e JOIN m USING (event_type) GROUP BY 1""")
+SELECT event_type AS feature, user_id, greatest(1, least(255, round_even(255 * v / vmax, 0)))::INT AS code FROM e JOIN m USING (event_type)""")
 def _(t: Tables):
+    """One file a feature, of (cell, code) rows: a feature's cells are never one row."""
     e = t.events.groupBy("event_type", "user_id").agg(F.max("value").alias("v"))
-    m = e.groupBy("event_type").agg(F.max("v").alias("vmax"))
+    m = e.groupBy(F.col("event_type").alias("feature")).agg(F.max("v").alias("vmax"))
     code = F.greatest(F.lit(1), F.least(F.lit(255), F.bround(255 * F.col("v") / F.col("vmax")).cast("int")))
-    got = e.join(m, "event_type").groupBy(F.col("event_type").alias("feature")).agg(F.sort_array(F.collect_list(F.struct("user_id", code.alias("c")))).alias("x"))
-    return got.select("feature", F.array_join(F.transform("x", lambda y: y.c.cast("string")), ",").alias("codes"))
+    return files.by_feature(e.join(m, F.col("event_type") == F.col("feature")).select("feature", "user_id", code.alias("code")), "feature", "user_id")
 
 
 @query("K10_json_rows", """SELECT c_custkey, '{"a":' || c_custkey || ',"b":null}' AS json FROM customer""")
@@ -274,20 +304,19 @@ def _(t: Tables):
     return t.spark.createDataFrame([(merged["cells"]["min_umis"], merged["labels"]["most_q"], refused)], "min_umis double, most_q double, unknown_refused boolean")
 
 
-@query("K05_checks_sink", "SELECT 'a' AS check, true AS passed UNION ALL SELECT 'b', false")
+@query("K05_checks_sink", "SELECT 'n' AS check, true AS passed UNION ALL SELECT 'dear', max(p_retailprice) > 5000 FROM part")
 def _(t: Tables):
-    """The rows are on disk although closing raises."""
+    """The rows are on disk although the failing one raises."""
     import uuid
 
-    from tarn.operators.checks import Checks, Unmet
+    from tarn.operators import checks
     from tarn.sources.storage import shared_folder
 
     at = f"{shared_folder(t.spark)}/checks-{uuid.uuid4().hex}"
-    c = Checks(t.spark, "K05")
-    c.add("a", 1, True)
-    c.add("b", 2, False)
+    dear = F.max("p_retailprice")
+    rows = checks.measured(t.part, "K05", {"n": (F.count("*"), F.count("*") > 0, "some"), "dear": (dear, dear > 5000, "over 5,000")})
     try:
-        c.close(at)
-    except Unmet:
+        checks.written_or_stopped(rows, at)
+    except checks.Unmet:
         pass
     return t.spark.read.parquet(at).select("check", "passed")

@@ -86,10 +86,10 @@ def _points(t: Tables):
 
 @query("J11_nearest_pair", f"WITH p AS ({_POINTS}) SELECT DISTINCT ON (a.id) a.id AS a, b.id AS b FROM p a JOIN p b ON a.label = b.label AND a.id <> b.id ORDER BY a.id, sqrt((a.x-b.x)**2+(a.y-b.y)**2+(a.z-b.z)**2), b.id")
 def _(t: Tables):
-    p = _points(t).withColumnRenamed("label", "g")
-    q = p.select("g", F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"])
-    d = F.sqrt(sum((F.col(c) - F.col(f"{c}2")) * (F.col(c) - F.col(f"{c}2")) for c in "xyz"))
-    return op.nearest(p.join(q, "g").where("id != b").select(F.col("id").alias("a"), "b", d.alias("d")), "a", "d", "b").select("a", "b")
+    from tarn.operators.distances import nearest
+
+    p = _points(t).select("id", "label", F.array("x", "y", "z").alias("v"))
+    return nearest(p, "id", "v", 1, group="label").select("a", "b")
 
 
 _D = "sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2)))"
@@ -97,12 +97,10 @@ _KNN = f"SELECT * FROM (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS
 
 
 def _neighbours(t: Tables, k: int = 5):
-    """The k nearest others of every vector, from the tiled all-pairs distances in both directions."""
-    from tarn.operators.distances import all_pairs
+    """The k nearest others of every vector, with their labels."""
+    from tarn.operators.distances import nearest
 
-    d = all_pairs(t.embeddings, "vec_id", "embedding")
-    both = d.unionByName(d.select(F.col("b").alias("a"), F.col("a").alias("b"), "d")).withColumn("d", F.round("d", 9))
-    near = op.top_n(both, ["a"], ["d", "b"], k)
+    near = nearest(t.embeddings, "vec_id", "embedding", k)
     label = t.embeddings.select("vec_id", "label")
     return near.select(F.col("a").alias("vec_id"), F.col("b").alias("other")).join(label, "vec_id").join(label.select(F.col("vec_id").alias("other"), F.col("label").alias("other_label")), "other")
 

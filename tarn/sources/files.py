@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.sources.storage import shared_folder
@@ -42,8 +44,14 @@ def walk(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return listed.withColumn("kind", kind)
 
 
-def digests(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", F.sha2("content", 256).alias("sha256"))
+def verified(spark: SparkSession, folder: str, expected: dict[str, str]) -> DataFrame:
+    """``name, length, state`` for every expected file: ``kept`` if its SHA-256 is the expected one, ``other digest``, or
+    ``missing``. Files that aren't expected aren't read."""
+    names = spark.createDataFrame(list(expected.items()), "name string, wanted string")
+    only = "{" + ",".join(expected) + "}"
+    there = spark.read.format("binaryFile").option("pathGlobFilter", only).load(folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("of"), "length", F.sha2("content", 256).alias("digest"))
+    state = F.when(F.col("of").isNull(), "missing").when(F.col("digest") == F.col("wanted"), "kept").otherwise("other digest")
+    return names.join(there, F.col("name") == F.col("of"), "left").select("name", "length", state.alias("state"))
 
 
 def separator(line: Column) -> Column:
@@ -70,11 +78,43 @@ def resolve_path(logical: str, places: dict[str, str]) -> str:
     return logical
 
 
+def resolved(logical: Column, places: dict[str, str]) -> Column:
+    """As ``resolve_path``, of a column."""
+    out = logical
+    for prefix in sorted(places, key=len):
+        inside = (logical == prefix) | logical.startswith(f"{prefix}/")
+        out = F.when(inside, F.concat(F.lit(places[prefix]), F.substr(logical, F.lit(len(prefix) + 1)))).otherwise(out)
+    return out
+
+
 def chunks(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
-    """``chunk``: by the running size before a row, in units of ``most``. The running sum adds up partitions first."""
-    from tarn.operators.ordered import running_sum
+    """``chunk``: numbers from 0 in the order; a chunk ends with the row that takes its size over ``most``.
+
+    Where a chunk ends depends on where the last one did, so one task reads the rows in their order; it holds a batch of
+    ids and sizes at a time, whatever their number. The other columns meet the numbers in a join.
+    """
+    kind = dict(df.dtypes)[order]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunk, so_far = 0, 0
+        for batch in batches:
+            out = []
+            for s in batch["_size"].tolist():
+                if so_far > most:
+                    chunk, so_far = chunk + 1, 0
+                so_far += s
+                out.append(chunk)
+            yield pd.DataFrame({"_of": batch["_of"], "chunk": out})
 
-    return running_sum(df, [order], size, "_upto").withColumn("chunk", F.floor((F.col("_upto") - F.col(size)) / most)).drop("_upto")
+    lines = df.select(F.col(order).alias("_of"), F.col(size).cast("long").alias("_size")).repartitionByRange(1, "_of").sortWithinPartitions("_of")
+    return df.join(lines.mapInPandas(run, f"_of {kind}, chunk long"), F.col(order) == F.col("_of")).drop("_of")
+
+
+def by_feature(df: DataFrame, feature: str, order: str) -> DataFrame:
+    """Writes one folder a feature, sorted by ``order``, and reads them back."""
+    at = f"{shared_folder(df.sparkSession)}/features-{uuid.uuid4().hex}"
+    df.repartition(feature).sortWithinPartitions(feature, order).write.partitionBy(feature).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at).select(*df.columns)
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -86,7 +126,3 @@ def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def replace_partitions(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` in the place of all rows of ``old`` with its keys."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
-
-
-def quota(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")

@@ -19,8 +19,13 @@ def atom_lines(atoms: DataFrame) -> DataFrame:
 
 
 def read_atoms(spark: SparkSession, path: str, chains: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """Heavy atoms of the chains: ``file, chain, resnum, ins, resname, atom, x, y, z``; alternate places but the first go."""
-    return parse(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line")), chains)
+    """Heavy atoms of the chains: ``file, chain, resnum, ins, resname, atom, x, y, z``; alternate places but the first go.
+
+    ``file`` is the path below ``path``; folders below it are read too.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).text(path)
+    below = F.regexp_replace(F.col("_metadata.file_path"), f"^.*{path.rstrip('/').rpartition('/')[2]}/", "")
+    return parse(lines.select(below.alias("file"), F.col("value").alias("line")), chains)
 
 
 def parse(lines: DataFrame, chains: tuple[str, ...] = ("A", "B")) -> DataFrame:

@@ -151,13 +151,13 @@ def test_sequence_distance():
     assert sequence.global_score("ACD", "ACD") == 4 + 9 + 6 and sequence.global_score("AC", "AWC") == 4 - 10 + 9
 
 
-def test_checks_stop_and_missing(spark):
-    c = checks.Checks(spark, "s")
-    c.add("unknown", None, None)
+def test_checks_stop_and_missing(spark, tmp_path):
+    df = spark.range(3)
+    got = checks.measured(df, "s", {"n": (F.count("*"), F.count("*") == 3, "3"), "unknown": (F.lit(None), F.max("id") != F.lit(None).cast("long"), "")})
+    assert [(r["check"], r["value"], r["passed"]) for r in got.collect()] == [("n", "3", True), ("unknown", None, False)]
     with pytest.raises(checks.Unmet):
-        c.close()
-    m = checks.Missing()
-    assert not (m == m) and not (1 < m) and not (m != 2)
+        checks.written_or_stopped(got, str(tmp_path / "c"))
+    assert spark.read.parquet(str(tmp_path / "c")).count() == 2
     assert checks.select_stages([("a", "x"), ("b", "y"), ("c", "y")], group="y", start="b") == ["b", "c"]
     with pytest.raises(ValueError):
         checks.select_stages([("a", "x")], start="z")
