@@ -214,7 +214,10 @@ def judge(docs: DataFrame, rules: DecisionList, doc_id: str = "doc_id", text: st
 
 
 def keep_good(docs: DataFrame, rules: DecisionList, text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all their columns, that neither the base nor a rule rejects."""
+    """The rows of ``docs``, all their columns, that neither the base nor a rule rejects.
+
+    A null or blank text fails the base, repeated rows stay or go together, and an empty table stays empty.
+    """
     names = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"))
     stats = statistics(whole, "text", ("row",))

@@ -1,8 +1,9 @@
 """Operator 1, secret scans: character Markov models of random strings and ordinary identifiers.
 
-Three patterns give the base spans. Other tokens with letters and digits are judged by two first-order Markov models, one
-of random strings and one of ordinary identifiers, both trained from labelled samples; a token whose log-likelihood ratio
-exceeds the threshold learned with them is one more span.
+Three patterns give the base spans. What is left of other long tokens is judged by two first-order Markov models, one of
+random strings and one of ordinary identifiers, both trained from labelled samples; a token whose log-likelihood ratio
+exceeds the threshold learned with them is one more span. Tokens without a digit have a threshold of their own, as long
+words are among them.
 """
 
 from __future__ import annotations
@@ -61,12 +62,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def candidates(text: str) -> Iterator[re.Match]:
-    """Tokens with a letter and a digit that are long enough to be judged."""
+def candidates(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Start and end of what is long enough to be judged, has a letter, and lies in a token outside the base spans."""
     for m in _TOKEN.finditer(text):
-        t = m[0]
-        if any("0" <= c <= "9" for c in t) and not t.strip("0123456789+/_=-") == "":
-            yield m
+        start = m.start()
+        for a, b in [*((a, b) for a, _, b in base if a < m.end() and m.start() < b), (m.end(), m.end())]:
+            if a - start >= SHORTEST and text[start:a].strip("0123456789+/_=-"):
+                yield start, a
+            start = max(start, b)
 
 
 def codes(token: str) -> np.ndarray:
@@ -75,21 +78,24 @@ def codes(token: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Models:
-    """Log-likelihood ratios of transitions, random over ordinary, and the ratio a character beyond which a token is random."""
+    """Log-likelihood ratios of transitions, random over ordinary, and the ratio a character beyond which a token is random,
+    for tokens with a digit and for others."""
 
     ratio: np.ndarray
     threshold: float
+    of_letters: float
 
     def score(self, token: str) -> float:
         c = codes(token)
         return float(self.ratio[c[:-1], c[1:]].sum()) / max(1, len(c) - 1)
 
     def spans(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        """Random tokens that touch no base span."""
+        """Random tokens, or what is left of them outside the base spans."""
         out = []
-        for m in candidates(text):
-            if self.score(m[0]) > self.threshold and not any(a < m.end() and m.start() < b for a, _, b in base):
-                out.append((m.start(), 3, m.end()))
+        for start, end in candidates(text, base):
+            token = text[start:end]
+            if self.score(token) > (self.threshold if any("0" <= c <= "9" for c in token) else self.of_letters):
+                out.append((start, 3, end))
         return out
 
 
@@ -100,6 +106,12 @@ def drawn_random(n: int = DRAWN, seed: int = 1) -> list[str]:
     return ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(16, 64))) for _ in range(n)]
 
 
+def drawn_letters(n: int = DRAWN // 3, seed: int = 3) -> list[str]:
+    """Labelled sample of random strings of letters alone, in either case, of 16 to 64 characters."""
+    rng = random.Random(seed)
+    return ["".join(rng.choices(_SYMBOLS[:52], k=rng.randint(16, 64))) for _ in range(n)]
+
+
 def composed_identifiers(words: list[str], n: int = DRAWN, seed: int = 2) -> list[str]:
     """Labelled sample of ordinary identifiers: words joined in snake, kebab, path and camel style, some with numbers."""
     rng = random.Random(seed)
@@ -116,7 +128,8 @@ def composed_identifiers(words: list[str], n: int = DRAWN, seed: int = 2) -> lis
 
 def train(words: list[str]) -> Models:
     """Both models from labelled samples, ``words`` being ordinary ones. The threshold lies midway between what 99.5 % of
-    the ordinary tokens stay under and what 99.5 % of the random ones exceed, on the fifth of each that isn't trained on."""
+    the ordinary tokens stay under and what 99.5 % of the random ones exceed, on the fifth of each that isn't trained on. That
+    for letters alone lies above all but one in a thousand of the ordinary tokens without a digit, too."""
     random_tokens = drawn_random()
     ordinary = composed_identifiers([w for w in words if w and all(c in _PLACE for c in w)])
 
@@ -130,10 +143,13 @@ def train(words: list[str]) -> Models:
     apart = lambda x: (x[: len(x) * 4 // 5], x[len(x) * 4 // 5 :])
     (r, r_apart), (o, o_apart) = apart(random_tokens), apart(ordinary)
     ratio = np.hstack([logs(r) - logs(o), np.zeros((_START + 1, 1))])
-    models = Models(ratio, 0.0)
-    low = np.quantile([models.score(t) for t in o_apart], 0.995)
-    high = np.quantile([models.score(t) for t in r_apart], 0.005)
-    return Models(ratio, float((low + high) / 2))
+    models = Models(ratio, 0.0, 0.0)
+    scores = lambda tokens: [models.score(t) for t in tokens]
+    middle = (np.quantile(scores(o_apart), 0.995) + np.quantile(scores(r_apart), 0.005)) / 2
+    plain = scores(t for t in ordinary if len(t) >= SHORTEST and not any("0" <= c <= "9" for c in t))
+    low = np.quantile(plain, 0.999) if plain else middle
+    letters = max(low, (low + np.quantile(scores(drawn_letters()), 0.05)) / 2)
+    return Models(ratio, float(middle), float(letters))
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS) -> Models:
@@ -178,7 +194,8 @@ def scan(docs: DataFrame, models: Models, doc_id: str = "doc_id", text: str = "t
 
 def redact(docs: DataFrame, models: Models, text: str = "text", n_chars: str | None = "n_chars", mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span of the text, overlapping ones as one, replaced by ``mark`` and ``n_chars`` set anew where it
-    is a column; texts without a secret, null ones too, stay as they are."""
+    is a column; texts without a secret, null ones too, stay as they are. Repeated rows stay repeated, an empty table stays
+    empty, and all other columns are kept, whatever their names. A task holds one Arrow batch of whole texts."""
     at = docs.columns.index(text)
     length = docs.columns.index(n_chars) if n_chars in docs.columns else -1
 

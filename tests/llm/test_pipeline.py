@@ -1,10 +1,14 @@
+import random
+
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from conftest_llm import ws_words
 from tarn.llm import secrets
 from tarn.llm.shared import stored
 from test_decontaminate import brute as brute_hits
+from test_near_copies import brute_kept
 from test_quality import brute as brute_quality
-from test_simhash import brute_components, brute_fingerprint
 
 
 def test_stages_against_brute_force(spark, sf):
@@ -21,9 +25,7 @@ def test_stages_against_brute_force(spark, sf):
             assert not any(brute_quality(before[i]["text"])[5] for i in ids)
             assert all(i in ids for i in before if i in bad and not brute_quality(before[i]["text"])[5])
         if name == "near_dedup":
-            order = sorted(before)
-            parts = brute_components(order, [brute_fingerprint(before[i]["text"]) for i in order])
-            assert sorted(ids) == sorted(set(parts))
+            assert sorted(ids) == brute_kept([(i, before[i]["text"]) for i in sorted(before)])
         if name == "decontamination":
             assert sorted(ids) == sorted(i for i in before if not brute_hits(before[i]["text"], items)[4])
         if name == "secret_scan":
@@ -41,3 +43,20 @@ def test_stages_on_no_documents(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, sf))
         assert docs.count() == 0, name
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Null ids, texts and sources, repeated rows, a column that clashes, an empty and a text of several megabytes."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = random.Random(21)
+    long_ = " ".join(f"{rng.choice(['so', 'then', 'while'])} {rng.getrandbits(40):x}" for _ in range(250_000))
+    odd = [(9001, None, "en", "a", 0), (9002, "", "en", None, 0), (None, "no id " + "of its own and some more words " * 3, None, None, 5), (9003, long_, "en", "a", len(long_)), (9003, long_, "en", "a", len(long_))]
+    some = docs.limit(40)
+    docs = docs.unionByName(some).unionByName(spark.createDataFrame(odd, docs.schema)).withColumn("copy", F.lit("x")).withColumn("row", F.lit(1))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = stored(stage(spark, docs, sf))
+        assert docs.columns == (columns if name != "source_mix" else [*columns, "copy_"])
+        assert 0 < docs.count() <= before or name == "source_mix"
+    assert docs.where("doc_id = 9003").count() > 0 and docs.where("doc_id in (9001, 9002)").count() == 0

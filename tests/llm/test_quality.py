@@ -59,6 +59,27 @@ def test_query_finds_bad_labels_and_keeps_good_ones(spark):
     assert n.get((1, False), 0) == 0 and n[(0, False)] > 4 * n.get((0, True), 0)
 
 
+def test_held_out_labels(spark):
+    """A list learned from two thirds of the labels, asked about the others."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    third = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(3)) == 0
+    judged = quality.judge(docs, quality.learn(docs, labels.where(~third))).join(labels.where(third), "doc_id").where(~F.col("base_failed"))
+    n = {(r["quality"], r["kept"]): r["count"] for r in judged.groupBy("quality", "kept").count().collect()}
+    rejected, right, bad = n.get((0, False), 0) + n.get((1, False), 0), n.get((0, False), 0), n.get((0, False), 0) + n.get((0, True), 0)
+    print("held out:", n)
+    assert right >= 0.95 * rejected and right >= 0.7 * bad > 0
+
+
+def test_ties_of_labels_and_null_labels(spark):
+    """Several labels of an id count with the lowest; rows without a quality teach nothing."""
+    docs = spark.createDataFrame([(i, ("word " * 30) + ("# " * 40 if i % 2 else f"a{i} b c d e f")) for i in range(60)], "doc_id long, text string")
+    labels = [(i, 0 if i % 2 else 1) for i in range(60)]
+    plain = quality.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    tied = quality.learn(docs, spark.createDataFrame(labels + [(i, 1) for i in range(60)] + [(0, None), (None, 0)], "doc_id long, quality int"))
+    assert plain.rules == tied.rules
+
+
 def test_keep_good_keeps_columns_and_rows(docs):
     rules = quality.DecisionList([[quality.Condition("symbols_per_word", True, 0.3)]])
     kept = quality.keep_good(docs, rules)
