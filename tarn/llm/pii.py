@@ -18,8 +18,8 @@ from tarn.llm.shared import stored, table
 
 #: The session's setting that holds the key of ``query``, and the key that it takes for the synthetic tables where none is set.
 SETTING, TEST_KEY = "spark.tarn.pii.key", "a key for synthetic tables"
-#: Rounds of the Feistel network.
-ROUNDS = 4
+#: Rounds of the Feistel network, and entities that a task replaces.
+ROUNDS, PER_TASK = 4, 1_000
 #: What precedes a name, by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"), "": ("Dr", "Prof")}
 #: Given names by script and gender.
@@ -215,7 +215,9 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     is too large. The check groups what was made; it raises if two entities share a surrogate. One that another entity
     has in the corpus can occur: in a space that the entities fill there is no other.
     """
-    made = stored(entities.select("part", "norm").distinct().select("part", "norm", surrogate(F.col("part"), F.col("norm"), key).alias("surrogate")))
+    each = stored(entities.select("part", "norm").distinct())
+    dealt = each.repartition(each.count() // PER_TASK + 1, "part", "norm")  # few bytes but much work: sizes alone would make one task
+    made = stored(dealt.select("part", "norm", surrogate(F.col("part"), F.col("norm"), key).alias("surrogate")))
     whole = F.when(F.col("part") == "local", F.concat("surrogate", F.lit("@"), F.substring_index("norm", "@", -1))).otherwise(F.col("surrogate"))
     space = F.when(F.col("part").startswith("given:"), "given").otherwise(F.col("part"))
     twice = made.groupBy(space.alias("space"), whole.alias("whole")).agg(F.count("*").alias("n")).where("n > 1")
