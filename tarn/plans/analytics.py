@@ -171,6 +171,13 @@ def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", frames.shape_moments).withColumnRenamed("value", "moments")
 
 
+@query("N10_exposed_points")
+def _(t: Tables):
+    """Points of every structure, scaled to 30, that a probe of 1.4 reaches: an area of 1.0 or more is free."""
+    area = frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.exposed(p * 30).tolist())
+    return area.select("vec_id", F.size(F.filter("value", lambda x: x >= 1.0)).alias("exposed"), F.round(F.aggregate("value", F.lit(0.0), lambda s, x: s + x), 4).alias("area"))
+
+
 @query("N11_property_table", f"WITH a AS ({_ATOM_SQL}) SELECT resname, count(*) AS n, round(avg(x), 6) AS mean_x FROM a WHERE pos + 100 BETWEEN 105 AND 117 GROUP BY 1")
 def _(t: Tables):
     return atoms_of(t).where(F.col("resnum").between(105, 117)).groupBy("resname").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean_x"))
