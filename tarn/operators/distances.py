@@ -159,6 +159,13 @@ def sampled(pairs: DataFrame, df: DataFrame, ident: str, vector: str) -> DataFra
     return pairs.join(x, "a").join(y, "b").withColumn("d", euclidean("x", "y")).drop("x", "y")
 
 
+def mean_square(df: DataFrame, vector: str) -> DataFrame:
+    """``mean`` of the squared distances of all pairs of rows, without the pairs: n times the sum of squares, less the square
+    of the sum, place by place."""
+    places = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("s"), F.sum(F.col("x").cast("double") * F.col("x")).alias("q"))
+    return places.agg((F.sum(F.col("n") * F.col("q") - F.col("s") * F.col("s")) / (F.max("n") * (F.max("n") - 1) / 2)).alias("mean"))
+
+
 def combined(g: Column, c: Column, o: Column, lam: float, weight: float, lam_o: float) -> Column:
     return F.sqrt(g * g + (lam * c) * (lam * c) + (weight * lam_o * o) * (weight * lam_o * o))
 

@@ -403,10 +403,20 @@ def _rung(name: str, strata: list[str]) -> str:
     SELECT x.rep, x.cluster, y.label FROM (SELECT *, row_number() OVER (PARTITION BY rep{by} ORDER BY id) AS i FROM many) x JOIN (SELECT *, row_number() OVER (PARTITION BY rep{by} ORDER BY md5(id || '|{name}|' || rep), id) AS i FROM many) y USING (rep{by}, i)) GROUP BY 1, 2, 3) GROUP BY 1, 2 HAVING sum(n) >= 3) GROUP BY 1)"""
 
 
-@query("N43_null_ladder", f"WITH many AS (SELECT c_custkey AS id, c_nationkey AS cluster, c_mktsegment AS label, floor(c_acctbal / 2000)::INT AS donor, rep FROM customer, range(0, 5) r(rep)), z AS ({_rung('free', [])} UNION ALL {_rung('donor', ['donor'])}), o AS ({_PURITY.replace('round(avg(top / al::DOUBLE), 9)', 'avg(top / al::DOUBLE)')}) SELECT rung, round(purity, 8) AS observed, round(mean, 8) AS mean, round((purity - mean) / greatest(sd, 1e-9), 4) AS z FROM z, o")
+_LADDER = {"free": [], "donor": ["donor"], "lane": ["lane"], "donor and lane": ["donor", "lane"]}
+_RUNGS = " UNION ALL ".join(_rung(name, strata) for name, strata in _LADDER.items())
+
+
+@query(
+    "N43_null_ladder",
+    f"""WITH many AS (SELECT c_custkey AS id, c_nationkey AS cluster, c_mktsegment AS label, floor(c_acctbal / 2000)::INT AS donor, c_custkey % 3 AS lane, rep FROM customer, range(0, 200) r(rep)),
+    z AS ({_RUNGS}), o AS ({_PURITY.replace('round(avg(top / al::DOUBLE), 9)', 'avg(top / al::DOUBLE)')})
+    SELECT rung, round(purity, 8) AS observed, round(mean, 8) AS mean, round((purity - mean) / greatest(sd, 1e-9), 4) AS z FROM z, o""",
+)
 def _(t: Tables):
-    c = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cluster"), F.col("c_mktsegment").alias("label"), F.floor(F.col("c_acctbal") / 2000).cast("int").alias("donor"))
-    return labels.null_ladder(c, "id", "cluster", "label", {"free": [], "donor": ["donor"]}, 5).select("rung", F.round("observed", 8).alias("observed"), F.round("mean", 8).alias("mean"), F.round("z", 4).alias("z"))
+    """200 permutations on each of four rungs."""
+    c = t.customer.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("cluster"), F.col("c_mktsegment").alias("label"), F.floor(F.col("c_acctbal") / 2000).cast("int").alias("donor"), (F.col("c_custkey") % 3).alias("lane"))
+    return labels.null_ladder(c, "id", "cluster", "label", _LADDER, 200).select("rung", F.round("observed", 8).alias("observed"), F.round("mean", 8).alias("mean"), F.round("z", 4).alias("z"))
 
 
 _TESTS = """r AS (SELECT c_mktsegment AS label, count(*) / (SELECT count(*) FROM customer)::DOUBLE AS rate FROM customer GROUP BY 1), n AS (SELECT c_nationkey AS cluster, c_mktsegment AS label, count(*) AS n FROM customer GROUP BY 1, 2),
@@ -516,7 +526,7 @@ def _(t: Tables):
 
 @query("N55_reliability", f"WITH o AS (SELECT label, own FROM (SELECT vec_id, label, sqrt(list_sum(list_transform(list_zip(embedding, {_MODEL}), lambda z: (z[1]::DOUBLE - z[2]) ** 2))) AS own FROM embeddings)), b AS (SELECT avg(d * d) AS bg FROM ({_PAIRS})) SELECT label, round(1 - 2 * avg(own * own) / any_value(bg), 8) AS rel FROM o, b GROUP BY 1")
 def _(t: Tables):
-    b = pairs_of(t).agg(F.avg(F.col("d") * F.col("d")).alias("bg"))
+    b = distances.mean_square(t.embeddings, "embedding").withColumnRenamed("mean", "bg")
     return own_of(t).join(t.embeddings.select("vec_id", "label"), "vec_id").crossJoin(F.broadcast(b)).groupBy("label").agg(F.round(panel.reliability(F.avg(F.col("own") * F.col("own")), F.max("bg")), 8).alias("rel"))
 
 
@@ -530,9 +540,9 @@ def _(t: Tables):
     return panel.ridge_r2(t.part, "p_partkey", "p_retailprice", ["p_size", "p_partkey"], {"p_brand": sorted(r[0] for r in t.part.select("p_brand").distinct().collect())}).select(F.round("r2", 6).alias("r2"))
 
 
-@query("N58_random_groups", "WITH k AS (SELECT draw, size, s_suppkey, row_number() OVER (PARTITION BY draw, size ORDER BY md5(s_suppkey || '|' || draw || '|' || size), s_suppkey) AS i FROM supplier, range(0, 20) d(draw), (VALUES (3), (8)) z(size)), g AS (SELECT draw, size, avg(s_acctbal) AS m FROM k JOIN supplier USING (s_suppkey) WHERE i <= size GROUP BY 1, 2) SELECT size, count(*) AS draws, round(avg(m), 4) AS mean FROM g GROUP BY 1")
+@query("N58_random_groups", "WITH k AS (SELECT draw, size, s_suppkey, row_number() OVER (PARTITION BY draw, size ORDER BY md5(s_suppkey || '|' || draw || '|' || size), s_suppkey) AS i FROM supplier, range(0, 200) d(draw), (VALUES (3), (8)) z(size)), g AS (SELECT draw, size, avg(s_acctbal) AS m FROM k JOIN supplier USING (s_suppkey) WHERE i <= size GROUP BY 1, 2) SELECT size, count(*) AS draws, round(avg(m), 4) AS mean FROM g GROUP BY 1")
 def _(t: Tables):
-    g = panel.random_groups(t.supplier, "s_suppkey", [3, 8], 20).join(t.supplier.select("s_suppkey", "s_acctbal"), "s_suppkey").groupBy("draw", "size").agg(F.avg("s_acctbal").alias("m"))
+    g = panel.random_groups(t.supplier, "s_suppkey", [3, 8], 200).join(t.supplier.select("s_suppkey", "s_acctbal"), "s_suppkey").groupBy("draw", "size").agg(F.avg("s_acctbal").alias("m"))
     return g.groupBy("size").agg(F.count("*").alias("draws"), F.round(F.avg("m"), 4).alias("mean"))
 
 
