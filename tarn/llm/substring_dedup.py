@@ -3,7 +3,7 @@
 A gear hash rolls over the bytes of the words of a text. Words at which it is least among their neighbours cut the text
 into chunks of variable length, nine words on average, so cuts depend on a few words around them alone and come back
 wherever a passage is repeated, whatever was inserted before it. (A cut where masked bits are zero would leave gaps of
-random length; the least hash keeps chunks of a passage near their average, and so finds 51 words in 99.7 % of cases.)
+random length; the least hash keeps chunks of a passage near their average, and so finds 51 words in 99 % of cases.)
 A chunk's digest counts together with that of the chunk after it: two chunks in a row that occur in two documents are
 repeated, and overlapping ones join to spans.
 """
