@@ -36,7 +36,7 @@ DEPTH, FOLDS, HELD_OUT = 5, 7, 2
 #: Context bytes of a subtree that one task weighs, and grams of a bucket of such subtrees, about.
 SPLIT, BUCKET = 3, 150_000
 #: Bytes of text in a chunk, but for a last text that is longer; grams that are sorted at once; bytes of a pack of documents.
-CHUNK, BLOCK, PACK = 64_000_000, 2_000_000, 4_000_000
+CHUNK, BLOCK, PACK = 64_000_000, 1_000_000, 4_000_000
 #: A gram is broadcast if it is one in so many or more often.
 HEAVY = 1_000_000
 #: The byte that ends a text, in training and in scoring; it also stands before its start.
@@ -249,6 +249,29 @@ def predictions(counts: DataFrame, depth: int = DEPTH) -> DataFrame:
     return dealt.groupBy("bucket").cogroup(tops.groupBy("of_bucket")).applyInArrow(fall, "gram long, n long, log10 double")
 
 
+def summed(texts: list[bytes], names: np.ndarray, logs: np.ndarray, depth: int) -> np.ndarray:
+    """For each text the sum of ``logs`` over its grams, looked up among the sorted ``names``: each distinct one of a block once."""
+    sums, waiting, owners, size = np.zeros(len(texts)), [], [], 0
+
+    def look_up() -> None:
+        found, at = np.unique(np.concatenate(waiting), return_inverse=True)
+        each = logs[np.searchsorted(names, found)][at]
+        starts = np.cumsum([0, *map(len, waiting[:-1])])
+        np.add.at(sums, owners, np.add.reduceat(each, starts))
+
+    for i, low in enumerate(texts):
+        for g in grams(low, depth):
+            waiting.append(g)
+            owners.append(i)
+            size += len(g)
+            if size >= BLOCK:
+                look_up()
+                waiting, owners, size = [], [], 0
+    if waiting:
+        look_up()
+    return sums
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row of ``docs``.
 
@@ -297,8 +320,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
         rows, ids = [], []
         for b in _unpacked(packs.column("pack")):
             ids.append(b.column(0))
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                low = (t.as_py() or b"").translate(_LOWER)
+            texts = [(t.as_py() or b"").translate(_LOWER) for t in b.column(1).cast(pa.binary())]
+            for i, low, s in zip(b.column(0).to_pylist(), texts, summed(texts, names, logs, depth).tolist(), strict=True):
                 c = Counter(low.split())
                 c[END_TOKEN] += 1
                 n, n_known, base = c.total(), 0, 0.0
@@ -306,7 +329,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
                     if (x := of_token.get(w)) is not None:
                         n_known += k
                         base += k * x
-                s = sum(float(logs[np.searchsorted(names, g)].sum()) for g in grams(low, depth))
                 rows.append((held_out(i), n, n_known, total, base - n * level, s, -s / math.log10(2) / (len(low) + 1)))
         columns = list(zip(*rows, strict=True)) or [()] * 7
         kinds = [pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
@@ -314,7 +336,10 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
         return pa.Table.from_arrays([pa.chunked_array(ids), *out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])
 
     packs = gathered.where(F.col("pack").isNotNull()).select(F.col("chunk").alias("own_chunk"), "pack")
-    return packs.groupBy("own_chunk").cogroup(of_grams.unionByName(of_tokens).groupBy("chunk")).applyInArrow(run, schema)
+    answers = of_grams.unionByName(of_tokens)
+    # as many tasks as chunks: what a task reads doesn't grow with the corpus
+    n_chunks = max(1, packs.select("own_chunk").distinct().count())
+    return packs.repartition(n_chunks, "own_chunk").groupBy("own_chunk").cogroup(answers.repartition(n_chunks, "chunk").groupBy("chunk")).applyInArrow(run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
