@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import centroids, ctw, decontaminate, licenses, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
+from tarn.llm import centroids, ctw, decontaminate, hard_negatives, licenses, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
 
 _MODULES = {
     "op1_secrets": secrets,
@@ -15,6 +15,7 @@ _MODULES = {
     "op8_pii": pii,
     "op9_licenses": licenses,
     "op10_ctw": ctw,
+    "op11_hard_negatives": hard_negatives,
     "op13_exponion": centroids,
 }
 
