@@ -24,9 +24,9 @@ SAMPLE = 4_096
 #: Anchors that are searched at a time, and that are sent to all tasks.
 GROUP = 16_384
 #: Rows in a leaf of the candidates' trees and of the anchors'.
-LEAF, ANCHOR_LEAF = 256, 64
+LEAF, ANCHOR_LEAF = 128, 32
 #: Hits that are held before they are merged into the lists.
-HELD = 200_000
+HELD = 20_000
 #: Levels of the tree of planes.
 LEVELS = 7
 #: Doubles hold scores below this exactly; rows that could pass it raise.
@@ -39,10 +39,9 @@ class Balls:
 
     def __init__(self, v: np.ndarray, labels: np.ndarray, leaf: int):
         self.leaf, self.rows, self.nodes = leaf, np.arange(len(v)), []
-        self._add(v, labels, 0, len(v), True)
-        self.low, self.high = (np.array([n[i] for n in self.nodes]) for i in (0, 1))
+        self._add(v, labels, 0, len(v))
 
-    def _add(self, v: np.ndarray, labels: np.ndarray, low: int, high: int, by_label: bool) -> int:
+    def _add(self, v: np.ndarray, labels: np.ndarray, low: int, high: int) -> int:
         rows = self.rows[low:high]
         own = v[rows].astype(float)
         centre = own.mean(0)
@@ -51,16 +50,12 @@ class Balls:
         at = len(self.nodes)
         node = [low, high, centre, float(np.sqrt(away.max())) * (1 + 1e-9), float(np.sqrt(centre @ centre)), kinds[0] if len(kinds) == 1 else None, []]
         self.nodes.append(node)
-        if by_label and 1 < len(kinds) <= 64:
-            self.rows[low:high] = rows[np.argsort(labels[rows], kind="stable")]
-            cuts = [low, *(low + np.cumsum(np.unique(labels[rows], return_counts=True)[1]))]
-            node[6] = [self._add(v, labels, a, b, False) for a, b in zip(cuts, cuts[1:], strict=False)]
-        elif high - low > self.leaf:
+        if high - low > self.leaf:
             far = own[away.argmax()]
             along = own @ (own[((own - far) ** 2).sum(1).argmax()] - far)
             half = (high - low) // 2
             self.rows[low:high] = rows[np.argpartition(along, half)]
-            node[6] = [self._add(v, labels, a, b, False) for a, b in ((low, low + half), (low + half, high))]
+            node[6] = [self._add(v, labels, a, b) for a, b in ((low, low + half), (low + half, high))]
         return at
 
 
@@ -110,6 +105,7 @@ class Search:
     def __init__(self, v: np.ndarray, uid: np.ndarray, labels: np.ndarray, each: int, k: int, floor: np.ndarray, ceiling: np.ndarray, same: bool):
         self.tree, self.each, self.k, self.same = Balls(v, labels, ANCHOR_LEAF), each, k, same
         self.v, self.uid, self.labels, self.floor, self.ceiling = v, uid, labels, floor, ceiling
+        self.norms = np.sqrt((v.astype(float) ** 2).sum(1)) * (1 + 1e-9)
         # The greatest ceiling below each node stays; the least floor rises as lists fill.
         self.tops = [ceiling[self._queries(n)].max() for n in self.tree.nodes]
 
@@ -136,6 +132,10 @@ class Search:
                 todo += [(i, x) for x in sorted(b[6], key=lambda x: float(a[2] @ there.nodes[x][2]))]  # the best is taken first
             else:
                 mine, theirs = self.tree.rows[a[0] : a[1]], there.rows[b[0] : b[1]]
+                reach = anchors[mine] @ b[2] + self.norms[mine] * b[3] * (1 + 1e-9) + 1e-9 * self.norms[mine] * b[4]
+                mine = mine[reach >= lists.least[asked].reshape(-1, self.each).min(1)]  # single anchors against the ball
+                if not len(mine):
+                    continue
                 score = (anchors[mine] @ rows[theirs].T).astype(np.int64)
                 scored += score.size
                 fits = ((self.labels[mine][:, None] == labels[theirs][None]) == self.same) & (self.uid[mine][:, None] != uid[theirs][None])

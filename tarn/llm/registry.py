@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tarn.llm import centroids, ctw, decontaminate, hard_negatives, licenses, mixing, pii, quality, secrets, simhash, substring_dedup, url_filter
+from tarn.llm import centroids, ctw, decontaminate, hard_negatives, licenses, mixing, pii, quality, secrets, simhash, site_style, substring_dedup, url_filter
 
 _MODULES = {
     "op1_secrets": secrets,
@@ -16,6 +16,7 @@ _MODULES = {
     "op9_licenses": licenses,
     "op10_ctw": ctw,
     "op11_hard_negatives": hard_negatives,
+    "op12_site_style": site_style,
     "op13_exponion": centroids,
 }
 
