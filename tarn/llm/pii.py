@@ -11,15 +11,15 @@ from __future__ import annotations
 import hashlib
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import stored, table
 
 #: The session's setting that holds the key of ``query``, and the key that it takes for the synthetic tables where none is set.
 SETTING, TEST_KEY = "spark.tarn.pii.key", "a key for synthetic tables"
-#: Rounds of the Feistel network, and entities that a task replaces.
-ROUNDS, PER_TASK = 4, 1_000
+#: Rounds of the Feistel network, characters that it permutes at a time, and entities that a task replaces.
+ROUNDS, PIECE, PER_TASK = 4, 64, 1_000
 #: What precedes a name, by gender.
 TITLES = {"m": ("Mr", "Herr", "Señor", "Monsieur", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Mme", "Госпожа"), "": ("Dr", "Prof")}
 #: Given names by script and gender.
@@ -45,8 +45,9 @@ ALPHABETS = [
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+#: Repeats without a bound are of single characters: Java runs through those in a loop, but recurs once for each repeat of a group.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,}",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -129,16 +130,29 @@ def permuted(codes: Column, sizes: Column, tag: Column, key: str) -> Column:
 
 def _spelled(norm: Column, tag: Column, key: str) -> Column:
     """``norm`` with its letters and digits permuted, each within its own alphabet: its format stays, and texts of one format
-    stay different. Characters of no alphabet stay."""
+    stay different. Characters of no alphabet stay. A long one is permuted by pieces, so that its cost is linear."""
+    pieces = F.regexp_extract_all(norm, F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))
+    made = F.array_join(F.transform(pieces, lambda p, i: _spelled_piece(p, F.when(i > 0, F.concat(tag, F.lit("|piece|"), i.cast("string"))).otherwise(tag), key)), "")
+    return F.when(F.length(norm) > PIECE, made).otherwise(_spelled_piece(norm, tag, key))
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, not at each place where a lambda names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _spelled_piece(norm: Column, tag: Column, key: str) -> Column:
     alphabets = F.array(*map(F.lit, ALPHABETS))
     own = lambda c: F.coalesce(F.get(F.filter(alphabets, lambda a: F.call_function("instr", a, c) > 0), F.lit(0)), F.lit(""))
-    characters = F.split(norm, "")
-    of = F.transform(characters, own)
-    codes = F.transform(characters, lambda c, i: F.greatest(F.call_function("instr", F.get(of, i), c) - 1, F.lit(0)).cast("long"))
-    sizes = F.transform(of, lambda a: F.length(a).cast("long"))
-    out = permuted(codes, sizes, tag, key)
-    made = F.array_join(F.transform(out, lambda v, i: F.when(F.get(sizes, i) > 0, F.substr(F.get(of, i), (v + 1).cast("int"), F.lit(1))).otherwise(F.get(characters, i))), "")
-    return F.when(norm == "", "").otherwise(made)
+
+    def made(cs: Column) -> Column:
+        codes = F.transform(cs, lambda e: F.greatest(F.call_function("instr", e.a, e.c) - 1, F.lit(0)).cast("long"))
+        return _bound(F.struct(codes.alias("codes"), F.transform(cs, lambda e: F.length(e.a).cast("long")).alias("sizes")), lambda b: _bound(permuted(b.codes, b.sizes, tag, key), lambda out: spelled(cs, out)))
+
+    def spelled(cs: Column, out: Column) -> Column:
+        return F.array_join(F.transform(cs, lambda e, i: F.when(F.length(e.a) > 0, F.substr(e.a, (F.get(out, i) + 1).cast("int"), F.lit(1))).otherwise(e.c)), "")
+
+    return F.when(norm == "", "").otherwise(_bound(F.transform(F.split(norm, ""), lambda c: F.struct(c.alias("c"), own(c).alias("a"))), made))
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -240,7 +254,8 @@ def _like(raw: Column, replaced: Column) -> Column:
 
 def _cased(raw: Column, replaced: Column) -> Column:
     """Capitals as in ``raw``: all, the first, or none."""
-    return F.when(raw.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*\p{Lu}\P{Ll}*$"), F.upper(replaced)).when(raw.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(replaced, 1, 1)), F.substr(replaced, F.lit(2), F.length(replaced)))).otherwise(replaced)
+    capitals = ~raw.rlike(r"\p{Ll}") & raw.rlike(r"\p{Lu}\P{Lu}*\p{Lu}")
+    return F.when(capitals, F.upper(replaced)).when(raw.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(replaced, 1, 1)), F.substr(replaced, F.lit(2), F.length(replaced)))).otherwise(replaced)
 
 
 def _written(kind: Column, raw: Column, got: Column) -> Column:
@@ -261,20 +276,19 @@ def pseudonymize(docs: DataFrame, key: str, doc_id: str = "doc_id", text: str =
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     hinted = F.coalesce(F.col("text").rlike(_HINT), F.lit(False))
-    found = own.where(hinted).select("doc_id", "h", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("raws"))
-    places = stored(found.where(F.size("raws") > 0).select("doc_id", "h", F.posexplode("raws").alias("at", "raw")).distinct().withColumn("kind", kind_of(F.col("raw"))))
+    found = own.where(hinted).select("doc_id", "h", F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("raws"), F.transform(F.split("text", ANY), F.length).alias("gaps")).where(F.size("raws") > 0)
+    each = found.select("doc_id", "h", F.posexplode(F.arrays_zip("raws", F.slice("gaps", 1, F.size("raws")).alias("gaps"))).alias("at", "z")).select("doc_id", "h", "at", "z.raws", "z.gaps").distinct()
+    upto = F.sum(F.col("gaps") + F.length("raws")).over(Window.partitionBy("doc_id", "h").orderBy("at"))  # within one text
+    places = stored(each.select("doc_id", "h", "at", F.col("raws").alias("raw"), (upto - F.length("raws")).alias("start"), kind_of(F.col("raws")).alias("kind")))
     parts = places.select("kind", "raw").distinct().select("kind", "raw", F.posexplode(parts_of(F.col("kind"), F.col("raw"))).alias("nth", "p")).select("kind", "raw", "nth", "p.part", "p.norm")
     parts = stored(parts)
     made = surrogates(parts, key)
     written = parts.join(made, ["part", "norm"]).groupBy("kind", "raw").agg(F.sort_array(F.collect_list(F.struct("nth", "surrogate"))).alias("g")).select("kind", "raw", _written(F.col("kind"), F.col("raw"), F.col("g.surrogate")).alias("new"))
     put = places.join(stored(written).select(F.col("raw").alias("of_raw"), F.col("kind").alias("of_kind"), "new"), (F.col("raw") == F.col("of_raw")) & (F.col("kind") == F.col("of_kind")))
-    per_doc = stored(put.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "raw", "new"))).alias("x")).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "x"))
+    per_doc = stored(put.groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("at", "kind", "raw", "new", "start"))).alias("x")).select(F.col("doc_id").alias("of"), F.col("h").alias("of_h"), "x"))
     met = own.where(hinted).join(per_doc, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("h") == F.col("of_h")), "left")
     gaps = F.split("text", ANY)
-    spans = F.aggregate(
-        F.arrays_zip(F.col("x").alias("e"), F.slice("gaps", 1, F.size("x")).alias("gap")), F.struct(F.array().cast("array<string>").alias("s"), F.lit(0).alias("n")),
-        lambda a, z: F.struct(F.array_append(a.s, F.concat_ws(":", z.e.kind, (a.n + F.length(z.gap)).cast("string"), (a.n + F.length(z.gap) + F.length(z.e.raw)).cast("string"))).alias("s"), (a.n + F.length(z.gap) + F.length(z.e.raw)).alias("n")),
-    )["s"]
+    spans = F.transform("x", lambda e: F.concat_ws(":", e.kind, e.start.cast("string"), (e.start + F.length(e.raw)).cast("string")))
     filled = F.array_join(F.transform("gaps", lambda g, i: F.concat(g, F.coalesce(F.get("x", i)["new"], F.lit("")))), "")
     shaped = met.select("doc_id", "text", "x", F.when(F.col("x").isNotNull(), gaps).alias("gaps"))
     some = F.col("x").isNotNull()

@@ -138,3 +138,19 @@ def test_clean_documents_and_empty(docs, no_docs):
     clean = [t for t in multiset(docs, "doc_id", "text") if not hint.search(t[1] or "")]
     assert len(clean) > 20 and not [t for t in clean if t not in multiset(out.where("n_entities = 0"), "doc_id", "text")] and out.count() == docs.count()
     assert pseudonymize(no_docs).count() == 0
+
+
+def test_very_long_tokens(spark):
+    """What one pattern could repeat without end: a defined result, in linear time."""
+    n = 100_000
+    texts = [
+        "x@" + "a." * n + "com", "x@" + "a." * n, "x@" + "a-" * n + ".com", "@" * n, "x@y" * n, "." * n + "@", "-" * n, "1" * n, "1 " * n, "1-" * n, "+" * n, "(" * n, "Mr" + " " * n, "Mr " + "A" * n, "Mr. " + "A-'" * n, "Dr " * n,
+        "DE44" + " 5001" * n, "1." * n, "é" * n + "@b.com", "a@b.com " * 20_000,
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r["doc_id"]: r for r in pseudonymize(df).collect()}
+    assert len(out) == len(texts)
+    assert out[0]["spans"] == f"email:0:{2 * n + 5}" and out[0]["text"].endswith(".com") and len(out[0]["text"]) == 2 * n + 5
+    assert out[1]["n_entities"] == 0 and out[13]["spans"] == f"name:0:{n + 3}"
+    assert out[19]["n_entities"] == 20_000 and out[19]["spans"].split(",")[-1] == "email:159992:159999" and "a@b.com" not in out[19]["text"]
+    assert all(out[i]["text"] == texts[i] for i in (3, 5, 6, 7, 10, 11, 12, 17))
