@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.sources.storage import shared_folder
+from tarn.operators.ordered import row_numbers, running_sum
+from tarn.sources.storage import discard, materialize, shared_folder
 
 
 def round_trip_csv(df: DataFrame, schema: str) -> DataFrame:
@@ -87,27 +88,79 @@ def resolved(logical: Column, places: dict[str, str]) -> Column:
     return out
 
 
-def chunks(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
-    """``chunk``: numbers from 0 in the order; a chunk ends with the row that takes its size over ``most``.
+#: Rows of a block, the unit that one task follows the chunks through.
+BLOCK = 65_536
 
-    Where a chunk ends depends on where the last one did, so one task reads the rows in their order; it holds a batch of
-    ids and sizes at a time, whatever their number. The other columns meet the numbers in a join.
+
+def _next_starts(df: DataFrame, order: str, size: str, most: int) -> DataFrame:
+    """``_key, ord, upto, next``: rows by their place, sizes up to and with the row, and where the chunk after one that begins here
+    would begin. That is one place behind the first row whose sum exceeds this row's earlier sum by more than ``most``; how
+    many sums are at most that much is a running count over sums and bounds together."""
+    lines = row_numbers(df.select(F.col(order).alias("_key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")), ["_key"])
+    sums = materialize(running_sum(materialize(lines, "lines"), ["ord"], "_size", "upto"), "sums")
+    if not sums.where("_size < 0").isEmpty():
+        raise ValueError("sizes of chunks can't be negative")
+    both = sums.select(F.col("upto").alias("v"), F.lit(0).alias("asks"), "ord").unionByName(sums.select((F.col("upto") - F.col("_size") + most).alias("v"), F.lit(1).alias("asks"), "ord"))
+    counted = running_sum(both.withColumn("one", 1 - F.col("asks")), ["v", "asks", "ord"], "one", "n").where("asks = 1")
+    return materialize(sums.join(counted.select("ord", (F.col("n") + 1).alias("next")), "ord"), "next")
+
+
+def _exits(most: int):
+    """Of the rows of a block at which a chunk may begin that follows one of an earlier block: where the chunks from there on leave the block."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ord")
+        first, n, nxt, upto, size = int(b["ord"].iloc[0]), len(b), b["next"].to_numpy(), b["upto"].to_numpy(), b["_size"].to_numpy()
+        out = nxt.copy()
+        for i in range(n - 1, -1, -1):  # later rows are done before those that lead to them
+            if nxt[i] < first + n:
+                out[i] = out[nxt[i] - first]
+        two_before = np.concatenate([np.full(min(n, 2), np.iinfo(np.int64).min), upto[:-2]])
+        at = two_before <= upto[0] - size[0] + most
+        at[0] = True
+        return pd.DataFrame({"entry": first + np.flatnonzero(at), "exit": out[at]})
+
+    return run
+
+
+def chunks(df: DataFrame, order: str, size: str, most: int, block: int = BLOCK) -> DataFrame:
+    """``chunk``: numbers from 0 in the order of the unique ``order``; a chunk ends with the row that takes its size over ``most``.
+
+    Where a chunk ends depends on where the last one did. Every row knows where the next chunk would begin if one began
+    there; blocks of rows are followed through by a task each, and what leads from block to block is followed by pointer
+    doubling over edge tables, in as many rounds as the logarithm of the number of blocks. Sizes may be 0, null counts as 0,
+    negative ones raise.
     """
-    kind = dict(df.dtypes)[order]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chunk, so_far = 0, 0
-        for batch in batches:
-            out = []
-            for s in batch["_size"].tolist():
-                if so_far > most:
-                    chunk, so_far = chunk + 1, 0
-                so_far += s
-                out.append(chunk)
-            yield pd.DataFrame({"_of": batch["_of"], "chunk": out})
-
-    lines = df.select(F.col(order).alias("_of"), F.col(size).cast("long").alias("_size")).repartitionByRange(1, "_of").sortWithinPartitions("_of")
-    return df.join(lines.mapInPandas(run, f"_of {kind}, chunk long"), F.col(order) == F.col("_of")).drop("_of")
+    lines = _next_starts(df, order, size, most).withColumn("_block", F.floor(F.col("ord") / block))
+    spark, n = df.sparkSession, lines.count()
+    jumps = materialize(lines.groupBy("_block").applyInPandas(_exits(most), "entry long, exit long").where(F.col("exit") < n), "edges")
+    begun = materialize(spark.createDataFrame([(0,)], "entry long"), "begun")
+    while not jumps.isEmpty():
+        further = begun.join(jumps, "entry").select(F.col("exit").alias("entry"))
+        more = materialize(begun.unionByName(further).distinct(), "begun")
+        twice = materialize(jumps.select("entry", F.col("exit").alias("via")).join(jumps.withColumnRenamed("entry", "via"), "via").select("entry", "exit"), "edges")
+        discard(begun)
+        discard(jumps)
+        begun, jumps = more, twice
+    entries = begun.groupBy(F.floor(F.col("entry") / block).alias("_block")).agg(F.min("entry").alias("entry"))
+
+    def starts(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("ord")
+        first, nxt, at, out = int(b["ord"].iloc[0]), b["next"].to_numpy(), int(b["entry"].iloc[0]), []
+        while at < first + len(nxt):
+            out.append(at)
+            at = int(nxt[at - first])
+        return pd.DataFrame({"ord": out})
+
+    begin = lines.join(entries, "_block").groupBy("_block").applyInPandas(starts, "ord long").withColumn("_begins", F.lit(1))
+    marked = lines.select("_key", "ord").join(begin, "ord", "left").select("_key", "ord", F.coalesce("_begins", F.lit(0)).alias("_begins"))
+    numbered = running_sum(marked, ["ord"], "_begins", "_chunk").select("_key", (F.col("_chunk") - 1).alias("chunk"))
+    return df.join(numbered, F.col(order) == F.col("_key")).drop("_key")
+
+
+def payloads(df: DataFrame, chunk: str, order: str, value: Column) -> DataFrame:
+    """``<chunk>, payload``: base64 of each row's bytes, joined by commas in their order. A chunk's size bounds what one row holds."""
+    return df.groupBy(chunk).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.base64(value).alias("b")))).alias("rows")).select(chunk, F.array_join("rows.b", ",").alias("payload"))
 
 
 def by_feature(df: DataFrame, feature: str, order: str) -> DataFrame:

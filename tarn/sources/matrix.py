@@ -33,19 +33,39 @@ def write(coo: DataFrame, at: str | None = None) -> str:
     return at
 
 
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """``line, file, block, id``: the lines of a file, or of a folder's files, with what orders them: the file's name, the
+    block of it that a task read, and the place in that task. Plain files may be split over tasks."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    return materialize(lines, "lines")
+
+
 def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """``line, place``: the lines of a text file, or of a folder's files by name, numbered from 0 where no line is repeated in a file."""
-    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("id"))
-    return row_numbers(materialize(lines, "lines"), ["file", "id"], "place")
+    """``line, place``: the lines in file order, numbered from 0."""
+    return row_numbers(_lines(spark, path), ["file", "block", "id"], "place").select("line", "place")
 
 
 def read(spark: SparkSession, at: str) -> DataFrame:
-    """``cell, feature, feature_type, n`` of a folder as 10x writes it; compressed files aren't split, so lines keep their order."""
+    """``cell, feature, feature_type, n`` of a folder as 10x writes it, in one file a table or several, compressed or not.
+
+    The sizes stand on the first line that is no comment; that line goes by its place, not by what it says. Fewer or more
+    entries, features or cells than they state, or an entry outside of them, raise a ValueError.
+    """
     part = lambda k: F.split("line", "\t")[k]
-    features = _numbered(spark, f"{at}/features.tsv*").select((F.col("place") + 1).alias("row"), part(1).alias("feature"), part(2).alias("feature_type"))
-    cells = _numbered(spark, f"{at}/barcodes.tsv*").select((F.col("place") + 1).alias("column"), F.col("line").alias("cell"))
-    body = spark.read.text(f"{at}/matrix.mtx*").where(~F.col("value").startswith("%"))
-    sizes = body.first()["value"]  # the first line that isn't a comment
-    number = lambda k: F.split("value", " ")[k].cast("long")
-    entries = body.where(F.col("value") != sizes).select(number(0).alias("row"), number(1).alias("column"), number(2).alias("n"))
+    features = materialize(_numbered(spark, f"{at}/features.tsv*").select((F.col("place") + 1).alias("row"), part(1).alias("feature"), part(2).alias("feature_type")), "features")
+    cells = materialize(_numbered(spark, f"{at}/barcodes.tsv*").select((F.col("place") + 1).alias("column"), F.col("line").alias("cell")), "cells")
+    body = _lines(spark, f"{at}/matrix.mtx*").where(~F.col("line").startswith("%") & (F.trim("line") != ""))
+    place = F.struct("file", "block", "id")
+    first = body.agg(F.min_by("line", place).alias("sizes"), F.min(place).alias("at")).first()
+    if first["sizes"] is None:
+        raise ValueError(f"{at} has no line of sizes")
+    number = lambda k: F.split(F.trim("line"), "\\s+")[k].cast("long")
+    sizes = (F.col("file") == first["at"]["file"]) & (F.col("block") == first["at"]["block"]) & (F.col("id") == first["at"]["id"])
+    entries = body.where(~sizes).select(number(0).alias("row"), number(1).alias("column"), number(2).alias("n"))
+    stated = tuple(map(int, first["sizes"].split()))
+    inside = F.col("row").between(1, stated[0]) & F.col("column").between(1, stated[1])
+    seen = entries.agg(F.count("*").alias("n"), F.count_if(~F.coalesce(inside, F.lit(False))).alias("out")).first()
+    found = (features.count(), cells.count(), seen["n"])
+    if found != stated or seen["out"]:
+        raise ValueError(f"{at} states {stated} features, cells and entries; there are {found}, {seen['out']} of the entries outside")
     return entries.join(features, "row").join(cells, "column").select("cell", "feature", "feature_type", "n")

@@ -15,23 +15,82 @@ def available_now(source: DataFrame, each, checkpoint: str) -> None:
     source.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert(spark: SparkSession, folder: str, file: str, schema, keys: list[str], order: list[str], per_batch: int = 1) -> DataFrame:
-    """The last row of each key over all files that ``file`` matches: every micro-batch merges into a new version of the
-    state, and a version is named only once it is whole, so a repeated batch does no harm."""
-    root = f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
-    at = {"path": None}
-
-    def merge(batch: DataFrame, number: int) -> None:
-        old = spark.read.schema(batch.schema).parquet(at["path"]) if at["path"] else None
-        both = batch.unionByName(old) if old is not None else batch
-        last = both.groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*order)).alias("r")).select("r.*")
-        path = f"{root}/v{number}"
-        last.write.mode("overwrite").parquet(path)
-        at["path"] = path
-
+#: Parts that the state of an upsert is kept in; a batch rewrites those that its keys fall into.
+BUCKETS = 32
+
+
+class State:
+    """The last row of each key, in a shared folder: versions of buckets, and for each batch a manifest of the versions in force.
+
+    A batch reads the manifest of the batch before it, writes the buckets that it touches under its own number, then its
+    manifest. So a batch that is stopped at any point can run again, and a later process finds the state by its folder.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, keys: list[str], order: list[str], buckets: int = BUCKETS):
+        self.spark, self.root, self.keys, self.order, self.buckets = spark, root, keys, order, buckets
+
+    def _there(self, path: str) -> bool:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+
+    def manifest(self, before: int | None = None) -> dict[int, int]:
+        """The version of every bucket after the last batch, or the last one before a number."""
+        if not self._there(f"{self.root}/manifest"):
+            return {}
+        rows = self.spark.read.schema("bucket int, version long, batch long").parquet(f"{self.root}/manifest")
+        rows = rows if before is None else rows.where(F.col("batch") < before)
+        last = rows.agg(F.max("batch")).first()[0]
+        return {r["bucket"]: r["version"] for r in rows.where(F.col("batch") == last).collect()} if last is not None else {}
+
+    def _buckets(self, versions: dict[int, int], schema) -> DataFrame | None:
+        paths = [f"{self.root}/v{v}/_bucket={b}" for b, v in sorted(versions.items())]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else None
+
+    def merge(self, batch: DataFrame, number: int) -> None:
+        """Merges one batch; the same number again replaces what it has written."""
+        old = self.manifest(number)
+        placed = batch.withColumn("_bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        touched = [r["_bucket"] for r in placed.select("_bucket").distinct().collect()]  # as many as there are buckets at most
+        if not touched:
+            return
+        before = self._buckets({b: old[b] for b in touched if b in old}, batch.schema)
+        both = batch if before is None else batch.unionByName(before)
+        last = both.groupBy(*self.keys).agg(F.max_by(F.struct(*batch.columns), F.struct(*self.order)).alias("r")).select("r.*")
+        bucket = F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
+        last.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket").parquet(f"{self.root}/v{number}")
+        now = [(b, number) for b in touched] + [(b, v) for b, v in old.items() if b not in touched]
+        self.spark.createDataFrame(now, "bucket int, version long").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/manifest/batch={number}")
+        self._forget(old, dict(now))
+
+    def _forget(self, old: dict[int, int], now: dict[int, int]) -> None:
+        """Deletes the versions that neither this batch's manifest nor the one before it names; the latter is what this batch would start from again."""
+        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        kept = {(b, v) for m in (old, now) for b, v in m.items()}
+        for b, v in old.items():
+            if now[b] != v:
+                for older in fs.globStatus(path(f"{self.root}/v*/_bucket={b}")) or []:
+                    number = int(older.getPath().getParent().getName()[1:])
+                    if (b, number) not in kept and number < v:
+                        fs.delete(older.getPath(), True)
+
+    def read(self, schema) -> DataFrame:
+        """The state after the last batch that is whole."""
+        got = self._buckets(self.manifest(), schema)
+        return self.spark.createDataFrame([], schema) if got is None else got
+
+
+def upsert(spark: SparkSession, folder: str, file: str, schema, keys: list[str], order: list[str], per_batch: int = 1, root: str | None = None) -> DataFrame:
+    """The last row of each key over all files that ``file`` matches, micro-batch by micro-batch.
+
+    State and checkpoint are kept below ``root``: called again with it, in this process or another, only new files are read
+    and the state goes on. Without it a new folder is taken.
+    """
+    root = root or f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+    state = State(spark, root, keys, order)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", file).parquet(folder)
-    available_now(source, merge, f"{root}/checkpoint")
-    return spark.read.parquet(at["path"])
+    available_now(source, state.merge, f"{root}/checkpoint")
+    return state.read(schema)
 
 
 def resumable(spark: SparkSession, folder: str, file: str, schema, transform, out: str, checkpoint: str) -> DataFrame:
