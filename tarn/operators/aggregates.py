@@ -61,12 +61,10 @@ def pairs_in(k: str = "k") -> Column:
 def sharing(df: DataFrame, levels: dict[str, list[str]]) -> DataFrame:
     """``level, pairs``: pairs that share all columns of a level, by k(k-1)/2, all levels in one pass of grouping sets."""
     columns = sorted({c for cs in levels.values() for c in cs})
-    spark, view = df.sparkSession, "sharing_input"
-    df.select(*columns).createOrReplaceTempView(view)
+    spark = df.sparkSession
     sets = ", ".join(f"({', '.join(cs)})" for cs in levels.values())
     flags = {name: sum(1 << (len(columns) - 1 - i) for i, c in enumerate(columns) if c not in cs) for name, cs in levels.items()}
-    grouped = spark.sql(f"SELECT grouping_id({', '.join(columns)}) AS g, count(*) AS k FROM {view} GROUP BY {', '.join(columns)} GROUPING SETS ({sets})")
-    spark.catalog.dropTempView(view)
+    grouped = spark.sql(f"SELECT grouping_id({', '.join(columns)}) AS g, count(*) AS k FROM {{rows}} GROUP BY {', '.join(columns)} GROUPING SETS ({sets})", rows=df.select(*columns))
     name = F.create_map(*[F.lit(x) for n, f in flags.items() for x in (f, n)])[F.col("g").cast("int")]
     return grouped.groupBy(name.alias("level")).agg(pairs_in().alias("pairs"))
 

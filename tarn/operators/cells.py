@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.functions.numeric import centred_log_ratio
+from tarn.operators.ordered import least_rank
+from tarn.sources.storage import materialize
 
 
 def demultiplex(coo: DataFrame, cell: str, tag: str, count: str, quantile: float = 0.99) -> DataFrame:
@@ -57,3 +59,26 @@ def program_score(df: DataFrame, cell: str, feature: str, value: str, program: l
     """Mean over the program's features less the mean over all others."""
     inside = F.col(feature).isin(*program)
     return df.groupBy(cell).agg((F.avg(F.when(inside, F.col(value))) - F.avg(F.when(~inside, F.col(value)))).alias("score"))
+
+
+def matched_score(df: DataFrame, cell: str, feature: str, value: str, program: DataFrame, bins: int = 25, controls: int = 50, seed: str = "0") -> DataFrame:
+    """``<cell>, score``: a program's mean value in each cell less that of control features that are as strongly expressed.
+
+    ``df`` holds the values that aren't 0; ``program(<feature>)`` the program. Features are ranked by their mean over all
+    cells, ties by the least rank, and cut into steps of round(n / (bins - 1)) ranks. From each step that has a feature of
+    the program, ``controls`` features outside of it are drawn, the first by md5 of seed and feature; all, where there are
+    fewer. Program features that no cell has don't count. A score is null where nothing can be drawn.
+    """
+    sums = df.groupBy(feature).agg(F.sum(value).alias("_sum"))  # in the order of the means, as all share the number of cells
+    n = sums.count()
+    step = max(1, round(n / (bins - 1)))
+    binned = materialize(least_rank(sums, "_sum", "_rank").select(feature, F.floor(F.col("_rank") / step).alias("_bin")).join(program.select(feature).distinct().withColumn("_in", F.lit(True)), feature, "left"), "bins")
+    asked = binned.where("_in").select("_bin").distinct()
+    drawn = Window.partitionBy("_bin").orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col(feature).cast("string"))), feature)
+    control = binned.where("_in is null").join(asked, "_bin", "left_semi").withColumn("_k", F.row_number().over(drawn)).where(F.col("_k") <= controls).select(feature, F.lit(False).alias("_in"))
+    used = materialize(binned.where("_in").select(feature, "_in").unionByName(control), "used")
+    sizes = used.agg(F.count_if("_in").alias("p"), F.count_if(~F.col("_in")).alias("c")).first()
+    if not sizes["p"] or not sizes["c"]:
+        return df.select(cell).distinct().withColumn("score", F.lit(None).cast("double"))
+    part = lambda inside, size: F.sum(F.when(inside, F.col(value)).otherwise(0.0)) / size
+    return df.join(used, feature, "left").groupBy(cell).agg((part(F.coalesce("_in", F.lit(False)), sizes["p"]) - part(F.coalesce(~F.col("_in"), F.lit(False)), sizes["c"])).alias("score"))

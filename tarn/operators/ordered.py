@@ -45,6 +45,13 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(upto, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
+def least_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """Ranks from 1, ties by the least of theirs."""
+    distinct = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = running_sum(distinct, ["_v"], "_n", "_upto").select("_v", (F.col("_upto") - F.col("_n") + 1).alias(name))
+    return df.join(upto, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
 def percentile_in(background: DataFrame, asked: DataFrame, value: str, name: str) -> DataFrame:
     """Percent of ``background`` at most as large as each asked value, by running counts over the distinct values."""
     both = background.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n")).unionByName(asked.select(F.col(value).alias("_v"), F.lit(0).cast("long").alias("_n"))).groupBy("_v").agg(F.sum("_n").alias("_n"))

@@ -36,26 +36,29 @@ def hamming(a: str, b: str) -> Column:
 def one_apart(df: DataFrame, ident: str, blocks: list[str], seq: str) -> DataFrame:
     """``a, b`` of rows that share ``blocks`` and a sequence length and differ in one place.
 
-    Each row gives one key a place: the sequence without that place's symbol. Rows one apart share exactly one, so they
-    meet by an equi-join, and a large block makes no pairs but those.
+    Each distinct sequence of a block gives one key a place: itself without that place's symbol. Sequences one apart share
+    exactly one, so they meet by an equi-join; the rows join only what is one apart, however often a sequence is repeated.
     """
-    s = df.select(F.col(ident).alias("id"), *blocks, F.col(seq).alias("s"))
-    holes = s.select("id", *blocks, "s", F.explode(F.sequence(F.lit(1), F.greatest(F.length("s"), F.lit(1)))).alias("at")).where(F.length("s") > 0)
+    rows = df.select(F.col(ident).alias("id"), *blocks, F.col(seq).alias("s"))
+    holes = rows.select(*blocks, "s").where(F.length("s") > 0).distinct().select(*blocks, "s", F.explode(F.sequence(F.lit(1), F.length("s"))).alias("at"))
     holes = holes.withColumn("hole", F.concat(F.expr("substring(s, 1, at - 1)"), F.lit("\0"), F.expr("substring(s, at + 1)")))
-    other = holes.select(F.col("id").alias("b"), *blocks, F.col("s").alias("s2"), "at", "hole")
-    return holes.select(F.col("id").alias("a"), *blocks, "s", "at", "hole").join(other, [*blocks, "at", "hole"]).where((F.col("a") < F.col("b")) & (F.col("s") != F.col("s2"))).select("a", "b")
+    near = holes.join(holes.withColumnRenamed("s", "s2"), [*blocks, "at", "hole"]).where(F.col("s") < F.col("s2")).select(*blocks, "s", "s2")
+    one = near.join(rows.withColumnRenamed("id", "i"), [*blocks, "s"]).select(*blocks, "i", "s2")
+    two = one.join(rows.select(*blocks, F.col("id").alias("j"), F.col("s").alias("s2")), [*blocks, "s2"])
+    return two.where(F.col("i") != F.col("j")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
 
 
-def near_points(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs ``a, b, d`` of ``id, x, y, z`` points at most ``radius`` apart, by a grid of that width and its neighbour cells."""
+def near_points(left: DataFrame, right: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs ``a, b, d`` of ``id, x, y, z`` points at most ``radius`` apart, by a grid of that width and its neighbour cells;
+    with ``by``, only points of the same values there."""
     cell = lambda c: F.floor(F.col(c) / radius)
     near = lambda c: F.array(cell(c) - 1, cell(c), cell(c) + 1)
-    l_ = left.select(F.col("id").alias("a"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
-    r = right.select(F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[near(c).alias(f"n{c}") for c in "xyz"])
+    l_ = left.select(*by, F.col("id").alias("a"), *[F.col(c).alias(f"{c}1") for c in "xyz"], *[cell(c).alias(f"c{c}") for c in "xyz"])
+    r = right.select(*by, F.col("id").alias("b"), *[F.col(c).alias(f"{c}2") for c in "xyz"], *[near(c).alias(f"n{c}") for c in "xyz"])
     for c in "xyz":
         r = r.withColumn(f"c{c}", F.explode(f"n{c}"))
     d2 = sum((F.col(f"{c}1") - F.col(f"{c}2")) * (F.col(f"{c}1") - F.col(f"{c}2")) for c in "xyz")
-    return l_.join(r, ["cx", "cy", "cz"]).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius).select("a", "b", "d")
+    return l_.join(r, [*by, "cx", "cy", "cz"]).withColumn("d", F.sqrt(d2)).where(F.col("d") <= radius).select(*by, "a", "b", "d")
 
 
 def best_match(pairs: DataFrame, key: str, candidate: str, equal: Column, least: int, accept: float) -> DataFrame:

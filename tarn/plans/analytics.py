@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tarn.functions import numeric, sequence
 from tarn.operators import checks, clustering, distances, frames, labels, ordered, panel, voxel
+from tarn.operators.relations import near_points
 from tarn.plans.registry import Tables, query
 from tarn.sources.storage import materialize
 
@@ -149,6 +150,49 @@ def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", frames.principal_axes).withColumnRenamed("value", "axes")
 
 
+def _own_axes(p: np.ndarray) -> list[float]:
+    """Axes by row, origin, angle and spread of a structure whose first ten points pair with its second ten."""
+    o = p[[7, 9, 17, 19]].mean(0)
+    f = frames.intrinsic_axes(p[:10], p[10:20], o, p[[8, 9, 18, 19, 20]].mean(0), p[12:14].mean(0) - p[2:4].mean(0))
+    return [*f["axes"].ravel().tolist(), *o.tolist(), f["angle"], f["spread"]]
+
+
+def intrinsic_of(t: Tables):
+    return frames.map_points(_points(t), "vec_id", "points", "array<double>", _own_axes)
+
+
+@query("N05_intrinsic_axes")
+def _(t: Tables):
+    """The pseudo-dyad of the two halves as z, with the angle that it turns by and how far other draws of pairs move it."""
+    r = lambda a: F.transform(a, lambda x: F.round(x, 6))
+    return intrinsic_of(t).select("vec_id", r(F.slice("value", 1, 9)).alias("axes"), r(F.slice("value", 10, 3)).alias("origin"), F.round(F.col("value")[12], 4).alias("angle"), F.round(F.col("value")[13], 4).alias("spread"))
+
+
+@query("N05_axis_laws", "SELECT vec_id, 0.0::DOUBLE AS off, 1.0::DOUBLE AS det FROM embeddings")
+def _(t: Tables):
+    """What holds of every frame: rows of length 1 at right angles, and a right hand."""
+    v = [F.col("value")[i] for i in range(9)]
+    dot = lambda i, j: sum((v[3 * i + k] * v[3 * j + k] for k in range(3)), F.lit(0.0))
+    off = sum((F.abs(dot(i, j) - (1.0 if i == j else 0.0)) for i in range(3) for j in range(i, 3)), F.lit(0.0))
+    det = v[0] * (v[4] * v[8] - v[5] * v[7]) - v[1] * (v[3] * v[8] - v[5] * v[6]) + v[2] * (v[3] * v[7] - v[4] * v[6])
+    return intrinsic_of(t).select("vec_id", F.abs(F.round(off, 6)).alias("off"), F.round(det, 6).alias("det"))
+
+
+@query("N06_contact_validation")
+def _(t: Tables):
+    """Of the structures whose last three points touch the others within 5: the share in which those points' centre lies
+    above the origin, and the median of its angle from z and of its distance from that axis."""
+    a = atoms_of(t).select("structure", "pos", F.col("pos").alias("id"), "x", "y", "z")
+    ligand, rest = a.where("pos >= 18"), a.where("pos < 18")
+    touching = near_points(rest, ligand, 5.0, ("structure",)).select("structure").distinct()
+    centre = ligand.join(touching, "structure").groupBy("structure").agg(*[F.avg(c).alias(c) for c in "xyz"])
+    axes = intrinsic_of(t).select(F.col("vec_id").alias("structure"), "value")
+    local = centre.join(axes, "structure").select(*[sum(((F.col(c) - 8 * F.col("value")[9 + k]) * F.col("value")[3 * i + k] for k, c in enumerate("xyz")), F.lit(0.0)).alias(n) for i, n in enumerate("uvw")])
+    away = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))
+    angle = F.degrees(F.atan2(away, F.col("w")))
+    return local.agg(F.count("*").alias("touching"), F.round(F.avg((F.col("w") > 0).cast("int")), 6).alias("above"), F.round(F.percentile(angle, 0.5), 4).alias("angle"), F.round(F.percentile(away, 0.5), 4).alias("off_axis"))
+
+
 @query("N06_axis_validation")
 def _(t: Tables):
     """Share of structures whose centre lies on the positive side of the z axis."""
@@ -166,9 +210,26 @@ def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.arc_resampled(p, 10).ravel().tolist()).withColumnRenamed("value", "site")
 
 
-@query("N09_shape_moments")
+_CHANNELS_OF = [(r, c) for r, c in sequence.shape_channels() if r in _RES]
+_FROM = lambda to: " + ".join(f"(p.{c} - {to}.{c}) ** 2" for c in "xyz")
+
+
+@query(
+    "N09_shape_moments",
+    f"""WITH a AS ({_ATOM_SQL}), p AS (SELECT a.*, channel FROM a JOIN (VALUES {', '.join(map(str, _CHANNELS_OF))}) m(resname, channel) USING (resname)),
+    c AS (SELECT structure, channel, count(*) AS n, {{'x': avg(x), 'y': avg(y), 'z': avg(z)}} AS centroid FROM p GROUP BY 1, 2),
+    f AS (SELECT structure, channel, min_by({{'x': x, 'y': y, 'z': z}}, (sqrt({_FROM('centroid')}), pos)) AS nearest, max_by({{'x': x, 'y': y, 'z': z}}, (sqrt({_FROM('centroid')}), -pos)) AS farthest FROM p JOIN c USING (structure, channel) GROUP BY 1, 2),
+    o AS (SELECT structure, channel, max_by({{'x': x, 'y': y, 'z': z}}, (sqrt({_FROM('farthest')}), -pos)) AS opposite FROM p JOIN f USING (structure, channel) GROUP BY 1, 2),
+    d AS (SELECT structure, channel, n, reference, sqrt({_FROM('place')}) AS d FROM p JOIN (SELECT structure, channel, n, unnest(['centroid', 'nearest', 'farthest', 'opposite']) AS reference, unnest([centroid, nearest, farthest, opposite]) AS place FROM c JOIN f USING (structure, channel) JOIN o USING (structure, channel)) USING (structure, channel)),
+    m AS (SELECT structure, channel, reference, avg(d) AS mean, stddev_pop(d) AS sd FROM d GROUP BY ALL)
+    SELECT structure, channel, reference, CASE WHEN any_value(n) < 4 THEN 0 ELSE round(any_value(mean), 5) END AS mean, CASE WHEN any_value(n) < 4 THEN 0 ELSE round(any_value(sd), 5) END AS sd, CASE WHEN any_value(n) < 4 THEN 0 ELSE round(cbrt(avg((d - mean) ** 3)), 4) END AS skew
+    FROM d JOIN m USING (structure, channel, reference) GROUP BY ALL""",
+)
 def _(t: Tables):
-    return frames.map_points(_points(t), "vec_id", "points", "array<double>", frames.shape_moments).withColumnRenamed("value", "moments")
+    """Shape moments of five channels of residues; a channel that a structure has no points of has no rows."""
+    kinds = t.spark.createDataFrame(sequence.shape_channels(), "resname string, channel string")
+    m = frames.shape_moments(atoms_of(t).join(F.broadcast(kinds), "resname"), ["structure", "channel"], "pos")
+    return m.select("structure", "channel", "reference", F.round("mean", 5).alias("mean"), F.round("sd", 5).alias("sd"), F.round("skew", 4).alias("skew"))
 
 
 @query("N10_exposed_points")
@@ -183,13 +244,46 @@ def _(t: Tables):
     return atoms_of(t).where(F.col("resnum").between(105, 117)).groupBy("resname").agg(F.count("*").alias("n"), F.round(F.avg("x"), 6).alias("mean_x"))
 
 
-@query("N12_property_descriptor", f"WITH a AS ({_ATOM_SQL}), r AS (SELECT structure, resname, avg(x) AS v FROM a GROUP BY 1, 2) SELECT structure, resname, round((v - avg(v) OVER (PARTITION BY resname)) / stddev_pop(v) OVER (PARTITION BY resname), 6) AS z FROM r")
+_PROPERTIES = "(VALUES " + ", ".join(str((r, *map(float, v))) for r, v in sequence.PROPERTIES.items()) + f") m(resname, {', '.join(sequence.PROPERTY_NAMES)})"
+
+
+def _arc_sql(paths: str, keys: str, order: str, values: list[str], n: int) -> str:
+    """Values at equal arc lengths of the rows of ``paths``: the step that each length lies on, by a join on its interval."""
+    before = ", ".join(f"lag({v}) OVER w AS b_{v}" for v in values)
+    between = ", ".join(f"CASE WHEN k = 0 THEN {v} ELSE b_{v} + (least(k * whole / {n - 1}, whole) - begin) / (upto - begin) * ({v} - b_{v}) END AS {v}" for v in values)
+    return f"""s AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2 + (z - lag(z) OVER w) ** 2), 0) AS step, {before}, row_number() OVER w AS nth FROM {paths} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})),
+    u AS (SELECT *, sum(step) OVER (PARTITION BY {keys} ORDER BY nth) AS upto, sum(step) OVER (PARTITION BY {keys} ORDER BY nth) - step AS begin FROM s),
+    t AS (SELECT *, max(upto) OVER (PARTITION BY {keys}) AS whole FROM u),
+    r AS (SELECT {keys}, k AS place, {between} FROM t JOIN range(0, {n}) q(k) ON (k = 0 AND nth = 1) OR (k > 0 AND nth > 1 AND least(k * whole / {n - 1}, whole) > begin AND least(k * whole / {n - 1}, whole) <= upto))"""
+
+
+@query(
+    "N12_property_descriptor",
+    f"WITH a AS ({_ATOM_SQL}), p AS (SELECT structure, CASE WHEN pos < 10 THEN 'A' ELSE 'B' END AS chain, pos, x, y, z, m.* FROM a JOIN {_PROPERTIES} USING (resname)), {_arc_sql('p', 'structure, chain', 'pos', sequence.PROPERTY_NAMES, 10)} SELECT structure, chain, place::INT AS place, "
+    + ", ".join(f"round(({v} - avg({v}) OVER ()) / stddev_pop({v}) OVER (), 5) + 0.0 AS {v}" for v in sequence.PROPERTY_NAMES)
+    + " FROM r",
+)
+def _(t: Tables):
+    """Five properties at ten equal arc lengths of each chain, over their mean and deviation in all chains."""
+    table = t.spark.createDataFrame([(r, *map(float, v)) for r, v in sequence.PROPERTIES.items()], "resname string, " + ", ".join(f"{n} double" for n in sequence.PROPERTY_NAMES))
+    places = materialize(frames.arc_places(atoms_of(t).join(F.broadcast(table), "resname"), ["structure", "chain"], "pos", sequence.PROPERTY_NAMES, 10), "places")
+    m = places.agg(*[f(n).alias(f"{n}_{k}") for n in sequence.PROPERTY_NAMES for k, f in (("m", F.avg), ("s", F.stddev_pop))])
+    return places.crossJoin(F.broadcast(m)).select("structure", "chain", "place", *[(F.round((F.col(n) - F.col(f"{n}_m")) / F.col(f"{n}_s"), 5) + 0.0).alias(n) for n in sequence.PROPERTY_NAMES])
+
+
+@query("N12_property_means", f"WITH a AS ({_ATOM_SQL}), r AS (SELECT structure, resname, avg(x) AS v FROM a GROUP BY 1, 2) SELECT structure, resname, round((v - avg(v) OVER (PARTITION BY resname)) / stddev_pop(v) OVER (PARTITION BY resname), 6) AS z FROM r")
 def _(t: Tables):
     r = atoms_of(t).groupBy("structure", "resname").agg(F.avg("x").alias("v"))
     m = r.groupBy("resname").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd"))
     return r.join(m, "resname").select("structure", "resname", F.round((F.col("v") - F.col("m")) / F.col("sd"), 6).alias("z"))
 
 
+@query("X23_arc_resample", f"WITH a AS ({_ATOM_SQL}), {_arc_sql('a', 'structure', 'pos', ['x', 'y', 'z'], 10)} SELECT structure, place::INT AS place, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z FROM r")
+def _(t: Tables):
+    """Ten points at equal arc lengths of each structure's path."""
+    return frames.arc_places(atoms_of(t), ["structure"], "pos", ["x", "y", "z"], 10).select("structure", "place", *[F.round(c, 5).alias(c) for c in "xyz"])
+
+
 @query("N13_landmarks")
 def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.arc_resampled(p, 40)[::4].ravel().tolist()).withColumnRenamed("value", "landmarks")
@@ -220,6 +314,15 @@ def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.hinge(p, ref)).select("vec_id", F.transform("value", lambda x: F.round(x, 6)).alias("pose"))
 
 
+@query("N17_pose_distance")
+def _(t: Tables):
+    """Distance of each structure's two-way placed anchors from those of the next one."""
+    _, ref = frames.medoid(_points(t), "vec_id", "points")
+    poses = materialize(frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.two_way_pose(p, ref, 10).ravel().tolist()), "poses")
+    two = next_pairs(t).join(poses.select(F.col("vec_id").alias("a"), F.col("value").alias("x")), "a").join(poses.select(F.col("vec_id").alias("b"), F.col("value").alias("y")), "b")
+    return two.select("a", "b", F.round(distances.rms("x", "y", 21), 6).alias("d_hinge"))
+
+
 @query("X24_nearest_resample")
 def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.nearest_resampled(p, 8).ravel().tolist()).withColumnRenamed("value", "v")
@@ -276,11 +379,30 @@ def _(t: Tables):
     return voxel.removal_d2(grid_of(t), removed, next_pairs(t), "structure", H).select("a", "b", F.round("d2", 6).alias("d2"))
 
 
-@query("N26_exact_split", f"WITH {_GRID}, {_NEXT}, {_CELLS} SELECT channel, round(sum(m * m) / 8, 5) AS part FROM s GROUP BY 1")
+@query("N26_channel_split", f"WITH {_GRID}, {_NEXT}, {_CELLS} SELECT channel, round(sum(m * m) / 8, 5) AS part FROM s GROUP BY 1")
 def _(t: Tables):
     return voxel.grid_parts(grid_of(t), next_pairs(t), "structure", H).groupBy("channel").agg(F.round(F.sum("d2"), 5).alias("part"))
 
 
+_BY_CHAIN = _GRID.replace("e AS (SELECT structure,", "e AS (SELECT structure, CASE WHEN pos < 10 THEN 'A' ELSE 'B' END AS chain,").replace("g AS (SELECT structure,", "g AS (SELECT structure, chain,")
+
+
+@query(
+    "N26_exact_split",
+    f"""WITH {_BY_CHAIN}, o AS (SELECT g.*, label FROM g JOIN embeddings ON vec_id = structure WHERE channel < 7), n AS (SELECT structure, chain, channel, sum(mass * mass) AS q FROM o GROUP BY ALL),
+    x AS (SELECT u.structure AS a, v.structure AS b, u.chain, u.channel, sum(u.mass * v.mass) AS dot FROM o u JOIN o v ON u.label = v.label AND u.structure <> v.structure AND u.chain = v.chain AND u.channel = v.channel AND u.ix = v.ix AND u.iy = v.iy AND u.iz = v.iz GROUP BY ALL),
+    m AS (SELECT a.vec_id AS a, b.vec_id AS b, chain, channel FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id JOIN (SELECT DISTINCT label, chain, channel FROM o) k ON k.label = a.label)
+    SELECT m.a AS structure, m.chain, m.channel, round(avg(coalesce(na.q, 0) + coalesce(nb.q, 0) - 2 * coalesce(dot, 0)) / 8, 5) AS d2
+    FROM m LEFT JOIN n na ON na.structure = m.a AND na.chain = m.chain AND na.channel = m.channel LEFT JOIN n nb ON nb.structure = m.b AND nb.chain = m.chain AND nb.channel = m.channel
+    LEFT JOIN x ON x.a = m.a AND x.b = m.b AND x.chain = m.chain AND x.channel = m.channel GROUP BY 1, 2, 3""",
+)
+def _(t: Tables):
+    """For every structure the 14 parts (two chains, seven channels) of its mean squared distance to the others of its label."""
+    g = voxel.raster(voxel.typed(atoms_of(t)), ["structure", "chain"], LOW, SHAPE, SIGMA, H).where(F.col("channel") < voxel.PRIMARY)
+    members = t.embeddings.select(F.col("vec_id").alias("structure"), "label")
+    return voxel.split_from_rest(g, members, "structure", "label", ["chain", "channel"], H).select("structure", "chain", "channel", F.round("d2", 5).alias("d2"))
+
+
 @query("N27_mean_grid", f"WITH {_GRID}, n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), c AS (SELECT label, channel, ix, iy, iz, sum(mass) / any_value(n) AS mass FROM g JOIN embeddings ON vec_id = structure JOIN n USING (label) GROUP BY ALL) SELECT label, channel, round(sum(mass), 6) AS mass FROM c GROUP BY 1, 2")
 def _(t: Tables):
     members = t.embeddings.select(F.col("vec_id").alias("structure"), "label")
@@ -608,7 +730,24 @@ def _(t: Tables):
     return dispersion(t.events, "event_type", "value").select("event_type", F.round("dispersion", 6).alias("dispersion"))
 
 
-@query("N69_program_score", "SELECT user_id, round(avg(value) FILTER (event_type IN ('click', 'view')) - avg(value) FILTER (event_type NOT IN ('click', 'view')), 6) AS score FROM events GROUP BY 1")
+@query(
+    "N69_program_score",
+    """WITH v AS (SELECT l_suppkey, l_partkey, sum(l_quantity) AS x FROM lineitem GROUP BY 1, 2), f AS (SELECT l_partkey, sum(x) AS s FROM v GROUP BY 1),
+    b AS (SELECT l_partkey, rank() OVER (ORDER BY s) // greatest(1, round_even(count(*) OVER () / 24.0::DOUBLE, 0)::BIGINT) AS bin, p_size = 7 AS inside FROM f JOIN part ON p_partkey = l_partkey),
+    c AS (SELECT l_partkey FROM b WHERE NOT inside AND bin IN (SELECT bin FROM b WHERE inside) QUALIFY row_number() OVER (PARTITION BY bin ORDER BY md5('0|' || l_partkey), l_partkey) <= 50),
+    u AS (SELECT l_partkey, 1.0::DOUBLE / (SELECT count(*) FROM b WHERE inside) AS w FROM b WHERE inside UNION ALL SELECT l_partkey, -1.0::DOUBLE / (SELECT count(*) FROM c) FROM c)
+    SELECT l_suppkey, round(sum(x * coalesce(w, 0)), 6) AS score FROM v LEFT JOIN u USING (l_partkey) GROUP BY 1""",
+)
+def _(t: Tables):
+    """Suppliers as cells, parts as features: parts of size 7 against drawn parts that are sold as much."""
+    from tarn.operators.cells import matched_score
+
+    v = t.lineitem.groupBy("l_suppkey", "l_partkey").agg(F.sum("l_quantity").alias("x"))
+    program = t.part.where("p_size = 7").select(F.col("p_partkey").alias("l_partkey"))
+    return matched_score(v, "l_suppkey", "l_partkey", "x", program).select("l_suppkey", F.round("score", 6).alias("score"))
+
+
+@query("N69_score_against_rest", "SELECT user_id, round(avg(value) FILTER (event_type IN ('click', 'view')) - avg(value) FILTER (event_type NOT IN ('click', 'view')), 6) AS score FROM events GROUP BY 1")
 def _(t: Tables):
     from tarn.operators.cells import program_score
 

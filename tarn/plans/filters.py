@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tarn.operators import filters as op
 from tarn.plans.registry import Tables, query
+from tarn.sources.storage import materialize
 from tarn.sources import files
 
 
@@ -258,6 +259,20 @@ def _(t: Tables):
     return files.chunks(sizes, "conv_id", "len", 4000).groupBy("chunk").agg(F.count("*").alias("items"), F.sum("len").alias("chars"))
 
 
+@query(
+    "K06_chunk_payloads",
+    """WITH RECURSIVE s AS (SELECT conv_id, sum(length(text)) AS len, row_number() OVER (ORDER BY conv_id) AS i, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY 1),
+    w AS (SELECT i, conv_id, len, len AS sofar, 0 AS chunk FROM s WHERE i = 1 UNION ALL SELECT s.i, s.conv_id, s.len, CASE WHEN w.sofar > 4000 THEN s.len ELSE w.sofar + s.len END, CASE WHEN w.sofar > 4000 THEN w.chunk + 1 ELSE w.chunk END FROM w JOIN s ON s.i = w.i + 1)
+    SELECT chunk::BIGINT AS chunk, md5(string_agg(to_base64(encode(coalesce(body, ''))), ',' ORDER BY w.conv_id)) AS payload_md5 FROM w JOIN s USING (i) GROUP BY 1""",
+)
+def _(t: Tables):
+    """Each chunk's conversations as base64, in their order."""
+    turns = F.sort_array(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("turn", "text"))))
+    whole = t.conversations.groupBy("conv_id").agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("len"), F.array_join(turns["text"], "\n").alias("body"))
+    got = files.payloads(files.chunks(materialize(whole, "conversations"), "conv_id", "len", 4000), "chunk", "conv_id", F.encode("body", "UTF-8"))
+    return got.select("chunk", F.md5("payload").alias("payload_md5"))
+
+
 @query("K07_quantised_features", """WITH e AS (SELECT event_type, user_id, max(value) AS v FROM events GROUP BY 1, 2), m AS (SELECT event_type, max(v) AS vmax FROM e GROUP BY 1)
 SELECT event_type AS feature, user_id, greatest(1, least(255, round_even(255 * v / vmax, 0)))::INT AS code FROM e JOIN m USING (event_type)""")
 def _(t: Tables):

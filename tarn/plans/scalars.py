@@ -136,7 +136,7 @@ def _(t: Tables):
     return u.select("vec_id", F.transform("u", lambda x: F.round(x, 6)).alias("u"))
 
 
-@query("X23_arc_resample", "SELECT vec_id, list_transform(range(0, 10), lambda i: round(embedding[least(floor(i * 63 / 9.0::DOUBLE)::INT, 62) + 1]::DOUBLE + (i * 63 / 9.0::DOUBLE - least(floor(i * 63 / 9.0::DOUBLE)::INT, 62)) * (embedding[least(floor(i * 63 / 9.0::DOUBLE)::INT, 62) + 2]::DOUBLE - embedding[least(floor(i * 63 / 9.0::DOUBLE)::INT, 62) + 1]::DOUBLE), 6)) AS v FROM embeddings")
+@query("X23_index_resample", "SELECT vec_id, list_transform(range(0, 10), lambda i: round(embedding[least(floor(i * 63 / 9.0::DOUBLE)::INT, 62) + 1]::DOUBLE + (i * 63 / 9.0::DOUBLE - least(floor(i * 63 / 9.0::DOUBLE)::INT, 62)) * (embedding[least(floor(i * 63 / 9.0::DOUBLE)::INT, 62) + 2]::DOUBLE - embedding[least(floor(i * 63 / 9.0::DOUBLE)::INT, 62) + 1]::DOUBLE), 6)) AS v FROM embeddings")
 def _(t: Tables):
     return t.embeddings.select("vec_id", numeric.resample("embedding", 10).alias("v")).select("vec_id", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
 

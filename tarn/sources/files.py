@@ -159,8 +159,8 @@ def chunks(df: DataFrame, order: str, size: str, most: int, block: int = BLOCK)
 
 
 def payloads(df: DataFrame, chunk: str, order: str, value: Column) -> DataFrame:
-    """``<chunk>, payload``: base64 of each row's bytes, joined by commas in their order. A chunk's size bounds what one row holds."""
-    return df.groupBy(chunk).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.base64(value).alias("b")))).alias("rows")).select(chunk, F.array_join("rows.b", ",").alias("payload"))
+    """``<chunk>, payload``: base64 of each row's bytes, without line breaks, joined by commas in their order. A chunk's size bounds what one row holds."""
+    return df.groupBy(chunk).agg(F.sort_array(F.collect_list(F.struct(F.col(order), F.translate(F.base64(value), "\r\n", "").alias("b")))).alias("rows")).select(chunk, F.array_join("rows.b", ",").alias("payload"))
 
 
 def by_feature(df: DataFrame, feature: str, order: str) -> DataFrame:
