@@ -132,6 +132,44 @@ def random_groups(df: DataFrame, ident: str, sizes: list[int], draws: int) -> Da
     return keyed.withColumn("k", rank).where(F.col("k") <= F.col("size")).select("draw", "size", ident)
 
 
+def drawn_groups(df: DataFrame, ident: str, columns: list[str], sizes: list[int], draws: int) -> DataFrame:
+    """``draw, size, <ident>, *columns``: as ``random_groups``, without moving all rows for every draw.
+
+    A draw takes the rows of least md5, so only those below a bound that lets through a little more than ``size`` rows can
+    be among them; where it let through fewer, that draw is taken again without a bound.
+    """
+    n = df.count()
+    share = lambda size: 1.0 if n <= size else min(1.0, (size + 6 * math.sqrt(size) + 30) / n)
+    cases = [(draw, size, int(share(size) * (1 << 32))) for size in sorted(set(sizes)) for draw in range(draws)]
+
+    def taken(some: list[tuple[int, int, int]]) -> DataFrame:
+        each = df.sparkSession.createDataFrame(some, "draw long, size long, cut long")  # as many as draws and sizes
+        u = F.md5(F.concat_ws("|", F.col(ident).cast("string"), F.col("draw").cast("string"), F.col("size").cast("string")))
+        keyed = df.select(ident, *columns).crossJoin(F.broadcast(each)).withColumn("_u", u).where(F.conv(F.substring("_u", 1, 8), 16, 10).cast("long") < F.col("cut"))
+        rank = F.row_number().over(Window.partitionBy("draw", "size").orderBy("_u", ident))
+        return materialize(keyed.withColumn("_k", rank).where(F.col("_k") <= F.col("size")).select("draw", "size", ident, *columns), "groups")
+
+    got = taken(cases)
+    full = {(r["draw"], r["size"]) for r in got.groupBy("draw", "size").count().where(F.col("count") >= F.least("size", F.lit(n))).collect()}
+    short = [(d, s, 1 << 32) for d, s, _ in cases if (d, s) not in full]
+    if not short:
+        return got
+    again = taken(short)
+    return got.join(again.select("draw", "size").distinct(), ["draw", "size"], "left_anti").select(got.columns).unionByName(again)
+
+
+def against_groups(df: DataFrame, ident: str, cluster: str, statistic: Column, columns: list[str], draws: int = 200) -> DataFrame:
+    """``<cluster>, size, observed, random_mean, ratio, below``: a statistic of each cluster's rows against that of groups of
+    its size drawn from all rows; ``below`` is the share of draws at or below the cluster. Clusters of one are left out."""
+    observed = materialize(df.groupBy(cluster).agg(F.count("*").alias("size"), statistic.alias("observed")).where("size > 1"), "observed")
+    sizes = [r["size"] for r in observed.select("size").distinct().collect()]
+    if not sizes:
+        return observed.select(cluster, "size", "observed", *[F.lit(None).cast("double").alias(c) for c in ("random_mean", "ratio", "below")])
+    values = drawn_groups(df, ident, columns, sizes, draws).groupBy("size", "draw").agg(statistic.alias("_v"))
+    both = observed.join(values, "size").groupBy(cluster, "size", "observed").agg(F.avg("_v").alias("random_mean"), F.avg((F.col("_v") <= F.col("observed")).cast("int")).alias("below"))
+    return both.select(cluster, "size", "observed", "random_mean", F.try_divide("observed", "random_mean").alias("ratio"), "below")
+
+
 def weight_grid(pairs: DataFrame, weights: list[float], own: Column, background: Column) -> DataFrame:
     """``w, s, share``: one grouped pass over pairs times weights. ``own`` and ``background`` use the column ``w``."""
     many = pairs.withColumn("w", F.explode(F.array(*[F.lit(w) for w in weights])))

@@ -299,6 +299,77 @@ def _(t: Tables):
     return frames.map_points(_points(t), "vec_id", "points", "array<double>", lambda p: frames.pair_vectors(p, 30)).select("vec_id", F.size("value").alias("k"))
 
 
+#: Landmarks and loops of a structure: five points and a loop a chain.
+_MARKS, _LOOPS = [*range(5), *range(10, 15)], [slice(5, 10), slice(15, 21)]
+
+
+def _seen(p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Landmarks, traces and sides of a batch: a side point lies half as far again from its loop's centre as the trace."""
+    trace = [np.stack([frames.arc_resampled(q[loop], n) for q in p]) for loop in _LOOPS]
+    side = [1.5 * a - 0.5 * p[:, loop].mean(1, keepdims=True) for a, loop in zip(trace, _LOOPS, strict=True)]
+    return p[:, _MARKS], np.concatenate(trace, 1), np.concatenate(side, 1)
+
+
+_FIELDS = ["vg", "vc", "vs", "ug", "uc", "us"]
+
+
+def features_of(t: Tables, n: int):
+    """Vector features of every structure, scaled by 8, in the frames of the medoid's landmarks."""
+    _, ref = frames.medoid(_points(t), "vec_id", "points")
+    template = 8 * ref[_MARKS]
+    return frames.map_structures(_points(t), "vec_id", "points", _FIELDS, lambda p: frames.vector_features(*_seen(8 * p, n), template))
+
+
+def _norms_sql(n: int) -> str:
+    """Squared norms of the blocks, which no frame changes, from the places themselves."""
+    return f"""WITH a AS ({_ATOM_SQL}), l AS (SELECT structure, CASE WHEN pos < 10 THEN 'A' ELSE 'B' END AS chain, pos, x, y, z FROM a WHERE pos BETWEEN 5 AND 9 OR pos >= 15), {_arc_sql('l', 'structure, chain', 'pos', ['x', 'y', 'z'], n)},
+    c AS (SELECT structure, chain, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM l GROUP BY 1, 2), b AS (SELECT r.*, 1.5 * x - 0.5 * cx AS sx, 1.5 * y - 0.5 * cy AS sy, 1.5 * z - 0.5 * cz AS sz FROM r JOIN c USING (structure, chain)),
+    o AS (SELECT structure, chain, x, y, z FROM b UNION ALL SELECT structure, chain, sx, sy, sz FROM b),
+    m AS (SELECT structure, CASE WHEN pos < 10 THEN 'A' ELSE 'B' END AS mark_chain, pos % 10 >= 3 AS stem, x AS mx, y AS my, z AS mz FROM a WHERE pos < 5 OR pos BETWEEN 10 AND 14),
+    v AS (SELECT structure, sum(d) AS vg, sum(d) FILTER (chain = mark_chain) AS vc, sum(d) FILTER (stem) AS vs FROM (SELECT *, (x - mx) ** 2 + (y - my) ** 2 + (z - mz) ** 2 AS d FROM o JOIN m USING (structure)) GROUP BY 1),
+    ways AS (SELECT structure, count(*) FILTER (sqrt((sx - x) ** 2 + (sy - y) ** 2 + (sz - z) ** 2) >= 0.5) AS u FROM b GROUP BY 1)
+    SELECT structure AS vec_id, round(vg, 4) AS vg, round(vc, 4) AS vc, round(vs, 4) AS vs, u::DOUBLE AS ug, u::DOUBLE AS uc, u::DOUBLE AS us FROM v JOIN ways USING (structure)"""
+
+
+def _norms(t: Tables, n: int):
+    square = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x * x), 4)
+    return features_of(t, n).select("vec_id", *[square(c).alias(c) for c in _FIELDS])
+
+
+@query("N14_frame_features")
+def _(t: Tables):
+    """Vectors and directions in three frames: 3 x 400, 200 and 160 numbers, and 3 x 20 each."""
+    return features_of(t, 10).select("vec_id", *[F.transform(c, lambda x: F.round(x, 4)).alias(c) for c in _FIELDS])
+
+
+@query("N14_frame_norms", _norms_sql(10))
+def _(t: Tables):
+    return _norms(t, 10)
+
+
+@query("N15_frame_norms_30", _norms_sql(30))
+def _(t: Tables):
+    return _norms(t, 30)
+
+
+@query("N13_own_frame", f"WITH a AS ({_ATOM_SQL}), o AS (SELECT structure, avg(x) AS ox, avg(y) AS oy, avg(z) AS oz FROM a WHERE pos IN (7, 9, 17, 19) GROUP BY 1) SELECT structure AS vec_id, pos AS mark, round(sqrt((x - ox) ** 2 + (y - oy) ** 2 + (z - oz) ** 2), 5) AS radius FROM a JOIN o USING (structure) WHERE pos < 5 OR pos BETWEEN 10 AND 14")
+def _(t: Tables):
+    """Distances of the landmarks from the origin of their structure's own frame, taken from their coordinates in it."""
+    local = lambda p: (8 * (p[_MARKS] - np.array(_own_axes(p)[9:12])) @ np.reshape(_own_axes(p)[:9], (3, 3)).T).ravel().tolist()
+    each = frames.map_points(_points(t), "vec_id", "points", "array<double>", local).select("vec_id", F.posexplode(F.array(*[F.struct(*[F.col("value")[3 * i + k].alias(c) for k, c in enumerate("xyz")]) for i in range(10)])).alias("i", "p"))
+    return each.select("vec_id", F.when(F.col("i") < 5, F.col("i")).otherwise(F.col("i") + 5).cast("long").alias("mark"), F.round(F.sqrt(F.col("p.x") * F.col("p.x") + F.col("p.y") * F.col("p.y") + F.col("p.z") * F.col("p.z")), 5).alias("radius"))
+
+
+@query("N08_site_in_frame")
+def _(t: Tables):
+    """Four loops at ten places in the medoid's frame; every seventh structure lacks its third loop, whose places are null."""
+    _, ref = frames.medoid(_points(t), "vec_id", "points")
+    loops, anchors = [slice(5, 8), slice(8, 10), slice(15, 18), slice(18, 21)], _MARKS
+    gone = F.transform("points", lambda x, i: F.when((F.col("vec_id") % 7 == 0) & i.between(45, 53), F.lit(float("nan"))).otherwise(x.cast("double")))
+    got = frames.map_points(_points(t).withColumn("points", gone), "vec_id", "points", "array<double>", lambda p: frames.site_descriptor(p, anchors, loops, ref, 10).ravel().tolist())
+    return got.select("vec_id", F.transform("value", lambda x: F.when(~F.isnan(x), F.round(x, 6))).alias("site"))
+
+
 @query("N16_accepted_pair_features")
 def _(t: Tables):
     """Feature distance of every vector and its copy rounded to one digit."""
@@ -668,6 +739,19 @@ def _(t: Tables):
     return g.groupBy("size").agg(F.count("*").alias("draws"), F.round(F.avg("m"), 4).alias("mean"))
 
 
+@query(
+    "N58_clusters_against_groups",
+    """WITH c AS (SELECT c_custkey, c_mktsegment, c_acctbal FROM customer), o AS (SELECT c_mktsegment, count(*) AS size, sqrt(2 * var_samp(c_acctbal)) AS observed FROM c GROUP BY 1),
+    g AS (SELECT size, draw, sqrt(2 * var_samp(c_acctbal)) AS v FROM (SELECT size, draw, c_acctbal, row_number() OVER (PARTITION BY size, draw ORDER BY md5(c_custkey || '|' || draw || '|' || size), c_custkey) AS k FROM c, (SELECT DISTINCT size FROM o), range(0, 200) r(draw)) WHERE k <= size GROUP BY 1, 2)
+    SELECT c_mktsegment, size, round(any_value(observed), 6) AS observed, round(avg(v), 6) AS random_mean, round(any_value(observed) / avg(v), 6) AS ratio, round(avg((v <= observed)::INT), 6) AS below FROM o JOIN g USING (size) GROUP BY 1, 2""",
+)
+def _(t: Tables):
+    """Root mean square difference of a segment's pairs, against 200 groups of its size drawn from all."""
+    return panel.against_groups(t.customer, "c_custkey", "c_mktsegment", F.sqrt(2 * F.var_samp("c_acctbal")), ["c_acctbal"], 200).select(
+        "c_mktsegment", "size", *[F.round(c, 6).alias(c) for c in ("observed", "random_mean", "ratio", "below")]
+    )
+
+
 @query("N59_confounds", f"SELECT la = lb AS matched, count(*) AS n, round(quantile_cont(d, 0.5), 6) AS median FROM ({_PAIRS}) GROUP BY 1")
 def _(t: Tables):
     lab = t.embeddings.select("vec_id", "label")
@@ -872,6 +956,17 @@ def _(t: Tables):
     return batches.upsert(t.spark, t.folder, "events.parquet", t.events.schema, ["user_id"], ["event_id"]).select("user_id", "event_id")
 
 
+_RUNGS_OK = ["p_size % 2 = 0", "p_size % 3 = 0", "p_retailprice > 1500"]
+
+
+@query("N73_recovery_ladder", f"SELECT p_partkey, CASE WHEN {' OR '.join(_RUNGS_OK)} THEN 'done' ELSE 'quarantined' END AS status, CASE " + " ".join(f"WHEN {c} THEN {i}" for i, c in enumerate(_RUNGS_OK)) + f" ELSE {len(_RUNGS_OK) - 1} END AS rung FROM part")
+def _(t: Tables):
+    """Every part is tried on three rungs, one a micro-batch; what none accepts is quarantined."""
+    from tarn.streaming import batches
+
+    return batches.recover(t.spark, t.folder, "part.parquet", t.part.schema, ["p_partkey"], [F.expr(c) for c in _RUNGS_OK]).select("p_partkey", "status", "rung")
+
+
 @query("R04_pruned_read", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1")
 def _(t: Tables):
     import uuid

@@ -159,6 +159,17 @@ def _(t: Tables):
     return files.walk(t.spark, t.folder, "*.parquet").select("kind", F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("name")).distinct()
 
 
+@query(
+    "S05_archive_members",
+    "SELECT lang || '-' || (doc_id // 20) || '.tar' AS path, lpad(doc_id::VARCHAR, 9, '0') || '.txt.gz' AS member, octet_length(encode(coalesce(text, ''))) AS length, CASE WHEN regexp_matches(split_part(coalesce(text, ''), chr(10), 1), '[,;\t]') THEN 'table' ELSE 'text' END AS kind FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '^[\\[{]')",
+)
+def _(t: Tables):
+    """The members of archives of twenty texts each: names, unpacked lengths, and kinds by content."""
+    texts = t.documents.where(~F.coalesce("text", F.lit("")).rlike(r"^[\[{]"))
+    deposit = files.archived(texts, F.concat("lang", F.lit("-"), F.floor(F.col("doc_id") / 20).cast("string"), F.lit(".tar")), F.concat(F.lpad(F.col("doc_id").cast("string"), 9, "0"), F.lit(".txt.gz")), F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    return files.members(deposit).select("path", "member", "length", "kind")
+
+
 _SNIFFED = "SELECT doc_id, split_part(coalesce(text, ''), chr(10), 1) AS line, length(line) - length(replace(line, ',', '')) AS c, length(line) - length(replace(line, chr(9), '')) AS t, length(line) - length(replace(line, ';', '')) AS s FROM documents"
 
 

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
 import uuid
+import zlib
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -45,6 +50,114 @@ def walk(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return listed.withColumn("kind", kind)
 
 
+#: How contents of a kind begin, first match first.
+MAGIC = [(b"PAR1", "parquet"), (b"\x89HDF\r\n\x1a\n", "hdf5"), (b"%%MatrixMarket", "matrix"), (b"ATOM  ", "structure"), (b"HEADER", "structure"), (b"{", "json"), (b"[", "json")]
+#: Bytes of a member that are looked at to tell its kind, and that are read at a time to learn its length.
+HEAD, STEP = 4_096, 1 << 20
+
+
+def _kind(head: bytes) -> str:
+    """By how a content begins; ``table`` if its first line has a separator, ``text`` if it is text, else ``binary``."""
+    for begins, kind in MAGIC:
+        if head.startswith(begins):
+            return kind
+    try:
+        line = head.decode("utf-8", "ignore" if len(head) >= HEAD else "strict").split("\n", 1)[0]
+    except UnicodeDecodeError:
+        return "binary"
+    return "binary" if "\0" in line else "table" if any(c in line for c in ",\t;") else "text"
+
+
+def _looked_at(stream) -> tuple[int, str]:
+    """Length and kind of a stream's content, read in steps."""
+    head = stream.read(HEAD)
+    length = len(head)
+    while part := stream.read(STEP):
+        length += len(part)
+    return length, _kind(head)
+
+
+def _entries(content: bytes) -> Iterator[tuple[str | None, int | None, str, str | None]]:
+    """``member, length, kind, error`` of one file: a row a member of a tar archive, else one row. Gzip is opened."""
+    packed = content[:2] == b"\x1f\x8b"
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz" if packed else "r|") as archive:
+            for m in archive:
+                if m.isfile():
+                    inner = archive.extractfile(m)
+                    try:
+                        begin = inner.read(2)
+                        rest = _Rejoined(begin, inner)
+                        yield m.name, *_looked_at(gzip.GzipFile(fileobj=rest) if begin == b"\x1f\x8b" else rest), None
+                    except (OSError, EOFError, zlib.error) as e:
+                        yield m.name, None, "damaged", type(e).__name__
+        return
+    except tarfile.ReadError as e:
+        if "truncated" in str(e) or "unexpected end" in str(e):
+            yield None, None, "damaged", type(e).__name__
+            return
+    except (OSError, EOFError, zlib.error):
+        pass  # told below
+    try:
+        yield None, *_looked_at(gzip.GzipFile(fileobj=io.BytesIO(content)) if packed else io.BytesIO(content)), None
+    except (OSError, EOFError, zlib.error) as e:
+        yield None, None, "damaged", type(e).__name__
+
+
+class _Rejoined(io.RawIOBase):
+    """A stream with the bytes that were read off its begin put back; forwards only, as archives are read."""
+
+    def __init__(self, begin: bytes, rest):
+        self.begin, self.rest = begin, rest
+
+    def readable(self) -> bool:
+        return True
+
+    def read(self, n: int = -1) -> bytes:
+        if self.begin:
+            out, self.begin = (self.begin, b"") if n < 0 or n >= len(self.begin) else (self.begin[:n], self.begin[n:])
+            return out + (self.rest.read() if n < 0 else b"")
+        return self.rest.read(n)
+
+
+def members(deposit: DataFrame) -> DataFrame:
+    """``path, member, length, kind, error`` of ``deposit(path, content)``: a row a file within a tar archive, compressed or not, and
+    one, with a null member, for every other file.
+
+    Lengths are those of the unpacked contents, kinds go by how they begin. Contents are streamed: a task holds one file as
+    it is stored and a step of what is in it. An archive that is cut off gives its whole members and a row with the error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                found = [(path, *e) for e in _entries(bytes(content) if content is not None else b"")]
+                yield pd.DataFrame(found, columns=["path", "member", "length", "kind", "error"]).astype({"length": "Int64"})
+
+    return deposit.select("path", "content").mapInPandas(run, "path string, member string, length long, kind string, error string")
+
+
+def walk_members(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """``members`` of all files below ``folder``; files of more than 2 GB are beyond what Spark reads as one value."""
+    return members(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder))
+
+
+def archived(df: DataFrame, archive: Column, member: Column, content: Column) -> DataFrame:
+    """``path, content``: tar archives of gzip-compressed members, as a deposit has them, members by name. An archive is one row."""
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as archive:
+            for name, data in sorted(zip(rows["member"], rows["content"], strict=True)):
+                packed = gzip.compress(bytes(data), mtime=0)
+                info = tarfile.TarInfo(name)
+                info.size = len(packed)
+                archive.addfile(info, io.BytesIO(packed))
+        return pd.DataFrame({"path": [rows["path"].iloc[0]], "content": [out.getvalue()]})
+
+    return df.select(archive.alias("path"), member.alias("member"), content.alias("content")).groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
 def verified(spark: SparkSession, folder: str, expected: dict[str, str]) -> DataFrame:
     """``name, length, state`` for every expected file: ``kept`` if its SHA-256 is the expected one, ``other digest``, or
     ``missing``. Files that aren't expected aren't read."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.sources.storage import shared_folder
@@ -74,9 +74,9 @@ class State:
                     if (b, number) not in kept and number < v:
                         fs.delete(older.getPath(), True)
 
-    def read(self, schema) -> DataFrame:
-        """The state after the last batch that is whole."""
-        got = self._buckets(self.manifest(), schema)
+    def read(self, schema, before: int | None = None) -> DataFrame:
+        """The state after the last batch that is whole, or the last one before a number."""
+        got = self._buckets(self.manifest(before), schema)
         return self.spark.createDataFrame([], schema) if got is None else got
 
 
@@ -93,6 +93,42 @@ def upsert(spark: SparkSession, folder: str, file: str, schema, keys: list[str],
     return state.read(schema)
 
 
+def _tried(items: DataFrame, accepted: list[Column]) -> DataFrame:
+    """Items after an attempt on their rung: done, to be tried on the next rung, or quarantined behind the last."""
+    ok = F.coalesce(*[F.when(F.col("rung") == r, F.coalesce(c, F.lit(False))) for r, c in enumerate(accepted)])
+    last = F.col("rung") == len(accepted) - 1
+    status = F.when(ok, "done").when(last, "quarantined").otherwise("retry")
+    return items.withColumn("status", status).withColumn("rung", F.when(status == "retry", F.col("rung") + 1).otherwise(F.col("rung")))
+
+
+def recover(spark: SparkSession, folder: str, file: str, schema, keys: list[str], accepted: list[Column], per_batch: int = 1, root: str | None = None) -> DataFrame:
+    """The items of all files that ``file`` matches with ``status`` (done or quarantined) and ``rung``, the one that they ended on.
+
+    ``accepted[r]`` says whether an item's attempt on rung r is good. Every micro-batch tries its new items on the first rung
+    and, on theirs, the items that earlier ones left to be tried again; the state is kept as ``State`` does, so a batch that
+    was stopped starts from the state before it and ends with the same statuses. What is still to be tried when the files
+    are through goes up the rest of the ladder, without a state. A key that comes again starts anew.
+    """
+    root = root or f"{shared_folder(spark)}/ladder-{uuid.uuid4().hex}"
+    state = State(spark, root, keys, ["_batch"])
+    names = spark.createDataFrame([], schema).columns
+
+    def attempt(batch: DataFrame, number: int) -> None:
+        new = batch.dropDuplicates(keys).select(*names, F.lit(0).alias("rung"))
+        kept = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in batch.schema)}, rung int, status string, _batch long"
+        open_ = state.read(kept, number).where("status = 'retry'").select(*names, "rung").join(new.select(*keys), keys, "left_anti").select(*names, "rung")
+        state.merge(_tried(new.unionByName(open_), accepted).withColumn("_batch", F.lit(number).cast("long")), number)
+
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", file).parquet(folder)
+    available_now(source, attempt, f"{root}/checkpoint")
+    kept = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in spark.createDataFrame([], schema).schema)}, rung int, status string, _batch long"
+    out = state.read(kept).drop("_batch")
+    for _ in accepted:
+        settled = _tried(out.where("status = 'retry'").drop("status"), accepted).select(out.columns)
+        out = out.where("status != 'retry'").unionByName(settled)
+    return out
+
+
 def resumable(spark: SparkSession, folder: str, file: str, schema, transform, out: str, checkpoint: str) -> DataFrame:
     """Appends ``transform`` of the files not yet done to ``out``."""
     source = spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)

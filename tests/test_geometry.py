@@ -180,3 +180,41 @@ def test_dense_raster_with_points_far_away(spark):
     one = {tuple(r)[:5]: r["mass"] for r in voxel.raster(a, ["structure"], [-6.0] * 3, [8, 8, 8], 1.3, 1.5).collect()}
     two = {tuple(r)[:5]: r["mass"] for r in voxel.raster_dense(a, "structure", [-6.0] * 3, [8, 8, 8], 1.3, 1.5).collect()}
     assert set(one) == set(two) and all(abs(one[k] - two[k]) < 1e-9 for k in one) and not any(k[0] == 9 for k in one)
+
+
+def test_vector_features_in_their_frames():
+    """Each value is unchanged by rigid motion, and equals a structure by structure version; near pairs give no direction."""
+    rng = np.random.default_rng(9)
+    m, n = 7, 4
+    marks, trace = rng.normal(size=(m, 10, 3)) * 5, rng.normal(size=(m, 2 * n, 3)) * 5
+    side = trace + rng.normal(size=trace.shape)
+    side[:, 0] = trace[:, 0] + 0.1
+    template = rng.normal(size=(10, 3)) * 5
+    got = frames.vector_features(marks, trace, side, template)
+    assert {k: v.shape[1] // 3 for k, v in got.items()} == {"vg": 160, "vc": 80, "vs": 64, "ug": 8, "uc": 8, "us": 8}
+    q, t = any_turn(rng), rng.normal(size=3) * 9
+    moved = frames.vector_features(*(x @ q.T + t for x in (marks, trace, side)), template)
+    assert all(np.allclose(got[k], moved[k], atol=1e-9) for k in got)
+    for i in range(m):
+        r, _ = frames.kabsch(marks[i][5:], template[5:])
+        places = np.concatenate([trace[i][n:], side[i][n:]])
+        want = [(x - l) @ r for x in places for l in marks[i][5:]]
+        assert np.allclose(got["vc"][i].reshape(-1, 3)[-len(want) :], want, atol=1e-9)
+        assert np.allclose(got["ug"][i].reshape(-1, 3)[0], 0) and np.allclose(np.linalg.norm(got["ug"][i].reshape(-1, 3)[1:], axis=1), np.linalg.norm(side[i] - trace[i], axis=1)[1:] >= 0.5)
+
+
+def test_site_descriptor_with_missing_loops():
+    rng = np.random.default_rng(10)
+    ref, loops = rng.normal(size=(20, 3)) * 6, [slice(4, 9), slice(9, 10), slice(12, 16)]
+    anchors = [0, 1, 2, 3, 16, 17, 18, 19]
+    p = ref @ any_turn(rng).T + 4
+    whole = frames.site_descriptor(p, anchors, loops, ref, 6)
+    assert np.allclose(whole[0], frames.arc_resampled(ref[4:9], 6), atol=1e-9) and np.isnan(whole[1]).all()
+    q, t = any_turn(rng), rng.normal(size=3)
+    assert np.allclose(frames.site_descriptor(p @ q.T + t, anchors, loops, ref, 6), whole, atol=1e-9, equal_nan=True)
+    p[12:16] = np.nan
+    p[5], p[0] = np.nan, np.nan
+    part = frames.site_descriptor(p, anchors, loops, ref, 6)
+    assert np.isnan(part[2]).all() and np.allclose(part[0], frames.arc_resampled(ref[[4, 6, 7, 8]], 6), atol=1e-9)
+    p[anchors[2:]] = np.nan
+    assert np.isnan(frames.site_descriptor(p, anchors, loops, ref, 6)).all()
