@@ -8,8 +8,9 @@ minhashes of the set (both agree with probability 0.64), so that random texts do
 no key of any segment with probability (1 - 0.64 * 0.61) ** 16 = 4e-4, a more similar one less often.
 
 Sets that share a key and whose fingerprints differ in few enough bits (FAR) are verified on the whole sets. Small groups
-are compared within; in larger ones every member is compared with the group's pivot first. After that only members of
-different components are compared, and of those only the ones that have enough items in common with any other.
+are compared within; in larger ones every member is compared with the group's pivot first. After that the members of groups
+that are still of several components are joined by the rarest items of their sets, of which similar sets share one: in a group
+of copies that aren't near enough, what all have in common makes no pairs.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarn.llm.shared import stored
@@ -197,21 +198,32 @@ def links(prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     roots = components(found).select(F.col("node").alias("rn"), "root")
     rooted = stored(many.join(roots, F.col("node") == F.col("rn"), "left").select(*columns, F.coalesce("root", "node").alias("root")))
     unsettled = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("of")))
-    left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi"))
+    left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi").drop("key").dropDuplicates(["node"]))
     sets = stored(_sets(docs, stored(hashed(left.select(F.col("node").alias("a"), F.col("node").alias("b")))), text))
-    left = stored(_bounded(left, sets))
-    most = F.least("common", "o_common") * (SHARE + OF) >= (F.col("n") + F.col("o_n")) * SHARE
-    apart = left.join(_renamed(stored(left), "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & most & _near("", "o_"))
+    rare = stored(_prefixes(sets).join(left, F.col("of") == F.col("node")).drop("of"))
+    open_ = stored(rare.groupBy("item").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("item").alias("open")))
+    rare = stored(rare.join(open_, F.col("item") == F.col("open"), "left_semi"))
+    shared_at_most = F.least("common", "o_common", 1 + F.least(F.col("n") - F.col("place"), F.col("o_n") - F.col("o_place")))
+    enough = shared_at_most * (SHARE + OF) >= (F.col("n") + F.col("o_n")) * SHARE
+    apart = rare.join(_renamed(stored(rare), "o_"), (F.col("item") == F.col("o_item")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & enough & _near("", "o_"))
     return found.unionByName(verified(stored(apart.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()), sets))
 
 
-def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` with ``common``, the items of a member's set that another one's has too: it shares no more with any. Those
-    that miss the similarity with as many are left out."""
-    items = sets.select("node", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("times"), F.min("node").alias("an")).where("times = 1").groupBy("an").agg(F.count("*").alias("own"))
-    counted = members.join(stored(alone), F.col("node") == F.col("an"), "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-    return counted.where(F.col("common") * OF >= F.col("n") * SHARE).drop("an", "own")
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """``of, item, place, common``: the items by which a set must meet any similar one, with their places from the rarest on.
+
+    With all sets in one order of their items, the rarest first, two of similarity SHARE / OF share one of their first n -
+    ceil(n * SHARE / OF) + 1 items. Items of one set alone meet nothing; ``common`` counts the others, and a set that misses the
+    similarity with as many has no row. What many members of a group have in common stands last, so it makes no pairs.
+    """
+    items = sets.select(F.col("node").alias("of"), F.size("items").alias("size"), F.explode("items").alias("item"))
+    times = stored(items.groupBy("item").agg(F.count("*").alias("times")).where("times > 1").select(F.col("item").alias("i"), "times"))
+    each = items.join(times, F.col("item") == F.col("i")).select("of", "size", "item", "times")
+    own = Window.partitionBy("of")
+    ranked = each.withColumn("common", F.count("*").over(own)).withColumn("nth", F.row_number().over(own.orderBy("times", "item")))
+    place = F.col("nth") + F.col("size") - F.col("common")  # behind the items that no other set has
+    needed = F.ceil(F.col("size") * SHARE / OF)
+    return ranked.withColumn("place", place).where((F.col("common") >= needed) & (F.col("place") <= F.col("size") - needed + 1)).select("of", "item", "place", "common")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
