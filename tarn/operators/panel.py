@@ -52,6 +52,56 @@ def pair_bootstrap(pairs: DataFrame, n: int, d: str, reps: int, seed: str = "b")
     return both.groupBy("rep").agg((F.sum(F.col("ka") * F.col("kb") * F.col(d)) / F.sum(F.col("ka") * F.col("kb"))).alias("mean"))
 
 
+def drawn_pairs(pairs: DataFrame, n: int, reps: int, seed: str = "b") -> DataFrame:
+    """``pairs`` with ``rep`` and ``w``: all pairs once under rep -1, then each draw's pairs, as often as both of their places were
+    drawn. Every statistic of a panel can share these draws."""
+    slots = pairs.sparkSession.range(reps * n).select((F.col("id") / n).cast("long").alias("rep"), (F.col("id") % n).alias("slot"))
+    times = materialize(slots.select("rep", draw("rep", "slot", n, seed).alias("at")).groupBy("rep", "at").agg(F.count("*").alias("k")), "drawn")
+    one = times.select("rep", F.col("at").alias("a"), F.col("k").alias("_ka"))
+    other = times.select("rep", F.col("at").alias("b"), F.col("k").alias("_kb"))
+    both = pairs.join(one, "a").join(other, ["rep", "b"]).withColumn("w", F.col("_ka") * F.col("_kb")).drop("_ka", "_kb")
+    return both.unionByName(pairs.withColumn("rep", F.lit(-1).cast("long")).withColumn("w", F.lit(1).cast("long")))
+
+
+def rank_correlations(df: DataFrame, groups: list[str], columns: list[str], weight: str) -> DataFrame:
+    """``*groups, n, <x>~<y>``: Spearman correlations of all pairs of ``columns`` in each group; a row counts ``weight`` times.
+
+    Ranks are averages over ties and copies. A group is a panel's pairs, or those of one draw or stratum of it.
+    """
+    ranked = df
+    for c in columns:
+        upto = F.sum(weight).over(Window.partitionBy(*groups).orderBy(c).rangeBetween(Window.unboundedPreceding, 0))
+        ranked = ranked.withColumn(f"_r_{c}", upto - (F.sum(weight).over(Window.partitionBy(*groups, c)) - 1) / 2)
+    r, w = (lambda c: F.col(f"_r_{c}")), F.col(weight)
+    moments = [F.sum(w).alias("n")] + [F.sum(w * r(c)).alias(f"_s_{c}") for c in columns]
+    moments += [F.sum(w * r(x) * r(y)).alias(f"_s_{x}_{y}") for i, x in enumerate(columns) for y in columns[i:]]
+    m = ranked.groupBy(*groups).agg(*moments)
+    about = lambda x, y: F.col(f"_s_{x}_{y}") - F.col(f"_s_{x}") * F.col(f"_s_{y}") / F.col("n")
+    return m.select(*groups, "n", *[F.try_divide(about(x, y), F.sqrt(about(x, x) * about(y, y))).alias(f"{x}~{y}") for i, x in enumerate(columns) for y in columns[i + 1 :]])
+
+
+def partial(x: str, y: str, controls: tuple[str, ...], columns: list[str]) -> Column:
+    """The correlation of ``x`` and ``y`` less what ``controls`` explain of both, from ``rank_correlations`` of ``columns``: one
+    control after the other."""
+    if not controls:
+        return F.col("~".join(sorted((x, y), key=columns.index)).join("``"))
+    *rest, z = controls
+    of = lambda a, b: partial(a, b, tuple(rest), columns)
+    xz, yz = of(x, z), of(y, z)
+    return F.try_divide(of(x, y) - xz * yz, F.sqrt((1 - xz * xz) * (1 - yz * yz)))
+
+
+def panel_intervals(pairs: DataFrame, n: int, estimates: dict[str, tuple[str, str, tuple[str, ...]]], reps: int, seed: str = "b") -> DataFrame:
+    """``estimate, value, low, high``: partial Spearman correlations over a panel's pairs, with 95 % intervals of draws of its
+    ``n`` items. ``pairs`` has places a < b from 0; an estimate names two columns and its controls. All share each draw, so
+    differences of estimates are paired. Draws in which a column doesn't vary are left out of the interval."""
+    columns = sorted({c for x, y, zs in estimates.values() for c in (x, y, *zs)})
+    found = materialize(rank_correlations(drawn_pairs(pairs.select("a", "b", *columns), n, reps, seed), ["rep"], columns, "w"), "correlations")
+    each = found.select("rep", F.explode(F.array(*[F.struct(F.lit(name).alias("estimate"), partial(x, y, zs, columns).alias("v")) for name, (x, y, zs) in estimates.items()])).alias("e")).select("rep", "e.*")
+    ends = F.percentile(F.when(F.col("rep") >= 0, F.col("v")), F.array(F.lit(0.025), F.lit(0.975)))
+    return each.groupBy("estimate").agg(F.max(F.when(F.col("rep") < 0, F.col("v"))).alias("value"), ends.alias("p")).select("estimate", "value", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
+
+
 def ranks(x: np.ndarray) -> np.ndarray:
     """Average ranks from 1."""
     _, place, count = np.unique(x, return_inverse=True, return_counts=True)

@@ -684,6 +684,67 @@ def _(t: Tables):
 _PANEL = "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, count(*) OVER () AS n, avg(c_acctbal) AS v FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"
 
 
+#: A panel of nations: two descriptors' distances of crystal and model, and a control.
+_ITEMS = "SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) - 1 AS ord, avg(c_acctbal) AS g, stddev_pop(c_acctbal) AS v, n_regionkey FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_regionkey"
+_PANEL_PAIRS = """SELECT x.ord AS a, y.ord AS b, abs(x.g - y.g) AS cg, abs(round(x.g / 200, 0) - round(y.g / 200, 0)) AS mg, abs(x.v - y.v) AS cv, abs(round(x.v / 100, 0) - round(y.v / 100, 0)) AS mv, abs(x.n_nationkey - y.n_nationkey)::DOUBLE AS s,
+CASE WHEN x.n_regionkey = y.n_regionkey THEN 'same' ELSE 'other' END AS stratum FROM e x JOIN e y ON x.ord < y.ord"""
+_NAMES = ["cg", "cv", "mg", "mv", "s"]
+#: Crystal against model, less the control; plain; E2: one descriptor's model less the other's; E3: across descriptors.
+_ESTIMATES = {
+    "E1 g": ("cg", "mg", ("s",)), "E1 v": ("cv", "mv", ("s",)), "E1 g plain": ("cg", "mg", ()), "E1 v plain": ("cv", "mv", ()),
+    "E2 g": ("mg", "cg", ("mv", "s")), "E2 v": ("mv", "cv", ("mg", "s")), "E3 gv": ("mg", "cv", ()), "E3 vg": ("mv", "cg", ()),
+}
+
+
+def panel_of(t: Tables):
+    e = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_nationkey", "n_regionkey").agg(F.avg("c_acctbal").alias("g"), F.stddev_pop("c_acctbal").alias("v"))
+    e = materialize(ordered.row_numbers(e, ["n_nationkey"]), "panel")
+    side = lambda end: e.select(*[F.col(c).alias(f"{c}_{end}") for c in e.columns])
+    apart = lambda c, step=None: F.abs((F.round(F.col(f"{c}_x") / step) if step else F.col(f"{c}_x")) - (F.round(F.col(f"{c}_y") / step) if step else F.col(f"{c}_y"))).cast("double")
+    pairs = side("x").join(side("y"), F.col("ord_x") < F.col("ord_y"))
+    stratum = F.when(F.col("n_regionkey_x") == F.col("n_regionkey_y"), "same").otherwise("other")
+    return e.count(), pairs.select(F.col("ord_x").alias("a"), F.col("ord_y").alias("b"), apart("g").alias("cg"), apart("g", 200).alias("mg"), apart("v").alias("cv"), apart("v", 100).alias("mv"), apart("n_nationkey").alias("s"), stratum.alias("stratum"))
+
+
+def _ranks_sql(groups: str) -> str:
+    ranked = ", ".join(f"sum(w) OVER (PARTITION BY {groups} ORDER BY {c}) - (sum(w) OVER (PARTITION BY {groups}, {c}) - 1) / 2.0::DOUBLE AS r_{c}" for c in _NAMES)
+    both = [(x, y) for i, x in enumerate(_NAMES) for y in _NAMES[i + 1 :]]
+    rho = ", ".join(f"(sum(w * r_{x} * r_{y}) - sum(w * r_{x}) * sum(w * r_{y}) / sum(w)) / sqrt((sum(w * r_{x} ** 2) - sum(w * r_{x}) ** 2 / sum(w)) * (sum(w * r_{y} ** 2) - sum(w * r_{y}) ** 2 / sum(w))) AS {x}_{y}" for x, y in both)
+    return f"r AS (SELECT *, {ranked} FROM d), k AS (SELECT {groups}, sum(w) AS n, {rho} FROM r GROUP BY {groups})"
+
+
+def _partial_sql(x: str, y: str, controls: tuple[str, ...]) -> str:
+    if not controls:
+        return "_".join(sorted((x, y), key=_NAMES.index))
+    *rest, z = controls
+    xy, xz, yz = (_partial_sql(p, q, tuple(rest)) for p, q in ((x, y), (x, z), (y, z)))
+    return f"(({xy}) - ({xz}) * ({yz})) / sqrt((1 - ({xz}) ** 2) * (1 - ({yz}) ** 2))"
+
+
+@query(
+    "N50_panel_intervals",
+    f"""WITH e AS ({_ITEMS}), p AS ({_PANEL_PAIRS}), t AS (SELECT rep, ('0x' || substr(md5(rep || '|' || slot || '|b'), 1, 8))::BIGINT % (SELECT count(*) FROM e) AS at, count(*) AS k FROM range(0, 300) q(rep), (SELECT ord AS slot FROM e) GROUP BY 1, 2),
+    d AS (SELECT x.rep, x.k * y.k AS w, p.* FROM p JOIN t x ON x.at = a JOIN t y ON y.at = b AND y.rep = x.rep UNION ALL SELECT -1, 1, p.* FROM p), {_ranks_sql('rep')},
+    v AS ({' UNION ALL '.join(f"SELECT rep, '{name}' AS estimate, {_partial_sql(*of)} AS v FROM k" for name, of in _ESTIMATES.items())})
+    SELECT estimate, round(max(v) FILTER (rep < 0), 6) AS value, round(quantile_cont(v, 0.025) FILTER (rep >= 0), 5) AS low, round(quantile_cont(v, 0.975) FILTER (rep >= 0), 5) AS high FROM v GROUP BY 1""",
+)
+def _(t: Tables):
+    """E1, E2 and E3 of a panel with 95 % intervals; 300 draws of items that all estimates share."""
+    n, pairs = panel_of(t)
+    return panel.panel_intervals(pairs, n, _ESTIMATES, 300).select("estimate", F.round("value", 6).alias("value"), F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+
+
+@query(
+    "N53_rank_strata",
+    f"WITH e AS ({_ITEMS}), p AS ({_PANEL_PAIRS}), d AS (SELECT *, 1 AS w FROM p), {_ranks_sql('stratum')} SELECT stratum, n::BIGINT AS pairs, round({_partial_sql(*_ESTIMATES['E1 g'])}, 6) AS e1_g, round({_partial_sql(*_ESTIMATES['E1 v'])}, 6) AS e1_v, round(cg_mg, 6) AS e1_g_plain, round(cv_mv, 6) AS e1_v_plain FROM k WHERE n >= 10",
+)
+def _(t: Tables):
+    """The estimates anew within each stratum of ten pairs or more, ranks taken there."""
+    k = panel.rank_correlations(panel_of(t)[1].withColumn("w", F.lit(1).cast("long")), ["stratum"], _NAMES, "w").where("n >= 10")
+    of = {"e1_g": "E1 g", "e1_v": "E1 v", "e1_g_plain": "E1 g plain", "e1_v_plain": "E1 v plain"}
+    return k.select("stratum", F.col("n").alias("pairs"), *[F.round(panel.partial(*_ESTIMATES[e], _NAMES), 6).alias(c) for c, e in of.items()])
+
+
 @query("N51_bootstrap", f"WITH e AS ({_PANEL}), d AS (SELECT rep, ('0x' || substr(md5(rep || '|' || slot || '|b'), 1, 8))::BIGINT % n AS ord, count(*) AS k FROM range(0, 2000) r(rep), (SELECT ord AS slot, n FROM e) GROUP BY 1, 2), m AS (SELECT x.rep, sum(x.k * y.k * abs(a.v - b.v)) / sum(x.k * y.k) AS mean FROM d x JOIN d y ON x.rep = y.rep AND x.ord < y.ord JOIN e a ON a.ord = x.ord JOIN e b ON b.ord = y.ord GROUP BY 1) SELECT round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM m")
 def _(t: Tables):
     """2,000 draws of the panel of nations; the pairs are made anew from each draw, and an item drawn twice isn't paired with itself."""

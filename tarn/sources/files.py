@@ -79,7 +79,7 @@ def _looked_at(stream) -> tuple[int, str]:
 
 def _entries(content: bytes) -> Iterator[tuple[str | None, int | None, str, str | None]]:
     """``member, length, kind, error`` of one file: a row a member of a tar archive, else one row. Gzip is opened."""
-    packed = content[:2] == b"\x1f\x8b"
+    packed, whole = content[:2] == b"\x1f\x8b", 0
     try:
         with tarfile.open(fileobj=io.BytesIO(content), mode="r|gz" if packed else "r|") as archive:
             for m in archive:
@@ -88,16 +88,17 @@ def _entries(content: bytes) -> Iterator[tuple[str | None, int | None, str, str
                     try:
                         begin = inner.read(2)
                         rest = _Rejoined(begin, inner)
-                        yield m.name, *_looked_at(gzip.GzipFile(fileobj=rest) if begin == b"\x1f\x8b" else rest), None
-                    except (OSError, EOFError, zlib.error) as e:
-                        yield m.name, None, "damaged", type(e).__name__
-        return
-    except tarfile.ReadError as e:
-        if "truncated" in str(e) or "unexpected end" in str(e):
+                        found = m.name, *_looked_at(gzip.GzipFile(fileobj=rest) if begin == b"\x1f\x8b" else rest), None
+                    except (EOFError, zlib.error, gzip.BadGzipFile) as e:  # the member's own compression
+                        found = m.name, None, "damaged", type(e).__name__
+                    yield found
+                whole += 1
+        if whole:
+            return
+    except (tarfile.TarError, OSError, EOFError, zlib.error) as e:
+        if whole:  # an archive up to here
             yield None, None, "damaged", type(e).__name__
             return
-    except (OSError, EOFError, zlib.error):
-        pass  # told below
     try:
         yield None, *_looked_at(gzip.GzipFile(fileobj=io.BytesIO(content)) if packed else io.BytesIO(content)), None
     except (OSError, EOFError, zlib.error) as e:
@@ -114,10 +115,11 @@ class _Rejoined(io.RawIOBase):
         return True
 
     def read(self, n: int = -1) -> bytes:
-        if self.begin:
-            out, self.begin = (self.begin, b"") if n < 0 or n >= len(self.begin) else (self.begin[:n], self.begin[n:])
-            return out + (self.rest.read() if n < 0 else b"")
-        return self.rest.read(n)
+        if n < 0:
+            out, self.begin = self.begin, b""
+            return out + self.rest.read()
+        out, self.begin = self.begin[:n], self.begin[n:]
+        return out + (self.rest.read(n - len(out)) if n > len(out) else b"")
 
 
 def members(deposit: DataFrame) -> DataFrame:
@@ -138,7 +140,8 @@ def members(deposit: DataFrame) -> DataFrame:
 
 
 def walk_members(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
-    """``members`` of all files below ``folder``; files of more than 2 GB are beyond what Spark reads as one value."""
+    """``members`` of all files below ``folder``; Spark leaves out files without bytes, and files of more than 2 GB are
+    beyond what it reads as one value."""
     return members(spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder))
 
 

@@ -20,7 +20,9 @@ def tar_of(members, mode="w"):
             info = tarfile.TarInfo(name)
             info.size = len(data)
             t.addfile(info, io.BytesIO(data))
-        t.addfile(tarfile.TarInfo("a folder/"))
+        folder = tarfile.TarInfo("a folder")
+        folder.type = tarfile.DIRTYPE
+        t.addfile(folder)
     return out.getvalue()
 
 
@@ -43,7 +45,9 @@ def test_members_of_a_deposit(spark, tmp_path):
         got.setdefault(r["path"].rsplit("/", 1)[1], []).append((r["member"], r["length"], r["kind"], r["error"] is not None))
     for archive in ("a.tar", "b.tgz"):
         assert sorted(got[archive]) == sorted((n, *want[n], n == "broken.gz") for n in want)
-    assert got["c.tsv.gz"] == [(None, 8, "table", False)] and got["d.json"] == [(None, 8, "json", False)] and got["none"] == [(None, 0, "text", False)]
+    assert got["c.tsv.gz"] == [(None, 8, "table", False)] and got["d.json"] == [(None, 8, "json", False)] and "none" not in got
+    bare = files.members(spark.createDataFrame([("e", bytearray()), ("n", None)], "path string, content binary")).collect()
+    assert sorted((r["path"], r["length"], r["kind"]) for r in bare) == [("e", 0, "text"), ("n", 0, "text")]
     assert got["cut.gz"] == [(None, None, "damaged", True)] and got["cut.tar"][0] == ("x", 3, "table", False) and got["cut.tar"][-1][2:] == ("damaged", True)
 
 
