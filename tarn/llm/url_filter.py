@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.shared import ascii_lower, stored, table
+
 #: Hex digits of a digest that the join runs on.
 PREFIX = 8
 #: Stands between host and path in what is digested, so that their border counts.
@@ -27,8 +29,6 @@ _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; empty for null or no ``://``."""
-    from tarn.llm.shared import ascii_lower
-
     return F.coalesce(ascii_lower(F.regexp_extract(url, _URL, 1)), F.lit(""))
 
 
@@ -85,18 +85,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, page_id: str = "page_id", ur
 
     Repeated rows stay repeated, a null URL has an empty host and path, and what no rule fits gets ``default`` and a null
     rule. Other columns of ``pages`` are ignored, whatever their names. An empty table gives an empty result. Pages meet
-    the verdicts in an outer join on the URL, whose one-row-a-URL side leaves skewed URLs to AQE's skew join.
+    the verdicts in an outer join on the URL. The verdicts, a row a URL, are written first: so both sides of the join have an
+    exchange of their own, and a URL that many pages have is split by AQE's skew join. Null URLs don't enter it.
     """
-    best = url_verdicts(pages, rules, url, default).select(F.col("url").alias("of"), F.col("rule").alias("best_rule"), F.col("verdict").alias("best_verdict"))
+    best = stored(url_verdicts(pages, rules, url, default).select(F.col("url").alias("of"), F.col("rule").alias("best_rule"), F.col("verdict").alias("best_verdict")))
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
-    return own.join(best, own.url == best["of"], "left").select(
+    some = own.where(F.col("url").isNotNull())
+    met = some.join(best, some.url == best["of"], "left").select(
         "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best_rule").alias("rule"), F.coalesce("best_verdict", F.lit(default)).alias("verdict")
     )
+    none = own.where(F.col("url").isNull()).select("page_id", F.lit("").alias("host"), F.lit("").alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    return met.unionByName(none)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tarn.llm.shared import table
-
     return filter_urls(table(spark, sf_dir, "pages"), rules_table(spark, RULES))
 
 

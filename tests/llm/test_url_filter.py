@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from conftest_llm import LOWER, multiset
 from tarn.llm import url_filter
 
@@ -37,3 +39,24 @@ def test_no_rules_no_pages(spark):
 def test_repeated_and_null_rules(spark):
     rules = url_filter.rules_table(spark, [("com", "/", "allow"), ("com", "/", "block"), (None, "/", "block"), ("com", None, "allow")])
     assert url_filter.filter_urls(spark.createDataFrame([(1, "http://a.com/")], "page_id long, url string"), rules).collect()[0]["verdict"] == "block"
+
+
+def test_a_common_url_is_split(spark):
+    """One URL on most pages: the final plan reads the join's large side in several parts."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2"}
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        url = F.when(F.col("id") % 6 > 0, "http://hot.example.com/en/7").when(F.col("id") % 12 > 0, F.concat(F.lit("http://x.net/de/"), F.col("id").cast("string")))
+        pages = spark.range(0, 300_000, 1, 6).select(F.col("id").alias("page_id"), url.alias("url"))
+        got = url_filter.filter_urls(pages, url_filter.rules_table(spark, url_filter.RULES))
+        counts = {(r["rule"], r["verdict"]): r["n"] for r in got.groupBy("rule", "verdict").agg(F.count("*").alias("n")).collect()}
+        assert counts == {("example.com/en/7", "allow"): 250_000, ("net/de/", "allow"): 25_000, (None, "allow"): 25_000}
+        got.write.format("noop").mode("overwrite").save()
+        rows = got.select("page_id", "verdict")
+        rows.collect()
+        assert "skew=true" in rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
