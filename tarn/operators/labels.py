@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tarn.operators.ordered import benjamini_hochberg, row_numbers
@@ -35,21 +35,56 @@ def purity(df: DataFrame, cluster: str, label: str, by: list[str] | None = None,
     return shares.groupBy(*by).agg(share) if by else shares.agg(share)
 
 
+#: Rows of a stratum that are put in order together, about.
+RUN = 10_000
+
+
+def _ladder(rows: DataFrame, ident: str, cluster: str, label: str, rungs: dict[str, list[str]]) -> DataFrame:
+    """``rung, at, first, size, <ident>, <cluster>, <label>``: for each rung the rows' places in the order of stratum and id, and where
+    their stratum begins and how many rows it has. That doesn't depend on the draws."""
+    out = None
+    for k, strata in enumerate(rungs.values()):
+        placed = materialize(row_numbers(rows, [*strata, ident], "at"), "placed")
+        ends = placed.groupBy(*[F.col(c).alias(f"_{c}") for c in strata]).agg(F.min("at").alias("first"), F.count("*").alias("size"))
+        same = F.lit(True)
+        for c in strata:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        joined = placed.join(ends, same) if strata else placed.crossJoin(F.broadcast(ends))
+        one = joined.select(F.lit(k).alias("rung"), "at", "first", "size", ident, cluster, label)
+        out = one if out is None else out.unionByName(one)
+    return materialize(out, "ladder")
+
+
 def null_ladder(df: DataFrame, ident: str, cluster: str, label: str, rungs: dict[str, list[str]], reps: int) -> DataFrame:
     """``rung, observed, mean, delta, z`` for each way to stratify, from ``reps`` permutations.
 
-    Every replicate is a copy of the labelled rows with its own seed, so replicates run side by side. z divides by the population deviation, 1e-9 at least.
+    A replicate deals a stratum's labels to its places in the order of md5 of id, rung and replicate. The places are numbered
+    once; all replicates of all rungs are put in order in one pass, by hashes of runs of a stratum's digests, so neither a
+    replicate nor a stratum is one task, and nothing is sorted twice. z divides by the population deviation, 1e-9 at least.
     """
-    rows = df.where(F.col(label).isNotNull())
+    rows = materialize(df.where(F.col(label).isNotNull()).select(*dict.fromkeys([ident, cluster, label, *[c for s in rungs.values() for c in s]])), "rows")
     observed = purity(rows, cluster, label)
-    out = None
-    for name, strata in rungs.items():
-        many = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-        dealt = dealt_anew(many, ident, ["rep", *strata], label, F.concat(F.lit(f"{name}|"), F.col("rep").cast("string")))
-        null = purity(dealt, cluster, "_dealt", ["rep"]).agg(F.avg("purity").alias("mean"), F.stddev_pop("purity").alias("sd"))
-        one = null.crossJoin(observed.withColumnRenamed("purity", "observed")).select(F.lit(name).alias("rung"), "observed", "mean", (F.col("observed") - F.col("mean")).alias("delta"), ((F.col("observed") - F.col("mean")) / F.greatest("sd", F.lit(1e-9))).alias("z"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    base = _ladder(rows, ident, cluster, label, rungs)
+    names = F.create_map(*[F.lit(x) for k, name in enumerate(rungs) for x in (k, name)])
+    many = base.select("rung", "first", "size", ident, F.col(label).alias("_dealt"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
+    many = many.withColumn("u", F.unhex(F.md5(F.concat_ws("|", F.col(ident).cast("string"), names[F.col("rung")], F.col("rep").cast("string")))))
+    runs = F.ceil(F.col("size") / RUN)  # a run is a share of the digests' range
+    high = F.conv(F.hex(F.substring("u", 1, 4)), 16, 10).cast("long")
+    many = many.withColumn("run", F.when(runs > 1, F.shiftright(high * runs, 32)).otherwise(0))
+    own = Window.partitionBy("rung", "rep", "first", "run").orderBy("u", ident)
+    given = many.withColumn("nth", F.row_number().over(own) - 1)
+    if not base.where(F.col("size") > RUN).isEmpty():
+        sizes = many.where(F.col("size") > RUN).groupBy("rung", "rep", "first", "run").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("rung", "rep", "first").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+        starts = materialize(sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"), "starts")
+        given = given.join(starts, ["rung", "rep", "first", "run"], "left")
+    else:
+        given = given.withColumn("before", F.lit(0))
+    given = given.select("rung", "rep", (F.col("first") + F.coalesce("before", F.lit(0)) + F.col("nth")).alias("at"), "_dealt")
+    dealt = given.join(base.select("rung", "at", cluster), ["rung", "at"])
+    null = purity(dealt, cluster, "_dealt", ["rung", "rep"]).groupBy("rung").agg(F.avg("purity").alias("mean"), F.stddev_pop("purity").alias("sd"))
+    delta = F.col("observed") - F.col("mean")
+    return null.crossJoin(F.broadcast(observed.withColumnRenamed("purity", "observed"))).select(names[F.col("rung")].alias("rung"), "observed", "mean", delta.alias("delta"), (delta / F.greatest("sd", F.lit(1e-9))).alias("z"))
 
 
 def log_choose(n: Column, k: Column) -> Column:
