@@ -130,6 +130,22 @@ def match_rule(sets: DataFrame, labels: DataFrame, tests: DataFrame, group: str,
     return out.select(group, "members", "main", fraction.alias("fraction"), "q", F.coalesce((fraction >= share) & (F.col("q") <= most_q), F.lit(False)).alias("kept"))
 
 
+def overlaps(df: DataFrame, one: str, other: str) -> DataFrame:
+    """``direction, cluster, members, best, shared, fraction``: for every cluster of either partition the other's cluster that has
+    most of its members, of equals the least, and the fraction of all its members there. -1 and null are no cluster, but
+    count among the members of the other's."""
+    out = None
+    for name, a, b in ((f"{one} in {other}", one, other), (f"{other} in {one}", other, one)):
+        inside = df.where(F.col(a).isNotNull() & (F.col(a).cast("string") != "-1"))
+        cells = inside.groupBy(F.col(a).cast("string").alias("cluster"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
+        met = F.col("b").isNotNull() & (F.col("b") != "-1")
+        top = cells.groupBy("cluster").agg(F.sum("n").alias("members"), F.max(F.when(met, F.col("n"))).alias("shared"))
+        first = cells.where(met).join(top.select(F.col("cluster").alias("c"), "shared"), (F.col("cluster") == F.col("c")) & (F.col("n") == F.col("shared"))).groupBy(F.col("cluster").alias("of")).agg(F.min("b").alias("best"))
+        each = top.join(first, F.col("cluster") == F.col("of"), "left").select(F.lit(name).alias("direction"), "cluster", "members", "best", F.coalesce("shared", F.lit(0)).alias("shared"))
+        out = each if out is None else out.unionByName(each)
+    return out.withColumn("fraction", F.col("shared") / F.col("members"))
+
+
 def verdicts(sets: DataFrame, labels: DataFrame, group: str, member: str, cluster: str) -> DataFrame:
     """``also``, ``partly`` or ``not``: 0.75 and 0.5 of all members share one cluster; singletons don't vote."""
     empty = labels.sparkSession.createDataFrame([], f"cluster {dict(labels.dtypes)[cluster]}, q_bh double")

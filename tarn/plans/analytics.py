@@ -645,6 +645,28 @@ def _(t: Tables):
     return m.agg(F.count("*").alias("groups"), F.count_if("kept").alias("in_significant"))
 
 
+_OVERLAP = "SELECT '{a} in {b}' AS direction, cluster, members, best, shared, round(shared / members::DOUBLE, 6) AS fraction FROM (SELECT {a}::VARCHAR AS cluster, {b}::VARCHAR AS best, count(*) AS shared, sum(count(*)) OVER (PARTITION BY {a})::BIGINT AS members, row_number() OVER (PARTITION BY {a} ORDER BY count(*) DESC, {b}::VARCHAR) AS i FROM customer GROUP BY {a}, {b}) WHERE i = 1"
+
+
+@query("N46_overlaps", f"{_OVERLAP.format(a='c_nationkey', b='c_mktsegment')} UNION ALL {_OVERLAP.format(a='c_mktsegment', b='c_nationkey')}")
+def _(t: Tables):
+    """Where the clusters of two partitions go, in both directions."""
+    return labels.overlaps(t.customer, "c_nationkey", "c_mktsegment").withColumn("fraction", F.round("fraction", 6))
+
+
+@query(
+    "F17_all_predicates",
+    f"""WITH {_TESTS}, h AS (SELECT c_nationkey AS cluster, bool_or(contains(c_name, '7')) AS hit FROM customer GROUP BY 1)
+    SELECT cluster, members, top_label, CASE WHEN top_n >= 0.25 * members THEN 'kept' ELSE 'weak' END AS verdict FROM tests JOIN h USING (cluster) WHERE members >= 3 AND q_bh <= 0.99 AND top_label IN ('BUILDING', 'MACHINERY', 'FURNITURE') AND hit AND top_n >= 0.25 * members""",
+)
+def _(t: Tables):
+    """Clusters by size, q, top label, a member's name and verdict, all at once."""
+    hit = t.customer.groupBy(F.col("c_nationkey").alias("cluster")).agg(F.max(F.col("c_name").contains("7")).alias("hit"))
+    verdict = F.when(F.col("top_n") >= 0.25 * F.col("members"), "kept").otherwise("weak")
+    wanted = (F.col("members") >= 3) & (F.col("q_bh") <= 0.99) & F.col("top_label").isin("BUILDING", "MACHINERY", "FURNITURE") & F.col("hit") & (F.col("verdict") == "kept")
+    return tests_of(t).join(hit, "cluster").withColumn("verdict", verdict).where(wanted).select("cluster", "members", "top_label", "verdict")
+
+
 @query("N47_robustness", "SELECT c_nationkey, bool_and(k) AS robust FROM (SELECT c_nationkey, c_mktsegment, avg(c_acctbal) > 4000 AND count(*) >= 8 AS k FROM customer GROUP BY 1, 2) GROUP BY 1")
 def _(t: Tables):
     v = t.customer.groupBy("c_nationkey", "c_mktsegment").agg(((F.avg("c_acctbal") > 4000) & (F.count("*") >= 8)).alias("k"))
@@ -912,6 +934,13 @@ def _(t: Tables):
     return panel.rank_sum(e, "grp", "event_type", "value").select("grp", "event_type", F.round("z", 6).alias("z"))
 
 
+@query("N71_map_ari", _ARI.format(x="p_size % 5", y="p_partkey % 5", t="part"))
+def _(t: Tables):
+    """The adjusted Rand index of the two maps whose agreement N71 counts."""
+    two = t.part.select(F.col("p_partkey").alias("_id"), (F.col("p_size") % 5).alias("x"), (F.col("p_partkey") % 5).alias("y"))
+    return clustering.adjusted_rand(two, "x", "y").select(F.round("ari", 9).alias("ari"))
+
+
 @query("N71_map_agreement", "SELECT round(100.0::DOUBLE * avg((p_size % 5 = p_partkey % 5)::INT), 6) AS identical FROM part")
 def _(t: Tables):
     return t.part.agg(F.round(100.0 * F.avg((F.col("p_size") % 5 == F.col("p_partkey") % 5).cast("int")), 6).alias("identical"))

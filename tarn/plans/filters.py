@@ -214,12 +214,10 @@ def _(t: Tables):
 
 @query("S16_verified_files", "SELECT * FROM (VALUES ('nation', 'kept'), ('region', 'kept'), ('absent', 'missing'), ('supplier', 'other digest')) v(name, state)")
 def _(t: Tables):
-    """Every named file against the digest that is expected of it."""
-    import hashlib
-    from pathlib import Path
-
-    expected = {n: hashlib.sha256(Path(f"{t.folder}/{n}.parquet").read_bytes()).hexdigest() for n in ("nation", "region")} | {"absent": "0" * 64, "supplier": "0" * 64}
-    return files.verified(t.spark, t.folder, {f"{n}.parquet": d for n, d in expected.items()}).select(F.regexp_extract("name", "^(.*)[.]parquet$", 1).alias("name"), "state")
+    """Every named file against the digest that is expected of it; executors read the files, wherever they are."""
+    listed = t.spark.read.format("binaryFile").option("pathGlobFilter", "{nation,region}.parquet").load(t.folder).select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("digest"))
+    expected = {r["name"]: r["digest"] for r in listed.collect()} | {"absent.parquet": "0" * 64, "supplier.parquet": "0" * 64}
+    return files.verified(t.spark, t.folder, expected).select(F.regexp_extract("name", "^(.*)[.]parquet$", 1).alias("name"), "state")
 
 
 @query("S18_reference_pick", "SELECT DISTINCT ON (p_brand) p_brand, p_name AS allele FROM part ORDER BY p_brand, (p_size = 1) DESC, p_name")

@@ -74,9 +74,15 @@ def _(t: Tables):
     return t.part.select("p_partkey", sequence.region(F.col("p_size") + 70).alias("region"))
 
 
-@query("X12_residue_code", "SELECT * FROM (VALUES ('ALA', 'A'), ('TRP', 'W'), ('XYZ', NULL)) v(res, code)")
+_RESIDUES = "['ALA', 'TRP', 'XYZ', 'lys', 'GLY']"
+
+
+@query("X12_residue_code", f"SELECT vec_id, ({_RESIDUES})[vec_id % 5 + 1] AS res, (['A', 'W', NULL, NULL, 'G'])[vec_id % 5 + 1] AS code FROM embeddings")
 def _(t: Tables):
-    return t.spark.createDataFrame([("ALA",), ("TRP",), ("XYZ",)], "res string").select("res", F.try_element_at(sequence.literal_map(sequence.ONE_LETTER), F.col("res")).alias("code"))
+    """One-letter codes of residue names, known and unknown ones, a name a vector."""
+    names = F.array(*[F.lit(n) for n in ("ALA", "TRP", "XYZ", "lys", "GLY")])
+    named = t.embeddings.select("vec_id", F.element_at(names, (F.col("vec_id") % 5 + 1).cast("int")).alias("res"))
+    return named.withColumn("code", F.try_element_at(sequence.literal_map(sequence.ONE_LETTER), F.col("res")))
 
 
 @query("X13_short_tag", "SELECT c_custkey, substr(sha1(c_name || '|' || c_mktsegment), 1, 10) AS tag FROM customer")
