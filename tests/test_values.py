@@ -228,3 +228,47 @@ def test_ridge_against_direct_solves(spark):
         fit[f == k] = x[f == k] @ np.linalg.solve(xs.T @ xs + np.diag([0.0, 1, 1, 1]), xs.T @ ys)
     want = 1 - ((y - fit) ** 2).sum() / ((y - y.mean()) ** 2).sum()
     assert abs(panel.ridge_r2(df, "id", "y", ["a"], {"c": ["x", "y"]}).first()["r2"] - want) < 1e-9
+
+
+def test_contacts_in_the_own_frame(spark):
+    """N06 from its definition: touching by all distances, angles by plain vectors, axes from the rotation's own eigenvector."""
+    p, above, angles, away = points(spark), [], [], []
+    for own in p.values():
+        a, b = own[:10], own[10:20]
+        u, _, v = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
+        r = u @ np.diag([1, 1, np.sign(np.linalg.det(u @ v))]) @ v
+        values, vectors = np.linalg.eig(r)
+        z = np.real(vectors[:, np.argmin(abs(values - 1))])
+        o = own[[7, 9, 17, 19]].mean(0)
+        z = z if (own[[8, 9, 18, 19, 20]].mean(0) - o) @ z >= 0 else -z
+        if min(math.dist(x, y) for x in 8 * own[:18] for y in 8 * own[18:]) > 5:
+            continue
+        c = 8 * (own[18:].mean(0) - o)
+        above.append(c @ z > 0)
+        angles.append(math.degrees(math.acos(np.clip(c @ z / np.linalg.norm(c), -1, 1))))
+        away.append(np.linalg.norm(c - (c @ z) * z))
+    got = result(spark, "N06_contact_validation").first()
+    assert got["touching"] == len(above) > 0 and abs(got["above"] - np.mean(above)) < 1e-6
+    assert abs(got["angle"] - np.median(angles)) < 1e-3 and abs(got["off_axis"] - np.median(away)) < 1e-3
+
+
+def test_poses_and_sites_of_the_queries(spark):
+    """Distances of the poses that a plain version places; N08: places of the loops, and null for the loop that is missing."""
+    from tarn.operators import frames
+
+    p = points(spark)
+    df = spark.createDataFrame([(int(k), v.ravel().tolist()) for k, v in p.items()], "vec_id long, points array<double>")
+    _, ref = frames.medoid(df, "vec_id", "points")
+    for r in result(spark, "N17_pose_distance").orderBy("a").limit(20).collect():
+        x, y = (frames.two_way_pose(p[r[c]], ref, 10) for c in "ab")
+        assert abs(r["d_hinge"] - math.sqrt(((x - y) ** 2).sum() / 21)) < 1e-5
+    marks = [*range(5), *range(10, 15)]
+    for r in result(spark, "N08_site_in_frame").orderBy("vec_id").limit(20).collect():
+        own = p[r["vec_id"]]
+        turn, shift = frames.kabsch(own[marks], ref[marks])
+        site = np.array([math.nan if v is None else v for v in r["site"]]).reshape(4, 10, 3)
+        for k, loop in enumerate((slice(5, 8), slice(8, 10), slice(15, 18), slice(18, 21))):
+            if k == 2 and r["vec_id"] % 7 == 0:
+                assert np.isnan(site[k]).all()
+            else:
+                assert np.allclose(site[k], walked(own[loop], 10) @ turn + shift, atol=1e-5)
