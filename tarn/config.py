@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 DEFAULTS: dict = {
     "cells": {"min_umis": 2.0, "separator": "_"},
     "distance": {"percent": 1.0, "digits": 4},
@@ -22,6 +25,22 @@ def merge(base: dict, over: dict, path: str = "") -> dict:
     return out
 
 
+def settings(doc: Column, base: dict = DEFAULTS, path: str = "$") -> Column:
+    """The settings of a row as nested structs: each from the row's JSON document ``doc`` where it names one, else the default.
+    Nulls, in the document or for it, leave the default."""
+    kind = {float: "double", int: "long", str: "string", bool: "boolean"}
+    leaf = lambda k, v: F.coalesce(F.get_json_object(doc, f"{path}.{k}").try_cast(kind[type(v)]), F.lit(v))
+    return F.struct(*[(settings(doc, v, f"{path}.{k}") if isinstance(v, dict) else leaf(k, v)).alias(k) for k, v in base.items()])
+
+
+def unknown(doc: Column, base: dict = DEFAULTS, path: str = "$") -> Column:
+    """The names in a row's JSON document that ``base`` lacks, with their paths; none for a null document."""
+    none = F.array().cast("array<string>")
+    names = F.coalesce(F.json_object_keys(F.get_json_object(doc, path)), none)
+    own = F.transform(F.filter(names, lambda n: ~n.isin(*base)), lambda n: F.concat(F.lit(f"{path}."[2:]), n))
+    return F.concat(own, *[unknown(doc, v, f"{path}.{k}") for k, v in base.items() if isinstance(v, dict)])
+
+
 @dataclass(frozen=True)
 class Arm:
     """The extension point: one way to describe items, as column names and parameters of the same operators."""

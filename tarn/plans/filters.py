@@ -315,17 +315,20 @@ def _(t: Tables):
     return all_pairs(t.embeddings, "vec_id", "embedding").select("a", "b", F.round("d", 6).alias("d"))
 
 
-@query("S19_merged_config", "SELECT 5.0::DOUBLE AS min_umis, 0.15::DOUBLE AS most_q, true AS unknown_refused")
+@query(
+    "S19_merged_config",
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal ELSE 2.0 END AS min_umis, 1.0::DOUBLE AS percent, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey / 100.0::DOUBLE ELSE 0.15 END AS most_q, c_mktsegment AS separator,
+    CASE WHEN c_custkey % 5 = 0 THEN 'cells.umis' WHEN c_custkey % 7 = 0 THEN 'other' ELSE '' END AS refused FROM customer""",
+)
 def _(t: Tables):
+    """Every customer's own settings over the defaults, and the names that the defaults lack."""
     from tarn import config
 
-    merged = config.merge(config.DEFAULTS, {"cells": {"min_umis": 5.0}})
-    try:
-        config.merge(config.DEFAULTS, {"cells": {"umis": 1}})
-        refused = False
-    except KeyError:
-        refused = True
-    return t.spark.createDataFrame([(merged["cells"]["min_umis"], merged["labels"]["most_q"], refused)], "min_umis double, most_q double, unknown_refused boolean")
+    cells = F.struct(F.when(F.col("c_custkey") % 3 == 0, F.col("c_acctbal")).alias("min_umis"), F.col("c_mktsegment").alias("separator"), F.when(F.col("c_custkey") % 5 == 0, 1).alias("umis"))
+    labels = F.struct(F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey") / 100.0).alias("most_q"))
+    doc = F.to_json(F.struct(cells.alias("cells"), labels.alias("labels"), F.when((F.col("c_custkey") % 7 == 0) & (F.col("c_custkey") % 5 != 0), "x").alias("other")))
+    merged = t.customer.withColumn("doc", doc).withColumn("s", config.settings(F.col("doc")))
+    return merged.select("c_custkey", "s.cells.min_umis", "s.distance.percent", "s.labels.most_q", "s.cells.separator", F.array_join(config.unknown(F.col("doc")), ",").alias("refused"))
 
 
 @query("K05_checks_sink", "SELECT 'n' AS check, true AS passed UNION ALL SELECT 'dear', max(p_retailprice) > 5000 FROM part")

@@ -150,3 +150,14 @@ def test_a_batch_rewrites_what_it_touches(spark, tmp_path):
     assert sorted(versions.values()).count(3) == 1 and set(versions.values()) == {0, 3}
     bucket = next(b for b, v in versions.items() if v == 3)
     assert sorted(p.parent.name for p in tmp_path.glob(f"s/v*/_bucket={bucket}")) == ["v2", "v3"]  # this and what it began with
+
+
+def test_settings_by_row(spark):
+    from tarn import config
+
+    docs = [None, "{}", '{"cells": {"min_umis": 7, "separator": null}}', '{"cells": {"umis": 1}, "x": {"y": 2}, "labels": {"reps": 5, "q": {}}}', '{"cells": 3}', "no json", '{"cells": {"min_umis": "many"}}']
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(docs)], "id long, doc string")
+    got = {r["id"]: r for r in df.select("id", config.settings(F.col("doc")).alias("s"), config.unknown(F.col("doc")).alias("u")).collect()}
+    assert got[0]["s"].asDict(True) == config.DEFAULTS == got[1]["s"].asDict(True) == got[5]["s"].asDict(True) == got[6]["s"].asDict(True)
+    assert got[2]["s"].asDict(True) == config.merge(config.DEFAULTS, {"cells": {"min_umis": 7.0}}) and got[3]["s"]["labels"]["reps"] == 5
+    assert sorted(got[3]["u"]) == ["cells.umis", "labels.q", "x"] and [got[i]["u"] for i in (0, 1, 2, 4, 5)] == [[]] * 5
