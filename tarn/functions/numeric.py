@@ -12,6 +12,14 @@ def unit(v: str, least: float = 0.5) -> Column:
     return F.when(norm < least, F.transform(v, lambda x: F.lit(0.0))).otherwise(F.transform(v, lambda x: x.cast("double") / norm))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """The double nearest to ``x`` at ``digits`` digits by scaling, halves of the scaled value away from zero, as SQL engines
+    round doubles. Zero keeps the sign of ``x``; what scaling would overflow stays as it is."""
+    x, step = x.cast("double"), 10.0**digits
+    near = F.round(F.abs(x) * step) / step * F.signum(x)
+    return F.when(F.abs(near) == float("inf"), x).otherwise(near)
+
+
 def resample(v: str, n: int) -> Column:
     """Linear resampling of an array at ``n`` places from its first to its last element."""
     last = F.size(v) - 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tarn.functions import numeric
 from tarn.operators import filters as op
 from tarn.plans.registry import Tables, query
 from tarn.sources.storage import materialize
@@ -253,7 +254,7 @@ def _(t: Tables):
 def _(t: Tables):
     from tarn.sources.storage import materialize
 
-    return materialize(t.embeddings, "bundle").select("vec_id", "label", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("embedding"))
+    return materialize(t.embeddings, "bundle").select("vec_id", "label", F.transform("embedding", lambda x: numeric.rounded(x, 6)).alias("embedding"))
 
 
 @query(
