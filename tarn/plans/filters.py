@@ -210,7 +210,7 @@ def _(t: Tables):
 
 @query("S14_block_scan", "SELECT vec_id, list_transform(embedding[17:32], lambda x: round(x::DOUBLE, 6)) AS block FROM embeddings")
 def _(t: Tables):
-    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 17, 16), lambda x: F.round(x.cast("double"), 6)).alias("block"))
+    return t.embeddings.select("vec_id", F.transform(F.slice("embedding", 17, 16), lambda x: numeric.rounded(x, 6)).alias("block"))
 
 
 @query("S16_verified_files", "SELECT * FROM (VALUES ('nation', 'kept'), ('region', 'kept'), ('absent', 'missing'), ('supplier', 'other digest')) v(name, state)")
