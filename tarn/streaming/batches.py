@@ -143,8 +143,9 @@ def windowed_counts(events: DataFrame, time: str, key: str, width: str, late: st
 
 
 def sessions(events: DataFrame, user: str, time: str, gap: int) -> DataFrame:
-    """An extension: sessions by gaps of more than ``gap`` seconds, as ``<user>, session, n``."""
+    """An extension: sessions by gaps of more than ``gap`` seconds, as ``<user>, session, n``; times count to the nearest whole
+    second, halves to the even one."""
     w = Window.partitionBy(user).orderBy(time)
-    seconds = F.unix_timestamp(F.col(time).cast("timestamp"))
+    seconds = F.rint(F.unix_micros(F.col(time).cast("timestamp")) / 1e6)
     new = F.coalesce((seconds - F.lag(seconds).over(w) > gap).cast("int"), F.lit(0))
     return events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w)).groupBy(user, "session").agg(F.count("*").alias("n"))
