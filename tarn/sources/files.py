@@ -69,12 +69,20 @@ def _kind(head: bytes) -> str:
 
 
 def _looked_at(stream) -> tuple[int, str]:
-    """Length and kind of a stream's content, read in steps."""
+    """Length and kind of a stream's content, read in steps; a first line that is longer than the head is looked at to its end."""
     head = stream.read(HEAD)
-    length = len(head)
+    length, kind = len(head), _kind(head)
+    within = kind in ("text", "table") and b"\n" not in head
     while part := stream.read(STEP):
         length += len(part)
-    return length, _kind(head)
+        if within:
+            line, end, _ = part.partition(b"\n")
+            if b"\0" in line:
+                kind = "binary"
+            elif kind == "text" and any(c in line for c in b",\t;"):
+                kind = "table"
+            within = not end and kind != "binary"
+    return length, kind
 
 
 def _entries(content: bytes) -> Iterator[tuple[str | None, int | None, str, str | None]]:
