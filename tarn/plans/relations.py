@@ -296,11 +296,9 @@ def _(t: Tables):
 
 @query("T09_medoid", "SELECT a.vec_id, round(sum(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))), 6) AS total FROM embeddings a, embeddings b GROUP BY 1 ORDER BY 2, 1 LIMIT 1")
 def _(t: Tables):
-    from tarn.operators.distances import all_pairs
+    from tarn.operators.distances import total_squares
 
-    d = all_pairs(t.embeddings, "vec_id", "embedding").withColumn("s", F.col("d") * F.col("d"))
-    both = d.select(F.col("a").alias("vec_id"), "s").unionByName(d.select(F.col("b").alias("vec_id"), "s"))
-    return both.groupBy("vec_id").agg(F.round(F.sum("s"), 6).alias("total")).orderBy("total", "vec_id").limit(1)
+    return total_squares(t.embeddings, "vec_id", "embedding").select(F.col("vec_id"), F.round("total", 6).alias("total")).orderBy("total", "vec_id").limit(1)
 
 
 @query("T10_trim_decile", "SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i, count(*) OVER () AS n FROM customer) WHERE i <= n - n // 10")
