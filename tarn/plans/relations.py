@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Window
+import numpy as np
 from pyspark.sql import functions as F
 
 from tarn.operators import ordered
@@ -61,9 +62,10 @@ def _(t: Tables):
 
 @query("J09_all_pairs", "SELECT count(*) AS n, round(avg(d), 6) AS mean FROM (SELECT sqrt(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))) AS d FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id)")
 def _(t: Tables):
-    from tarn.operators.distances import all_pairs
+    from tarn.operators import distances
 
-    return all_pairs(t.embeddings, "vec_id", "embedding").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("mean"))
+    v = distances.pair_parts(t.embeddings, "vec_id", "embedding", ["total"], lambda a, b, once: (np.sqrt(once(distances._fast(a, b))).sum(),))
+    return v.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.round(F.sum("total") / F.sum("n"), 6).alias("mean"))
 
 
 @query("J10_best_match", """WITH p AS (SELECT a.s_suppkey, b.n_nationkey, i, substr(a.s_name, i, 1) = substr(b.n_name, i, 1) AS eq FROM supplier a JOIN nation h ON a.s_nationkey = h.n_nationkey JOIN nation b ON h.n_regionkey = b.n_regionkey, range(1, 6) r(i) WHERE length(b.n_name) >= i),
