@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -94,39 +95,83 @@ def complete_linkage(nodes: DataFrame, pairs: DataFrame, ident: str, cut: float)
     return whole.join(numbers, "raw").select(F.col("id").alias(ident), "cluster")
 
 
-def merged_in_rounds(close: DataFrame) -> DataFrame:
+#: Edges between clusters that one task merges to the end, some 100 MB of them; while there are more, they are merged in rounds.
+FEW = 500_000
+
+
+def merged_in_rounds(close: DataFrame, few: int | None = None) -> DataFrame:
     """``id, raw``: complete linkage of the pairs ``a, b, d`` that are within the cut, in rounds over tables of edges.
 
-    Two clusters can merge if all their cross pairs are there; the largest is their linkage. Each round merges all pairs of
-    clusters that are each other's nearest: merging others never brings a cluster nearer, so the result is that of merging
-    the closest pair first. A round is a few grouped passes over the edges, and the closest pair of all merges in each.
+    Two clusters can merge if all their cross pairs are there; the largest is their linkage. What lacks a cross pair lacks it
+    for good, so only edges between clusters with all of theirs are kept, and they soon are few. Each round merges all pairs
+    of clusters that are each other's nearest: merging others never brings a cluster nearer, so the result is that of
+    merging the closest pair first. A round is a few grouped passes over the edges, and the closest pair of all merges in
+    each. The last ``few`` edges (FEW) are merged in one task.
     """
-    edges = materialize(close.select(F.col("a").alias("x"), F.col("b").alias("y"), "d", F.lit(1).cast("long").alias("n")))
+    few = FEW if few is None else few
+    edges = materialize(close.select(F.col("a").alias("x"), F.col("b").alias("y"), "d"))
     member = materialize(close.select(F.explode(F.array("a", "b")).alias("id")).distinct().withColumn("raw", F.col("id")))
-    while not edges.isEmpty():
-        size = member.groupBy("raw").agg(F.count("*").alias("k"))
-        whole = edges.join(size.select(F.col("raw").alias("x"), F.col("k").alias("kx")), "x").join(size.select(F.col("raw").alias("y"), F.col("k").alias("ky")), "y").where(F.col("n") == F.col("kx") * F.col("ky"))
-        whole = materialize(whole.select("x", "y", "d"))
-        both = whole.unionByName(whole.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
+    while (left := edges.count()) > few:
+        both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y"), "d"))
         lower, upper = F.least("x", "y"), F.greatest("x", "y")
         near = both.groupBy("x").agg(F.min(F.struct("d", lower.alias("l"), upper.alias("u"), "y")).alias("m")).select(F.col("x").alias("c"), F.col("m.y").alias("to"))
         near = materialize(near)
         back = near.select(F.col("c").alias("to"), F.col("to").alias("c"))
         moves = materialize(near.join(back, ["c", "to"]).where("to < c"))
-        if moves.isEmpty():
-            break
-        go = lambda c: F.coalesce(F.col(f"to_{c}"), F.col(c))
-        member = materialize(member.join(moves.select(F.col("c").alias("raw"), F.col("to").alias("to_raw")), "raw", "left").select("id", go("raw").alias("raw")))
+        member = materialize(_moved(member, moves))
         edges = materialize(_cross(edges, moves))
+    if left:
+        kind = dict(edges.dtypes)["x"]
+        last = edges.groupBy(F.lit(0).alias("all")).applyInPandas(_merged, f"c {kind}, to {kind}")
+        member = _moved(member, materialize(last))
     return member
 
 
+def _moved(member: DataFrame, moves: DataFrame) -> DataFrame:
+    """``id, raw`` where the clusters that moved have their new name."""
+    return member.join(moves.select(F.col("c").alias("raw"), "to"), "raw", "left").select("id", F.coalesce("to", "raw").alias("raw"))
+
+
+def _merged(edges: pd.DataFrame) -> pd.DataFrame:
+    """``c, to``: where each cluster of ``edges(x, y, d)`` ends, if not in itself, merging the closest pair first."""
+    near: dict = {}
+    for x, y, d in zip(edges["x"].tolist(), edges["y"].tolist(), edges["d"].tolist(), strict=True):
+        near.setdefault(x, {})[y] = d
+        near.setdefault(y, {})[x] = d
+    heap = [(d, min(x, y), max(x, y)) for x, y, d in zip(edges["x"].tolist(), edges["y"].tolist(), edges["d"].tolist(), strict=True)]
+    heapq.heapify(heap)
+    into: dict = {}
+    while heap:
+        d, x, y = heapq.heappop(heap)
+        if near.get(x, {}).get(y) != d:
+            continue
+        one, other = near.pop(x), near.pop(y)
+        into[y] = x
+        for z in one.keys() | other.keys():
+            if z not in (x, y):
+                near[z].pop(x, None), near[z].pop(y, None)
+        near[x] = {z: max(one[z], other[z]) for z in one.keys() & other.keys()}
+        for z, far in near[x].items():
+            near[z][x] = far
+            heapq.heappush(heap, (far, min(x, z), max(x, z)))
+
+    def end(c):
+        while c in into:
+            c = into[c]
+        return c
+
+    return pd.DataFrame({"c": list(into), "to": [end(c) for c in into]})
+
+
 def _cross(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """``x, y, d, n``: the edges between the clusters after ``moves``: the largest distance and the number of cross pairs."""
+    """``x, y, d``: the edges between the clusters after ``moves`` that have all their cross pairs, with the largest distance."""
+    ends = moves.select("c", "to").unionByName(moves.select(F.col("to").alias("c"), "to"))
     go = lambda c: F.coalesce(F.col(f"to_{c}"), F.col(c))
-    met = edges.join(moves.select(F.col("c").alias("x"), F.col("to").alias("to_x")), "x", "left").join(moves.select(F.col("c").alias("y"), F.col("to").alias("to_y")), "y", "left")
-    ends = met.select(go("x").alias("x"), go("y").alias("y"), "d", "n").where("x != y")
-    return ends.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("d").alias("d"), F.sum("n").alias("n"))
+    met = edges.join(ends.select(F.col("c").alias("x"), F.col("to").alias("to_x")), "x", "left").join(ends.select(F.col("c").alias("y"), F.col("to").alias("to_y")), "y", "left")
+    parts = F.when(F.col("to_x").isNull(), 1).otherwise(2) * F.when(F.col("to_y").isNull(), 1).otherwise(2)  # a move joins two
+    between = met.select(go("x").alias("x"), go("y").alias("y"), "d", parts.alias("parts")).where("x != y")
+    grouped = between.groupBy(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).agg(F.max("d").alias("d"), F.count("*").alias("n"), F.max("parts").alias("parts"))
+    return grouped.where("n = parts").select("x", "y", "d")
 
 
 def relabel_by_size(df: DataFrame, label: str, member: str) -> DataFrame:
