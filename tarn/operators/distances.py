@@ -357,8 +357,11 @@ def combined(g: Column, c: Column, o: Column, lam: float, weight: float, lam_o:
 
 def summary(df: DataFrame, d: str, own: float, other: float) -> DataFrame:
     """Median, p90, p1 and the shares within two cuts, to four digits."""
+    from tarn.operators.ordered import percentiles
+
+    found = percentiles(df, d, [0.5, 0.9, 0.01])
     return df.agg(
-        *[F.round(F.percentile(d, p), 4).alias(n) for n, p in (("median", 0.5), ("p90", 0.9), ("p1", 0.01))],
+        *[F.round(F.lit(x).cast("double"), 4).alias(n) for n, x in zip(("median", "p90", "p1"), found, strict=True)],
         F.round(F.avg((F.col(d) <= own).cast("int")), 4).alias("within_own"),
         F.round(F.avg((F.col(d) <= other).cast("int")), 4).alias("within_other"),
     )

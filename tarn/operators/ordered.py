@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,20 @@ def least_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(upto, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
+def percentiles(df: DataFrame, value: str, percents: list[float]) -> list[float | None]:
+    """The exact linear percentiles of the values that aren't null, by running counts over the distinct values: no task holds
+    them all."""
+    distinct = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = materialize(running_sum(distinct, ["_v"], "_n", "_upto"), "upto")
+    n = upto.agg(F.max("_upto")).first()[0]
+    if not n:
+        return [None] * len(percents)
+    places = [p * (n - 1) for p in percents]
+    at = lambda r: F.min(F.when(F.col("_upto") > r, F.col("_v"))).cast("double")
+    ends = upto.agg(*[at(f(x)) for x in places for f in (math.floor, math.ceil)]).first()
+    return [low if low == high else low + (high - low) * (x - math.floor(x)) for x, low, high in zip(places, ends[::2], ends[1::2], strict=True)]
+
+
 def percentile_in(background: DataFrame, asked: DataFrame, value: str, name: str) -> DataFrame:
     """Percent of ``background`` at most as large as each asked value, by running counts over the distinct values."""
     both = background.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n")).unionByName(asked.select(F.col(value).alias("_v"), F.lit(0).cast("long").alias("_n"))).groupBy("_v").agg(F.sum("_n").alias("_n"))
