@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def deduplicated(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -33,6 +38,56 @@ def hamming(a: str, b: str) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(a)), F.lit(0), lambda n, i: n + (F.substr(F.col(a), i, F.lit(1)) != F.substr(F.col(b), i, F.lit(1))).cast("int"))
 
 
+#: Members of a group whose names are compared with as many others at once.
+NAMES = 2_048
+
+
+def hamming_pairs(df: DataFrame, ident: str, group: str, seq: str) -> DataFrame:
+    """``a, b, h`` for a < b in a group: the differing places of their texts, as ``hamming`` counts them; null if one is null.
+
+    All pairs are the result, so they are made: a group's members go in tiles of NAMES by the order of their ids, each pair of
+    tiles is a row of its own, and a task compares a block of code points at once. A null group has no pairs.
+    """
+    from tarn.operators.ordered import row_numbers
+
+    rows = df.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(ident).alias("id"), F.col(seq).alias("s")).where("id IS NOT NULL")
+    numbered = row_numbers(rows, ["g", "id"], "at")
+    first = numbered.groupBy(F.col("g").alias("of")).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    placed = numbered.join(first, F.col("g") == F.col("of")).withColumn("tile", F.floor((F.col("at") - F.col("first")) / NAMES)).withColumn("last", F.floor((F.col("n") - 1) / NAMES))
+    tiles = placed.groupBy("g", "tile", "last").agg(F.sort_array(F.collect_list(F.struct("id", "s"))).alias("rows"))
+    left = tiles.select("g", F.col("tile").alias("i"), F.explode(F.sequence("tile", "last")).alias("j"), F.col("rows").alias("x"))
+    right = tiles.select("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("i"), F.col("tile").alias("j"), F.col("rows").alias("y"))
+    met = left.join(right, ["g", "i", "j"]).select("x", "y")
+    kind = to_arrow_type(df.schema[ident].dataType)
+
+    def read(column: pa.Array, k: int) -> tuple:
+        ids, texts = column[k].values.flatten()
+        texts = ["" if t is None else t for t in texts.to_pylist()], texts.is_null().to_numpy(zero_copy_only=False)
+        return ids.to_numpy(zero_copy_only=False), *texts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                (ia, ta, na), (ib, tb, nb) = read(batch.column(0), k), read(batch.column(1), k)
+                width = max(map(len, [*ta, *tb])) or 1
+                a, b = (np.array(t, dtype=f"<U{width}").view(np.uint32).reshape(len(t), width) for t in (ta, tb))
+                if max(a.max(), b.max()) < 256:
+                    a, b = a.astype(np.uint8), b.astype(np.uint8)
+                columns, length = np.ascontiguousarray(b.T), np.array([*map(len, ta)])
+                step = max(1, (1 << 17) // len(ib))
+                for at in range(0, len(ia), step):
+                    own = slice(at, at + step)
+                    h = np.zeros((len(ia[own]), len(ib)), np.int32)
+                    for place in range(width):  # places behind the end of the first text don't count
+                        h += (a[own, place, None] != columns[place]) & (length[own] > place)[:, None]
+                    pair = np.nonzero(ia[own, None] < ib[None])
+                    value = pa.array(h[pair].astype(np.int64), mask=na[own][pair[0]] | nb[pair[1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(ia[own][pair[0]], type=kind), pa.array(ib[pair[1]], type=kind), value], ["a", "b", "h"])
+
+    name = df.schema[ident].dataType.simpleString()
+    return met.mapInArrow(run, f"a {name}, b {name}, h long")
+
+
 def one_apart(df: DataFrame, ident: str, blocks: list[str], seq: str) -> DataFrame:
     """``a, b`` of rows that share ``blocks`` and a sequence length and differ in one place.
 

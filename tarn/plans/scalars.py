@@ -43,11 +43,9 @@ def _(t: Tables):
 
 @query("X07_hamming", "SELECT a.s_suppkey AS a, b.s_suppkey AS b, hamming(a.s_name, b.s_name) AS h FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 def _(t: Tables):
-    from tarn.operators.relations import hamming
+    from tarn.operators.relations import hamming_pairs
 
-    a = t.supplier.select("s_nationkey", F.col("s_suppkey").alias("a"), F.col("s_name").alias("x"))
-    b = t.supplier.select("s_nationkey", F.col("s_suppkey").alias("b"), F.col("s_name").alias("y"))
-    return a.join(b, "s_nationkey").where("a < b").select("a", "b", hamming("x", "y").cast("long").alias("h"))
+    return hamming_pairs(t.supplier, "s_suppkey", "s_nationkey", "s_name")
 
 
 @query("X08_positional_identity", """WITH x AS (SELECT p_partkey % 20 AS k, p_size AS pos, min(p_brand) AS c FROM part WHERE p_partkey % 2 = 0 GROUP BY 1, 2), y AS (SELECT (p_partkey - 1) % 20 AS k, p_size AS pos, min(p_brand) AS c FROM part WHERE p_partkey % 2 = 1 GROUP BY 1, 2)
