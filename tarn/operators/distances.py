@@ -30,10 +30,15 @@ def rms(a: str | Column, b: str | Column, k: int) -> Column:
 TILE_BYTES, TILES, BLOCK, STRIP = 8 << 20, 24, 1 << 17, 1 << 14
 
 
-def tile_size(df: DataFrame, vector: str) -> int:
-    """Rows of a tile: a TILES-th of the table, in the bounds of TILE_BYTES; no fewer than 64."""
+#: The same for nearest neighbours, whose tasks hold a few rows' distances besides two tiles: what is sent, rows and
+#: candidates, grows with the number of tiles alone.
+NEAR_BYTES, NEAR_TILES = 32 << 20, 8
+
+
+def tile_size(df: DataFrame, vector: str, most: int = TILES, held: int = TILE_BYTES) -> int:
+    """Rows of a tile: a ``most``-th of the table, in the bounds of ``held`` bytes; no fewer than 64."""
     n, width = df.agg(F.count("*"), F.max(F.size(vector))).first()
-    return max(64, min(math.ceil(n / TILES), TILE_BYTES // (8 * max(width or 1, 1))))
+    return max(64, min(math.ceil(n / most), held // (8 * max(width or 1, 1))))
 
 
 def tiles(df: DataFrame, ident: str, vector: str, size: int, group: str | None = None) -> DataFrame:
@@ -276,6 +281,19 @@ def pair_percentiles(df: DataFrame, ident: str, vector: str, percents: list[floa
     return out
 
 
+#: Cells of which the least stands for all where the k-th of a row is bounded.
+STRIDE = 32
+
+
+def _kth(d2: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound of its k-th least cell that at least k cells meet: the k-th least of the minima of STRIDE cells."""
+    n = d2.shape[1] // STRIDE
+    if n >= 4 * k:
+        d2 = np.fmin(np.fmin.reduce(d2[:, : n * STRIDE].reshape(len(d2), STRIDE, n), axis=1), np.inf)
+    k = min(k, d2.shape[1])
+    return np.partition(d2, k - 1, axis=1)[:, k - 1]
+
+
 def nearest(df: DataFrame, ident: str, vector: str, k: int, group: str | None = None, size: int | None = None, digits: int = 9) -> DataFrame:
     """``a, b, d``: the ``k`` nearest others of every row, in its group if one is given; ties by ``b`` at ``digits`` digits.
 
@@ -284,7 +302,7 @@ def nearest(df: DataFrame, ident: str, vector: str, k: int, group: str | None =
     """
     from tarn.operators.ordered import row_numbers
 
-    size = size or tile_size(df, vector)
+    size = size or tile_size(df, vector, NEAR_TILES, NEAR_BYTES)
     own = F.lit(0) if group is None else F.col(group)
     numbered = row_numbers(df.select(own.alias("g"), F.col(ident).alias("id"), F.col(vector).alias("v")), ["g", "id"], "ord")
     first = numbered.groupBy("g").agg(F.min("ord").alias("first")).select(F.col("g").alias("of"), "first")
@@ -298,8 +316,8 @@ def nearest(df: DataFrame, ident: str, vector: str, k: int, group: str | None =
 
     def best(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
         """The k least of every row by differences, among those that the Gram form can't tell from them."""
-        bound = np.partition(d2, min(k, d2.shape[1]) - 1, axis=1)[:, min(k, d2.shape[1]) - 1]
-        slack = 1e-9 * ((a**2).sum(1) + (b**2).sum(1).max(initial=0.0)) + 10.0**-digits * (2 * np.sqrt(bound) + 1)
+        bound = _kth(d2, k)
+        slack = 1e-9 * ((a**2).sum(1) + np.fmax.reduce((b**2).sum(1), initial=0.0)) + 10.0**-digits * (2 * np.sqrt(bound) + 1)
         at = np.nonzero((d2 <= (bound + slack)[:, None]) & np.isfinite(d2))
         found = pd.DataFrame({"a": ia[at[0]], "b": ib[at[1]], "d": np.round(np.sqrt(_exact(a, b, at)), digits)})
         return found.sort_values(["d", "b"], kind="stable").groupby("a", sort=False).head(k)
