@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +37,8 @@ def purity(df: DataFrame, cluster: str, label: str, by: list[str] | None = None,
     return shares.groupBy(*by).agg(share) if by else shares.agg(share)
 
 
-#: Rows of a stratum that are put in order together, about.
-RUN = 10_000
+#: Rows of a stratum that are put in order together, about; rows of all rungs and replicates that are dealt in one pass.
+RUN, AT_ONCE = 10_000, 60_000_000
 
 
 def _ladder(rows: DataFrame, ident: str, cluster: str, label: str, rungs: dict[str, list[str]]) -> DataFrame:
@@ -59,30 +61,44 @@ def null_ladder(df: DataFrame, ident: str, cluster: str, label: str, rungs: dict
     """``rung, observed, mean, delta, z`` for each way to stratify, from ``reps`` permutations.
 
     A replicate deals a stratum's labels to its places in the order of md5 of id, rung and replicate. The places are numbered
-    once; all replicates of all rungs are put in order in one pass, by hashes of runs of a stratum's digests, so neither a
-    replicate nor a stratum is one task, and nothing is sorted twice. z divides by the population deviation, 1e-9 at least.
+    once; replicates of all rungs are put in order together, by hashes of runs of a stratum's digests, so neither a
+    replicate nor a stratum is one task, and nothing is sorted twice. A pass deals AT_ONCE rows or one replicate of each rung,
+    so the disk that it takes doesn't grow with the number of replicates. z divides by the population deviation, 1e-9 at least.
     """
     rows = materialize(df.where(F.col(label).isNotNull()).select(*dict.fromkeys([ident, cluster, label, *[c for s in rungs.values() for c in s]])), "rows")
     observed = purity(rows, cluster, label)
     base = _ladder(rows, ident, cluster, label, rungs)
     names = F.create_map(*[F.lit(x) for k, name in enumerate(rungs) for x in (k, name)])
-    many = base.select("rung", "first", "size", ident, F.col(label).alias("_dealt"), F.explode(F.sequence(F.lit(0), F.lit(reps - 1))).alias("rep"))
-    many = many.withColumn("u", F.unhex(F.md5(F.concat_ws("|", F.col(ident).cast("string"), names[F.col("rung")], F.col("rep").cast("string")))))
-    runs = F.ceil(F.col("size") / RUN)  # a run is a share of the digests' range
-    high = F.conv(F.hex(F.substring("u", 1, 4)), 16, 10).cast("long")
-    many = many.withColumn("run", F.when(runs > 1, F.shiftright(high * runs, 32)).otherwise(0))
-    own = Window.partitionBy("rung", "rep", "first", "run").orderBy("u", ident)
-    given = many.withColumn("nth", F.row_number().over(own) - 1)
-    if not base.where(F.col("size") > RUN).isEmpty():
-        sizes = many.where(F.col("size") > RUN).groupBy("rung", "rep", "first", "run").agg(F.count("*").alias("n"))
-        before = F.sum("n").over(Window.partitionBy("rung", "rep", "first").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-        starts = materialize(sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"), "starts")
-        given = given.join(starts, ["rung", "rep", "first", "run"], "left")
-    else:
-        given = given.withColumn("before", F.lit(0))
-    given = given.select("rung", "rep", (F.col("first") + F.coalesce("before", F.lit(0)) + F.col("nth")).alias("at"), "_dealt")
-    dealt = given.join(base.select("rung", "at", cluster), ["rung", "at"])
-    null = purity(dealt, cluster, "_dealt", ["rung", "rep"]).groupBy("rung").agg(F.avg("purity").alias("mean"), F.stddev_pop("purity").alias("sd"))
+
+    def dealt_purity(start: int, stop: int) -> DataFrame:
+        """``rung, rep, purity`` of the replicates from ``start`` to before ``stop``."""
+        many = base.select("rung", "first", "size", ident, F.col(label).alias("_dealt"), F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("rep"))
+        many = many.withColumn("u", F.unhex(F.md5(F.concat_ws("|", F.col(ident).cast("string"), names[F.col("rung")], F.col("rep").cast("string")))))
+        runs = F.ceil(F.col("size") / RUN)  # a run is a share of the digests' range
+        high = F.conv(F.hex(F.substring("u", 1, 4)), 16, 10).cast("long")
+        many = many.withColumn("run", F.when(runs > 1, F.shiftright(high * runs, 32)).otherwise(0))
+        own = Window.partitionBy("rung", "rep", "first", "run").orderBy("u", ident)
+        given = many.withColumn("nth", F.row_number().over(own) - 1)
+        if not base.where(F.col("size") > RUN).isEmpty():
+            sizes = many.where(F.col("size") > RUN).groupBy("rung", "rep", "first", "run").agg(F.count("*").alias("n"))
+            before = F.sum("n").over(Window.partitionBy("rung", "rep", "first").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
+            starts = materialize(sizes.withColumn("before", F.coalesce(before, F.lit(0))).drop("n"), "starts")
+            given = given.join(starts, ["rung", "rep", "first", "run"], "left")
+        else:
+            given = given.withColumn("before", F.lit(0))
+        given = given.select("rung", "rep", (F.col("first") + F.coalesce("before", F.lit(0)) + F.col("nth")).alias("at"), "_dealt")
+        dealt = given.join(base.select("rung", "at", cluster), ["rung", "at"])
+        return materialize(purity(dealt, cluster, "_dealt", ["rung", "rep"]), "purities", files=1)
+
+    step = max(1, AT_ONCE // max(1, base.count()))
+    found = None
+    for low in range(0, reps, step):
+        one = dealt_purity(low, min(low + step, reps))
+        found = one if found is None else found.unionByName(one)
+        if low + step < reps:  # Spark deletes the shuffle files of what the driver no longer holds
+            gc.collect()
+            df.sparkSession._jvm.System.gc()
+    null = found.groupBy("rung").agg(F.avg("purity").alias("mean"), F.stddev_pop("purity").alias("sd"))
     delta = F.col("observed") - F.col("mean")
     return null.crossJoin(F.broadcast(observed.withColumnRenamed("purity", "observed"))).select(names[F.col("rung")].alias("rung"), "observed", "mean", delta.alias("delta"), (delta / F.greatest("sd", F.lit(1e-9))).alias("z"))
 
