@@ -8,8 +8,11 @@ minhashes of the set (both agree with probability 0.64), so that random texts do
 no key of any segment with probability (1 - 0.64 * 0.61) ** 16 = 4e-4, a more similar one less often.
 
 Sets that share a key and whose fingerprints differ in few enough bits (FAR) are verified on the whole sets. Small groups
-are compared within; in larger ones every member is compared with the group's pivot first. After that only members of
-different components are compared, and of those only the ones that have enough items in common with any other.
+are compared within; in larger ones every member is compared with the group's pivot alone. Of the sets that larger groups
+leave in different components, those that keys connect make a family. Such sets are told by how they differ from the items
+that most of the family has: two of them differ from each other where exactly one of them differs from those. So sets that
+differ little from them are linked outright, and others are compared only if they meet at one of their rarest differences.
+That join loses no pair of a family, whatever the keys and fingerprints are, and copies of one text don't make all pairs.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ TABLES, WORDS, ANCHORS = 16, 6, 2
 #: with a deviation of 7; unrelated texts differ in 192 with a deviation of 10. Sets of SMALL items or more have the lower bound.
 FAR, FARTHEST, SMALL = 95, 112, 40
 #: Members of a key's group that are compared pair by pair at once.
-PAIRED = 16
+PAIRED = 8
 _DRAWS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, WORDS + TABLES * ANCHORS), np.uint64)
 _XOR, _TIMES = _DRAWS[0], _DRAWS[1] * np.uint64(2) + np.uint64(1)
 _PRINT = [f"p{k}" for k in range(WORDS)]
@@ -187,31 +190,70 @@ def links(prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     few = members.where(F.col("m") <= PAIRED).select(*columns)
     within = few.join(_renamed(few, "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & _near("", "o_")).select(F.col("node").alias("a"), F.col("o_node").alias("b"))
     many = members.where(F.col("m") > PAIRED)
-    star = many.where("node != pivot").join(_renamed(sized, "o_"), (F.col("pivot") == F.col("o_id")) & _near("", "o_")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
+    spokes = stored(many.where("node != pivot").select("pivot", "node").distinct())
+    ends = spokes.join(sized, F.col("node") == F.col("id")).select("pivot", "node", "n", *_PRINT)
+    star = ends.join(_renamed(sized, "o_"), (F.col("pivot") == F.col("o_id")) & _near("", "o_")).select(F.col("pivot").alias("a"), F.col("node").alias("b"))
     pairs = stored(within.unionByName(star).distinct())
-    hashed = lambda p: p.select(F.explode(F.array("a", "b")).alias("x")).distinct().join(sized, F.col("x") == F.col("id")).select(F.col("h").alias("w"))
-    found = stored(verified(pairs, stored(_sets(docs, stored(hashed(pairs)), text))))
+    met_by = pairs.select(F.col("a").alias("x")).unionByName(pairs.select(F.col("b").alias("x"))).distinct()
+    hashed = lambda nodes: stored(nodes.join(sized, F.col("x") == F.col("id")).select(F.col("h").alias("w")))
+    found = stored(verified(pairs, stored(_sets(docs, hashed(met_by), text))))
     if many.isEmpty():
         return found
 
     roots = components(found).select(F.col("node").alias("rn"), "root")
-    rooted = stored(many.join(roots, F.col("node") == F.col("rn"), "left").select(*columns, F.coalesce("root", "node").alias("root")))
+    rooted = stored(many.select("key", "node", "pivot").join(roots, F.col("node") == F.col("rn"), "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root")))
     unsettled = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("of")))
-    left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi"))
-    sets = stored(_sets(docs, stored(hashed(left.select(F.col("node").alias("a"), F.col("node").alias("b")))), text))
-    left = stored(_bounded(left, sets))
-    most = F.least("common", "o_common") * (SHARE + OF) >= (F.col("n") + F.col("o_n")) * SHARE
-    apart = left.join(_renamed(stored(left), "o_"), (F.col("key") == F.col("o_key")) & (F.col("node") < F.col("o_node")) & (F.col("root") != F.col("o_root")) & most & _near("", "o_"))
-    return found.unionByName(verified(stored(apart.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()), sets))
-
-
-def _bounded(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """``members`` with ``common``, the items of a member's set that another one's has too: it shares no more with any. Those
-    that miss the similarity with as many are left out."""
-    items = sets.select("node", F.explode("items").alias("item"))
-    alone = items.groupBy("item").agg(F.count("*").alias("times"), F.min("node").alias("an")).where("times = 1").groupBy("an").agg(F.count("*").alias("own"))
-    counted = members.join(stored(alone), F.col("node") == F.col("an"), "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-    return counted.where(F.col("common") * OF >= F.col("n") * SHARE).drop("an", "own")
+    left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi").select("node", "root", "pivot").distinct())
+    if left.isEmpty():
+        return found
+    families = components(left.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))).select(F.col("node").alias("fn"), F.col("root").alias("family"))
+    own = left.select("node", "root").distinct()
+    sets = stored(_sets(docs, hashed(own.select(F.col("node").alias("x"))), text))
+    relatives = stored(own.join(families, F.col("node") == F.col("fn")).select("family", "node", "root"))
+    return found.unionByName(apart(relatives, sets))
+
+
+def apart(relatives: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a, b``: links that connect what similar sets of a family connect, for ``relatives(family, node, root)`` with the
+    component so far, and ``sets(node, items)``; both stored. Exact.
+
+    D is a set's symmetric difference to the items that more than half of the family has. Two sets are similar if their D
+    have at least (debt + other debt) / (2 * (SHARE + OF)) items in common, a debt being (SHARE + OF) * |D| less (OF - SHARE)
+    times the set's size. Where that is none, both are linked to the family's set of least debt, without a comparison. Other
+    pairs share one of the first items of their D, rarest first, the more of them needed the fewer (prefix filtering).
+    """
+    full = stored(relatives.join(sets.select(F.col("node").alias("sn"), "items"), F.col("node") == F.col("sn")).select("family", "node", "root", "items"))
+    sizes = full.groupBy("family").agg(F.count("*").alias("members"))
+    times = full.select("family", F.explode("items").alias("item")).groupBy("family", "item").agg(F.count("*").alias("times"))
+    usual = times.join(sizes.withColumnRenamed("family", "of"), F.col("family") == F.col("of")).where(2 * F.col("times") > F.col("members"))
+    usual = stored(usual.groupBy(F.col("family").alias("of")).agg(F.collect_list("item").alias("usual")))
+    most = F.coalesce("usual", F.array().cast("array<long>"))
+    odd = F.concat(F.array_except("items", most), F.array_except(most, "items"))
+    told = full.join(usual, F.col("family") == F.col("of"), "left").select("family", "node", "root", F.size("items").alias("n"), odd.alias("odd"))
+    told = stored(told.withColumn("debt", (SHARE + OF) * F.size("odd") - (OF - SHARE) * F.col("n")))
+
+    best = stored(told.groupBy(F.col("family").alias("bf")).agg(F.min(F.struct("debt", "node")).alias("best")))
+    near = (F.col("debt") + F.col("best.debt") <= 0) & (F.col("node") != F.col("best.node"))
+    linked = stored(told.join(best, F.col("family") == F.col("bf")).where(near).select(F.col("best.node").alias("a"), F.col("node").alias("b")))
+    # a component of which a set is linked to the family's best is one with it
+    joint = told.groupBy(F.col("family").alias("jf"), F.col("root").alias("jr")).agg(F.min("debt").alias("least"))
+    joint = joint.join(best, F.col("jf") == F.col("bf")).select("jf", "jr", F.col("best.debt").alias("lowest"), F.when(F.col("least") + F.col("best.debt") > 0, F.col("jr")).alias("label"))
+    told = told.join(stored(joint), (F.col("family") == F.col("jf")) & (F.col("root") == F.col("jr"))).select("family", "node", "n", "debt", "lowest", "label", "odd")
+    told = stored(told)
+
+    differing = stored(told.select("family", "node", F.explode("odd").alias("item")))
+    common = stored(differing.groupBy(F.col("family").alias("cf"), F.col("item").alias("ci")).agg(F.count("*").alias("times")).where("times > 1"))
+    sorted_ = differing.join(common, (F.col("family") == F.col("cf")) & (F.col("item") == F.col("ci"))).groupBy(F.col("node").alias("on")).agg(F.sort_array(F.collect_list(F.struct("times", "item"))).alias("order"))
+    needed = lambda debts: F.greatest(F.lit(1), F.ceil(debts / (2 * (SHARE + OF)))).cast("int")
+    ordered = told.drop("odd").join(stored(sorted_), F.col("node") == F.col("on")).withColumn("size", F.size("order"))
+    prefix = F.slice("order", 1, F.greatest(F.lit(0), F.col("size") - needed(F.col("debt") + F.col("lowest")) + 1))
+    firsts = stored(ordered.select("family", "node", "n", "debt", "label", "size", F.posexplode(prefix).alias("at", "x")).select("*", F.col("x.item").alias("item")).drop("x"))
+    other = _renamed(firsts, "o_")
+    both = needed(F.col("debt") + F.col("o_debt"))
+    meets = (F.col("family") == F.col("o_family")) & (F.col("item") == F.col("o_item")) & (F.col("node") < F.col("o_node")) & ~F.col("label").eqNullSafe(F.col("o_label"))
+    meets &= (F.col("debt") + F.col("o_debt") > 0) & (F.col("at") + both <= F.col("size")) & (F.col("o_at") + both <= F.col("o_size")) & (F.least("n", "o_n") * OF >= F.greatest("n", "o_n") * SHARE)
+    pairs = stored(firsts.join(other, meets).select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct())
+    return linked.unionByName(verified(pairs, sets))
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,3 +62,50 @@ def test_large_group_of_copies_with_changed_words(spark):
 
 def test_empty(no_docs):
     assert near_copies.keep_one(no_docs).count() == 0
+
+
+def test_copies_just_below_the_similarity_dont_make_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for at in (0, 1000):
+        base = [f"w{at + rng.randrange(400)}" for _ in range(120)]
+        for i in range(at, at + 400):
+            w = list(base)
+            for k in rng.sample(range(120), rng.choice((1, 2, 3, 3, 3, 4))):
+                w[k] = f"x{i}y{k}" if i % 4 else f"z{k}"
+            rows.append((i, " ".join(w)))
+    compared, verified = [], near_copies.verified
+
+    def counted(pairs, sets):
+        compared.append(pairs.count())
+        return verified(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "verified", counted)
+    assert kept(near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_kept(rows)
+    assert len(compared) == 2 and compared[1] < 5 * len(rows)
+
+
+def test_families_equal_brute_force(spark):
+    rng = random.Random(7)
+    sets = {}
+    for node in range(240):
+        base = range(1000 * (node % 3), 1000 * (node % 3) + (90, 100, 12)[node % 3])
+        out = set(rng.sample(base, rng.randrange(0, 10 if len(base) > 20 else 3)))
+        sets[node] = sorted({*base} - out | {10_000 + rng.randrange(60 if node % 2 else 100_000) for _ in range(rng.randrange(8 if len(base) > 20 else 2))})
+    sets[240], sets[241] = [7], [7, *range(500, 530)]
+    similar = {(a, b) for a in sets for b in sets if a < b and 9 * len({*sets[a]} & {*sets[b]}) >= 4 * (len(sets[a]) + len(sets[b]))}
+    for family in (lambda node: 0, lambda node: node % 3):
+        relatives = spark.createDataFrame([(family(n), n, n) for n in sets], "family long, node long, root long")
+        found = {tuple(sorted(r)) for r in near_copies.apart(relatives, spark.createDataFrame(list(sets.items()), "node long, items array<long>")).collect()}
+        within = {(a, b) for a, b in similar if family(a) == family(b)}
+        assert found <= within
+        roots = {}
+
+        def find(x, roots=roots):
+            while roots.setdefault(x, x) != x:
+                x = roots[x]
+            return x
+
+        for a, b in found:
+            roots[find(a)] = find(b)
+        assert all(find(a) == find(b) for a, b in within)
