@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ DEPTH, FOLDS, HELD_OUT = 5, 7, 2
 #: Context bytes of a subtree that one task weighs, and grams of a bucket of such subtrees, about.
 SPLIT, BUCKET = 3, 150_000
 #: Bytes of text in a chunk, but for a last text that is longer; grams that are sorted at once; bytes of a pack of documents.
-CHUNK, BLOCK, PACK = 64_000_000, 1_000_000, 4_000_000
+CHUNK, BLOCK, PACK = 32_000_000, 1_000_000, 4_000_000
 #: A gram is broadcast if it is one in so many or more often.
 HEAVY = 1_000_000
 #: The byte that ends a text, in training and in scoring; it also stands before its start.
@@ -272,6 +273,29 @@ def summed(texts: list[bytes], names: np.ndarray, logs: np.ndarray, depth: int)
     return sums
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of ``texts``, null for none, as one array of bytes, and the row of each."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.string())))
+    found, owner = lists.flatten().cast(pa.binary()), pc.list_parent_indices(lists)
+    full = pc.greater(pc.binary_length(found), 0)
+    return found.filter(full), owner.filter(full).to_numpy()
+
+
+def _valued(packs: pa.ChunkedArray, answered: pa.Array, logs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The tokens of a chunk that are in training texts and log10 of their counts plus one: the ``answered`` ones with their
+    ``logs``, and those that are in no training text but this chunk's."""
+    values, counts = [], []
+    for b in _unpacked(packs):
+        learned = pa.array([not held_out(i) for i in b.column(0).to_pylist()], pa.bool_())
+        each = split(b.column(1).filter(learned))[0].value_counts()
+        values += [each.field("values"), pa.array([END_TOKEN], pa.binary())]
+        counts += [each.field("counts").to_numpy(), [pc.sum(learned).as_py() or 0]]
+    own = pa.concat_arrays(values).dictionary_encode()
+    n = np.bincount(own.indices.to_numpy(), np.concatenate(counts), len(own.dictionary))
+    new = np.array(n > 0) & ~pc.is_in(own.dictionary, value_set=answered).to_numpy(zero_copy_only=False)
+    return pa.concat_arrays([answered, own.dictionary.filter(pa.array(new))]), np.concatenate([logs, np.log10(n[new] + 1)])
+
+
 def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: int = DEPTH) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte`` for every row of ``docs``.
 
@@ -307,30 +331,23 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", depth: in
         logs = np.concatenate([often_logs, known.column("log10").to_numpy()])
         order = np.argsort(names)
         names, logs = names[order], logs[order]
-        # a token without an answer is in no training text but those of this chunk
-        near: Counter = Counter()
-        for b in _unpacked(packs.column("pack")):
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()), strict=True):
-                if not held_out(i):
-                    near.update((t.as_py() or b"").translate(_LOWER).split())
-                    near[END_TOKEN] += 1
-        of_token = {w: math.log10(c + 1) for w, c in near.items()}
+        del known, order
         rest = answers.filter(answers.column("token").is_valid())
-        of_token.update(zip(rest.column("token").to_pylist(), rest.column("log10").to_pylist(), strict=True))
-        rows, ids = [], []
+        values, token_logs = _valued(packs.column("pack"), rest.column("token").combine_chunks(), rest.column("log10").to_numpy())
+        end = pc.index_in(pa.scalar(END_TOKEN), value_set=values).as_py()
+        columns, ids = [], []
         for b in _unpacked(packs.column("pack")):
             ids.append(b.column(0))
+            apart = np.array([held_out(i) for i in b.column(0).to_pylist()], bool)
+            found, owner = split(b.column(1))
+            at = pc.index_in(found, value_set=values).fill_null(-1).to_numpy(zero_copy_only=False)
+            has, rows = at >= 0, b.num_rows
+            base = np.bincount(owner[has], token_logs[at[has]], rows) + (0.0 if end is None else token_logs[end])
+            n, n_known = np.bincount(owner, minlength=rows) + 1, np.bincount(owner[has], minlength=rows) + (end is not None)
             texts = [(t.as_py() or b"").translate(_LOWER) for t in b.column(1).cast(pa.binary())]
-            for i, low, s in zip(b.column(0).to_pylist(), texts, summed(texts, names, logs, depth).tolist(), strict=True):
-                c = Counter(low.split())
-                c[END_TOKEN] += 1
-                n, n_known, base = c.total(), 0, 0.0
-                for w, k in c.items():
-                    if (x := of_token.get(w)) is not None:
-                        n_known += k
-                        base += k * x
-                rows.append((held_out(i), n, n_known, total, base - n * level, s, -s / math.log10(2) / (len(low) + 1)))
-        columns = list(zip(*rows, strict=True)) or [()] * 7
+            s = summed(texts, names, logs, depth)
+            columns.append((apart, n, n_known, np.full(rows, total), base - n * level, s, -s / math.log10(2) / (np.array([len(t) for t in texts]) + 1)))
+        columns = [np.concatenate(c) for c in zip(*columns, strict=True)] or [()] * 7
         kinds = [pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3]
         out = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
         return pa.Table.from_arrays([pa.chunked_array(ids), *out], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"])

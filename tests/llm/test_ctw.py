@@ -117,3 +117,28 @@ def test_no_training_text(spark):
     r = ctw.score(spark.createDataFrame([(held, "abc abc")], "doc_id long, text string")).first()
     assert (r["train_tokens"], r["n_known"], r["n_tokens"], r["base_score"]) == (0, 0, 3, 0.0)
     assert abs(r["bits_per_byte"] - 8) < 1e-4
+
+
+def test_tokens_of_a_chunk_stay_in_arrays():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    texts = [None, "", " \t a  B\x0bb\x0c\r\nÄ Ä x ", *[" ".join(f"t{rng.randrange(10**9)}" for _ in range(1000)) for _ in range(100)]]
+    docs = pa.record_batch({"doc_id": pa.array(range(len(texts))), "text": pa.array(texts)})
+    words = [(t or "").encode().translate(LOWER if isinstance(LOWER, bytes) else ctw._LOWER).split() for t in texts]
+    found, owner = ctw.split(docs.column(1))
+    assert found.to_pylist() == [w for ws in words for w in ws] and owner.tolist() == [i for i, ws in enumerate(words) for _ in ws]
+
+    near = Counter(w for i, ws in enumerate(words) if not ctw.held_out(i) for w in [*ws, ctw.END_TOKEN])
+    packs = pa.chunked_array([pa.array([ctw._packed(docs.slice(0, 50)), ctw._packed(docs.slice(50))], pa.binary())])
+    tracemalloc.start()
+    values, logs = ctw._valued(packs, pa.array([b"b", b"elsewhere"], pa.binary()), np.array([7.0, 8.0]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(near)  # a dict of as many takes 150 bytes each and more
+    got = dict(zip(values.to_pylist(), logs.tolist(), strict=True))
+    assert len(got) == len(values) and got.pop(b"elsewhere") == 8.0 and got.pop(b"b") == 7.0
+    near.pop(b"b", None)
+    assert got == pytest.approx({w: math.log10(c + 1) for w, c in near.items()})
