@@ -35,7 +35,7 @@ from tarn.llm.shared import stored, table
 #: Context bytes (6 at most, which with the next byte and a node fit a long), and the fold that is held out.
 DEPTH, FOLDS, HELD_OUT = 5, 7, 2
 #: Context bytes of a subtree that one task weighs, and grams of a bucket of such subtrees, about.
-SPLIT, BUCKET = 3, 150_000
+SPLIT, BUCKET = 3, 50_000
 #: Bytes of text in a chunk, but for a last text that is longer; grams that are sorted at once; bytes of a pack of documents.
 CHUNK, BLOCK, PACK = 32_000_000, 1_000_000, 4_000_000
 #: A gram is broadcast if it is one in so many or more often.

@@ -142,3 +142,14 @@ def test_tokens_of_a_chunk_stay_in_arrays():
     assert len(got) == len(values) and got.pop(b"elsewhere") == 8.0 and got.pop(b"b") == 7.0
     near.pop(b"b", None)
     assert got == pytest.approx({w: math.log10(c + 1) for w, c in near.items()})
+
+
+def test_memory_of_a_bucket():
+    import tracemalloc
+
+    found = np.unique(np.random.default_rng(1).integers(0, 1 << 48, ctw.BUCKET))
+    tracemalloc.start()
+    ctw.subtrees(found, np.ones(len(found)), 5, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120_000_000
