@@ -8,8 +8,8 @@ minhashes of the set (both agree with probability 0.64), so that random texts do
 no key of any segment with probability (1 - 0.64 * 0.61) ** 16 = 4e-4, a more similar one less often.
 
 Sets that share a key and whose fingerprints differ in few enough bits (FAR) are verified on the whole sets. Small groups
-are compared within; in larger ones every member is compared with the group's pivot alone. Of the sets that larger groups
-leave in different components, those that keys connect make a family. Such sets are told by how they differ from the items
+are compared within; in larger ones every member is compared with the group's pivot alone. The components that
+these links make go on as stars; those of them that larger groups' keys connect make a family. Their sets are told by how they differ from the items
 that most of the family has: two of them differ from each other where exactly one of them differs from those. So sets that
 differ little from them are linked outright, and others are compared only if they meet at one of their rarest differences.
 That join loses no pair of a family, whatever the keys and fingerprints are, and copies of one text don't make all pairs.
@@ -202,15 +202,18 @@ def links(prints: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
     roots = components(found).select(F.col("node").alias("rn"), "root")
     rooted = stored(many.select("key", "node", "pivot").join(roots, F.col("node") == F.col("rn"), "left").select("key", "node", "pivot", F.coalesce("root", "node").alias("root")))
-    unsettled = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select(F.col("key").alias("of")))
-    left = stored(rooted.join(unsettled, F.col("key") == F.col("of"), "left_semi").select("node", "root", "pivot").distinct())
+    head = F.max(F.when(F.col("node") == F.col("pivot"), F.col("root"))).alias("head")
+    unsettled = stored(rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), head).where("low != high").select(F.col("key").alias("of"), "head"))
+    left = stored(rooted.join(unsettled, F.col("key") == F.col("of")).select("node", "root", "head").distinct())
+    known = stored(roots.where("rn != root").select(F.col("root").alias("a"), F.col("rn").alias("b")))
     if left.isEmpty():
-        return found
-    families = components(left.where("node != pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))).select(F.col("node").alias("fn"), F.col("root").alias("family"))
-    own = left.select("node", "root").distinct()
+        return known
+    between = stored(left.where("root != head").select(F.col("head").alias("a"), F.col("root").alias("b")).distinct())
+    families = components(between).select(F.col("node").alias("fr"), F.col("root").alias("family"))
+    own = stored(left.select("node", "root").distinct())
     sets = stored(_sets(docs, hashed(own.select(F.col("node").alias("x"))), text))
-    relatives = stored(own.join(families, F.col("node") == F.col("fn")).select("family", "node", "root"))
-    return found.unionByName(apart(relatives, sets))
+    relatives = stored(own.join(families, F.col("root") == F.col("fr")).select("family", "node", "root"))
+    return known.unionByName(apart(relatives, sets))
 
 
 def apart(relatives: DataFrame, sets: DataFrame) -> DataFrame:
@@ -222,11 +225,12 @@ def apart(relatives: DataFrame, sets: DataFrame) -> DataFrame:
     times the set's size. Where that is none, both are linked to the family's set of least debt, without a comparison. Other
     pairs share one of the first items of their D, rarest first, the more of them needed the fewer (prefix filtering).
     """
-    full = stored(relatives.join(sets.select(F.col("node").alias("sn"), "items"), F.col("node") == F.col("sn")).select("family", "node", "root", "items"))
-    sizes = full.groupBy("family").agg(F.count("*").alias("members"))
-    times = full.select("family", F.explode("items").alias("item")).groupBy("family", "item").agg(F.count("*").alias("times"))
-    usual = times.join(sizes.withColumnRenamed("family", "of"), F.col("family") == F.col("of")).where(2 * F.col("times") > F.col("members"))
-    usual = stored(usual.groupBy(F.col("family").alias("of")).agg(F.collect_list("item").alias("usual")))
+    sizes = stored(relatives.groupBy("family").agg(F.count("*").alias("members")).withColumnRenamed("family", "of"))
+    whole = relatives.join(sizes, F.col("family") == F.col("of")).join(sets.select(F.col("node").alias("sn"), "items"), F.col("node") == F.col("sn"))
+    full = stored(whole.select("family", "members", "node", "root", "items"))
+    # counted and chosen before rows are dealt by family alone: what is left is less than two sets of the mean size
+    times = full.select("family", "members", F.explode("items").alias("item")).groupBy("family", "members", "item").agg(F.count("*").alias("times"))
+    usual = stored(times.where(2 * F.col("times") > F.col("members")).groupBy(F.col("family").alias("of")).agg(F.collect_list("item").alias("usual")))
     most = F.coalesce("usual", F.array().cast("array<long>"))
     odd = F.concat(F.array_except("items", most), F.array_except(most, "items"))
     told = full.join(usual, F.col("family") == F.col("of"), "left").select("family", "node", "root", F.size("items").alias("n"), odd.alias("odd"))

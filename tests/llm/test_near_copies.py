@@ -85,6 +85,27 @@ def test_copies_just_below_the_similarity_dont_make_all_pairs(spark, monkeypatch
     assert len(compared) == 2 and compared[1] < 5 * len(rows)
 
 
+def test_a_large_group_makes_few_edges(spark, monkeypatch):
+    """Copies that share many keys: families are of components, and found links go on as stars."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(400)}" for _ in range(120)]
+    rows = []
+    for i in range(600):
+        w = list(base)
+        for k in rng.sample(range(120), rng.choice((1, 1, 1, 2, 2, 3))):
+            w[k] = f"x{i}y{k}"
+        rows.append((i, " ".join(w)))
+    edges, components = [], near_copies.components
+
+    def counted(e):
+        edges.append(e.count())
+        return components(e)
+
+    monkeypatch.setattr(near_copies, "components", counted)
+    assert kept(near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_kept(rows)
+    assert len(edges) == 3 and max(edges[1:]) < 3 * len(rows), edges
+
+
 def test_families_equal_brute_force(spark):
     rng = random.Random(7)
     sets = {}
