@@ -8,10 +8,11 @@ minhashes of the set (both agree with probability 0.64), so that random texts do
 no key of any segment with probability (1 - 0.64 * 0.61) ** 16 = 4e-4, a more similar one less often.
 
 Sets that share a key and whose fingerprints differ in few enough bits (FAR) are verified on the whole sets. Small groups
-are compared within; in larger ones every member is compared with the group's pivot alone. The components that
-these links make go on as stars; those of them that larger groups' keys connect make a family. Their sets are told by how they differ from the items
-that most of the family has: two of them differ from each other where exactly one of them differs from those. So sets that
-differ little from them are linked outright, and others are compared only if they meet at one of their rarest differences.
+are compared within; in larger ones every member is compared with the group's pivot alone. The components of these links
+go on as stars, and those that the keys of larger groups connect make a family. Its sets are told by how they differ from
+the items that most of the family has: two of them differ from each other where exactly one of them differs from those. So
+sets that differ little from them are linked outright, and others are compared only if they meet at one of their rarest
+differences.
 That join loses no pair of a family, whatever the keys and fingerprints are, and copies of one text don't make all pairs.
 """
 
