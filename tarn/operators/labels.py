@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 import gc
-
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tarn.functions.digest import md5_high
 from tarn.operators.ordered import benjamini_hochberg, row_numbers
 from tarn.sources.storage import materialize
 
@@ -37,8 +45,12 @@ def purity(df: DataFrame, cluster: str, label: str, by: list[str] | None = None,
     return shares.groupBy(*by).agg(share) if by else shares.agg(share)
 
 
-#: Rows of a stratum that are put in order together, about; rows of all rungs and replicates that are dealt in one pass.
-RUN, AT_ONCE = 10_000, 60_000_000
+#: Rows of a table whose replicates are dealt in a task each, some 400 MB of arrays at the most; larger tables' replicates are
+#: spread over many tasks.
+PACKED = 6_000_000
+#: Rows of all rungs and replicates that are dealt in one pass, in a task a replicate and spread; rows of a stratum that are put in
+#: order together where they are spread, about.
+AT_ONCE, SPREAD_AT_ONCE, RUN = 2_000_000_000, 60_000_000, 10_000
 
 
 def _ladder(rows: DataFrame, ident: str, cluster: str, label: str, rungs: dict[str, list[str]]) -> DataFrame:
@@ -57,20 +69,121 @@ def _ladder(rows: DataFrame, ident: str, cluster: str, label: str, rungs: dict[s
     return materialize(out, "ladder")
 
 
+def _coded(df: DataFrame, column: str, name: str, kept: Column | None = None) -> DataFrame:
+    """``df`` with ``name``: the number from 0 of ``column``'s value among its distinct ones; -1 where it isn't ``kept``."""
+    values = df.select(F.col(column).alias("_v")).where(F.col(column).isNotNull() if kept is None else kept).distinct()
+    codes = materialize(row_numbers(values, ["_v"], name), "codes")
+    return df.join(codes, F.col(column) == F.col("_v"), "left").drop("_v").withColumn(name, F.coalesce(F.col(name), F.lit(-1)).cast("int"))
+
+
+_PIECE = ["at", "first", "_cluster", "_label"]
+
+
+def _pieces(base: DataFrame, ident: str) -> DataFrame:
+    """``rung`` and, in a row for each batch of ``base``, its columns as bytes: places, starts of strata, codes, and the ids' texts
+    with their lengths."""
+    start = F.coalesce(F.concat(F.col(ident).cast("string"), F.lit("|")), F.lit(""))
+    flat = base.select("rung", *[F.col(c).cast("int").alias(c) for c in _PIECE], F.encode(start, "utf-8").alias("text"))
+    schema = pa.schema([("rung", pa.int32()), *[(c, pa.binary()) for c in [*_PIECE, "length", "text"]]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rung in pc.unique(batch.column(0)).to_pylist():
+                own = batch.filter(pc.equal(batch.column(0), rung))
+                cells = [own.column(k).to_numpy().astype(np.int32).tobytes() for k in range(1, 5)]
+                text = own.column(5)
+                lengths = pc.binary_length(text).to_numpy().astype(np.int32).tobytes()
+                joined = pc.binary_join(pa.ListArray.from_arrays([0, len(text)], text), b"")
+                yield pa.RecordBatch.from_arrays([pa.array([rung], pa.int32()), *[pa.array([c], pa.binary()) for c in [*cells, lengths, joined[0].as_py()]]], schema=schema)
+
+    return flat.mapInArrow(run, "rung int, " + ", ".join(f"{c} binary" for c in [*_PIECE, "length", "text"]))
+
+
+def _order(key: np.ndarray, stratum: np.ndarray, digest) -> np.ndarray:
+    """The rows in the order of stratum, digest and place; ``key`` has the digests' first 64 bits, ``digest`` gives a row's whole."""
+    bounds = np.concatenate([[0], np.nonzero(np.diff(stratum))[0] + 1, [len(stratum)]])
+    if len(bounds) < 1_000:
+        order = np.concatenate([low + np.argsort(key[low:high]) for low, high in zip(bounds[:-1], bounds[1:], strict=True)])
+    else:
+        order = np.lexsort((key, stratum))
+    same = (key[order[1:]] == key[order[:-1]]) & (stratum[order[1:]] == stratum[order[:-1]])
+    if same.any():
+        ends = np.nonzero(np.diff(np.concatenate([[False], same, [False]]).astype(np.int8)))[0]
+        for low, high in zip(ends[::2], ends[1::2] + 1, strict=True):
+            order[low:high] = sorted(order[low:high].tolist(), key=lambda k: (digest(k), k))
+    return order
+
+
+def _mean_share(cluster: np.ndarray, label: np.ndarray, clusters: int, labels: int, least: int = 3) -> float | None:
+    """As ``purity``, of codes from 0."""
+    cell = cluster.astype(np.int64) * labels + label
+    if clusters * labels <= 4 * len(cell) + 1_024:
+        n = np.bincount(cell, minlength=clusters * labels).reshape(clusters, labels)
+        top, whole = n.max(1, initial=0), n.sum(1)
+    else:
+        at, n = np.unique(cell, return_counts=True)
+        of, first = np.unique(at // labels, return_index=True)
+        top, whole = (np.maximum.reduceat(n, first), np.add.reduceat(n, first)) if len(of) else (n, n)
+    kept = whole >= least
+    return float(np.mean(top[kept] / whole[kept])) if kept.any() else None
+
+
+def _dealt_packed(pieces: DataFrame, names: list[str], shares: list[tuple[int, int]]) -> DataFrame:
+    """``rung, rep, purity`` of the replicates of ``shares``, each share of each rung in a task with the rung's pieces."""
+    cases = [(rung, k * len(shares) + i, low, high) for k, rung in enumerate(range(len(names))) for i, (low, high) in enumerate(shares)]
+    plan = pieces.sparkSession.createDataFrame(cases, "rung int, task int, low int, high int")  # as many as tasks
+    met = pieces.join(F.broadcast(plan), "rung").repartitionByRange(len(cases), "task")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        rung, low, high = (int(pdf[c].iloc[0]) for c in ("rung", "low", "high"))
+        read = lambda c: np.frombuffer(b"".join(pdf[c]), np.int32)
+        place = np.argsort(read("at"))
+        stratum, cluster, label, length = (read(c)[place] for c in ("first", "_cluster", "_label", "length"))
+        data, starts = np.frombuffer(b"".join(pdf["text"]), np.uint8), (np.cumsum(read("length"), dtype=np.int64) - read("length"))[place]
+        alike = []
+        for size in np.unique(length):
+            rows = np.nonzero(length == size)[0]
+            text = np.empty((size, len(rows)), np.uint8)
+            for k in range(size):
+                text[k] = data[starts[rows] + k]
+            alike.append((rows, text))
+        inside = np.nonzero(cluster >= 0)[0]
+        cluster, key, found = cluster[inside], np.empty(len(place), np.uint64), []
+        clusters, labels = (int(x.max(initial=-1)) + 1 for x in (cluster, label))
+        for rep in range(low, high):
+            end = f"{names[rung]}|{rep}".encode()
+            for rows, text in alike:
+                key[rows] = md5_high(text, end)
+            whole = lambda k, end=end: hashlib.md5(data[starts[k] : starts[k] + length[k]].tobytes() + end).digest()
+            dealt = label[_order(key, stratum, whole)]
+            found.append((rung, rep, _mean_share(cluster, dealt[inside], clusters, labels)))
+        return pd.DataFrame([x for x in found if x[2] is not None], columns=["rung", "rep", "purity"])
+
+    return met.groupBy("task").applyInPandas(run, "rung int, rep int, purity double")
+
+
 def null_ladder(df: DataFrame, ident: str, cluster: str, label: str, rungs: dict[str, list[str]], reps: int) -> DataFrame:
     """``rung, observed, mean, delta, z`` for each way to stratify, from ``reps`` permutations.
 
     A replicate deals a stratum's labels to its places in the order of md5 of id, rung and replicate. The places are numbered
-    once; replicates of all rungs are put in order together, by hashes of runs of a stratum's digests, so neither a
-    replicate nor a stratum is one task, and nothing is sorted twice. A pass deals AT_ONCE rows or one replicate of each rung,
-    so the disk that it takes doesn't grow with the number of replicates. z divides by the population deviation, 1e-9 at least.
+    once. Up to PACKED rows a replicate is put in order in one task, over packed columns that a task reads once for all
+    of its replicates, so no row is shuffled for a replicate. Above, replicates of all rungs are put in order together, by
+    hashes of runs of a stratum's digests, so neither a replicate nor a stratum is one task. A pass deals AT_ONCE or
+    SPREAD_AT_ONCE rows or one replicate of each rung, so the disk that it takes doesn't grow with the number of
+    replicates. z divides by the population deviation, 1e-9 at least.
     """
     rows = materialize(df.where(F.col(label).isNotNull()).select(*dict.fromkeys([ident, cluster, label, *[c for s in rungs.values() for c in s]])), "rows")
     observed = purity(rows, cluster, label)
-    base = _ladder(rows, ident, cluster, label, rungs)
+    packed = rows.count() <= PACKED
+    if packed:
+        coded = _coded(_coded(rows, cluster, "_cluster", F.col(cluster) >= 0), label, "_label")
+        base = _ladder(coded, ident, "_cluster", "_label", rungs)
+        pieces = materialize(_pieces(base, ident), "pieces")
+    else:
+        base = _ladder(rows, ident, cluster, label, rungs)
     names = F.create_map(*[F.lit(x) for k, name in enumerate(rungs) for x in (k, name)])
 
-    def dealt_purity(start: int, stop: int) -> DataFrame:
+    def spread_purity(start: int, stop: int) -> DataFrame:
         """``rung, rep, purity`` of the replicates from ``start`` to before ``stop``."""
         many = base.select("rung", "first", "size", ident, F.col(label).alias("_dealt"), F.explode(F.sequence(F.lit(start), F.lit(stop - 1))).alias("rep"))
         many = many.withColumn("u", F.unhex(F.md5(F.concat_ws("|", F.col(ident).cast("string"), names[F.col("rung")], F.col("rep").cast("string")))))
@@ -90,10 +203,16 @@ def null_ladder(df: DataFrame, ident: str, cluster: str, label: str, rungs: dict
         dealt = given.join(base.select("rung", "at", cluster), ["rung", "at"])
         return materialize(purity(dealt, cluster, "_dealt", ["rung", "rep"]), "purities", files=1)
 
-    step = max(1, AT_ONCE // max(1, base.count()))
+    def packed_purity(start: int, stop: int) -> DataFrame:
+        each = math.ceil((stop - start) * len(rungs) / (2 * df.sparkSession.sparkContext.defaultParallelism))
+        shares = [(low, min(low + each, stop)) for low in range(start, stop, each)]
+        found = _dealt_packed(pieces, list(rungs), shares)
+        return materialize(found, "purities", files=1)
+
+    step = max(1, (AT_ONCE if packed else SPREAD_AT_ONCE) // max(1, base.count()))
     found = None
     for low in range(0, reps, step):
-        one = dealt_purity(low, min(low + step, reps))
+        one = (packed_purity if packed else spread_purity)(low, min(low + step, reps))
         found = one if found is None else found.unionByName(one)
         if low + step < reps:  # Spark deletes the shuffle files of what the driver no longer holds
             gc.collect()
