@@ -26,8 +26,9 @@ def rms(a: str | Column, b: str | Column, k: int) -> Column:
 
 
 #: Bytes of vectors, as doubles, that a tile holds at most; the tiles that a table below that is cut into, as every row is sent
-#: once for each of them; cells of distances that a task holds at once, and that it adds up feature by feature.
-TILE_BYTES, TILES, BLOCK, STRIP = 8 << 20, 24, 1 << 17, 1 << 14
+#: once for each of them; cells of distances that a task holds at once, at most so many beside each other, and that it adds up feature
+#: by feature.
+TILE_BYTES, TILES, BLOCK, SIDE, STRIP = 8 << 20, 24, 1 << 17, 1 << 9, 1 << 14
 
 
 #: The same for nearest neighbours and listed pairs, whose tasks hold a few rows' distances besides two tiles: what is sent,
@@ -115,18 +116,21 @@ def _fast(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
-    """``ids, vectors, other ids, other vectors, same, group, other group`` of some rows of a tile against a tile; ``same`` if
-    they are one, then from the first of those rows on."""
+    """``ids, vectors, other ids, other vectors, same, group, other group`` of some rows of a tile against some of a tile, SIDE
+    others at most so that a block stays in a core's cache; ``same`` if they begin with the same rows."""
     of = {c: batch.column(batch.schema.get_field_index(c)) for c in ("i", "j", "x", "y")}
     for k in range(batch.num_rows):
-        same = of["i"][k].as_py() == of["j"][k].as_py()
+        one = of["i"][k].as_py() == of["j"][k].as_py()
         x, y = of["x"][k].values, of["y"][k].values
         (ia, a), (ib, b) = _read(x), _read(y)
         codes = pa.concat_arrays([x.flatten()[2], y.flatten()[2]]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-        step = max(1, BLOCK // max(1, len(ib)))
+        ga, gb = codes[: len(ia)], codes[len(ia) :]
+        step = BLOCK // SIDE
         for at in range(0, len(ia), step):
-            first = at if same else 0
-            yield ia[at : at + step], a[at : at + step], ib[first:], b[first:], same, codes[: len(ia)][at : at + step], codes[len(ia) :][first:]
+            rows = slice(at, at + step)
+            for first in range(at if one else 0, len(ib), SIDE):
+                others = slice(first, first + SIDE)
+                yield ia[rows], a[rows], ib[others], b[others], one and first == at, ga[rows], gb[others]
 
 
 def _once(same: bool, d: np.ndarray) -> np.ndarray:

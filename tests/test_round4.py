@@ -3,9 +3,10 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from tarn.functions.digest import md5_high
-from tarn.operators import clustering, labels
+from tarn.operators import clustering, distances, labels
 
 
 def test_cut_stability_has_the_pairs_of_the_wider_cut(spark, sf):
@@ -76,3 +77,16 @@ def test_md5_high_equals_hashlib():
         for end in (b"", b"|donor and lane|199"):
             want = [int(hashlib.md5(text[:, i].tobytes() + end).hexdigest()[:16], 16) for i in range(20)]
             assert md5_high(text, end).tolist() == want
+
+
+def test_blocks_of_two_tiles_fit_a_cache():
+    """Blocks are some rows against SIDE others at most, not against a whole tile, and hold every pair once."""
+    kind = pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float32())), ("g", pa.int32())]))
+    tile = lambda first: [{"id": first + k, "v": [float(k), 1.0], "g": 0} for k in range(1_300)]
+    columns = [pa.array([0, 0]), pa.array([0, 1]), pa.array([tile(0), tile(0)], kind), pa.array([tile(0), tile(1_300)], kind)]
+    pairs, largest = 0, 0
+    for ia, a, ib, b, same, _, _ in distances._blocks(pa.RecordBatch.from_arrays(columns, ["i", "j", "x", "y"])):
+        largest = max(largest, len(b))
+        assert not same or ia[0] == ib[0]
+        pairs += len(distances._once(same, np.zeros((len(a), len(b)))))
+    assert largest == distances.SIDE and pairs == 1_300 * 1_299 // 2 + 1_300 * 1_300
