@@ -90,3 +90,13 @@ def test_blocks_of_two_tiles_fit_a_cache():
         assert not same or ia[0] == ib[0]
         pairs += len(distances._once(same, np.zeros((len(a), len(b)))))
     assert largest == distances.SIDE and pairs == 1_300 * 1_299 // 2 + 1_300 * 1_300
+
+
+def test_tiles_meet_without_a_shuffle(spark):
+    """Every pair of tiles once, read by its task: no row is sent once for each tile."""
+    v = np.random.default_rng(4).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    met = distances._tile_pairs(distances.tiles(df, "id", "v", 64))
+    plan = met._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    assert sorted((r["i"], r["j"]) for r in met.select("i", "j").collect()) == [(i, j) for i in range(5) for j in range(i, 5)]
