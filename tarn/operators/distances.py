@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -298,33 +297,56 @@ def _kth(d2: np.ndarray, k: int) -> np.ndarray:
     return np.partition(d2, k - 1, axis=1)[:, k - 1]
 
 
+#: Cells that a task holds at once where it looks for the least of each row, and of which those that may be are put in order together.
+HELD, FOUND = 1 << 21, 1 << 17
+
+
+def _least(u: np.ndarray, v: np.ndarray, k: int, same: bool, digits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Rows of ``u``, places in ``v`` and distances of the ``k`` least of every row by differences, ties by place, among those that
+    the Gram form can't tell from them; no row with itself if ``same``."""
+    step, held, wait = max(1, HELD // max(1, len(v))), [], 0
+    norms, longest = (u**2).sum(1), np.fmax.reduce((v**2).sum(1), initial=0.0)
+    for at in range(0, len(u), step):
+        d2 = _gram(u[at : at + step], v)
+        if same:
+            d2[np.arange(len(d2)), at + np.arange(len(d2))] = np.inf
+        bound = _kth(d2, k)
+        slack = 1e-9 * (norms[at : at + step] + longest) + 10.0**-digits * (2 * np.sqrt(bound) + 1)
+        cells = np.flatnonzero(d2 <= (bound + slack)[:, None])
+        cells = cells[np.isfinite(d2.ravel()[cells])]
+        held.append((cells // len(v) + at, cells % len(v)))
+        wait += len(cells)
+        if wait >= FOUND or at + step >= len(u):
+            row, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            d = np.round(np.sqrt(_exact(u, v, (row, place))), digits)
+            order = np.lexsort((place, d, row))
+            row, place, d = row[order], place[order], d[order]
+            nth = np.arange(len(row)) - np.searchsorted(row, row)
+            yield row[nth < k], place[nth < k], d[nth < k]
+            held, wait = [], 0
+
+
 def nearest(df: DataFrame, ident: str, vector: str, k: int, group: str | None = None, size: int | None = None, digits: int = 9) -> DataFrame:
     """``a, b, d``: the ``k`` nearest others of every row, in its group if one is given; ties by ``b`` at ``digits`` digits.
 
-    Each pair of tiles keeps k candidates a row and direction, so n * k * tiles rows are shuffled and no pair table is made.
-    With groups, rows are tiled by group, and groups of one id meet only their own tiles.
+    Each pair of tiles keeps k candidates a row and direction, so n * k * tiles rows are shuffled and no pair table is made; the
+    tiles themselves are read, not shuffled. With groups, rows are tiled by group, and groups of one id meet only their own tiles.
     """
     from tarn.operators.ordered import row_numbers
 
     size = size or tile_size(df, vector, NEAR_TILES, NEAR_BYTES)
-    own = F.lit(0) if group is None else F.col(group)
-    numbered = row_numbers(df.select(own.alias("g"), F.col(ident).alias("id"), F.col(vector).alias("v")), ["g", "id"], "ord")
-    first = numbered.groupBy("g").agg(F.min("ord").alias("first")).select(F.col("g").alias("of"), "first")
-    placed = numbered.join(first, F.col("g").eqNullSafe(F.col("of"))).withColumn("tile", F.floor((F.col("ord") - F.col("first")) / size))
-    t = placed.groupBy("g", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "v", F.lit(0).alias("none")))).alias("rows"))
-    last = placed.groupBy(F.col("g").alias("of")).agg(F.max("tile").alias("last"))
-    sides = t.join(last, F.col("g").eqNullSafe(F.col("of")))
-    left = sides.select("g", F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.col("last"))).alias("j"), F.col("rows").alias("x"))
-    right = sides.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("i2"), F.col("tile").alias("j2"), F.col("rows").alias("y"))
-    met = left.join(right, F.col("g").eqNullSafe(F.col("h")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))).select("i", "j", "x", "y")
-
-    def best(ia: np.ndarray, a: np.ndarray, ib: np.ndarray, b: np.ndarray, d2: np.ndarray) -> pd.DataFrame:
-        """The k least of every row by differences, among those that the Gram form can't tell from them."""
-        bound = _kth(d2, k)
-        slack = 1e-9 * ((a**2).sum(1) + np.fmax.reduce((b**2).sum(1), initial=0.0)) + 10.0**-digits * (2 * np.sqrt(bound) + 1)
-        at = np.nonzero((d2 <= (bound + slack)[:, None]) & np.isfinite(d2))
-        found = pd.DataFrame({"a": ia[at[0]], "b": ib[at[1]], "d": np.round(np.sqrt(_exact(a, b, at)), digits)})
-        return found.sort_values(["d", "b"], kind="stable").groupby("a", sort=False).head(k)
+    if group is None:
+        met = _tile_pairs(tiles(df, ident, vector, size))
+    else:
+        numbered = row_numbers(df.select(F.col(group).alias("g"), F.col(ident).alias("id"), F.col(vector).alias("v")), ["g", "id"], "ord")
+        first = numbered.groupBy("g").agg(F.min("ord").alias("first")).select(F.col("g").alias("of"), "first")
+        placed = numbered.join(first, F.col("g").eqNullSafe(F.col("of"))).withColumn("tile", F.floor((F.col("ord") - F.col("first")) / size))
+        t = placed.groupBy("g", "tile").agg(F.sort_array(F.collect_list(F.struct("id", "v", F.lit(0).alias("none")))).alias("rows"))
+        last = placed.groupBy(F.col("g").alias("of")).agg(F.max("tile").alias("last"))
+        sides = t.join(last, F.col("g").eqNullSafe(F.col("of")))
+        left = sides.select("g", F.col("tile").alias("i"), F.explode(F.sequence(F.col("tile"), F.col("last"))).alias("j"), F.col("rows").alias("x"))
+        right = sides.select(F.col("g").alias("h"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("tile"))).alias("i2"), F.col("tile").alias("j2"), F.col("rows").alias("y"))
+        met = left.join(right, F.col("g").eqNullSafe(F.col("h")) & (F.col("i") == F.col("i2")) & (F.col("j") == F.col("j2"))).select("i", "j", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,13 +354,8 @@ def nearest(df: DataFrame, ident: str, vector: str, k: int, group: str | None =
                 (ia, a), (ib, b) = _read(batch.column(2)[n].values), _read(batch.column(3)[n].values)
                 same = batch.column(0)[n].as_py() == batch.column(1)[n].as_py()
                 for one, u, other, v in [(ia, a, ib, b)] if same else [(ia, a, ib, b), (ib, b, ia, a)]:
-                    step = max(1, BLOCK // max(1, len(other)))
-                    for at in range(0, len(one), step):
-                        d2 = _gram(u[at : at + step], v)
-                        if same:
-                            d2[np.arange(len(d2)), at + np.arange(len(d2))] = np.inf
-                        found = best(one[at : at + step], u[at : at + step], other, v, d2)
-                        yield pa.RecordBatch.from_arrays([pa.array(found[c].to_numpy(), type=f) for c, f in zip("abd", (types[0], types[0], pa.float64()), strict=True)], ["a", "b", "d"])
+                    for row, place, d in _least(u, v, k, same, digits):
+                        yield pa.RecordBatch.from_arrays([pa.array(one[row], type=types[0]), pa.array(other[place], type=types[0]), pa.array(d)], ["a", "b", "d"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 

@@ -100,3 +100,17 @@ def test_tiles_meet_without_a_shuffle(spark):
     plan = met._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" in plan and "Exchange" not in plan
     assert sorted((r["i"], r["j"]) for r in met.select("i", "j").collect()) == [(i, j) for i in range(5) for j in range(i, 5)]
+
+
+def test_nearest_reads_tiles_and_flushes_what_it_holds(spark, monkeypatch):
+    """The k nearest with many ties, where candidates are put in order a few at a time; the tiles meet without a shuffle."""
+    monkeypatch.setattr(distances, "HELD", 300)
+    monkeypatch.setattr(distances, "FOUND", 40)
+    v = np.random.default_rng(8).integers(0, 3, (150, 3)).astype(float)
+    d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
+    df = spark.createDataFrame([(f"n{i:03}", x.tolist()) for i, x in enumerate(v)], "id string, v array<double>")
+    near = distances.nearest(df, "id", "v", 4, size=64)
+    assert "CartesianProduct" in near._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["a"], r["b"], r["d"]) for r in near.collect())
+    want = [(f"n{i:03}", f"n{j:03}", x) for i in range(150) for x, j in sorted((d[i, j], j) for j in range(150) if j != i)[:4]]
+    assert got == sorted(want)
